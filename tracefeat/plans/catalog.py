@@ -1,4 +1,4 @@
 """Import every query module so that the registry is complete."""
 
-from tracefeat.plans import q_windows  # noqa: F401
+from tracefeat.plans import q_prep, q_windows  # noqa: F401
 from tracefeat.plans.registry import REGISTRY  # noqa: F401

@@ -6,17 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension up to this many rows is shipped to every task (a few MB at most).
-MAX_BROADCAST_ROWS = 2_000_000
+MAX_BROADCAST_ROWS = 1_000_000
 
-_checked: dict[int, bool] = {}
+# id -> (frame, verdict); the frame is kept so that its id is never reused.
+_checked: dict[int, tuple[DataFrame, bool]] = {}
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Count at most ``max_rows + 1`` rows of ``df`` (a bounded job) to prove its size."""
     key = id(df)
     if key not in _checked:
-        _checked[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _checked[key]
+        _checked[key] = (df, df.limit(max_rows + 1).count() <= max_rows)
+    return _checked[key][1]
 
 
 def dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "left",
