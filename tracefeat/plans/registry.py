@@ -36,6 +36,12 @@ class Query:
 
 REGISTRY: dict[str, Query] = {}
 
+# Rounding is spelled out as round(x * 10^d) / 10^d on both sides: the product
+# and the quotient are the same IEEE operations in both engines, and rounding
+# a double to an integer (half away from zero) agrees, so near-ties cannot
+# round apart as they can with each engine's own round(x, d).
+_DIGITS = {"f": 6, "f4": 4, "f2": 2}
+
 
 def parse_spec(spec: str) -> list[tuple[str, str]]:
     out = []
@@ -62,10 +68,9 @@ def normalize(df: DataFrame, spec: list[tuple[str, str]]) -> DataFrame:
         c = F.col(name)
         if kind == "i":
             c = c.cast("bigint")
-        elif kind == "f":
-            c = F.round(c.cast("double"), 6)
-        elif kind in ("f4", "f2"):
-            c = F.round(c.cast("double"), int(kind[1]))
+        elif kind in ("f", "f4", "f2"):
+            scale = float(10 ** _DIGITS[kind])
+            c = F.round(c.cast("double") * F.lit(scale), 0) / F.lit(scale)
         elif kind == "s":
             c = c.cast("string")
         elif kind == "ai":
@@ -82,10 +87,9 @@ def _sql_expr(name: str, kind: str) -> str:
     q = f'"{name}"'
     if kind == "i":
         return f"CAST({q} AS BIGINT) AS {q}"
-    if kind == "f":
-        return f"round(CAST({q} AS DOUBLE), 6) AS {q}"
-    if kind in ("f4", "f2"):
-        return f"round(CAST({q} AS DOUBLE), {kind[1]}) AS {q}"
+    if kind in ("f", "f4", "f2"):
+        scale = 10 ** _DIGITS[kind]
+        return f"round(CAST({q} AS DOUBLE) * CAST({scale} AS DOUBLE)) / CAST({scale} AS DOUBLE) AS {q}"
     if kind == "s":
         return f"CAST({q} AS VARCHAR) AS {q}"
     if kind == "ai":
