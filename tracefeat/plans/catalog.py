@@ -1,4 +1,4 @@
 """Import every query module so that the registry is complete."""
 
-from tracefeat.plans import q_encoders, q_evaluate, q_prep, q_sequences, q_user, q_windows  # noqa: F401
+from tracefeat.plans import q_encoders, q_evaluate, q_prep, q_sequences, q_streaming, q_user, q_windows  # noqa: F401
 from tracefeat.plans.registry import REGISTRY  # noqa: F401
