@@ -576,7 +576,8 @@ def q_v6(spark, d):
 
 
 @register("V7_virtual_time_split", "row_id:i, viretual_time_stamp:i, cv:i",
-          f"WITH {_V7_SQL} SELECT row_id, vts AS viretual_time_stamp, cv FROM cuts")
+          "WITH " + _V7_SQL.replace("// 1000", "// (SELECT CAST(floor(count(*) * 0.1) AS BIGINT) FROM log)")
+          + " SELECT row_id, vts AS viretual_time_stamp, cv FROM cuts")
 def q_v7(spark, d):
     """Users shifted onto one axis; five cuts of val_size rows from the end (10 % of rows)."""
     return V.virtual_time_split(interaction_log(spark, d))
