@@ -183,11 +183,12 @@ def session_flags(x: DataFrame, threshold_ms: int = SESSION_GAP_MS) -> DataFrame
 
 def session_border_rate(x: DataFrame, threshold_ms: int = SESSION_GAP_MS, s: float = BORDER_SMOOTH) -> DataFrame:
     f = session_flags(x, threshold_ms)
-    means = f.agg(F.avg("user_session_start").alias("a"), F.avg("user_session_end").alias("b")).first()
+    ma = f.agg(F.avg("user_session_start")).scalar()
+    mb = f.agg(F.avg("user_session_end")).scalar()
     return f.groupBy("content_id").agg(
-        ((F.sum("user_session_start") + s * means["a"]) / (F.count(F.lit(1)) + s))
+        ((F.sum("user_session_start") + F.lit(s) * ma) / (F.count(F.lit(1)) + s))
         .alias("user_session_start__mean_smooth"),
-        ((F.sum("user_session_end") + s * means["b"]) / (F.count(F.lit(1)) + s))
+        ((F.sum("user_session_end") + F.lit(s) * mb) / (F.count(F.lit(1)) + s))
         .alias("user_session_end__mean_smooth"))
 
 
@@ -289,36 +290,64 @@ TARGETS = ("answered_correctly", "weighted_answered_correctly", "weighted_score"
 
 
 def entity_table(x: DataFrame, keys, parts, repeat: DataFrame | None = None, et: DataFrame | None = None,
-                 means: dict | None = None, s: float = SMOOTH) -> DataFrame:
+                 s: float = SMOOTH) -> DataFrame:
     """Wide per-entity table; ``parts`` chooses among count_std, count_std_repeat,
-    unique_user, te, te_repeat, entropy_answer, entropy_target, te_elapsed.
-    Every block is one groupBy on the entity keys; blocks are joined on the keys."""
+    unique_user, te, te_repeat, te_target, entropy_answer, entropy_target,
+    te_elapsed.  All blocks over one source share one ``groupBy`` (one
+    aggregation per source: answers, repeats, elapsed times); global means are
+    scalar subqueries; the blocks are joined on the entity keys."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    means = means or global_means(x, TARGETS).first().asDict()
+    k = key_name(keys)
+    ac = "answered_correctly"
+
+    def smoothed(src: DataFrame, targets, suffix: str) -> tuple[list, list]:
+        aggs, post = [], []
+        for t in targets:
+            g = src.agg(F.avg(t)).scalar() if suffix != "_et" else et.agg(F.avg(t)).scalar()
+            aggs += [F.sum(t).alias(f"_s_{t}"), F.count(t).alias(f"_n_{t}")]
+            name = f"{k}__{t}_sm{s:g}{suffix if suffix != '_et' else ''}"
+            post.append(((F.col(f"_s_{t}") + F.lit(s) * g) / (F.col(f"_n_{t}") + F.lit(s))).alias(name))
+        return aggs, post
+
+    def block(src: DataFrame, aggs: list, post: list, plain: list) -> DataFrame:
+        return src.groupBy(*keys).agg(*aggs).select(*keys, *plain, *post)
+
     blocks = []
+    aggs, post, plain = [], [], []
     if "count_std" in parts:
-        blocks.append(count_std(x, keys, "answered_correctly"))
-    if "count_std_repeat" in parts:
-        blocks.append(count_std(repeat, keys, "answered_correctly", "_repeat"))
+        aggs += [F.count(ac).alias(f"{k}__count"), F.stddev_samp(ac).alias(f"{k}__std")]
+        plain += [f"{k}__count", f"{k}__std"]
     if "unique_user" in parts:
-        blocks.append(unique_users(x, keys))
-    for t in TARGETS:
-        if "te" in parts:
-            blocks.append(smoothed_te(x, keys, t, means[f"{t}_mean"], s))
-        if "te_repeat" in parts:
-            blocks.append(smoothed_te(repeat, keys, t, means[f"{t}_mean"], s, "_repeat"))
-    if "te_target" in parts:
-        blocks.append(smoothed_te(x, keys, "answered_correctly", means["answered_correctly_mean"], s))
+        aggs.append(F.countDistinct("user_id").alias(f"{k}__unique_user"))
+        plain.append(f"{k}__unique_user")
+    targets = list(TARGETS) if "te" in parts else [ac] if "te_target" in parts else []
+    a2, p2 = smoothed(x, targets, "")
+    if aggs or a2:
+        # the means of the repeat encodings are those of the answer table, as in the reference
+        blocks.append(block(x, aggs + a2, p2, plain))
+    aggs, plain = [], []
+    if "count_std_repeat" in parts:
+        aggs += [F.count(ac).alias(f"{k}__count_repeat"), F.stddev_samp(ac).alias(f"{k}__std_repeat")]
+        plain += [f"{k}__count_repeat", f"{k}__std_repeat"]
+    a2, p2 = [], []
+    if "te_repeat" in parts:
+        for t in TARGETS:
+            g = x.agg(F.avg(t)).scalar()
+            a2 += [F.sum(t).alias(f"_s_{t}"), F.count(t).alias(f"_n_{t}")]
+            p2.append(((F.col(f"_s_{t}") + F.lit(s) * g) / (F.col(f"_n_{t}") + F.lit(s)))
+                      .alias(f"{k}__{t}_sm{s:g}_repeat"))
+    if aggs or a2:
+        blocks.append(block(repeat, aggs + a2, p2, plain))
     if "entropy_answer" in parts:
         blocks.append(entropy(x, keys, "user_answer"))
     if "entropy_target" in parts:
-        blocks.append(entropy(x, keys, "answered_correctly"))
+        blocks.append(entropy(x, keys, ac))
     if "te_elapsed" in parts:
-        et_mean = et.agg(F.avg("question_elapsed_time")).first()[0]
-        blocks.append(smoothed_te(et, keys, "question_elapsed_time", et_mean, s))
-    out = x.select(*keys).distinct()
+        a3, p3 = smoothed(et, ["question_elapsed_time"], "_et")
+        blocks.append(block(et, a3, p3, []))
+    out = x.select(*keys).distinct() if not blocks else None
     for b in blocks:
-        out = out.join(b, keys, "left")
+        out = b if out is None else out.join(b, keys, "left")
     return out
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracefeat.functions.columns import col, nan_key, pad_left, parse_tags
-from tracefeat.plans.joins import dim_join
+from tracefeat.plans.joins import MAX_BROADCAST_ROWS, dim_join
 from tracefeat.sources.binding import LECTURE_TYPES
 
 # Padding tags of the sequence variants and the reference item count.
@@ -44,13 +44,12 @@ def bin_id(c, width: int) -> Column:
 def equal_width_bins(df: DataFrame, c: str, n_bins: int = 200, name: str | None = None) -> DataFrame:
     """Equal-width, right-closed bins over [min, max] (first bin holds the minimum).
 
-    The bounds come from one aggregate row collected to the driver (two numbers)."""
-    lo, hi = df.agg(F.min(c), F.max(c)).first()
+    The bounds are scalar subqueries of the same plan (no driver round trip)."""
+    lo = df.agg(F.min(c)).scalar()
+    hi = df.agg(F.max(c)).scalar()
     name = name or f"{c}_bin"
-    if lo is None or hi == lo:
-        return df.withColumn(name, F.lit(0))
-    x = (F.col(c) - F.lit(lo)) / F.lit(float(hi - lo)) * n_bins
-    return df.withColumn(name, F.when(F.col(c) == lo, F.lit(0))
+    x = F.try_divide((F.col(c) - lo).cast("double"), (hi - lo).cast("double")) * n_bins
+    return df.withColumn(name, F.when((F.col(c) == lo) | (hi == lo), F.lit(0))
                          .otherwise(F.least(F.ceil(x) - 1, F.lit(n_bins - 1))).cast("int"))
 
 
@@ -100,7 +99,7 @@ def lecture_type_code(df: DataFrame, lectures: DataFrame) -> DataFrame:
     """type_of_id 0..3 for lecture ids (by name), 4 otherwise; lecture target set to 2."""
     names = F.create_map(*[x for i, n in enumerate(LECTURE_TYPES) for x in (F.lit(n), F.lit(i))])
     lt = lectures.select(F.col("lecture_id").alias("_lid"), names[F.col("type_of")].alias("_tcode"))
-    j = dim_join(df, lt, F.col("content_id") == F.col("_lid"), "left")
+    j = dim_join(df, lt, F.col("content_id") == F.col("_lid"), "left", max_rows=MAX_BROADCAST_ROWS)
     return (j.withColumn("type_of_id", F.coalesce(F.col("_tcode"), F.lit(4)))
             .withColumn("answered_correctly", F.when(F.col("content_type_id") == 1, F.lit(2))
                         .otherwise(F.col("answered_correctly")))
@@ -164,15 +163,14 @@ def narrow_types(df: DataFrame) -> DataFrame:
 def standardize(df: DataFrame, cols, inf_factor: float = 1.2) -> DataFrame:
     """+inf -> 1.2 x finite max, NULL -> mean, then (x - mean) / sample std.
 
-    Two aggregate passes, each collecting one row of per-column statistics."""
+    The per-column statistics are scalar subqueries planned with the query."""
     inf = F.lit(float("inf"))
-    m1 = df.agg(*[F.max(F.when(F.col(c) != inf, F.col(c))).alias(c) for c in cols]).first().asDict()
-    fixed = df.withColumns({c: F.when(F.col(c) == inf, F.lit(m1[c] * inf_factor if m1[c] is not None else None))
-                            .otherwise(F.col(c)) for c in cols})
-    means = fixed.agg(*[F.avg(c).alias(c) for c in cols]).first().asDict()
-    filled = fixed.withColumns({c: F.coalesce(F.col(c), F.lit(means[c])) for c in cols})
-    sds = filled.agg(*[F.stddev_samp(c).alias(c) for c in cols]).first().asDict()
-    return filled.withColumns({c: F.try_divide(F.col(c) - F.lit(means[c]), F.lit(sds[c])) for c in cols})
+    mx = {c: df.agg(F.max(F.when(F.col(c) != inf, F.col(c)))).scalar() for c in cols}
+    fixed = df.withColumns({c: F.when(F.col(c) == inf, mx[c] * inf_factor).otherwise(F.col(c)) for c in cols})
+    means = {c: fixed.agg(F.avg(c)).scalar() for c in cols}
+    filled = fixed.withColumns({c: F.coalesce(F.col(c), means[c]) for c in cols})
+    sds = {c: filled.agg(F.stddev_samp(c)).scalar() for c in cols}
+    return filled.withColumns({c: F.try_divide(F.col(c) - means[c], sds[c]) for c in cols})
 
 
 # P14 -----------------------------------------------------------------------
@@ -222,7 +220,7 @@ def join_questions(df: DataFrame, qs: DataFrame, questions_only: bool = False) -
     cond = F.col("content_id") == F.col("_qid")
     if questions_only:
         cond = cond & (F.col("content_type_id") == 0)
-    return dim_join(df, q, cond, "left").drop("_qid")
+    return dim_join(df, q, cond, "left", max_rows=MAX_BROADCAST_ROWS).drop("_qid")
 
 
 # J2 ------------------------------------------------------------------------
@@ -234,7 +232,7 @@ def join_lectures(df: DataFrame, lectures: DataFrame, literal: bool = False) ->
     cond = F.col("content_id") == F.col("_lid")
     if not literal:
         cond = cond & (F.col("content_type_id") == 1)
-    return dim_join(df, lt, cond, "left").drop("_lid")
+    return dim_join(df, lt, cond, "left", max_rows=MAX_BROADCAST_ROWS).drop("_lid")
 
 
 # J3 ------------------------------------------------------------------------
@@ -242,8 +240,8 @@ def lookup_part(df: DataFrame, qs: DataFrame, lectures: DataFrame) -> DataFrame:
     """Combined id -> part map where a lecture id wins over a question id."""
     q = qs.select(F.col("question_id").alias("_qid"), F.col("part").alias("_qpart"))
     lt = lectures.select(F.col("lecture_id").alias("_lid"), F.col("part").alias("_lpart"))
-    j = dim_join(dim_join(df, q, F.col("content_id") == F.col("_qid"), "left"),
-                 lt, F.col("content_id") == F.col("_lid"), "left")
+    j = dim_join(dim_join(df, q, F.col("content_id") == F.col("_qid"), "left", max_rows=MAX_BROADCAST_ROWS),
+                 lt, F.col("content_id") == F.col("_lid"), "left", max_rows=MAX_BROADCAST_ROWS)
     return j.withColumn("mapped_part", F.coalesce("_lpart", "_qpart")).drop("_qid", "_qpart", "_lid", "_lpart")
 
 

@@ -93,8 +93,7 @@ def user_offsets(df: DataFrame, seed: int | None = None) -> DataFrame:
     """Per-user random shift in [0, maxT - user_max].  With ``seed=None`` the
     draw is the deterministic rule (user_id * 7919) % 1000 / 1000 (oracle form)."""
     u = df.groupBy("user_id").agg(F.max("timestamp").alias("max_time_stamp"))
-    max_t = u.agg(F.max("max_time_stamp")).first()[0]
-    room = F.lit(max_t) - F.col("max_time_stamp")
+    room = df.agg(F.max("timestamp")).scalar() - F.col("max_time_stamp")
     if seed is None:
         off = F.floor(room * F.pmod(F.col("user_id") * 7919, F.lit(1000)) / 1000)
     else:
@@ -108,7 +107,9 @@ def virtual_time_split(df: DataFrame, val_size: int | None = None, n_cuts: int =
     last ``val_size`` rows as cut 1, the ``val_size`` before as cut 2, ...;
     ``cv`` = cut number (0 = never validation)."""
     if val_size is None:
-        val_size = int(df.count() * val_share)
+        val_size = F.floor(df.agg(F.count(F.lit(1))).scalar() * val_share)
+    else:
+        val_size = F.lit(val_size)
     offs = user_offsets(df, seed)
     v = df.join(offs, "user_id", "left").withColumn("viretual_time_stamp",
                                                    F.col("timestamp") + F.col("rand_time_stamp"))

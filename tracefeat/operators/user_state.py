@@ -69,7 +69,8 @@ def counts(df: DataFrame, train_mean: float, s: float = SMOOTH) -> DataFrame:
         "u_hade_rate": safe_div("u_hade_cnt", "u_cnt"),
         "u_hade_div_corr_cnt": safe_div("u_hade_cnt", "u_corr_cnt"),
     })
-    return df.withColumn("u_corr_rate_smooth", (F.col("u_cnt") * F.col("u_corr_rate") + F.lit(s * train_mean))
+    m = train_mean if isinstance(train_mean, Column) else F.lit(float(train_mean))
+    return df.withColumn("u_corr_rate_smooth", (F.col("u_cnt") * F.col("u_corr_rate") + F.lit(s) * m)
                          / (F.col("u_cnt") + F.lit(s)))
 
 
@@ -166,18 +167,23 @@ def tag_rank(df: DataFrame, n_tags: int = N_TAGS, chunk_rows: int = TAG_RANK_CHU
         if len(init):
             counts[init["tag"].to_numpy()] += init["n0"].to_numpy()
         rows = rows.sort_values(["seq", "pos"])
-        out = []
+        rid = rows["row_id"].to_numpy()
+        tag = rows["tag"].to_numpy().astype(np.int64)
+        starts = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
+        ends = np.r_[starts[1:], len(rid)]
         ids = np.arange(n_tags)
-        for rid, grp in rows.groupby("row_id", sort=False):
-            tags = grp["tag"].to_numpy()
-            order = np.lexsort((ids, counts))          # ascending count, then tag id
-            rank = np.empty(n_tags, dtype=np.int64)
-            rank[order] = ids
-            r = rank[tags]
-            out.append((rid, int(r.max()), int(r.min()), int(r.sum())))
-            np.add.at(counts, tags, 1)
-        return pd.DataFrame(out, columns=["row_id", "u_hist_tag_rank_max", "u_hist_tag_rank_min",
-                                          "u_hist_tag_rank_sum"])
+        out_id = rid[starts]
+        out = np.zeros((len(starts), 3), dtype=np.int64)
+        for i, (a, b) in enumerate(zip(starts, ends)):
+            t = tag[a:b]
+            c = counts[t]
+            # rank of t = tags with a smaller count + tags with the same count and a smaller id
+            r = (counts[None, :] < c[:, None]).sum(1) + ((counts[None, :] == c[:, None])
+                                                         & (ids[None, :] < t[:, None])).sum(1)
+            out[i] = (r.max(), r.min(), r.sum())
+            np.add.at(counts, t, 1)
+        return pd.DataFrame({"row_id": out_id, "u_hist_tag_rank_max": out[:, 0], "u_hist_tag_rank_min": out[:, 1],
+                             "u_hist_tag_rank_sum": out[:, 2]})
 
     # fresh attribute ids on both sides: they share lineage and cogroup resolves by attribute
     rows = e.select(*[F.col(c).alias(c) for c in ("user_id", "chunk", "row_id", "seq", "pos", "tag")])
@@ -312,14 +318,17 @@ def part_sequence_te(df: DataFrame, train_mean: float, s: float = SEQ_SMOOTH) ->
     wq = _w("content_type_id")
     df = df.withColumns({f"prev_part_s{k}": F.lag("part", k).over(wq) for k in (1, 2, 3)})
     q = df.filter(is_q())
-    part_te = q.groupBy("part").agg(((F.sum("ans") + s * train_mean) / (F.count("ans") + s)).alias("_part_te"))
+    m = train_mean if isinstance(train_mean, Column) else F.lit(float(train_mean))
+    part_te = q.groupBy("part").agg(F.sum("ans").alias("_s"), F.count("ans").alias("_n")).select(
+        "part", ((F.col("_s") + F.lit(s) * m) / (F.col("_n") + F.lit(s))).alias("_part_te"))
     df = dim_join(df, part_te, ["part"], "left")
     keys = {1: ["prev_part_s1", "part"], 2: ["prev_part_s2", "prev_part_s1", "part"],
             3: ["prev_part_s3", "prev_part_s2", "prev_part_s1", "part"]}
     for k, ks in keys.items():
         name = "xxx".join(ks) + f"__answered_correctly_sm{s:g}"
-        te = (q.filter(F.col(ks[0]).isNotNull()).groupBy(*ks)
-              .agg(((F.sum("ans") + s * train_mean) / (F.count("ans") + s)).alias("_te")))
+        te = (q.filter(F.col(ks[0]).isNotNull()).groupBy(*ks).agg(F.sum("ans").alias("_s"), F.count("ans")
+                                                                    .alias("_n"))
+              .select(*ks, ((F.col("_s") + F.lit(s) * m) / (F.col("_n") + F.lit(s))).alias("_te")))
         df = dim_join(df, te, ks, "left").withColumn(name, F.coalesce(F.col("_te"), F.col("_part_te"))).drop("_te")
     return df.drop("_part_te")
 

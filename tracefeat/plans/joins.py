@@ -1,4 +1,16 @@
-"""Join helpers: broadcast only behind a checked row bound, shuffle join beyond it."""
+"""Join helpers: broadcast only behind a size check, shuffle join beyond it.
+
+Two checks are used:
+
+* ``dim_join(..., max_rows=N)`` - for dimension tables read from files
+  (questions, lectures): a bounded ``limit(N + 1).count()`` proves the row
+  count before the broadcast hint is given; beyond it the join shuffles.
+* ``dim_join(...)`` without ``max_rows`` - for tables derived in the same plan
+  (encoders, per-key aggregates): no hint; Catalyst broadcasts only when the
+  plan statistics are under ``spark.sql.autoBroadcastJoinThreshold``, and AQE
+  re-plans to a broadcast only when the materialised shuffle is under its
+  threshold.  Counting such a table up front would compute it twice.
+"""
 
 from __future__ import annotations
 
@@ -20,14 +32,8 @@ def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     return _checked[key][1]
 
 
-def dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "left",
-             max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a fact table to a dimension.
-
-    The dimension is broadcast only when its row count is proven small; a
-    larger one falls back to a shuffle (sort-merge) join, where AQE can still
-    switch strategy or split skewed partitions at runtime.
-    """
-    if fits_broadcast(dim, max_rows):
+def dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int | None = None) -> DataFrame:
+    """Join a fact table to a dimension or a derived lookup table (see module doc)."""
+    if max_rows is not None and fits_broadcast(dim, max_rows):
         dim = F.broadcast(dim)
     return fact.join(dim, on, how)

@@ -23,7 +23,7 @@ mn AS (SELECT avg(answered_correctly) AS train_mn FROM log WHERE content_type_id
 
 def _base(spark, d):
     df = U.with_seq(U.prepare(question_log(spark, d)))
-    mean = df.filter(U.is_q()).agg(F.avg("ans")).first()[0]
+    mean = df.filter(U.is_q()).agg(F.avg("ans")).scalar()
     return df, mean
 
 

@@ -57,6 +57,15 @@ def _bucketed(df: DataFrame, first: str, descending: bool, n_buckets: int | None
     return df.withColumn("_bk", b), len(bounds) + 1
 
 
+def _attach_offsets(local: DataFrame, offs: DataFrame, partition_cols) -> DataFrame:
+    """Without group columns the offsets table has one row per bucket (at most the
+    shuffle-partition count): broadcast by construction.  With group columns its
+    size follows their cardinality, so the planner decides."""
+    if not partition_cols:
+        offs = F.broadcast(offs)
+    return dim_join(local, offs, ["_bk", *partition_cols], "inner")
+
+
 def global_rank(df: DataFrame, order_cols, partition_cols=(), descending: bool = False,
                 name: str = "rank", total_name: str | None = None, n_parts: int | None = None) -> DataFrame:
     """Add a 1-based position ``name`` in the order ``order_cols`` (unique keys
@@ -74,7 +83,7 @@ def global_rank(df: DataFrame, order_cols, partition_cols=(), descending: bool =
     offs = offs.drop("_n")
     local = r.withColumn("_loc", F.row_number().over(
         Window.partitionBy("_bk", *partition_cols).orderBy(*_ordered(order_cols, descending))))
-    out = dim_join(local, offs, ["_bk", *partition_cols], "inner")
+    out = _attach_offsets(local, offs, partition_cols)
     return out.withColumn(name, F.col("_off") + F.col("_loc")).drop("_bk", "_off", "_loc")
 
 
@@ -91,6 +100,6 @@ def global_cumsum(df: DataFrame, order_col: str, value_cols, partition_cols=(),
         for v in value_cols])
     wl = Window.partitionBy("_bk", *partition_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     local = r.withColumns({f"_l_{v}": F.coalesce(F.sum(v).over(wl), F.lit(0)) for v in value_cols})
-    out = dim_join(local, offs, ["_bk", *partition_cols], "inner")
+    out = _attach_offsets(local, offs, partition_cols)
     return out.withColumns({f"{prefix}{v}": F.col(f"_o_{v}") + F.col(f"_l_{v}") for v in value_cols}).drop(
         "_bk", *[f"_o_{v}" for v in value_cols], *[f"_l_{v}" for v in value_cols])

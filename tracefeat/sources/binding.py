@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefeat.functions.columns import epoch_millis
-from tracefeat.plans.joins import dim_join
+from tracefeat.plans.joins import MAX_BROADCAST_ROWS, dim_join
 
 LOG_COLUMNS = [
     "row_id", "user_id", "timestamp", "content_id", "content_type_id", "task_container_id",
@@ -90,7 +90,7 @@ def with_questions(log: DataFrame, qs: DataFrame) -> DataFrame:
     """Attach part, tags and correct_answer to question rows only (lectures get NULL)."""
     q = qs.select(F.col("question_id").alias("_qid"), "part", "tags", "correct_answer")
     j = dim_join(log.withColumn("_qkey", F.when(F.col("content_type_id") == 0, F.col("content_id"))),
-                 q, F.col("_qkey") == F.col("_qid"), "left")
+                 q, F.col("_qkey") == F.col("_qid"), "left", max_rows=MAX_BROADCAST_ROWS)
     return j.drop("_qkey", "_qid")
 
 
