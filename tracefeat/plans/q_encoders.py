@@ -390,3 +390,12 @@ def q_a31(spark, d):
     f = W.rolling_prior_mean(W.user_running(interaction_log(spark, d)), (3,))
     return A.feature_profile(f, _A31_COLS)
 
+
+
+@register("S12_write_encoders", "content_id:i, fold:i, te:f", f"WITH {_FOLD_ENC_SQL} SELECT content_id, fold, te FROM enc")
+def q_s12(spark, d):
+    """Fold encoders persisted as a parquet lookup table (partitioned by fold) and read back."""
+    from tracefeat.sources import io
+    _, enc = _fold_enc_spark(spark, d)
+    path = io.write_partitioned(enc, io.fresh_path(spark, "encoders"), by=("fold",))
+    return spark.read.parquet(path)

@@ -349,3 +349,18 @@ def q_flagship(spark, d):
     df = W.user_running(df)
     df = W.rolling_prior_mean(df)
     return W.time_diffs(df, _LAGS)
+
+
+def _register_skew_safe():
+    from tracefeat.plans.registry import REGISTRY
+    from tracefeat.plans import segmented as SG
+    f0 = REGISTRY["F0_flagship"]
+
+    def q_f1(spark, d):
+        """F0 computed with skew-safe segments (16 rows per segment, 8-row halo on the
+        fixture so that every user is cut into several segments)."""
+        return SG.flagship(interaction_log(spark, d), seg_rows=16, halo=8)
+    register("F1_flagship_skew_safe", ", ".join(f"{n}:{k}" for n, k in f0.spec), f0.sql)(q_f1)
+
+
+_register_skew_safe()
