@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefeat.functions.columns import parse_tags, safe_div
+from tracefeat.plans import segmented as SG
 from tracefeat.plans.joins import dim_join
+from tracefeat.plans.segmented import running
 
 ORDER = ("timestamp", "row_id")
 UNB = Window.unboundedPreceding
@@ -30,7 +32,11 @@ N_TAGS = 189
 
 
 def _w(*keys) -> Window:
-    return Window.partitionBy("user_id", *keys).orderBy(*ORDER)
+    part = ["user_id", *keys, "_seg"] if SG.active() else ["user_id", *keys]
+    return Window.partitionBy(*part).orderBy(*ORDER)
+
+
+QK = ("user_id", "content_type_id")
 
 
 def _wq_prior() -> Window:
@@ -54,15 +60,16 @@ def questions_only(df: DataFrame) -> DataFrame:
     return df.filter(is_q())
 
 
+def real_questions() -> Column:
+    return is_q() & ~F.col("_halo") if SG.active() else is_q()
+
+
 # U1 / U2 -------------------------------------------------------------------
 def counts(df: DataFrame, train_mean: float, s: float = SMOOTH) -> DataFrame:
-    wp = _wq_prior()
-    df = df.withColumns({
-        "u_cnt": F.count(F.lit(1)).over(wp),
-        "u_corr_cnt": F.coalesce(F.sum("ans").over(wp), F.lit(0)),
-        "u_hade_cnt": F.coalesce(F.sum("hexp").over(wp), F.lit(0)),
-        "u_hade_corr_cnt": F.coalesce(F.sum(F.col("hexp") * F.col("ans")).over(wp), F.lit(0)),
-    })
+    df = running(df, {"u_cnt": F.lit(1), "u_corr_cnt": F.col("ans"), "u_hade_cnt": F.col("hexp"),
+                      "u_hade_corr_cnt": F.col("hexp") * F.col("ans")}, QK)
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("u_cnt", "u_corr_cnt", "u_hade_cnt",
+                                                                       "u_hade_corr_cnt")})
     df = df.withColumns({
         "u_corr_rate": safe_div("u_corr_cnt", "u_cnt"),
         "u_hade_corr_rate": safe_div("u_hade_corr_cnt", "u_hade_cnt"),
@@ -87,17 +94,16 @@ def latest_k_rate(df: DataFrame, ks=(3, 5, 10, 30), whole: int = ANSREC_MAX_LEN)
 
 # U4 / U5 -------------------------------------------------------------------
 def item_part_history(df: DataFrame) -> DataFrame:
-    wp = _wq_prior()
-    wpp = _w("content_type_id", "part").rowsBetween(UNB, -1)
-    cols = {
-        "u_hist_ques_num": F.row_number().over(_w("content_type_id", "content_id")) - 1,
-        "u_hist_part_num": F.count(F.lit(1)).over(wpp),
-        "u_hist_part_corr_num": F.coalesce(F.sum("ans").over(wpp), F.lit(0)),
-    }
+    df = running(df, {"u_hist_ques_num": F.lit(1)}, (*QK, "content_id"), inclusive=True)
+    df = running(df, {"u_hist_part_num": F.lit(1), "u_hist_part_corr_num": F.col("ans")}, (*QK, "part"))
+    parts = {}
     for p in range(1, N_PARTS + 1):
-        cols[f"u_part_{p}_cnt"] = F.coalesce(F.sum((F.col("part") == p).cast("int")).over(wp), F.lit(0))
-        cols[f"_pc{p}"] = F.coalesce(F.sum((F.col("part") == p).cast("int") * F.col("ans")).over(wp), F.lit(0))
-    df = df.withColumns(cols)
+        parts[f"u_part_{p}_cnt"] = (F.col("part") == p).cast("int")
+        parts[f"_pc{p}"] = (F.col("part") == p).cast("int") * F.col("ans")
+    df = running(df, parts, QK)
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in [*parts, "u_hist_part_num",
+                                                                      "u_hist_part_corr_num"]})
+    df = df.withColumn("u_hist_ques_num", F.col("u_hist_ques_num") - 1)
     df = df.withColumns({
         "u_hist_ques_ansed": (F.col("u_hist_ques_num") > 0).cast("int"),
         "u_hist_part_num_corr_rate": safe_div("u_hist_part_corr_num", "u_hist_part_num"),
@@ -197,15 +203,13 @@ def tag_rank(df: DataFrame, n_tags: int = N_TAGS, chunk_rows: int = TAG_RANK_CHU
 
 # U8 / U11 ------------------------------------------------------------------
 def lecture_and_elapsed(df: DataFrame) -> DataFrame:
-    wp = _wq_prior()
-    df = df.withColumns({
-        "u_hist_lec_cnt": F.coalesce(F.sum((F.col("content_type_id") == 1).cast("int"))
-                                     .over(_w().rowsBetween(UNB, -1)), F.lit(0)),
-        "_et_sum": F.coalesce(F.sum("et").over(wp), F.lit(0.0)),
-    })
+    df = running(df, {"u_hist_lec_cnt": (F.col("content_type_id") == 1).cast("int")})
+    df = running(df, {"_et_sum": F.col("et")}, QK)
+    df = df.withColumns({"u_hist_lec_cnt": F.coalesce(F.col("u_hist_lec_cnt"), F.lit(0)),
+                         "_et_sum": F.coalesce(F.col("_et_sum"), F.lit(0.0))})
     return df.withColumns({
-        "u_hist_et_sum_div_cnt": F.col("_et_sum") / (F.col("u_cnt") + 1),
-        "u_hist_et_sum_div_corr_cnt": F.col("_et_sum") / (F.col("u_corr_cnt") + 1),
+        "u_hist_et_sum_div_cnt": safe_div(F.col("_et_sum"), F.col("u_cnt") + 1),
+        "u_hist_et_sum_div_corr_cnt": safe_div(F.col("_et_sum"), F.col("u_corr_cnt") + 1),
     }).drop("_et_sum")
 
 
@@ -223,7 +227,8 @@ def time_history(df: DataFrame, rec_len: int = TIMESTAMP_REC_LEN) -> DataFrame:
     then the reference's list arithmetic with array functions."""
     lst = F.collect_list(F.struct(F.col("timestamp").alias("t"), F.col("et").alias("e"))).over(
         _w().rowsBetween(-rec_len, -1))
-    df = df.withColumn("_l", lst)
+    df = running(df.withColumn("_l", lst), {"_lincorr": F.when(F.col("ans") == 0, F.col("timestamp"))}, QK,
+                 fn="max")
     ts = F.transform("_l", lambda s: s["t"])
     ets = F.transform("_l", lambda s: s["e"])
     m = F.size("_l")
@@ -263,7 +268,7 @@ def time_history(df: DataFrame, rec_len: int = TIMESTAMP_REC_LEN) -> DataFrame:
         "u_latest10_et_max": F.when(empty, F.lit(0.0)).otherwise(F.array_max(e)),
         "u_latest10_et_mn": F.when(~empty, _avg(e)),
         "u_prev_difftime_incorr": F.when(empty, F.lit(0)).otherwise(F.col("timestamp") - F.coalesce(
-            F.last(F.when(F.col("ans") == 0, F.col("timestamp")), ignorenulls=True).over(_wq_prior()), F.lit(0))),
+            F.col("_lincorr"), F.lit(0))),
     }
     for k in (5, 7, 10):
         med = F.percentile(F.col("timestamp"), 0.5).over(_w().rowsBetween(-k, -1))
@@ -274,12 +279,12 @@ def time_history(df: DataFrame, rec_len: int = TIMESTAMP_REC_LEN) -> DataFrame:
         "u_prev_et_lag_time": F.when(~empty, safe_div("et", "u_prev_lagtime")),
         "u_prev_diff_lag_time": safe_div("u_prev_difftime", "u_prev_lagtime"),
         "u_prev_lag_diff_time": safe_div("u_prev_lagtime", "u_prev_difftime"),
-        **{f"timestamp_lag_div_rolling{k}_median_each_user": F.col("timestamp") / F.col(f"_med{k}")
+        **{f"timestamp_lag_div_rolling{k}_median_each_user": safe_div(F.col("timestamp"), F.col(f"_med{k}"))
            for k in (5, 7, 10)},
         **{f"timestamp_lag_diff_rolling{k}_median_each_user": F.col("timestamp") - F.col(f"_med{k}")
            for k in (5, 7, 10)},
     })
-    return df.drop("_l", "_ts", "_ets", "_m", "_d", "_g", "_e", "_med5", "_med7", "_med10")
+    return df.drop("_l", "_ts", "_ets", "_m", "_d", "_g", "_e", "_med5", "_med7", "_med10", "_lincorr")
 
 
 # U12 -----------------------------------------------------------------------
@@ -288,20 +293,24 @@ def session_features(df: DataFrame, threshold_ms: int = SESSION_SHORT_MS) -> Dat
     opens a session.  Sessions counted before the row, the session's start time
     (0 before the first break), prior rows and correct rate in the session,
     time in session and rows per second."""
-    gap = F.col("timestamp") - F.lag("timestamp").over(_w())
-    df = df.withColumn("_brk", F.coalesce((gap > threshold_ms), F.lit(False)).cast("int"))
-    wq = _w("content_type_id")
-    df = df.withColumns({
-        "u_session_short_cnt": F.coalesce(F.sum("_brk").over(wq.rowsBetween(UNB, -1)), F.lit(0)),
-        "_sid": F.sum("_brk").over(wq.rowsBetween(UNB, 0)),
-        "_sts": F.coalesce(F.last(F.when(F.col("_brk") == 1, F.col("timestamp")), ignorenulls=True)
-                           .over(wq.rowsBetween(UNB, 0)), F.lit(0)),
-    })
-    ws = _w("content_type_id", "_sid")
+    def brk(d: DataFrame) -> DataFrame:
+        gap = F.col("timestamp") - F.lag("timestamp").over(_w())
+        return d.withColumn("_brk", F.coalesce((gap > threshold_ms), F.lit(False)).cast("int"))
+
+    def sessions(d: DataFrame) -> DataFrame:
+        return running(brk(d), {"_sid": F.col("_brk")}, QK, inclusive=True, prep=brk)
+
+    df = sessions(df)
+    df = running(df, {"u_session_short_cnt": F.col("_brk")}, QK, prep=brk)
+    df = running(df, {"_sts": F.when(F.col("_brk") == 1, F.col("timestamp"))}, QK, inclusive=True, fn="max",
+                 prep=brk)
+    df = running(df, {"u_cnt_in_session_short": F.lit(1)}, (*QK, "_sid"), inclusive=True, prep=sessions)
+    df = running(df, {"_sc": F.col("ans")}, (*QK, "_sid"), prep=sessions)
     df = df.withColumns({
-        "u_cnt_in_session_short": F.row_number().over(ws) - 1,
-        "_sc": F.coalesce(F.sum("ans").over(ws.rowsBetween(UNB, -1)), F.lit(0)),
-        "u_ts_in_session_short": F.col("timestamp") - F.col("_sts"),
+        "u_session_short_cnt": F.coalesce(F.col("u_session_short_cnt"), F.lit(0)),
+        "u_cnt_in_session_short": F.col("u_cnt_in_session_short") - 1,
+        "_sc": F.coalesce(F.col("_sc"), F.lit(0)),
+        "u_ts_in_session_short": F.col("timestamp") - F.coalesce(F.col("_sts"), F.lit(0)),
     })
     return df.withColumns({
         "u_corr_rate_in_session_short": safe_div("_sc", "u_cnt_in_session_short"),
@@ -317,7 +326,7 @@ def part_sequence_te(df: DataFrame, train_mean: float, s: float = SEQ_SMOOTH) ->
     this part); falls back to the part's own encoding when the key is missing."""
     wq = _w("content_type_id")
     df = df.withColumns({f"prev_part_s{k}": F.lag("part", k).over(wq) for k in (1, 2, 3)})
-    q = df.filter(is_q())
+    q = df.filter(real_questions())
     m = train_mean if isinstance(train_mean, Column) else F.lit(float(train_mean))
     part_te = q.groupBy("part").agg(F.sum("ans").alias("_s"), F.count("ans").alias("_n")).select(
         "part", ((F.col("_s") + F.lit(s) * m) / (F.col("_n") + F.lit(s))).alias("_part_te"))
@@ -360,4 +369,6 @@ def update_without_score(history: DataFrame, new_rows: DataFrame) -> DataFrame:
 
 
 def with_seq(df: DataFrame) -> DataFrame:
+    if SG.active():
+        return df.withColumn("seq", F.col("_pos"))
     return df.withColumn("seq", F.row_number().over(_w()))

@@ -6,6 +6,11 @@ exchange hashes on ``user_id`` and every later window (also those keyed by
 ``(user_id, content_id)``, ``(user_id, task)``, ``(user_id, part)``) reuses it,
 so a chain of operators costs one shuffle plus local sorts.  "Prior" frames
 end at row -1 and never see the current row.
+
+Unbounded running aggregates go through ``running`` and window specs through
+``w_by``: built inside ``plans.segmented.segmented_plan()`` the same operators
+run per (user, segment) with halo rows and segment offsets, which keeps a user
+of any size out of a single task.
 """
 
 from __future__ import annotations
@@ -14,13 +19,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefeat.functions.columns import EPS_GAP, safe_div
+from tracefeat.plans import segmented as SG
+from tracefeat.plans.segmented import real, running
 
 ORDER = ("timestamp", "row_id")
 UNB = Window.unboundedPreceding
 
 
 def w_by(*keys: str, order=ORDER) -> Window:
-    return Window.partitionBy(*keys).orderBy(*order)
+    part = [*keys, "_seg"] if SG.active() else list(keys)
+    return Window.partitionBy(*part).orderBy(*order)
 
 
 def w_u() -> Window:
@@ -46,23 +54,25 @@ def is_question() -> Column:
 # W1 ------------------------------------------------------------------------
 def user_running(df: DataFrame, target: str = "answered_correctly") -> DataFrame:
     """Prior sum of the target (lecture -1 included), prior row count, their ratio."""
-    s = F.coalesce(F.sum(target).over(prior()), F.lit(0))
-    c = F.count(F.lit(1)).over(prior())
-    return (df.withColumn("prior_correct_sum", s).withColumn("prior_count", c)
-            .withColumn("prior_correct_rate", safe_div("prior_correct_sum", "prior_count")))
+    df = running(df, {"_s": F.col(target), "_c": F.lit(1)})
+    df = df.withColumns({"prior_correct_sum": F.coalesce(F.col("_s"), F.lit(0)),
+                         "prior_count": F.coalesce(F.col("_c"), F.lit(0))}).drop("_s", "_c")
+    return df.withColumn("prior_correct_rate", safe_div("prior_correct_sum", "prior_count"))
 
 
 # W2 / W2b / W24 --------------------------------------------------------------
 def attempt_count(df: DataFrame, key: str = "content_id", name: str = "attempt",
                   base: int = 1) -> DataFrame:
     """n-th meeting of (user, key); ``base=1`` counts from 1, ``base=0`` from 0."""
-    return df.withColumn(name, F.row_number().over(w_by("user_id", key)) - 1 + base)
+    return running(df, {name: F.lit(1)}, ("user_id", key), inclusive=True).withColumn(
+        name, F.col(name) - 1 + base)
 
 
 def cumcount(df: DataFrame) -> DataFrame:
     """0-based position in the user and in the (user, task)."""
-    return (df.withColumn("user_cumcount", F.row_number().over(w_u()) - 1)
-            .withColumn("task_cumcount", F.row_number().over(w_by("user_id", "task_container_id")) - 1))
+    df = running(df, {"user_cumcount": F.lit(1)}, ("user_id",), inclusive=True)
+    df = running(df, {"task_cumcount": F.lit(1)}, ("user_id", "task_container_id"), inclusive=True)
+    return df.withColumns({"user_cumcount": F.col("user_cumcount") - 1, "task_cumcount": F.col("task_cumcount") - 1})
 
 
 # W3 ------------------------------------------------------------------------
@@ -162,9 +172,17 @@ def seq_to_decimal_padded(df: DataFrame, windows=(5, 7), target: str = "answered
 def gap_vs_user(df: DataFrame) -> DataFrame:
     """Gap against the user's whole-history mean and median gap (uses the future by design)."""
     df = with_gap(df, "_gap")
-    whole = Window.partitionBy("user_id")
-    df = df.withColumns({"timestamp_lag_mean": F.sum("_gap").over(whole) / F.count("_gap").over(whole),
-                         "timestamp_lag_median": F.median("_gap").over(whole)})
+    if SG.active():
+        # whole-history statistics as aggregates: sums combine partially, the
+        # median comes from distributed ranks, so no user is held by one task
+        st = (df.filter(~F.col("_halo")).groupBy("user_id")
+              .agg((F.sum("_gap") / F.count("_gap")).alias("timestamp_lag_mean")))
+        med = SG.whole_group_median(df, "_gap", ("user_id",), "timestamp_lag_median")
+        df = df.join(st, "user_id", "left").join(med, "user_id", "left")
+    else:
+        whole = Window.partitionBy("user_id")
+        df = df.withColumns({"timestamp_lag_mean": F.sum("_gap").over(whole) / F.count("_gap").over(whole),
+                             "timestamp_lag_median": F.median("_gap").over(whole)})
     return df.withColumns({
         "timestamp_lag_diff_mean_each_user": F.col("_gap") - F.col("timestamp_lag_mean"),
         "timestamp_lag_div_mean_each_user": F.col("_gap") / (F.col("timestamp_lag_mean") + EPS_GAP),
@@ -198,18 +216,19 @@ def abs_change(df: DataFrame) -> DataFrame:
 # W12 -----------------------------------------------------------------------
 def order_in_task(df: DataFrame) -> DataFrame:
     """Rank of content_id inside (user, task), ties by row_id, and rank / size."""
-    wt = Window.partitionBy("user_id", "task_container_id")
-    r = F.row_number().over(wt.orderBy("content_id", "row_id"))
+    wt = Window.partitionBy("user_id", "task_container_id")     # a task is small: no segment key
+    one = real(F.lit(1))                                          # halo copies do not count
+    r = F.count(one).over(wt.orderBy("content_id", "row_id").rowsBetween(UNB, 0))
     return (df.withColumn("order_content_id_by_task_container_id", r)
             .withColumn("order_content_id_div_max_by_task_container_id",
-                        F.col("order_content_id_by_task_container_id") / F.count(F.lit(1)).over(wt)))
+                        F.col("order_content_id_by_task_container_id") / F.count(one).over(wt)))
 
 
 # W14 -----------------------------------------------------------------------
 def since_last_incorrect(df: DataFrame) -> DataFrame:
     """timestamp - time of the last prior incorrect answer (0 when none)."""
-    t = F.last(F.when(F.col("answered_correctly") == 0, F.col("timestamp")), ignorenulls=True).over(prior())
-    return df.withColumn("since_last_incorrect", F.col("timestamp") - F.coalesce(t, F.lit(0)))
+    df = running(df, {"_t": F.when(F.col("answered_correctly") == 0, F.col("timestamp"))}, fn="max")
+    return df.withColumn("since_last_incorrect", F.col("timestamp") - F.coalesce(F.col("_t"), F.lit(0))).drop("_t")
 
 
 # W15 -----------------------------------------------------------------------
@@ -220,11 +239,10 @@ def task_nunique(df: DataFrame, windows=(5, 10)) -> DataFrame:
 
 # W16 -----------------------------------------------------------------------
 def part_share(df: DataFrame) -> DataFrame:
-    c2 = F.sum((F.col("part") == 2).cast("int")).over(upto())
-    c5 = F.sum((F.col("part") == 5).cast("int")).over(upto())
-    n = F.row_number().over(w_u())
-    df = df.withColumns({"count_part2": F.coalesce(c2, F.lit(0)), "count_part5": F.coalesce(c5, F.lit(0)),
-                         "_n": n})
+    df = running(df, {"_c2": (F.col("part") == 2).cast("int"), "_c5": (F.col("part") == 5).cast("int"),
+                      "_n": F.lit(1)}, inclusive=True)
+    df = df.withColumns({"count_part2": F.coalesce(F.col("_c2"), F.lit(0)),
+                         "count_part5": F.coalesce(F.col("_c5"), F.lit(0))}).drop("_c2", "_c5")
     return df.withColumns({
         "rate_part2": F.col("count_part2") / F.col("_n"),
         "rate_part5": F.col("count_part5") / F.col("_n"),
@@ -247,9 +265,15 @@ def gap_median_100(df: DataFrame, n: int = 100) -> DataFrame:
 # W18 -----------------------------------------------------------------------
 def run_length(df: DataFrame, key: str = "part", name: str = "user_part_continous_count") -> DataFrame:
     """Length so far of the current run of equal ``key`` (gaps and islands); NULL key -> 1."""
-    same = F.coalesce(F.lag(key).over(w_u()) == F.col(key), F.lit(False))
-    df = df.withColumn("_island", F.sum((~same).cast("int")).over(upto()))
-    return df.withColumn(name, F.row_number().over(w_by("user_id", "_island"))).drop("_island")
+    def flags(d: DataFrame) -> DataFrame:
+        same = F.coalesce(F.lag(key).over(w_u()) == F.col(key), F.lit(False))
+        d = d.withColumn("_chg", ~same)
+        # the row's position in the user's history
+        return d.withColumn("_p", F.col("_pos")) if SG.active() else running(d, {"_p": F.lit(1)}, inclusive=True)
+
+    df = flags(df)
+    df = running(df, {"_start": F.when(F.col("_chg"), F.col("_p"))}, inclusive=True, fn="max", prep=flags)
+    return df.withColumn(name, F.col("_p") - F.col("_start") + 1).drop("_chg", "_p", "_start")
 
 
 # W19 -----------------------------------------------------------------------
@@ -274,16 +298,14 @@ def current_counters(df: DataFrame) -> DataFrame:
     ``(user, content_type_id)`` so lecture rows fall into their own partition.
     """
     q = is_question()
-    wq = w_by("user_id", "content_type_id").rowsBetween(UNB, -1)
-    wp = w_by("user_id", "content_type_id", "part").rowsBetween(UNB, -1)
     corr = F.col("answered_correctly")
-    cols = {
-        "log_prior_correct": F.coalesce(F.sum(corr).over(wq), F.lit(0)),
-        "log_prior_incorrect": F.coalesce(F.sum(1 - corr).over(wq), F.lit(0)),
-        "log_prior_correct_part": F.coalesce(F.sum(corr).over(wp), F.lit(0)),
-        "log_prior_incorrect_part": F.coalesce(F.sum(1 - corr).over(wp), F.lit(0)),
-    }
-    return df.withColumns({k: F.when(q, F.log1p(v)).otherwise(F.lit(0.0)) for k, v in cols.items()})
+    df = running(df, {"log_prior_correct": corr, "log_prior_incorrect": 1 - corr},
+                 ("user_id", "content_type_id"))
+    df = running(df, {"log_prior_correct_part": corr, "log_prior_incorrect_part": 1 - corr},
+                 ("user_id", "content_type_id", "part"))
+    names = ["log_prior_correct", "log_prior_incorrect", "log_prior_correct_part", "log_prior_incorrect_part"]
+    return df.withColumns({k: F.when(q, F.log1p(F.coalesce(F.col(k), F.lit(0)))).otherwise(F.lit(0.0))
+                           for k in names})
 
 
 # W22 -----------------------------------------------------------------------
@@ -308,14 +330,16 @@ def history_window(df: DataFrame, n: int = 5, n_parts: int = 7) -> DataFrame:
 # W23 -----------------------------------------------------------------------
 def task_gated_running(df: DataFrame, target: str = "answered_correctly") -> DataFrame:
     """Running sum / count advanced only by the first row of each new task."""
-    first = F.coalesce(F.lag("task_container_id").over(w_u()) != F.col("task_container_id"), F.lit(True))
-    df = df.withColumn("_first", first.cast("int"))
-    df = df.withColumns({
-        "answered_correctly_sum_user": F.coalesce(F.sum(F.col("_first") * F.col(target)).over(prior()), F.lit(0)),
-        "count_user": F.coalesce(F.sum("_first").over(prior()), F.lit(0)),
-        "attempt_content": F.coalesce(
-            F.sum("_first").over(w_by("user_id", "content_id").rowsBetween(UNB, -1)), F.lit(0)),
-    })
+    def first(d: DataFrame) -> DataFrame:
+        f = F.coalesce(F.lag("task_container_id").over(w_u()) != F.col("task_container_id"), F.lit(True))
+        return d.withColumn("_first", f.cast("int"))
+
+    df = first(df)
+    df = running(df, {"answered_correctly_sum_user": F.col("_first") * F.col(target), "count_user": F.col("_first")},
+                 prep=first)
+    df = running(df, {"attempt_content": F.col("_first")}, ("user_id", "content_id"), prep=first)
+    df = df.withColumns({c: F.coalesce(F.col(c), F.lit(0))
+                         for c in ("answered_correctly_sum_user", "count_user", "attempt_content")})
     return df.withColumn("answered_correctly_avg_user",
                          F.col("answered_correctly_sum_user") / (F.col("count_user") + EPS_GAP)).drop("_first")
 
@@ -323,12 +347,20 @@ def task_gated_running(df: DataFrame, target: str = "answered_correctly") -> Dat
 # W25 -----------------------------------------------------------------------
 def group_number(df: DataFrame) -> DataFrame:
     """Task-change counter within the user, the previous group's answers, position in group."""
-    change = F.coalesce(F.lag("task_container_id").over(w_u()) != F.col("task_container_id"), F.lit(False))
-    df = df.withColumn("group_num", F.sum(change.cast("int")).over(upto()))
-    groups = (df.groupBy("user_id", "group_num")
+    def change(d: DataFrame) -> DataFrame:
+        c = F.coalesce(F.lag("task_container_id").over(w_u()) != F.col("task_container_id"), F.lit(False))
+        return d.withColumn("_chg", c.cast("int"))
+
+    def numbered(d: DataFrame) -> DataFrame:
+        return running(change(d), {"group_num": F.col("_chg")}, inclusive=True, prep=change)
+
+    df = numbered(df).drop("_chg")
+    src = df.filter(~F.col("_halo")) if SG.active() else df
+    groups = (src.groupBy("user_id", "group_num")
               .agg(F.sort_array(F.collect_list(F.struct("timestamp", "row_id", "answered_correctly")))
                    .alias("_g")))
     groups = groups.select("user_id", (F.col("group_num") + 1).alias("group_num"),
                            F.transform("_g", lambda s: s["answered_correctly"]).alias("prior_group_answers_correct"))
     df = df.join(groups, ["user_id", "group_num"], "left")
-    return df.withColumn("user_task_count", F.row_number().over(w_by("user_id", "group_num")) - 1)
+    df = running(df, {"user_task_count": F.lit(1)}, ("user_id", "group_num"), inclusive=True, prep=numbered)
+    return df.withColumn("user_task_count", F.col("user_task_count") - 1)

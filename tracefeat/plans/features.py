@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracefeat.operators import windows as W
+from tracefeat.plans import segmented as SG
 
 WINDOW_OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "W1": W.user_running,
@@ -43,8 +45,38 @@ WINDOW_OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def features(df: DataFrame, names=None) -> DataFrame:
-    """Apply the named window operators (all by default) in one plan."""
-    for n in names or WINDOW_OPERATORS:
-        df = WINDOW_OPERATORS[n](df)
-    return df
+# Rows of history each operator looks back through a bounded frame (the halo
+# of the segmented form must cover them); operators not listed use running
+# aggregates only.
+LOOKBACK = {"W3": 1, "W4": 7, "W4b": 3, "W4c": 9, "W5": 5, "W5c": 5, "W6": 7, "W7": 7, "W7b": 7, "W9": 9,
+            "W11": 1, "W13": 2, "W15": 10, "W17": 100, "W18": 1, "W19": 30, "W22": 5, "W23": 1, "W25": 1}
+
+
+def needs_segments(df: DataFrame, seg_rows: int, key: str = "user_id") -> bool:
+    """True when some user has more than ``seg_rows`` rows (one aggregate, one number back)."""
+    m = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return m is not None and m > seg_rows
+
+
+def features(df: DataFrame, names=None, skew_safe=False, seg_rows: int = SG.SEG_ROWS,
+             halo: int = SG.HALO) -> DataFrame:
+    """Apply the named window operators (all by default) in one plan.
+
+    ``skew_safe=True`` builds them in segmented form (users cut into segments of
+    ``seg_rows`` rows with a ``halo`` of history); ``"auto"`` does so only when
+    some user is longer than one segment."""
+    names = list(names or WINDOW_OPERATORS)
+    if skew_safe == "auto":
+        skew_safe = needs_segments(df, seg_rows)
+    if not skew_safe:
+        for n in names:
+            df = WINDOW_OPERATORS[n](df)
+        return df
+    need = max([LOOKBACK.get(n, 0) for n in names] + [0])
+    if need > halo:
+        raise ValueError(f"operators look back {need} rows; the halo holds {halo}")
+    with SG.segmented_plan():
+        s = SG.segment(df, seg_rows=seg_rows, halo=halo)
+        for n in names:
+            s = WINDOW_OPERATORS[n](s)
+        return SG.finish(s)

@@ -71,6 +71,8 @@ def global_rank(df: DataFrame, order_cols, partition_cols=(), descending: bool =
     """Add a 1-based position ``name`` in the order ``order_cols`` (unique keys
     expected; end the key with row_id), per ``partition_cols`` group; optionally
     the group size as ``total_name``."""
+    if total_name in ("_n", "_bk", "_off", "_loc"):
+        raise ValueError("reserved column name")
     partition_cols, order_cols = list(partition_cols), list(order_cols)
     r, _ = _bucketed(df, order_cols[0], descending, n_parts)
     counts = r.groupBy("_bk", *partition_cols).agg(F.count(F.lit(1)).alias("_n"))

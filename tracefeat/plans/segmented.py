@@ -4,22 +4,27 @@ however large that user is.
 
 1. Each row gets its 1-based position in its user's history from
    ``global_rank`` (quantile buckets of the timestamp; no per-user task).
-2. ``seg = (pos - 1) // seg_rows``; the last ``halo`` rows of every segment
-   are copied into the next segment, flagged ``_halo``.
+2. ``seg = (pos - 1) // seg_rows``.  The last ``halo`` rows of every segment,
+   and the last ``halo`` rows of each content type within it, are copied into
+   the next segment, flagged ``_halo``.
 3. The frame is repartitioned by ``(user, seg)``.  Windows partitioned by
-   ``(user, seg)`` see, for every real row, at least ``halo`` rows of history:
-   lags and rolling frames up to ``halo`` rows are exact.
-4. Running (unbounded) sums are local sums over real rows plus an offset per
-   segment: the totals of the earlier segments of the same user (a small
-   table, one row per later segment of a long history).
-5. Halo copies are dropped at the end.
-
-A user with fewer than ``seg_rows`` rows has one segment and no halo, so for
-ordinary users this is the plain per-user window.
+   ``(user, [key,] seg)`` see at least ``halo`` earlier rows for every real row:
+   lags and rolling frames up to ``halo`` rows are exact (per content type too,
+   as long as a segment holds ``halo`` rows of that type).
+4. Running (unbounded) aggregates are local aggregates over real rows plus the
+   aggregate of the same group's earlier segments (``running``).
+5. Halo copies are dropped at the end (``finish``).
+
+Operators ask for their windows and running aggregates through ``w_by`` /
+``running`` in ``operators.windows``; inside ``segmented_plan()`` those add the
+segment key and the offsets.  Outside it they are the plain per-user windows.
 """
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,65 +35,107 @@ SEG_ROWS = 1_000_000
 HALO = 128
 UNB = Window.unboundedPreceding
 
+_ACTIVE = contextvars.ContextVar("tracefeat_segmented", default=False)
+_BASE = contextvars.ContextVar("tracefeat_segmented_base", default=None)
+
+
+def active() -> bool:
+    return _ACTIVE.get()
+
+
+@contextlib.contextmanager
+def segmented_plan():
+    """Build operators in segmented form inside this block."""
+    tok = _ACTIVE.set(True)
+    try:
+        yield
+    finally:
+        _ACTIVE.reset(tok)
+
 
 def segment(df: DataFrame, key: str = "user_id", seg_rows: int = SEG_ROWS, halo: int = HALO,
-            n_parts: int | None = None) -> DataFrame:
+            kind_col: str | None = "content_type_id", n_parts: int | None = None) -> DataFrame:
     if halo > seg_rows:
         raise ValueError("halo must not exceed seg_rows")
     r = global_rank(df, list(ORDER), partition_cols=[key], name="_pos")
     r = r.withColumn("_seg", F.floor((F.col("_pos") - 1) / seg_rows).cast("long"))
-    tail = r.filter(F.pmod(F.col("_pos") - 1, F.lit(seg_rows)) >= seg_rows - halo)
-    copies = tail.withColumn("_seg", F.col("_seg") + 1).withColumn("_halo", F.lit(True))
+    desc = [F.col(c).desc() for c in ORDER]
+    tail = F.row_number().over(Window.partitionBy(key, "_seg").orderBy(*desc)) <= halo
+    if kind_col:
+        tail = tail | (F.row_number().over(Window.partitionBy(key, kind_col, "_seg").orderBy(*desc)) <= halo)
+    copies = (r.withColumn("_tail", tail).filter("_tail").drop("_tail")
+              .withColumn("_seg", F.col("_seg") + 1).withColumn("_halo", F.lit(True)))
     out = r.withColumn("_halo", F.lit(False)).unionByName(copies)
     n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return out.repartition(n, key, "_seg")
-
-
-def seg_window(*keys: str, key: str = "user_id") -> Window:
-    return Window.partitionBy(key, *keys, "_seg").orderBy(*ORDER)
+    out = out.repartition(n, key, "_seg")
+    if active():
+        _BASE.set(out)
+    return out
 
 
 def real(c) -> Column:
-    """``c`` on real rows, NULL on halo copies (so they add nothing to sums)."""
+    """``c`` on real rows, NULL on halo copies (so they add nothing to aggregates)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(~F.col("_halo"), c)
-
-
-def cumulative(df: DataFrame, exprs: dict[str, Column], extra_keys=(), key: str = "user_id",
-               inclusive: bool = False) -> DataFrame:
-    """Running sums of ``exprs`` over the user's (or the (user, extra) group's)
-    earlier rows, exact across segments.  NULL sums become 0."""
-    extra_keys = list(extra_keys)
-    w = seg_window(*extra_keys, key=key).rowsBetween(UNB, 0 if inclusive else -1)
-    df = df.withColumns({f"_loc_{n}": F.coalesce(F.sum(real(e)).over(w), F.lit(0)) for n, e in exprs.items()})
-    tot = (df.filter(~F.col("_halo")).groupBy(key, *extra_keys, "_seg")
-           .agg(*[F.coalesce(F.sum(e), F.lit(0)).alias(f"_t_{n}") for n, e in exprs.items()]))
-    wo = Window.partitionBy(key, *extra_keys).orderBy("_seg").rowsBetween(UNB, -1)
-    offs = (tot.select(key, *extra_keys, "_seg", *[F.sum(f"_t_{n}").over(wo).alias(f"_o_{n}") for n in exprs])
+    return F.when(~F.col("_halo"), c) if active() else c
+
+
+def running(df: DataFrame, exprs: dict[str, Column], keys=("user_id",), inclusive: bool = False,
+            fn: str = "sum", prep=None) -> DataFrame:
+    """Running ``sum`` / ``max`` of each expression over the group's earlier rows
+    (and the current one when ``inclusive``), in (timestamp, row_id) order.
+    NULL when no row contributes, as a window aggregate over an empty frame.
+
+    In segmented form the segment totals are aggregated from the segmented base
+    frame (``prep(base)`` adds the derived columns the expressions need), not
+    from ``df``: every running step then refers to the shared base once, and
+    the plan grows linearly with the number of operators."""
+    keys = list(keys)
+    agg = F.sum if fn == "sum" else F.max
+    hi = 0 if inclusive else -1
+    if not active():
+        w = Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(UNB, hi)
+        return df.withColumns({n: agg(e).over(w) for n, e in exprs.items()})
+    w = Window.partitionBy(*keys, "_seg").orderBy(*ORDER).rowsBetween(UNB, hi)
+    df = df.withColumns({f"_loc_{n}": agg(real(e)).over(w) for n, e in exprs.items()})
+    base = _BASE.get()
+    src = base if base is not None else df
+    if prep is not None:
+        src = prep(src)
+    tot = src.filter(~F.col("_halo")).groupBy(*keys, "_seg").agg(*[agg(e).alias(f"_t_{n}") for n, e in exprs.items()])
+    wo = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(UNB, -1)
+    offs = (tot.select(*keys, "_seg", *[agg(f"_t_{n}").over(wo).alias(f"_o_{n}") for n in exprs])
             .filter(F.col("_seg") > 0))
-    df = df.join(offs, [key, *extra_keys, "_seg"], "left")
-    return df.withColumns({n: F.col(f"_loc_{n}") + F.coalesce(F.col(f"_o_{n}"), F.lit(0)) for n in exprs}).drop(
-        *[f"_loc_{n}" for n in exprs], *[f"_o_{n}" for n in exprs])
+    df = df.join(offs, [*keys, "_seg"], "left")
+    if fn == "sum":
+        comb = {n: F.when(F.col(f"_loc_{n}").isNull() & F.col(f"_o_{n}").isNull(), F.lit(None))
+                .otherwise(F.coalesce(F.col(f"_loc_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))
+                for n in exprs}
+    else:
+        comb = {n: F.greatest(F.col(f"_loc_{n}"), F.col(f"_o_{n}")) for n in exprs}
+    return df.withColumns(comb).drop(*[f"_loc_{n}" for n in exprs], *[f"_o_{n}" for n in exprs])
 
 
 def finish(df: DataFrame) -> DataFrame:
+    _BASE.set(None)
     return df.filter(~F.col("_halo")).drop("_halo", "_seg", "_pos")
 
 
-def flagship(df: DataFrame, seg_rows: int = SEG_ROWS, halo: int = HALO, windows=(3, 5, 7),
-             lags=(1, 2, 3, 4, 5), target: str = "answered_correctly") -> DataFrame:
+def whole_group_median(df: DataFrame, value: str, keys=("user_id",), name: str = "median") -> DataFrame:
+    """Exact median per group from distributed ranks (no group buffered in one task):
+    the mean of the values at the middle position(s)."""
+    keys = list(keys)
+    g = df.filter(F.col(value).isNotNull() & (~F.col("_halo") if active() else F.lit(True)))
+    g = g.select(*keys, F.col(value).alias("_v"), "row_id")
+    r = global_rank(g, ["_v", "row_id"], partition_cols=keys, name="_r", total_name="_cnt")
+    mid = r.filter((F.col("_r") == F.floor((F.col("_cnt") + 1) / 2))
+                   | (F.col("_r") == F.ceil((F.col("_cnt") + 1) / 2)))
+    return mid.groupBy(*keys).agg(F.avg("_v").alias(name))
+
+
+def flagship(df: DataFrame, seg_rows: int = SEG_ROWS, halo: int = HALO) -> DataFrame:
     """W1 + W4 + W5 in skew-safe form (same values as the per-user windows)."""
-    if max(max(windows), max(lags)) > halo:
-        raise ValueError("frames longer than the halo")
-    s = segment(df, seg_rows=seg_rows, halo=halo)
-    s = cumulative(s, {"prior_correct_sum": F.col(target), "prior_count": F.lit(1)})
-    w = seg_window()
-    s = s.withColumn("prior_correct_rate", F.try_divide(F.col("prior_correct_sum").cast("double"),
-                                                        F.col("prior_count").cast("double")))
-    cols = {}
-    for k in windows:
-        fr = w.rowsBetween(-k, -1)
-        cols[f"{target}_rolling{k}"] = F.when(F.count(F.lit(1)).over(fr) == k, F.sum(target).over(fr) / k)
-    for k in lags:
-        cols[f"timestamp_diff{k}"] = F.col("timestamp") - F.lag("timestamp", k).over(w)
-    return finish(s.withColumns(cols))
+    from tracefeat.operators import windows as W
+    with segmented_plan():
+        s = segment(df, seg_rows=seg_rows, halo=halo)
+        s = W.time_diffs(W.rolling_prior_mean(W.user_running(s)), (1, 2, 3, 4, 5))
+        return finish(s)
