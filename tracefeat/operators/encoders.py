@@ -183,8 +183,8 @@ def session_flags(x: DataFrame, threshold_ms: int = SESSION_GAP_MS) -> DataFrame
 
 def session_border_rate(x: DataFrame, threshold_ms: int = SESSION_GAP_MS, s: float = BORDER_SMOOTH) -> DataFrame:
     f = session_flags(x, threshold_ms)
-    ma = f.agg(F.avg("user_session_start")).scalar()
-    mb = f.agg(F.avg("user_session_end")).scalar()
+    m = f.agg(F.struct(F.avg("user_session_start").alias("a"), F.avg("user_session_end").alias("b"))).scalar()
+    ma, mb = m["a"], m["b"]
     return f.groupBy("content_id").agg(
         ((F.sum("user_session_start") + F.lit(s) * ma) / (F.count(F.lit(1)) + s))
         .alias("user_session_start__mean_smooth"),
@@ -299,11 +299,13 @@ def entity_table(x: DataFrame, keys, parts, repeat: DataFrame | None = None, et:
     keys = [keys] if isinstance(keys, str) else list(keys)
     k = key_name(keys)
     ac = "answered_correctly"
+    # one scalar subquery for the three global means (a struct), reused by every block
+    gm = x.agg(F.struct(*[F.avg(t).alias(t) for t in TARGETS])).scalar()
 
     def smoothed(src: DataFrame, targets, suffix: str) -> tuple[list, list]:
         aggs, post = [], []
         for t in targets:
-            g = src.agg(F.avg(t)).scalar() if suffix != "_et" else et.agg(F.avg(t)).scalar()
+            g = gm[t] if suffix != "_et" else et.agg(F.avg(t)).scalar()
             aggs += [F.sum(t).alias(f"_s_{t}"), F.count(t).alias(f"_n_{t}")]
             name = f"{k}__{t}_sm{s:g}{suffix if suffix != '_et' else ''}"
             post.append(((F.col(f"_s_{t}") + F.lit(s) * g) / (F.col(f"_n_{t}") + F.lit(s))).alias(name))
@@ -332,7 +334,7 @@ def entity_table(x: DataFrame, keys, parts, repeat: DataFrame | None = None, et:
     a2, p2 = [], []
     if "te_repeat" in parts:
         for t in TARGETS:
-            g = x.agg(F.avg(t)).scalar()
+            g = gm[t]
             a2 += [F.sum(t).alias(f"_s_{t}"), F.count(t).alias(f"_n_{t}")]
             p2.append(((F.col(f"_s_{t}") + F.lit(s) * g) / (F.col(f"_n_{t}") + F.lit(s)))
                       .alias(f"{k}__{t}_sm{s:g}_repeat"))
