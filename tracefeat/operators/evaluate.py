@@ -22,6 +22,12 @@ def auc(df: DataFrame, label: str = "y", score: str = "score", by=()) -> DataFra
     by = [by] if isinstance(by, str) else list(by)
     s = df.groupBy(*by, score).agg(F.sum(F.col(label)).alias("pos"),
                                    (F.count(F.lit(1)) - F.sum(F.col(label))).alias("neg"))
+    return auc_from_counts(s, score, by)
+
+
+def auc_from_counts(s: DataFrame, score: str = "score", by=()) -> DataFrame:
+    """AUC from (by..., score, pos, neg) rows with one row per distinct score."""
+    by = [by] if isinstance(by, str) else list(by)
     c = global_cumsum(s, score, ["neg"], by)
     contrib = F.col("pos") * (F.col("cum_neg") + F.col("neg") / 2.0)
     g = c.groupBy(*by).agg(F.sum(contrib).alias("_u"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
@@ -81,15 +87,19 @@ def blend_search(df: DataFrame, cols, grid, label: str = "y") -> DataFrame:
     one row per vector (w0.., auc).  Each row of ``df`` fans out once per vector."""
     arr = F.array(*[F.struct(F.lit(i).alias("gid"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(g)])
                     for i, g in enumerate(grid)])
-    x = df.select(label, *cols, F.explode(arr).alias("_g"))
+    # rows sharing all model scores are merged before the fan-out (pre-aggregation)
+    d = df.groupBy(*cols).agg(F.sum(F.col(label)).alias("_pos"),
+                              (F.count(F.lit(1)) - F.sum(F.col(label))).alias("_neg"))
+    x = d.select("_pos", "_neg", *cols, F.explode(arr).alias("_g"))
     score = F.lit(0.0)
     for j, c in enumerate(cols):
         score = score + F.col(c) * F.col(f"_g.w{j}")
-    x = x.select(label, F.col("_g.gid").alias("gid"), *[F.col(f"_g.w{j}").alias(f"w{j}") for j in range(len(cols))],
-                 score.alias("score"))
-    a = auc(x, label, "score", ["gid"])
-    ws = x.select("gid", *[f"w{j}" for j in range(len(cols))]).dropDuplicates(["gid"])
-    return a.join(ws, "gid").drop("gid")
+    x = x.select("_pos", "_neg", F.col("_g.gid").alias("gid"), score.alias("score"))
+    s = x.groupBy("gid", "score").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
+    a = auc_from_counts(s, "score", ["gid"])
+    ws = df.sparkSession.createDataFrame([(i, *[float(w) for w in g]) for i, g in enumerate(grid)],
+                                         ["gid", *[f"w{j}" for j in range(len(cols))]])
+    return a.join(F.broadcast(ws), "gid").drop("gid")    # the grid is a bounded parameter list
 
 
 def best_weights(results: DataFrame, n_models: int) -> DataFrame:
