@@ -233,3 +233,27 @@ def test_segmented_user_state_equals_per_user(spark):
     cols = sorted(c for c in plain.columns if c.startswith(("u_", "prev_part", "timestamp_lag")))
     cols = ["row_id"] + cols
     assert plain.select(cols).orderBy("row_id").collect() == seg.select(cols).orderBy("row_id").collect()
+
+
+def test_segmented_sequences_equal_per_user(spark):
+    from tracefeat.operators import sequences as Q
+    from tracefeat.plans import segmented as SG
+    from tracefeat.sources.binding import questions, with_questions
+    log = V.tail_split(interaction_log(spark, "/root/testdata/sf0.01"))
+    x = with_questions(log, questions(spark, "/root/testdata/sf0.01")).filter("content_type_id = 0")
+
+    def build(df):
+        s = Q.last_n_sequence(df, ["content_id", "part"], ["answered_correctly"], 21, "timestamp", None)
+        return s.select("row_id", "is_val", "seq_content_id", "seq_part", "seq_answered_correctly",
+                        "seq_timestamp_diff", "seq_n_pad")
+
+    def chunks(df):
+        return Q.step_chunks(df, ["content_id", "answered_correctly"], 20)
+
+    plain, pc = build(x), chunks(x)
+    with SG.segmented_plan():
+        b = SG.segment(x, seg_rows=30, halo=24, kind_col=None)
+        seg = SG.finish(build(b))
+        sc = chunks(b)
+    assert plain.orderBy("row_id").collect() == seg.orderBy("row_id").collect()
+    assert pc.orderBy("user_id", "chunk_id").collect() == sc.orderBy("user_id", "chunk_id").collect()

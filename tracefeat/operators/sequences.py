@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefeat.plans import segmented as SG
+
 ORDER = ("timestamp", "row_id")
 MAX_SEQ = 101
 STEP = 200
@@ -37,7 +39,21 @@ def _ordered_struct(cols) -> Column:
 
 
 def _w() -> Window:
-    return Window.partitionBy("user_id").orderBy(*ORDER)
+    """Per-user order; per (user, segment) inside ``segmented_plan()`` (the halo
+    must then cover the longest frame, n - 1 rows)."""
+    part = ["user_id", "_seg"] if SG.active() else ["user_id"]
+    return Window.partitionBy(*part).orderBy(*ORDER)
+
+
+def _position(df: DataFrame, name: str) -> DataFrame:
+    """0-based position of the row in its user's history."""
+    if SG.active():
+        return df.withColumn(name, F.col("_pos") - 1)
+    return df.withColumn(name, F.row_number().over(_w()) - 1)
+
+
+def _real_rows(df: DataFrame) -> DataFrame:
+    return df.filter(~F.col("_halo")) if SG.active() else df
 
 
 def pad_front(arr: Column, n: int, fill) -> Column:
@@ -78,8 +94,8 @@ def last_n_sequence(df: DataFrame, known_cols, answer_cols, n: int = MAX_SEQ, ti
 def user_sequences(df: DataFrame, cols, chunk_rows: int = USER_CHUNK_ROWS) -> DataFrame:
     """Arrays per user in time order, cut into chunks of at most ``chunk_rows``
     rows so that no single row or task holds an unbounded history."""
-    pos = F.row_number().over(_w()) - 1
-    df = df.withColumn("chunk_id", F.floor(pos / chunk_rows).cast("long"))
+    df = _position(_real_rows(df), "_p")
+    df = df.withColumn("chunk_id", F.floor(F.col("_p") / chunk_rows).cast("long"))
     g = df.groupBy("user_id", "chunk_id").agg(
         F.sort_array(F.collect_list(_ordered_struct(cols))).alias("_s"))
     return g.select("user_id", "chunk_id", *[F.transform("_s", _field(c)).alias(c) for c in cols])
@@ -88,10 +104,10 @@ def user_sequences(df: DataFrame, cols, chunk_rows: int = USER_CHUNK_ROWS) -> Da
 def step_chunks(df: DataFrame, cols, step: int = STEP, min_rows: int = 2) -> DataFrame:
     """Chunk k holds positions [k*step, (k+1)*step); a short last chunk (k > 0)
     starts one step earlier.  Users with fewer than ``min_rows`` rows are dropped."""
-    w = _w()
-    df = df.withColumns({"_p": F.row_number().over(w) - 1,
-                         "_n": F.count(F.lit(1)).over(Window.partitionBy("user_id"))})
-    df = df.filter(F.col("_n") >= min_rows)
+    df = _position(_real_rows(df), "_p")
+    # rows per user by aggregation (partial counts), not a whole-user window
+    n = df.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    df = df.join(n, "user_id").filter(F.col("_n") >= min_rows)
     last_k = F.floor((F.col("_n") - 1) / step)
     short_last = (last_k > 0) & ((F.col("_n") - last_k * step) < step)
     k = F.floor(F.col("_p") / step)
@@ -204,13 +220,23 @@ def repeat_in_sequence(items: Column) -> Column:
 
 
 # Q13 -----------------------------------------------------------------------
+def last_rows_per_user(df: DataFrame, k: int) -> DataFrame:
+    """Each user's last k rows.  In segmented form by position against the user's
+    row count (an aggregate), so no user is ranked inside one task."""
+    if SG.active():
+        real = _real_rows(df)
+        last = real.groupBy("user_id").agg(F.max("_pos").alias("_last"))
+        return real.join(last, "user_id").filter(F.col("_pos") > F.col("_last") - k).drop("_last")
+    wd = Window.partitionBy("user_id").orderBy(*[F.col(c).desc() for c in ORDER])
+    return df.withColumn("_r", F.row_number().over(wd)).filter(F.col("_r") <= k).drop("_r")
+
+
 def online_sequence(history: DataFrame, new_rows: DataFrame, known_cols, answer_cols, n: int = MAX_SEQ,
                     time_col: str = "timestamp") -> DataFrame:
     """One sample per new row from the user's stored state (the last n-1 history
     rows) plus the row itself; rows of the same batch do not see each other."""
     cols = list(dict.fromkeys([*known_cols, *answer_cols, time_col]))
-    wd = Window.partitionBy("user_id").orderBy(*[F.col(c).desc() for c in ORDER])
-    tail = history.withColumn("_r", F.row_number().over(wd)).filter(F.col("_r") <= n - 1)
+    tail = last_rows_per_user(history, n - 1)
     state = tail.groupBy("user_id").agg(
         F.sort_array(F.collect_list(_ordered_struct(cols))).alias("_h"))
     j = new_rows.join(state, "user_id", "left")
