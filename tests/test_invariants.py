@@ -223,6 +223,7 @@ def test_segmented_user_state_equals_per_user(spark):
         df = U.lecture_and_elapsed(df)
         df = U.time_history(df)
         df = U.session_features(df, 43_200_000)
+        df = U.tag_history(df)
         return U.part_sequence_te(df, mean)
 
     mean = 0.6

@@ -122,17 +122,32 @@ def tag_entries(df: DataFrame) -> DataFrame:
     return q.filter(F.col("tag").between(0, N_TAGS - 1))
 
 
+def _tag_counts(df: DataFrame) -> DataFrame:
+    """One row per (row, tag) with the tag's multiplicity in the row."""
+    extra = ["_seg", "_halo"] if SG.active() else []
+    e = df.filter(is_q()).select("user_id", "row_id", "timestamp", "ans", *extra,
+                                 F.explode(parse_tags(F.coalesce(F.col("tags"), F.lit("0")))).alias("tag"))
+    e = e.filter(F.col("tag").between(0, N_TAGS - 1))
+    return e.groupBy("user_id", "row_id", "timestamp", "ans", *extra, "tag").agg(F.count(F.lit(1)).alias("dup"))
+
+
 def tag_history(df: DataFrame) -> DataFrame:
     """Sums of prior tag counts / correct counts over the row's tags, and
-    max/min/mean of the per-tag correct rate (tags never seen are skipped)."""
-    e = tag_entries(df)
-    w = Window.partitionBy("user_id", "tag").orderBy("seq").rangeBetween(UNB, -1)
-    e = e.withColumns({"_n": F.count(F.lit(1)).over(w), "_c": F.coalesce(F.sum("ans").over(w), F.lit(0))})
+    max/min/mean of the per-tag correct rate (tags never seen are skipped).
+    A tag repeated within a row counts with its multiplicity."""
+    e = _tag_counts(df)
+    e = running(e, {"_n": F.col("dup"), "_c": F.col("dup") * F.col("ans")}, ("user_id", "tag"), prep=_tag_counts)
+    e = e.withColumns({"_n": F.coalesce(F.col("_n"), F.lit(0)), "_c": F.coalesce(F.col("_c"), F.lit(0))})
     e = e.withColumn("_r", safe_div("_c", "_n"))
+    if SG.active():
+        e = e.filter(~F.col("_halo"))
     agg = e.groupBy("user_id", "row_id").agg(
-        F.sum("_n").alias("u_hist_tag_num"), F.sum("_c").alias("u_hist_tag_corr_num"),
+        F.sum(F.col("_n") * F.col("dup")).alias("u_hist_tag_num"),
+        F.sum(F.col("_c") * F.col("dup")).alias("u_hist_tag_corr_num"),
         F.max("_r").alias("u_hist_tag_corr_rate_max"), F.min("_r").alias("u_hist_tag_corr_rate_min"),
-        F.avg("_r").alias("u_hist_tag_corr_rate_mn"))
+        F.try_divide(F.sum(F.col("_r") * F.col("dup")),
+                     F.sum(F.when(F.col("_r").isNotNull(), F.col("dup"))).cast("double"))
+        .alias("u_hist_tag_corr_rate_mn"))
     out = df.join(agg, ["user_id", "row_id"], "left")
     return out.withColumn("u_hist_tag_num_corr_rate", safe_div("u_hist_tag_corr_num", "u_hist_tag_num"))
 
