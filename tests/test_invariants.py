@@ -258,3 +258,17 @@ def test_segmented_sequences_equal_per_user(spark):
         sc = chunks(b)
     assert plain.orderBy("row_id").collect() == seg.orderBy("row_id").collect()
     assert pc.orderBy("user_id", "chunk_id").collect() == sc.orderBy("user_id", "chunk_id").collect()
+
+
+def test_segmented_long_frames_with_default_halo(spark):
+    """W17 (99 earlier gaps) and W19 (30 rows) need a long halo: with a 110-row
+    halo and 150-row segments a 600-row user is cut into 4 segments."""
+    rnd = random.Random(3)
+    rows = [dict(row_id=i, user_id=1 if i % 6 else 2, timestamp=i * 1000 + rnd.randint(0, 999),
+                 part=rnd.randint(1, 7), answered_correctly=rnd.randint(0, 1)) for i in range(720)]
+    log = make_log(spark, rows)
+    names = ["W17", "W19", "W15", "W1"]
+    plain = features(log, names)
+    seg = features(log, names, skew_safe=True, seg_rows=150, halo=110)
+    cols = sorted(c for c in plain.columns)
+    assert plain.select(cols).orderBy("row_id").collect() == seg.select(cols).orderBy("row_id").collect()
