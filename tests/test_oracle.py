@@ -32,8 +32,8 @@ def con():
 
 
 def _names():
-    import __spark_entry__ as E
-    return sorted(E.oracle_sql())
+    from tracefeat.plans.catalog import REGISTRY
+    return sorted(n for n, q in REGISTRY.items() if q.sql is not None)
 
 
 @pytest.mark.parametrize("name", _names())
@@ -61,6 +61,6 @@ def test_entry_smoke(spark):
 def test_every_query_has_doc_or_oracle():
     import __spark_entry__ as E
     from tracefeat.plans.catalog import REGISTRY
-    assert set(E.queries()) == set(REGISTRY)
+    assert set(E.queries()) >= set(REGISTRY)
     missing = [n for n, q in REGISTRY.items() if q.sql is None and not q.doc]
     assert not missing

@@ -37,12 +37,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder is given by the deployment and is never replaced.
-    Only when it is unset (local tests) a fresh folder under the system temp
-    directory is created and registered.
+    Only when it is unset and the master is local (tests) a fresh folder under
+    the system temp directory is created and registered; a cluster without the
+    setting is an error, since executors could not see such a folder.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tracefeat-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
