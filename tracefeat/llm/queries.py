@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefeat.llm import mixing, simhash, warc
+from tracefeat.llm import covertree, mixing, simhash, warc
 from tracefeat.llm.common import table
 from tracefeat.session import ensure_checkpoint_dir
 
@@ -48,3 +48,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder, key).select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op8_embedding_near_dedup", covertree.SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.93 within a label."""
+    return covertree.cosine_components(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
