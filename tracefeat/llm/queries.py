@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefeat.llm import covertree, mixing, simhash, warc
+from tracefeat.llm import chat, covertree, langid, mixing, quality, simhash, warc
 from tracefeat.llm.common import table
 from tracefeat.session import ensure_checkpoint_dir
 
@@ -54,3 +54,24 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.93 within a label."""
     return covertree.cosine_components(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op4_chat_snapshots", chat.SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal logged conversations, rendered."""
+    return chat.format_chats(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+@query("op9_quality_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality score of every document."""
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")) \
+        .withColumnRenamed("id", "doc_id")
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", F.col("__held_out").alias("held_out"), F.col("__lang").alias("lang_pred"),
+        F.col("__score").alias("score"))
