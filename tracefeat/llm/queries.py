@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefeat.llm import chat, covertree, langid, mixing, quality, simhash, warc
-from tracefeat.llm.common import table
+from tracefeat.llm import chat, covertree, langid, mixing, quality, simhash, suffixes, warc
+from tracefeat.llm.common import content_key, table
 from tracefeat.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
         "doc_id", F.col("__held_out").alias("held_out"), F.col("__lang").alias("lang_pred"),
         F.col("__score").alias("score"))
+
+
+@query("op2_suffix_repeats")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that an earlier document (or place) holds: where, and whose they are."""
+    docs = table(spark, sf_dir, "documents")
+    found = suffixes.repeated_passages(docs)
+    ids = docs.select("doc_id", content_key(F.col("doc_id"), F.col("text")).alias("rid"))
+    return ids.join(found, "rid").select(
+        "doc_id", F.aggregate("spans", F.lit(0), lambda n, s: n + s["to_word"] - s["from_word"]).alias("repeated_words"),
+        "spans", F.col("others").alias("first_doc_ids"))
