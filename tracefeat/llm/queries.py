@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefeat.llm import chat, covertree, langid, mixing, quality, simhash, suffixes, warc
+from tracefeat.llm import chat, covertree, decontaminate, html_text, langid, mixing, quality, simhash, suffixes, warc
 from tracefeat.llm.common import content_key, table
 from tracefeat.session import ensure_checkpoint_dir
 
@@ -86,3 +86,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(found, "rid").select(
         "doc_id", F.aggregate("spans", F.lit(0), lambda n, s: n + s["to_word"] - s["from_word"]).alias("repeated_words"),
         "spans", F.col("others").alias("first_doc_ids"))
+
+
+@query("op7_benchmark_leaks")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item, its score and where it stands."""
+    return decontaminate.contaminated_passages(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query("op5_page_text")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
