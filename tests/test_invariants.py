@@ -272,3 +272,103 @@ def test_segmented_long_frames_with_default_halo(spark):
     seg = features(log, names, skew_safe=True, seg_rows=150, halo=110)
     cols = sorted(c for c in plain.columns)
     assert plain.select(cols).orderBy("row_id").collect() == seg.select(cols).orderBy("row_id").collect()
+
+
+def test_segmented_sparse_question_rows(spark):
+    """Questions far apart (three, then 36 lectures, then one more): the halo reaches
+    back per content type over any number of segments."""
+    from tracefeat.operators import windows as WN
+    from tracefeat.plans import segmented as SG
+    kinds = [0] * 3 + [1] * 36 + [0] + [1] * 20 + [0] * 2
+    rows = [dict(row_id=i, user_id=1, timestamp=i * 1000, content_type_id=k, content_id=i, part=None if k else 2 + i % 4,
+                 answered_correctly=-1 if k else i % 2) for i, k in enumerate(kinds)]
+    rows += [dict(row_id=1000 + i, user_id=2, timestamp=i, part=3) for i in range(5)]
+    log = U.prepare(make_log(spark, rows))
+
+    def build(df):
+        df = U.latest_k_rate(U.with_seq(df), (3, 5))
+        return U.questions_only(U.part_sequence_te(df, 0.5))
+
+    cols = ["row_id"] + sorted(c for c in build(log).columns if c.startswith(("u_latest", "prev_part", "timestamp_lag")))
+    want = build(log).select(cols).orderBy("row_id").collect()
+    hist = sorted(c for c in WN.history_window(log).columns if c.startswith("hist"))
+    want_h = WN.history_window(log).select("row_id", *hist).orderBy("row_id").collect()
+    with SG.segmented_plan():
+        got = SG.finish(build(SG.segment(log, seg_rows=8, halo=8))).select(cols).orderBy("row_id").collect()
+    with SG.segmented_plan():
+        got_h = SG.finish(WN.history_window(SG.segment(log, seg_rows=8, halo=8))).select("row_id", *hist)
+        got_h = got_h.orderBy("row_id").collect()
+    assert got == want and got_h == want_h
+    seg = SG.segment(log, seg_rows=8, halo=8)
+    assert seg.groupBy("user_id", "_seg").count().agg(F.max("count")).first()[0] <= 8 + 8 + 2 * 8
+
+
+def test_ranking_spreads_ties_and_string_keys(spark):
+    from tracefeat.plans.ranking import sorted_ranges
+    n = 20_000
+    tied = spark.range(n).withColumn("k", F.lit(0.5)).withColumn("s", F.concat(F.lit("key"), F.col("id") % 97))
+    for keys in (["k", "id"], ["s", "id"]):
+        most = sorted_ranges(tied, keys, n_parts=8).groupBy("_bk").count().agg(F.max("count")).first()[0]
+        assert most < n / 8 * 2
+        ranked = global_rank(tied, keys, n_parts=8).orderBy("rank").select("rank", *keys).collect()
+        assert [r["rank"] for r in ranked] == list(range(1, n + 1))
+        assert [tuple(r)[1:] for r in ranked] == sorted(tuple(r)[1:] for r in ranked)
+    per = global_rank(tied.withColumn("g", (F.col("id") < 15_000).cast("int")), ["k", "id"], ["g"], n_parts=8,
+                      total_name="total")
+    assert per.groupBy("g").agg(F.max("rank"), F.min("rank"), F.max("total")).orderBy("g").collect() == [
+        (0, 5000, 1, 5000), (1, 15_000, 1, 15_000)]
+
+
+def test_feature_store_keeps_features_of_earlier_saves(spark):
+    store = io.FeatureStore(spark, io.fresh_path(spark, "t-store"))
+    store.save(spark.createDataFrame([(1, 10, 20)], "row_id long, f1 int, f2 int"), "g")
+    store.save(spark.createDataFrame([(1, 21)], "row_id long, f2 int"), "g")
+    assert store.assemble(["f1", "f2"]).collect() == [(1, 10, 21)]
+    assert sorted(tuple(r) for r in store.registry().collect()) == [("f1", "g"), ("f2", "g")]
+    assert store.group("g").collect() == [(1, 10, 21)]
+
+
+def test_tags_beyond_the_fixed_width_count(spark):
+    rows = [dict(row_id=i, user_id=1, timestamp=i, tags="200" if i % 2 else "200 7", answered_correctly=1) for i in range(4)]
+    df = U.with_seq(U.prepare(make_log(spark, rows)))
+    got = U.questions_only(U.tag_history(df)).orderBy("row_id").select("u_hist_tag_num", "u_hist_tag_corr_num").collect()
+    assert got == [(0, 0), (1, 1), (3, 3), (3, 3)]
+    rank = U.questions_only(U.tag_rank(df)).orderBy("row_id").select("u_hist_tag_rank_max").collect()
+    assert [r[0] for r in rank] == [189, 189, 189, 189]
+
+
+def test_late_labels_without_a_row_are_handed_out(spark):
+    from tracefeat.streaming import aggregates as K
+    from tracefeat.streaming import events as EV
+    from tracefeat.streaming.user_state import online_user_features
+    log = interaction_log(spark, SF_SMALL)
+    ev = EV.event_frame(log, 100)
+    lost = ev.filter("kind = 'label'").orderBy("row_id").limit(1).withColumn("row_id", F.lit(10**9).cast("long")) \
+        .withColumn("group_num", F.lit(0).cast("long"))
+    user = lost.first()["user_id"]
+    tail = ev.filter((F.col("user_id") == user))
+    far = tail.filter("kind = 'row'").limit(1).withColumn("group_num", F.lit(99).cast("long"))
+    root = io.fresh_path(spark, "t-late")
+    EV.write_microbatches(tail.unionByName(lost).unionByName(far), os.path.join(root, "events"))
+    K.run_to_parquet(online_user_features(EV.read_events(spark, os.path.join(root, "events"), 1)),
+                     os.path.join(root, "out"), os.path.join(root, "ck"))
+    out = spark.read.parquet(os.path.join(root, "out"))
+    assert [r["row_id"] for r in out.filter("kind = 'expired_label'").collect()] == [10**9]
+    assert out.filter("kind = 'feature'").count() > 0
+
+
+def test_line_item_ids_hold_large_orders(spark, tmp_path):
+    from tracefeat.sources.binding import lineitem_log, read_table
+    li = read_table(spark, SF_SMALL, "lineitem").limit(50)
+    big = li.withColumn("l_orderkey", F.lit(3_000_000_000).cast("long"))
+    big.unionByName(big).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = lineitem_log(spark, str(tmp_path))
+    assert out.count() == 100 == out.select("row_id").distinct().count()
+    assert out.select("task_container_id").distinct().collect() == [(3_000_000_000,)]
+
+
+def test_topics_keep_every_token(spark):
+    from tracefeat.operators import ml
+    df = spark.createDataFrame([(i % 6, f"t{i}") for i in range(60)], "doc int, tok string")
+    out = ml.topic_vectors(df, "doc", "tok", n_topics=3, unique=False, max_iter=3).collect()
+    assert len(out) == 6 and all(abs(sum(r[1:]) - 1) < 1e-6 for r in out)

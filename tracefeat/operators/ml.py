@@ -118,7 +118,8 @@ def topic_vectors(df: DataFrame, index: str, token: str, n_topics: int = 10, uni
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     udocs = token_documents(df, index, token, True)
-    cv = CountVectorizer(inputCol="tokens", outputCol="_tf").fit(udocs)
+    n_tokens = df.select(F.col(token).cast("string")).dropna().distinct().count()
+    cv = CountVectorizer(inputCol="tokens", outputCol="_tf", vocabSize=max(n_tokens, 1)).fit(udocs)   # every token
     if unique:
         tf = cv.transform(udocs)
     else:
@@ -127,7 +128,7 @@ def topic_vectors(df: DataFrame, index: str, token: str, n_topics: int = 10, uni
         vocab = spark.createDataFrame(list(enumerate(cv.vocabulary)), "_i int, _t string")
         c = token_documents(df, index, token, False).select(index, F.explode("token_counts").alias("_s"))
         c = c.select(index, F.col("_s._t").alias("_t"), F.col("_s._n").alias("_n")).join(
-            F.broadcast(vocab), "_t")  # bounded by CountVectorizer.vocabSize
+            vocab, "_t")
         pairs = c.groupBy(index).agg(F.sort_array(F.collect_list(F.struct("_i", "_n"))).alias("_p"))
         to_vec = F.udf(lambda ps: SparseVector(n_vocab, [p[0] for p in ps], [float(p[1]) for p in ps]), VectorUDT())
         tf = pairs.select(index, to_vec("_p").alias("_tf"))

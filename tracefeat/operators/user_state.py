@@ -119,7 +119,7 @@ def tag_entries(df: DataFrame) -> DataFrame:
     A tag repeated within one row counts twice, as the reference's loop does."""
     q = df.filter(is_q()).select("user_id", "row_id", "seq", "ans",
                                  F.posexplode(parse_tags(F.coalesce(F.col("tags"), F.lit("0")))).alias("pos", "tag"))
-    return q.filter(F.col("tag").between(0, N_TAGS - 1))
+    return q.filter(F.col("tag").isNotNull())
 
 
 def _tag_counts(df: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def _tag_counts(df: DataFrame) -> DataFrame:
     extra = ["_seg", "_halo"] if SG.active() else []
     e = df.filter(is_q()).select("user_id", "row_id", "timestamp", "ans", *extra,
                                  F.explode(parse_tags(F.coalesce(F.col("tags"), F.lit("0")))).alias("tag"))
-    e = e.filter(F.col("tag").between(0, N_TAGS - 1))
+    e = e.filter(F.col("tag").isNotNull())
     return e.groupBy("user_id", "row_id", "timestamp", "ans", *extra, "tag").agg(F.count(F.lit(1)).alias("dup"))
 
 
@@ -163,11 +163,20 @@ def tag_rank(df: DataFrame, n_tags: int = N_TAGS, chunk_rows: int = TAG_RANK_CHU
     The user's history is cut into chunks of ``chunk_rows`` rows; the counters
     at each chunk start come from an aggregation over earlier chunks, and each
     (user, chunk) group is scanned by one pandas function: no task holds more
-    than one chunk of a user, whatever the user's size."""
+    than one chunk of a user, whatever the user's size.  Tags outside
+    0..n_tags-1 get counters of their own behind those, in the order of their ids
+    (their list is part of the tag dictionary, not of the log)."""
     import numpy as np
     import pandas as pd
 
-    e = tag_entries(df).withColumn("chunk", (F.col("seq") / chunk_rows).cast("long"))
+    e = tag_entries(df)
+    more = [r["tag"] for r in e.filter(~F.col("tag").between(0, n_tags - 1)).select("tag").distinct().collect()]
+    if more:
+        listed = F.array(*[F.lit(t) for t in sorted(more)])
+        e = e.withColumn("tag", F.when(F.col("tag").between(0, n_tags - 1), F.col("tag"))
+                         .otherwise(F.array_position(listed, F.col("tag")) + (n_tags - 1)).cast("int"))
+        n_tags += len(more)
+    e = e.withColumn("chunk", (F.col("seq") / chunk_rows).cast("long"))
     # counters at the end of each chunk where a tag occurs
     cum = (e.groupBy("user_id", "chunk", "tag").agg(F.count(F.lit(1)).alias("n"))
            .withColumn("n_cum", F.sum("n").over(Window.partitionBy("user_id", "tag").orderBy("chunk")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tracefeat.operators import windows as W
 from tracefeat.plans import segmented as SG
@@ -52,22 +51,15 @@ LOOKBACK = {"W3": 1, "W4": 7, "W4b": 3, "W4c": 9, "W5": 5, "W5c": 5, "W6": 7, "W
             "W11": 1, "W13": 2, "W15": 10, "W17": 100, "W18": 1, "W19": 30, "W22": 5, "W23": 1, "W25": 1}
 
 
-def needs_segments(df: DataFrame, seg_rows: int, key: str = "user_id") -> bool:
-    """True when some user has more than ``seg_rows`` rows (one aggregate, one number back)."""
-    m = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return m is not None and m > seg_rows
-
-
-def features(df: DataFrame, names=None, skew_safe=False, seg_rows: int = SG.SEG_ROWS,
+def features(df: DataFrame, names=None, skew_safe: bool = False, seg_rows: int = SG.SEG_ROWS,
              halo: int = SG.HALO) -> DataFrame:
     """Apply the named window operators (all by default) in one plan.
 
     ``skew_safe=True`` builds them in segmented form (users cut into segments of
-    ``seg_rows`` rows with a ``halo`` of history); ``"auto"`` does so only when
-    some user is longer than one segment."""
+    ``seg_rows`` rows with a ``halo`` of history): the same values, for logs
+    where one user may outgrow a task.  The caller decides; nothing switches
+    by the size of the data."""
     names = list(names or WINDOW_OPERATORS)
-    if skew_safe == "auto":
-        skew_safe = needs_segments(df, seg_rows)
     if not skew_safe:
         for n in names:
             df = WINDOW_OPERATORS[n](df)

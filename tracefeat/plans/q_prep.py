@@ -507,11 +507,11 @@ def q_x3(spark, d):
     return O.drop_list_union(log.filter("is_val = 1"), O.duplicate_task_rows(log))
 
 
-@register("X4_new_keys", "key_kind:s, n_new:i", f"""
+@register("X4_new_keys", "key_kind:s, new_key:i", f"""
 WITH {_V7_SQL}
-SELECT 'user' AS key_kind, count(DISTINCT user_id) AS n_new FROM cuts
+SELECT DISTINCT 'user' AS key_kind, user_id AS new_key FROM cuts
   WHERE cv = 1 AND user_id NOT IN (SELECT user_id FROM cuts WHERE cv <> 1)
-UNION ALL SELECT 'content', count(DISTINCT content_id) FROM cuts
+UNION ALL SELECT DISTINCT 'content', content_id FROM cuts
   WHERE cv = 1 AND content_type_id = 0
     AND content_id NOT IN (SELECT content_id FROM cuts WHERE cv <> 1 AND content_type_id = 0)""")
 def q_x4(spark, d):
@@ -519,8 +519,9 @@ def q_x4(spark, d):
     v = V.virtual_time_split(interaction_log(spark, d), val_size=1000)
     tr, va = v.filter("cv <> 1"), v.filter("cv = 1")
     qt, qv = tr.filter("content_type_id = 0"), va.filter("content_type_id = 0")
-    u = O.new_keys(va, tr, "user_id").agg(F.count(F.lit(1)).alias("n_new")).withColumn("key_kind", F.lit("user"))
-    c = O.new_keys(qv, qt, "content_id").agg(F.count(F.lit(1)).alias("n_new")).withColumn("key_kind", F.lit("content"))
+    u = O.new_keys(va, tr, "user_id").select(F.lit("user").alias("key_kind"), F.col("user_id").alias("new_key"))
+    c = O.new_keys(qv, qt, "content_id").select(F.lit("content").alias("key_kind"),
+                                                F.col("content_id").cast("long").alias("new_key"))
     return u.unionByName(c)
 
 

@@ -28,10 +28,10 @@ def _replay(spark, d, marker: bool = False):
     root = io.fresh_path(spark, "stream")
     src = os.path.join(root, "events")
     n = EV.write_microbatches(EV.event_frame(log), src)
-    if marker:
+    if marker:          # event-time operators
         max_ts = log.agg(F.max("timestamp")).first()[0]
         K.end_marker(spark, src, n, int(max_ts) + 30 * 86_400_000)
-    return root, EV.read_events(spark, src)
+    return root, EV.read_events(spark, src, None if marker else 4)
 
 
 def _run(spark, df, root, name, mode="append"):
@@ -56,11 +56,11 @@ FROM f WHERE content_type_id = 0""")
 def q_k1(spark, d):
     """Streamed: counters of each question row read before the row's group is folded in."""
     root, ev = _replay(spark, d)
-    return _run(spark, online_user_features(ev, N_SEQ), root, "k1")
+    return _run(spark, online_user_features(ev, N_SEQ), root, "k1").filter("kind = 'feature'")
 
 
-@register("K2_stream_label_update", "group_num:i, row_id:i, user_id:i, answered_correctly:i", f"""
-SELECT {_GRP} + 1 AS group_num, row_id, user_id, answered_correctly FROM log""")
+@register("K2_stream_label_update", "group_num:i, row_id:i, user_id:i, answered_correctly:i, user_answer:i", f"""
+SELECT {_GRP} + 1 AS group_num, row_id, user_id, answered_correctly, user_answer FROM log""")
 def q_k2(spark, d):
     """Labels sent as one JSON list per group (the reference's format), expanded to
     per-row label events for the previous group's rows."""
@@ -85,18 +85,18 @@ SELECT row_id, list_slice(pc, 2, {N_SEQ}) AS seq_content_id, pa AS seq_answered_
 def q_k3(spark, d):
     """Streamed: last-20 sequences per question row from the user's state of earlier groups."""
     root, ev = _replay(spark, d)
-    return _run(spark, online_user_features(ev, N_SEQ), root, "k3")
+    return _run(spark, online_user_features(ev, N_SEQ), root, "k3").filter("kind = 'feature'")
 
 
 @register("K4_stream_sessions", "user_id:i, session_start:i, session_end:i, n_rows:i", """
 WITH b AS (SELECT user_id, timestamp, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY user_id
-             ORDER BY timestamp, row_id) < 43200000 THEN 0 ELSE 1 END AS brk FROM log),
+             ORDER BY timestamp, row_id) <= 43200000 THEN 0 ELSE 1 END AS brk FROM log WHERE content_type_id = 0),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY timestamp ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
         AS sid FROM b)
 SELECT user_id, min(timestamp) AS session_start, max(timestamp) + 43200000 AS session_end, count(*) AS n_rows
 FROM s GROUP BY user_id, sid""")
 def q_k4(spark, d):
-    """Streamed session windows (12 h gap) with a watermark; rows per session."""
+    """Streamed session windows (gaps above 12 h) with a watermark; question rows per session."""
     root, ev = _replay(spark, d, marker=True)
     return _run(spark, K.stream_sessions(ev), root, "k4").filter("user_id >= 0")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefeat.operators import windows as W
-from tracefeat.plans.registry import register
+from tracefeat.plans import segmented as SG
+from tracefeat.plans.registry import REGISTRY, register
 from tracefeat.sources.binding import interaction_log, question_log
 
 WU = "PARTITION BY user_id ORDER BY timestamp, row_id"
@@ -20,6 +21,14 @@ def _fr(a, b, w=WU):
 PRIOR = _fr(None, 1)
 
 
+def _log(spark, d):
+    return SG.segmented_input(interaction_log(spark, d))
+
+
+def _qlog(spark, d):
+    return SG.segmented_input(question_log(spark, d))
+
+
 @register("W1_user_running", "row_id:i, prior_correct_sum:i, prior_count:i, prior_correct_rate:f", f"""
 SELECT row_id, coalesce(sum(answered_correctly) {PRIOR}, 0) AS prior_correct_sum,
        count(*) {PRIOR} AS prior_count,
@@ -27,7 +36,7 @@ SELECT row_id, coalesce(sum(answered_correctly) {PRIOR}, 0) AS prior_correct_sum
 FROM log""")
 def q_w1(spark, d):
     """Prior running sum, count and rate of answered_correctly per user."""
-    return W.user_running(interaction_log(spark, d))
+    return W.user_running(_log(spark, d))
 
 
 @register("W2_attempt_count", "row_id:i, attempt:i, attempt_prior:i, attempt_bin_prior:i", """
@@ -38,7 +47,7 @@ SELECT row_id,
 FROM log""")
 def q_w2(spark, d):
     """N-th meeting of (user, item) from 1 and from 0; by item bin of 30."""
-    df = interaction_log(spark, d).withColumn("content_bin", (F.col("content_id") / 30).cast("int"))
+    df = _log(spark, d).withColumn("content_bin", (F.col("content_id") / 30).cast("int"))
     df = W.attempt_count(df, "content_id", "attempt", 1)
     df = W.attempt_count(df, "content_id", "attempt_prior", 0)
     df = W.attempt_count(df, "content_bin", "attempt_bin_prior", 0)
@@ -49,7 +58,7 @@ def q_w2(spark, d):
 SELECT row_id, CAST(coalesce(lag(content_id) OVER ({WU}) = content_id, false) AS INTEGER) AS same_as_prior_item
 FROM log""")
 def q_w3(spark, d):
-    return W.equal_prior_item(interaction_log(spark, d))
+    return W.equal_prior_item(_log(spark, d))
 
 
 @register("W4_rolling_prior_mean",
@@ -58,14 +67,14 @@ def q_w3(spark, d):
               f"CASE WHEN count(*) {_fr(w, 1)} = {w} THEN sum(answered_correctly) {_fr(w, 1)} / {w} END "
               f"AS answered_correctly_rolling{w}" for w in (3, 5, 7)) + " FROM log")
 def q_w4(spark, d):
-    return W.rolling_prior_mean(interaction_log(spark, d))
+    return W.rolling_prior_mean(_log(spark, d))
 
 
 @register("W4b_rolling_prior_mean_padded", "row_id:i, correct_last3_padded:f", f"""
 SELECT row_id, coalesce(sum(CAST(answered_correctly = 1 AS INTEGER)) {_fr(3, 1)}, 0) / 3 AS correct_last3_padded
 FROM log""")
 def q_w4b(spark, d):
-    return W.rolling_prior_mean_padded(interaction_log(spark, d))
+    return W.rolling_prior_mean_padded(_log(spark, d))
 
 
 _W4C_PAIRS = [(3, 9), (5, 9), (7, 9), (3, 5), (5, 7), (3, 7)]
@@ -79,7 +88,7 @@ _W4C_PAIRS = [(3, 9), (5, 9), (7, 9), (3, 5), (5, 7), (3, 7)]
               for k in (3, 5, 7, 9)) + " FROM log) SELECT *, " + ", ".join(
               f"acr{a} / (acr{b} + 0.001) AS acr{a}_div_acr{b}" for a, b in _W4C_PAIRS) + " FROM r")
 def q_w4c(spark, d):
-    return W.rolling_ratios(interaction_log(spark, d))
+    return W.rolling_ratios(_log(spark, d))
 
 
 _LAGS = (1, 2, 3, 4, 5)
@@ -96,7 +105,7 @@ _LAG_PAIRS = [(a, b) for i, a in enumerate(_LAGS) for b in _LAGS[i + 1:]]
               for a, b in _LAG_PAIRS) + " FROM t")
 def q_w5(spark, d):
     """Time since the k-th previous row and their ratios."""
-    return W.time_diffs(interaction_log(spark, d))
+    return W.time_diffs(_log(spark, d))
 
 
 @register("W5c_time_diffs_padded", "row_id:i, " + ", ".join(f"timestamp_diff{k}_padded:i" for k in _LAGS),
@@ -104,7 +113,7 @@ def q_w5(spark, d):
               f"timestamp - coalesce(lag(timestamp, {k}) OVER ({WU}), 0) AS timestamp_diff{k}_padded"
               for k in _LAGS) + " FROM log")
 def q_w5c(spark, d):
-    return W.time_diffs_padded(interaction_log(spark, d))
+    return W.time_diffs_padded(_log(spark, d))
 
 
 @register("W6_rolling_over_gap",
@@ -114,7 +123,7 @@ def q_w5c(spark, d):
                       f"/ nullif(ln(1 + gap), 0) AS answered_correctly_rolling{w}_div_elapsed_from_prior"
                       for w in (3, 5, 7)) + " FROM t")
 def q_w6(spark, d):
-    return W.rolling_over_gap(interaction_log(spark, d))
+    return W.rolling_over_gap(_log(spark, d))
 
 
 def _seq2dec_sql(w, padded):
@@ -131,13 +140,13 @@ def _seq2dec_sql(w, padded):
 @register("W7_seq_to_decimal", "row_id:i, seq2dec_w3:f, seq2dec_w5:f, seq2dec_w7:f",
           "SELECT row_id, " + ", ".join(_seq2dec_sql(w, False) for w in (3, 5, 7)) + " FROM log")
 def q_w7(spark, d):
-    return W.seq_to_decimal(interaction_log(spark, d))
+    return W.seq_to_decimal(_log(spark, d))
 
 
 @register("W7b_seq_to_decimal_padded", "row_id:i, seq2dec_w5_padded:f, seq2dec_w7_padded:f",
           "SELECT row_id, " + ", ".join(_seq2dec_sql(w, True) for w in (5, 7)) + " FROM log")
 def q_w7b(spark, d):
-    return W.seq_to_decimal_padded(interaction_log(spark, d))
+    return W.seq_to_decimal_padded(_log(spark, d))
 
 
 @register("W8_gap_vs_user",
@@ -155,7 +164,7 @@ SELECT row_id, timestamp_lag_mean, timestamp_lag_median,
 FROM m""")
 def q_w8(spark, d):
     """User mean / median gap over the whole history (leaks the future by design)."""
-    return W.gap_vs_user(interaction_log(spark, d))
+    return W.gap_vs_user(_log(spark, d))
 
 
 @register("W9_W10_gap_vs_rolling",
@@ -168,7 +177,7 @@ def q_w8(spark, d):
               f"CASE WHEN count(gap) {_fr(w, 0)} = {w + 1} THEN gap - quantile_cont(gap, 0.5) {_fr(w, 0)} END "
               f"AS timestamp_lag_diff_rolling{w}_median_each_user" for w in (3, 5, 7)) + " FROM g")
 def q_w9(spark, d):
-    return W.gap_vs_rolling(interaction_log(spark, d))
+    return W.gap_vs_rolling(_log(spark, d))
 
 
 @register("W11_abs_change", "row_id:i, content_id_diff_abs:i, task_container_id_diff_abs:i", f"""
@@ -176,7 +185,7 @@ SELECT row_id, abs(content_id - lag(content_id) OVER ({WU})) AS content_id_diff_
        abs(task_container_id - lag(task_container_id) OVER ({WU})) AS task_container_id_diff_abs
 FROM log""")
 def q_w11(spark, d):
-    return W.abs_change(interaction_log(spark, d))
+    return W.abs_change(_log(spark, d))
 
 
 @register("W12_order_in_task",
@@ -188,20 +197,20 @@ SELECT row_id,
     / count(*) OVER (PARTITION BY user_id, task_container_id) AS order_content_id_div_max_by_task_container_id
 FROM log""")
 def q_w12(spark, d):
-    return W.order_in_task(interaction_log(spark, d))
+    return W.order_in_task(_log(spark, d))
 
 
 @register("W13_prior_gap", "row_id:i, timestamp_lag_shift1:i", f"""
 SELECT row_id, lag(timestamp, 1) OVER ({WU}) - lag(timestamp, 2) OVER ({WU}) AS timestamp_lag_shift1 FROM log""")
 def q_w13(spark, d):
-    return W.prior_gap(interaction_log(spark, d))
+    return W.prior_gap(_log(spark, d))
 
 
 @register("W14_since_last_incorrect", "row_id:i, since_last_incorrect:i", f"""
 SELECT row_id, timestamp - coalesce(last(CASE WHEN answered_correctly = 0 THEN timestamp END IGNORE NULLS)
   {PRIOR}, 0) AS since_last_incorrect FROM log""")
 def q_w14(spark, d):
-    return W.since_last_incorrect(interaction_log(spark, d))
+    return W.since_last_incorrect(_log(spark, d))
 
 
 @register("W15_task_nunique", "row_id:i, u_hist_task_nunique5:i, u_hist_task_nunique10:i",
@@ -209,7 +218,7 @@ def q_w14(spark, d):
               f"count(DISTINCT task_container_id) {_fr(n, 1)} AS u_hist_task_nunique{n}" for n in (5, 10))
           + " FROM log")
 def q_w15(spark, d):
-    return W.task_nunique(interaction_log(spark, d))
+    return W.task_nunique(_log(spark, d))
 
 
 @register("W16_part_share", "row_id:i, count_part2:i, count_part5:i, rate_part2:f, rate_part5:f, rate_part2_5:f", f"""
@@ -220,7 +229,7 @@ WITH c AS (SELECT row_id,
 SELECT row_id, count_part2, count_part5, count_part2 / n AS rate_part2, count_part5 / n AS rate_part5,
   (count_part2 + count_part5) / n AS rate_part2_5 FROM c""")
 def q_w16(spark, d):
-    return W.part_share(question_log(spark, d))
+    return W.part_share(_qlog(spark, d))
 
 
 @register("W17_gap_median_100",
@@ -230,7 +239,7 @@ m AS (SELECT row_id, gap, quantile_cont(gap, 0.5) {_fr(99, 1)} AS med FROM g)
 SELECT row_id, med AS user_difftime_median100, gap / nullif(med, 0) AS user_difftime_div_median100,
        gap - med AS user_difftime_diff_median100 FROM m""")
 def q_w17(spark, d):
-    return W.gap_median_100(interaction_log(spark, d))
+    return W.gap_median_100(_log(spark, d))
 
 
 @register("W18_run_length", "row_id:i, user_part_continous_count:i", f"""
@@ -239,7 +248,7 @@ i AS (SELECT *, sum(chg) {_fr(None, 0)} AS island FROM f)
 SELECT row_id, row_number() OVER (PARTITION BY user_id, island ORDER BY timestamp, row_id)
   AS user_part_continous_count FROM i""")
 def q_w18(spark, d):
-    return W.run_length(question_log(spark, d))
+    return W.run_length(_qlog(spark, d))
 
 
 @register("W19_same_part_recent", "row_id:i, user_part_count10:i, user_part_count20:i, user_part_count30:i",
@@ -247,7 +256,7 @@ def q_w18(spark, d):
               f"coalesce(len(list_filter(list(part) {_fr(n, 1)}, lambda p: p = part)), 0) AS user_part_count{n}"
               for n in (10, 20, 30)) + " FROM qlog")
 def q_w19(spark, d):
-    return W.same_part_recent(question_log(spark, d))
+    return W.same_part_recent(_qlog(spark, d))
 
 
 @register("W20_class_repeat", "row_id:i, attempt_content_class_id:i, same_as_prior_content_class_id:i", f"""
@@ -259,7 +268,7 @@ SELECT row_id,
 FROM c""")
 def q_w20(spark, d):
     """W2/W3 on an item class; the class here is the question's part."""
-    return W.class_repeat(question_log(spark, d).withColumn("content_class_id", F.col("part")))
+    return W.class_repeat(_qlog(spark, d).withColumn("content_class_id", F.col("part")))
 
 
 _WQ = "PARTITION BY user_id, content_type_id ORDER BY timestamp, row_id"
@@ -275,7 +284,7 @@ _WQP = "PARTITION BY user_id, content_type_id, part ORDER BY timestamp, row_id"
                               ("log_prior_correct_part", "answered_correctly", _WQP),
                               ("log_prior_incorrect_part", "1 - answered_correctly", _WQP)]) + " FROM qlog")
 def q_w21(spark, d):
-    return W.current_counters(question_log(spark, d))
+    return W.current_counters(_qlog(spark, d))
 
 
 @register("W22_history_window", "row_id:i, hist_parts:ai, hist_correct:ai, hist_tensor:ai", f"""
@@ -293,7 +302,7 @@ SELECT row_id, hist_parts, hist_correct,
     AS hist_tensor
 FROM pad""")
 def q_w22(spark, d):
-    return W.history_window(question_log(spark, d))
+    return W.history_window(_qlog(spark, d))
 
 
 @register("W23_task_gated_running",
@@ -306,7 +315,7 @@ s AS (SELECT row_id, coalesce(sum(fst * answered_correctly) {PRIOR}, 0) AS answe
           AS attempt_content FROM f)
 SELECT *, answered_correctly_sum_user / (count_user + 0.001) AS answered_correctly_avg_user FROM s""")
 def q_w23(spark, d):
-    return W.task_gated_running(interaction_log(spark, d))
+    return W.task_gated_running(_log(spark, d))
 
 
 @register("W24_cumcount", "row_id:i, user_cumcount:i, task_cumcount:i", f"""
@@ -314,7 +323,7 @@ SELECT row_id, row_number() OVER ({WU}) - 1 AS user_cumcount,
   row_number() OVER (PARTITION BY user_id, task_container_id ORDER BY timestamp, row_id) - 1 AS task_cumcount
 FROM log""")
 def q_w24(spark, d):
-    return W.cumcount(interaction_log(spark, d))
+    return W.cumcount(_log(spark, d))
 
 
 @register("W25_group_number", "row_id:i, group_num:i, prior_group_answers_correct:ai, user_task_count:i", f"""
@@ -328,7 +337,7 @@ SELECT c.row_id, c.group_num, g.prior_group_answers_correct,
   row_number() OVER (PARTITION BY c.user_id, c.group_num ORDER BY c.timestamp, c.row_id) - 1 AS user_task_count
 FROM c LEFT JOIN g ON c.user_id = g.user_id AND c.group_num = g.group_num""")
 def q_w25(spark, d):
-    return W.group_number(interaction_log(spark, d))
+    return W.group_number(_log(spark, d))
 
 
 @register("F0_flagship",
@@ -345,15 +354,13 @@ SELECT row_id, user_id, coalesce(sum(answered_correctly) {PRIOR}, 0) AS prior_co
           + " FROM log")
 def q_flagship(spark, d):
     """W1 + W4 + W5 in one pass: one exchange on user_id, one sort."""
-    df = interaction_log(spark, d)
+    df = _log(spark, d)
     df = W.user_running(df)
     df = W.rolling_prior_mean(df)
     return W.time_diffs(df, _LAGS)
 
 
 def _register_skew_safe():
-    from tracefeat.plans.registry import REGISTRY
-    from tracefeat.plans import segmented as SG
     f0 = REGISTRY["F0_flagship"]
 
     def q_f1(spark, d):
@@ -364,3 +371,21 @@ def _register_skew_safe():
 
 
 _register_skew_safe()
+
+
+# Rows of a segment and of its halo for the segmented twins: every fixture user is cut into two segments or more.
+TWIN_SEG, TWIN_HALO = 40, 32
+UNSEGMENTED = ("W12", "W17", "W25")     # whole-task windows; W17 looks back further than the twin's halo
+
+
+def _register_twins():
+    for name, q in list(REGISTRY.items()):
+        if name.startswith("W") and name.split("_")[0] not in UNSEGMENTED:
+            def twin(spark, d, build=q.build):
+                """The query on users cut into segments: the same result."""
+                with SG.segmented_plan(TWIN_SEG, TWIN_HALO):
+                    return SG.finish(build(spark, d))
+            register(f"{name}_segmented", ", ".join(f"{n}:{k}" for n, k in q.spec), q.sql)(twin)
+
+
+_register_twins()

@@ -3,14 +3,15 @@ number of rows, so that no task holds more than one segment of any user,
 however large that user is.
 
 1. Each row gets its 1-based position in its user's history from
-   ``global_rank`` (quantile buckets of the timestamp; no per-user task).
-2. ``seg = (pos - 1) // seg_rows``.  The last ``halo`` rows of every segment,
-   and the last ``halo`` rows of each content type within it, are copied into
-   the next segment, flagged ``_halo``.
-3. The frame is repartitioned by ``(user, seg)``.  Windows partitioned by
+   ``global_rank`` (sorted ranges; no per-user task).
+2. ``seg = (pos - 1) // seg_rows``.  Every segment receives copies, flagged
+   ``_halo``, of the ``halo`` rows in front of it, and of the ``halo`` rows of
+   each content type in front of it, however many segments back those lie
+   (found by their rank within the type, so sparse types are exact too).
+3. The frame is repartitioned by ``(user, seg)`` and checkpointed, so that every
+   running aggregate reads it instead of ranking again.  Windows partitioned by
    ``(user, [key,] seg)`` see at least ``halo`` earlier rows for every real row:
-   lags and rolling frames up to ``halo`` rows are exact (per content type too,
-   as long as a segment holds ``halo`` rows of that type).
+   lags and rolling frames up to ``halo`` rows are exact, per content type too.
 4. Running (unbounded) aggregates are local aggregates over real rows plus the
    aggregate of the same group's earlier segments (``running``).
 5. Halo copies are dropped at the end (``finish``).
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefeat.plans.ranking import global_rank
+from tracefeat.session import cut_lineage
 
 ORDER = ("timestamp", "row_id")
 SEG_ROWS = 1_000_000
@@ -40,39 +42,66 @@ _BASE = contextvars.ContextVar("tracefeat_segmented_base", default=None)
 
 
 def active() -> bool:
-    return _ACTIVE.get()
+    return bool(_ACTIVE.get())
 
 
 @contextlib.contextmanager
-def segmented_plan():
-    """Build operators in segmented form inside this block."""
-    tok = _ACTIVE.set(True)
+def segmented_plan(seg_rows: int = SEG_ROWS, halo: int = HALO):
+    """Build operators in segmented form inside this block; ``segmented_input`` cuts by these sizes."""
+    tok = _ACTIVE.set((seg_rows, halo))
     try:
         yield
     finally:
         _ACTIVE.reset(tok)
 
 
+def segmented_input(df: DataFrame) -> DataFrame:
+    """``df`` cut into segments inside ``segmented_plan``, else as it is."""
+    return segment(df, seg_rows=_ACTIVE.get()[0], halo=_ACTIVE.get()[1]) if active() else df
+
+
 def segment(df: DataFrame, key: str = "user_id", seg_rows: int = SEG_ROWS, halo: int = HALO,
             kind_col: str | None = "content_type_id", n_parts: int | None = None) -> DataFrame:
     if halo > seg_rows:
         raise ValueError("halo must not exceed seg_rows")
-    r = global_rank(df, list(ORDER), partition_cols=[key], name="_pos")
+    r = global_rank(df, list(ORDER), partition_cols=[key], name="_pos", total_name="_total")
     r = r.withColumn("_seg", F.floor((F.col("_pos") - 1) / seg_rows).cast("long"))
-    desc = [F.col(c).desc() for c in ORDER]
-    tail = F.row_number().over(Window.partitionBy(key, "_seg").orderBy(*desc)) <= halo
+    nxt = F.col("_seg") + 1
+    copies = (r.filter((F.col("_pos") > nxt * seg_rows - halo) & (F.col("_total") > nxt * seg_rows))
+              .withColumn("_seg", nxt))
     if kind_col:
-        tail = tail | (F.row_number().over(Window.partitionBy(key, kind_col, "_seg").orderBy(*desc)) <= halo)
-    copies = (r.withColumn("_tail", tail).filter("_tail").drop("_tail")
-              .withColumn("_seg", F.col("_seg") + 1).withColumn("_halo", F.lit(True)))
-    out = r.withColumn("_halo", F.lit(False)).unionByName(copies)
+        copies = copies.unionByName(_far_of_kind(r, key, kind_col, seg_rows, halo))
+    out = r.withColumn("_halo", F.lit(False)).unionByName(copies.withColumn("_halo", F.lit(True))).drop("_total")
     n = n_parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = out.repartition(n, key, "_seg")
     if active():
+        out = cut_lineage(out)
         _BASE.set(out)
     return out
 
 
+def _far_of_kind(r: DataFrame, key: str, kind: str, seg_rows: int, halo: int) -> DataFrame:
+    """Copies, for every segment, of the last ``halo`` rows of each kind in front of it
+    that are not among the last ``halo`` rows of any kind (at most ``halo`` per segment and kind).
+    Only users longer than a segment take part."""
+    big = r.filter(F.col("_total") > seg_rows)
+    per = big.groupBy(key, kind, "_seg").agg(F.count(F.lit(1)).alias("_c"))
+    grid = big.groupBy(key, kind).agg(F.max("_total").alias("_t")).select(
+        key, kind, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_t") - 1) / seg_rows).cast("long")))
+        .alias("_seg"))
+    before = Window.partitionBy(key, kind).orderBy("_seg").rowsBetween(UNB, -1)
+    start = (grid.join(per, [key, kind, "_seg"], "left")
+             .withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)).cast("long")).drop("_c"))
+    place = F.row_number().over(Window.partitionBy(key, kind, "_seg").orderBy(*ORDER))
+    ranked = big.join(start, [key, kind, "_seg"]).withColumn("_kr", F.col("_before") + place).drop("_before")
+    wanted = start.filter("_before > 0").select(
+        key, kind, F.col("_seg").alias("_to"),
+        F.explode(F.sequence(F.greatest(F.lit(1).cast("long"), F.col("_before") - halo + 1), F.col("_before"))).alias("_kr"))
+    far = ranked.join(wanted, [key, kind, "_kr"])
+    near = (F.col("_to") == F.col("_seg") + 1) & (F.col("_pos") > F.col("_to") * seg_rows - halo)
+    return far.filter(~near).withColumn("_seg", F.col("_to")).select(*r.columns)
+
+
 def real(c) -> Column:
     """``c`` on real rows, NULL on halo copies (so they add nothing to aggregates)."""
     c = F.col(c) if isinstance(c, str) else c
@@ -99,13 +128,20 @@ def running(df: DataFrame, exprs: dict[str, Column], keys=("user_id",), inclusiv
     df = df.withColumns({f"_loc_{n}": agg(real(e)).over(w) for n, e in exprs.items()})
     base = _BASE.get()
     src = base if base is not None else df
+    if prep is None and not set(keys) <= set(src.columns):
+        src = df                                    # the key was derived after segmenting
     if prep is not None:
         src = prep(src)
     tot = src.filter(~F.col("_halo")).groupBy(*keys, "_seg").agg(*[agg(e).alias(f"_t_{n}") for n, e in exprs.items()])
     wo = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(UNB, -1)
     offs = (tot.select(*keys, "_seg", *[agg(f"_t_{n}").over(wo).alias(f"_o_{n}") for n in exprs])
             .filter(F.col("_seg") > 0))
-    df = df.join(offs, [*keys, "_seg"], "left")
+    same = [*keys, "_seg"]                          # null keys are a group, as in a window
+    offs = offs.select(*[F.col(k).alias(f"_k_{k}") for k in same], *[f"_o_{n}" for n in exprs])
+    on = F.lit(True)
+    for k in same:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    df = df.join(offs, on, "left").drop(*[f"_k_{k}" for k in same])
     if fn == "sum":
         comb = {n: F.when(F.col(f"_loc_{n}").isNull() & F.col(f"_o_{n}").isNull(), F.lit(None))
                 .otherwise(F.coalesce(F.col(f"_loc_{n}"), F.lit(0)) + F.coalesce(F.col(f"_o_{n}"), F.lit(0)))

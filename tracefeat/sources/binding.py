@@ -101,20 +101,22 @@ def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a second log: user = supplier, item = part, time = ship date.
 
-    (l_orderkey, l_linenumber) repeats, so a copy number over all columns makes
-    the row id unique; the copy window is keyed by the order line, which is small.
+    (l_orderkey, l_linenumber) repeats, so the row id is the row's global rank
+    over all columns: unique for any number of copies, lines and orders (rows
+    equal in every column are interchangeable).
     """
+    from tracefeat.plans.ranking import global_rank
     li = read_table(spark, sf_dir, "lineitem")
-    all_cols = [c for c in li.columns if c not in ("l_orderkey", "l_linenumber")]
-    copy = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*all_cols)) - 1
+    rest = [c for c in li.columns if c not in ("l_orderkey", "l_linenumber")]
+    li = global_rank(li, ["l_orderkey", "l_linenumber", *rest], name="_rank")
     ts = epoch_millis("l_shipdate")
     return (li.select(
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + copy).alias("row_id"),
+        F.col("_rank").alias("row_id"),
         F.col("l_suppkey").alias("user_id"),
         ts.alias("timestamp"),
-        F.col("l_partkey").cast("int").alias("content_id"),
+        F.col("l_partkey").alias("content_id"),
         F.lit(0).alias("content_type_id"),
-        F.col("l_orderkey").cast("int").alias("task_container_id"),
+        F.col("l_orderkey").alias("task_container_id"),
         (F.col("l_linenumber") % 4).cast("int").alias("user_answer"),
         (F.col("l_returnflag") == "N").cast("int").alias("answered_correctly"),
         (F.col("l_quantity") * 1000).alias("prior_question_elapsed_time"),

@@ -8,6 +8,7 @@ named by ``spark.checkpoint.dir`` (or any path the caller gives).
 from __future__ import annotations
 
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,45 +59,56 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 class FeatureStore:
     """Feature groups as parquet tables keyed by row_id plus a registry.
 
-    The registry is a parquet table of (feature, group); writing a group adds its
-    names as a set union.  Assembling reads only the requested columns (parquet
-    column pruning) and joins groups on row_id.
+    Every save writes a new version of its group and appends (feature, group,
+    version) to the registry; a feature is read from the last version that holds
+    it, so saving a group again with fewer columns loses none.  Assembling reads
+    only the requested columns (parquet column pruning) and joins on row_id.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _group_path(self, group: str) -> str:
-        return os.path.join(self.root, "groups", group)
+    def _version_path(self, group: str, version: int) -> str:
+        return os.path.join(self.root, "groups", group, f"v{version:020d}")
 
     def _registry_path(self) -> str:
         return os.path.join(self.root, "registry")
 
     def save(self, df: DataFrame, group: str, key: str = "row_id") -> None:
-        df.write.mode("overwrite").parquet(self._group_path(group))
-        names = self.spark.createDataFrame([(c, group) for c in df.columns if c != key], "feature string, grp string")
+        version = time.time_ns()
+        df.write.parquet(self._version_path(group, version))
+        names = self.spark.createDataFrame([(c, group, version) for c in df.columns if c != key],
+                                           "feature string, grp string, version long")
         names.write.mode("append").parquet(self._registry_path())
 
+    def _latest(self) -> DataFrame:
+        """(feature, grp, version): the last version of every feature of every group."""
+        return self.spark.read.parquet(self._registry_path()).groupBy("feature", "grp").agg(F.max("version").alias("version"))
+
     def registry(self) -> DataFrame:
-        return self.spark.read.parquet(self._registry_path()).distinct()
+        return self._latest().select("feature", "grp")
 
-    def group(self, group: str) -> DataFrame:
-        return self.spark.read.parquet(self._group_path(group))
+    def group(self, group: str, key: str = "row_id") -> DataFrame:
+        """All features of a group, each from its last version."""
+        return self._wide([r for r in self._latest().filter(F.col("grp") == group).orderBy("feature").collect()], None, key)
 
     def assemble(self, features: list[str], base: DataFrame | None = None, key: str = "row_id") -> DataFrame:
-        """Wide frame of the named features.  The name -> group lookup reads the
-        registry (one row per feature name, a bounded list)."""
-        where = {r["feature"]: r["grp"] for r in
-                 self.registry().filter(F.col("feature").isin(features)).collect()}
+        """Wide frame of the named features; of a name saved in several groups the last one saved counts.
+        The lookup reads the registry (one row per feature name, a bounded list)."""
+        rows = self._latest().filter(F.col("feature").isin(features)).orderBy("version").collect()
+        where = {r["feature"]: r for r in rows}
         missing = [f for f in features if f not in where]
         if missing:
             raise KeyError(missing)
-        by_group: dict[str, list[str]] = {}
-        for f in features:
-            by_group.setdefault(where[f], []).append(f)
+        return self._wide([where[f] for f in features], base, key)
+
+    def _wide(self, rows: list, base: DataFrame | None, key: str) -> DataFrame:
+        by_table: dict[tuple, list[str]] = {}
+        for r in rows:
+            by_table.setdefault((r["grp"], r["version"]), []).append(r["feature"])
         out = base
-        for g, cols in by_group.items():
-            part = self.group(g).select(key, *cols)
+        for (g, v), cols in by_table.items():
+            part = self.spark.read.parquet(self._version_path(g, v)).select(key, *cols)
             out = part if out is None else out.join(part, key, "left" if base is not None else "inner")
         return out
 

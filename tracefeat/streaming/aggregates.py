@@ -14,7 +14,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SESSION_GAP = "12 hours"
+SESSION_GAP_MS = 12 * 3_600_000
 
 
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
@@ -40,12 +40,16 @@ def end_marker(spark: SparkSession, path: str, group_num: int, far_ts_ms: int) -
 
 
 # K4 ------------------------------------------------------------------------
-def stream_sessions(events: DataFrame, gap: str = SESSION_GAP, delay: str = "1 hour") -> DataFrame:
-    """Rows per user session (a new session after a gap of ``gap`` or more)."""
-    rows = events.filter(F.col("kind").isin("row", "end")).withWatermark("event_ts", delay)
-    s = rows.groupBy(F.session_window("event_ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n_rows"))
+def stream_sessions(events: DataFrame, gap_ms: int = SESSION_GAP_MS, delay: str = "1 hour") -> DataFrame:
+    """Question rows per user session: a gap above ``gap_ms`` opens a new session, an equal one
+    does not (as in the batch feature U12).  ``session_window`` ends a session at a gap of its
+    length, so its length is one millisecond more, the resolution of the event time."""
+    question = (F.col("kind") == "end") | (F.col("kind") == "row") & (F.col("content_type_id") == 0)
+    rows = events.filter(question).withWatermark("event_ts", delay)
+    s = rows.groupBy(F.session_window("event_ts", f"{gap_ms + 1} milliseconds").alias("s"), "user_id") \
+        .agg(F.count(F.lit(1)).alias("n_rows"))
     return s.select("user_id", F.unix_millis(F.col("s.start")).alias("session_start"),
-                    F.unix_millis(F.col("s.end")).alias("session_end"), "n_rows")
+                    (F.unix_millis(F.col("s.end")) - 1).alias("session_end"), "n_rows")
 
 
 # K6 ------------------------------------------------------------------------

@@ -49,39 +49,54 @@ def event_frame(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return rows.unionByName(labels)
 
 
-def write_microbatches(events: DataFrame, path: str) -> int:
-    """Write one file per group, in group order, so that a file source with
-    ``maxFilesPerTrigger`` replays the groups in order.  Returns the group count."""
+REPLAY_CHUNKS = 4
+
+
+def write_microbatches(events: DataFrame, path: str, chunks: int = REPLAY_CHUNKS) -> int:
+    """Write the events for replay by a file source, in ``chunks`` jobs whatever the number of groups.
+
+    A chunk is a run of consecutive groups, written by all tasks at once with a
+    user's events in one file.  The source takes files by modification time, so
+    every user's groups arrive in order, which is what the keyed state needs;
+    files of one chunk come in any order.  Returns the number of groups."""
     n = events.agg(F.max("group_num")).first()[0]
     n = -1 if n is None else int(n)
-    for g in range(n + 1):
-        (events.filter(F.col("group_num") == g).coalesce(1)
-         .write.mode("overwrite").parquet(os.path.join(path, f"group={g:06d}")))
+    step = -(-(n + 1) // chunks)
+    for lo in range(0, n + 1, max(step, 1)):
+        hi = min(lo + step, n + 1) - 1
+        (events.filter(F.col("group_num").between(lo, hi)).repartition("user_id")
+         .write.mode("overwrite").parquet(os.path.join(path, f"groups={lo:08d}-{hi:08d}")))
     return n + 1
 
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 4) -> DataFrame:
-    return (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
-            .option("recursiveFileLookup", "true").parquet(path))
+def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = 4) -> DataFrame:
+    """The replayed stream.  Event-time operators pass None: the files of a chunk are not in
+    time order, so a watermark may only move once all of a replay has been read."""
+    r = spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true")
+    return (r.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else r).parquet(path)
 
 
 # K2 ------------------------------------------------------------------------
 def label_lists(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """The reference's format: on group n, the JSON list of group n-1's answers in row order."""
+    """On group n, the JSON lists of group n-1's correctness and chosen answers in row order."""
     g = with_groups(log, group_rows)
     per = g.groupBy("group_num").agg(
-        F.sort_array(F.collect_list(F.struct("row_id", "answered_correctly"))).alias("_s"))
+        F.sort_array(F.collect_list(F.struct("row_id", "answered_correctly", "user_answer"))).alias("_s"))
     return per.select((F.col("group_num") + 1).alias("group_num"),
                       F.to_json(F.transform("_s", lambda s: s["answered_correctly"]))
-                      .alias("prior_group_answers_correct"))
+                      .alias("prior_group_answers_correct"),
+                      F.to_json(F.transform("_s", lambda s: s["user_answer"])).alias("prior_group_responses"))
 
 
 def expand_label_lists(lists: DataFrame, prev_rows: DataFrame) -> DataFrame:
     """List text -> per-row label events: element i of group n's list labels the
     i-th row (row_id order) of group n-1."""
-    e = lists.select("group_num", F.posexplode(F.from_json("prior_group_answers_correct", "array<int>"))
-                     .alias("pos", "answered_correctly"))
+    both = F.arrays_zip(F.from_json("prior_group_answers_correct", "array<int>").alias("c"),
+                        F.from_json("prior_group_responses", "array<int>").alias("a"))
+    e = lists.select("group_num", F.posexplode(both).alias("pos", "_e")).select(
+        "group_num", "pos", F.col("_e.c").alias("answered_correctly"), F.col("_e.a").alias("user_answer"))
     w = Window.partitionBy("group_num").orderBy("row_id")
     r = prev_rows.select((F.col("group_num") + 1).alias("group_num"), "row_id", "user_id",
                          (F.row_number().over(w) - 1).alias("pos"))
-    return e.join(r, ["group_num", "pos"]).select("group_num", "row_id", "user_id", "answered_correctly")
+    return e.join(r, ["group_num", "pos"]).select("group_num", "row_id", "user_id", "answered_correctly",
+                                                         "user_answer")

@@ -2,7 +2,7 @@
 
 Per user the state holds the counters, the rows still waiting for their
 answers, labels that arrived before their row (kept for ``ttl_groups``
-groups), and the last ``n - 1`` answered question rows for sequences.  For
+groups, then handed out as rows of kind ``expired_label``, never lost), and the last ``n - 1`` answered question rows for sequences.  For
 each group of events (one micro-batch of the online loop) the operator
 (a) folds the labels of the previous group into the state, (b) scores the new
 rows from the state without updating it, then (c) makes the new rows pending.
@@ -40,15 +40,16 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("seq_content_id", T.ArrayType(T.LongType())),
     T.StructField("seq_answered_correctly", T.ArrayType(T.LongType())),
     T.StructField("seq_timestamp_diff", T.ArrayType(T.LongType())),
+    T.StructField("kind", T.StringType()),                 # feature, or expired_label (row_id, group_num, its answer in u_corr_cnt)
 ])
 
 
-def _pad(xs: list, n: int) -> list:
-    return [0] * (n - len(xs)) + xs if len(xs) < n else xs[-n:]
-
-
 def make_processor(n_seq: int = N_SEQ, ttl_groups: int = TTL_GROUPS):
     keep = n_seq - 1
+    names = [f.name for f in OUTPUT_SCHEMA.fields]
+
+    def _pad(xs: list, n: int) -> list:
+        return [0] * (n - len(xs)) + xs if len(xs) < n else xs[-n:]
 
     def process(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         user = int(key[0])
@@ -93,18 +94,20 @@ def make_processor(n_seq: int = N_SEQ, ttl_groups: int = TTL_GROUPS):
                     ans = _pad(list(h_a), n_seq - 1)
                     ts = _pad(h_t + [t], n_seq)
                     out.append((r, user, g, u_cnt, u_corr, rate, lec, cs[1:], ans,
-                                [b - a for a, b in zip(ts[:-1], ts[1:])]))
+                                [b - a for a, b in zip(ts[:-1], ts[1:])], "feature"))
                 pend[r] = (c, ct, t)
             # (c) labels that came before their row, then expiry of old orphans
             ready = sorted((pend[r][2], r) for r in orph if r in pend)
             for _, r in ready:
                 fold(r, orph.pop(r)[0])
+            out += [(r, user, g, None, v[0], None, None, None, None, None, "expired_label")
+                    for r, v in orph.items() if g - v[1] > ttl_groups]
             orph = {r: v for r, v in orph.items() if g - v[1] <= ttl_groups}
         pr = sorted(pend)
         state.update((u_cnt, u_corr, lec, pr, [pend[r][1] for r in pr], [pend[r][0] for r in pr],
                       [pend[r][2] for r in pr], list(orph), [v[0] for v in orph.values()],
                       [v[1] for v in orph.values()], h_c, h_a, h_t))
-        yield pd.DataFrame(out, columns=[f.name for f in OUTPUT_SCHEMA.fields])
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
     return process
 
