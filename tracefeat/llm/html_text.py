@@ -112,7 +112,8 @@ def page_lines(html: str) -> list[tuple[str, int]]:
         if m[1]:                                   # end tag
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    end_line()
+                    if stack[k][1] != zone:
+                        end_line()
                     zone, comments = stack[k][1], stack[k][2]
                     del stack[k:]
                     break
