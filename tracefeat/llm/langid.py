@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracefeat.llm.common import content_key, in_fold
+from tracefeat.llm.common import content_key, in_fold, without
 from tracefeat.llm.ridge import normal_equations, share_below
 
 MAX_GRAM = 3                 # n-grams of 1 to MAX_GRAM characters
@@ -100,7 +100,7 @@ def make_scorer(model):
             scores += [float(v) if ok else 0.0 for v, ok in zip(top, letters)]
         return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(scores, pa.float64())],
                                           ["lang", "score"])
-    return score
+    return score.asNondeterministic()              # run once, not again for a filter on its result
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -122,6 +122,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     import numpy as np
     spark = docs.sparkSession
+    docs = without(docs, ["__held_out", "__lang", "__score", "__out"])
     t = docs.select(content_key(F.col(id_col)).alias("key"), F.col(lang_col).alias("lang"),
                     F.col(text_col).alias("text"), in_fold(F.col(id_col)).alias("fold")) \
         .where("lang is not null and fold <> 2")

@@ -165,7 +165,7 @@ def mix_to_weights(docs: DataFrame, weights: DataFrame | None = None, id_col: st
     x = (x.withColumn("spans", spans).withColumn("size", F.col("__size"))
          .withColumn("taken", F.col("passes") * F.col("__size")
                      + F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to_word"] - s["from_word"])))
-    return x.select(*[c for c in x.columns if not c.startswith("__") and c not in OUT], *OUT)
+    return x.select(*[F.col(f"`{c}`") for c in d.columns if not c.startswith("__")], *OUT)
 
 
 # ---------------------------------------------------------------------------

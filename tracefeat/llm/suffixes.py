@@ -323,7 +323,7 @@ def make_cutter():
                 at = hi
             out.append((b"".join(pieces) + raw[at:]).decode("utf-8", "replace"))
         return pa.array(out, pa.string())
-    return cut
+    return cut.asNondeterministic()                # run once, not again for a filter on its result
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
