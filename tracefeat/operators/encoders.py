@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracefeat.functions.columns import EPS_STAT
 from tracefeat.plans.joins import dim_join
+from tracefeat.plans.segmented import whole_group_median
 
 ORDER = ("timestamp", "row_id")
 SMOOTH = 5            # smoothing weight of the "sm5" encodings
@@ -30,15 +31,22 @@ def key_name(keys) -> str:
     return "xxx".join([keys] if isinstance(keys, str) else keys)
 
 
+def with_median(table: DataFrame, df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+    """``table`` (one row per key, null included) with the exact median of ``value`` over ``df``'s rows of the key."""
+    med = whole_group_median(df, value, (key,), name).withColumnRenamed(key, "_key")
+    return table.join(med, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
+
+
 # A1 / A2 -------------------------------------------------------------------
 def group_stats(df: DataFrame, by: str, c: str) -> DataFrame:
-    """mean, median, sample std, max, min of ``c`` by ``by`` (an encoder table)."""
-    return df.groupBy(by).agg(
+    """mean, median, sample std, max, min of ``c`` by ``by`` (an encoder table).
+    The median comes from distributed ranks, so no group is held by one task."""
+    t = df.groupBy(by).agg(
         (F.sum(c) / F.count(c)).alias(f"{c}_mean"),
-        F.median(c).alias(f"{c}_median"),
         F.stddev_samp(c).alias(f"{c}_std"),
         F.max(c).alias(f"{c}_max"),
         F.min(c).alias(f"{c}_min"))
+    return with_median(t, df, c, by, f"{c}_median")
 
 
 def group_stats_ratio(df: DataFrame, by: str, c: str) -> DataFrame:
@@ -158,9 +166,10 @@ def tag_target_stats(x: DataFrame, questions: DataFrame, null_tag: str = "999")
     Tags with no answered rows have no mean and are skipped by max/min/mean/std."""
     qt = questions.select(F.col("question_id"),
                           F.explode(F.split(F.coalesce(F.col("tags"), F.lit(null_tag)), " ")).alias("tag"))
-    rows = x.select(F.col("content_id").alias("question_id"), "answered_correctly")
-    tag_mean = (rows.join(qt, "question_id").groupBy("tag")
-                .agg((F.sum("answered_correctly") / F.count("answered_correctly")).alias("_m")))
+    per_question = x.groupBy(F.col("content_id").alias("question_id")).agg(
+        F.sum("answered_correctly").alias("_s"), F.count("answered_correctly").alias("_n"))    # before tags multiply rows
+    tag_mean = per_question.join(qt, "question_id").groupBy("tag").agg(
+        F.try_divide(F.sum("_s").cast("double"), F.sum("_n").cast("double")).alias("_m"))
     j = qt.join(tag_mean, "tag", "left")
     return j.groupBy(F.col("question_id").alias("content_id")).agg(
         F.max("_m").alias("tags_max"), F.min("_m").alias("tags_min"), F.count(F.lit(1)).alias("tags_cnt"),
@@ -197,10 +206,10 @@ def content_order_stats(x: DataFrame) -> DataFrame:
     """Position of the item in its user's history: mean/median/max/min/std by item."""
     w = Window.partitionBy("user_id").orderBy(*ORDER)
     o = x.withColumn("_order", F.row_number().over(w))
-    return o.groupBy("content_id").agg(
-        (F.sum("_order") / F.count("_order")).alias("content_order_mean"),
-        F.median("_order").alias("content_order_median"), F.max("_order").alias("content_order_max"),
+    t = o.groupBy("content_id").agg(
+        (F.sum("_order") / F.count("_order")).alias("content_order_mean"), F.max("_order").alias("content_order_max"),
         F.min("_order").alias("content_order_min"), F.stddev_samp("_order").alias("content_order_std"))
+    return with_median(t, o, "_order", "content_id", "content_order_median")
 
 
 # A15 / A16 -----------------------------------------------------------------
@@ -260,15 +269,14 @@ def user_lag_encoders(df: DataFrame) -> DataFrame:
     """Per user the mean and median gap between consecutive rows."""
     w = Window.partitionBy("user_id").orderBy(*ORDER)
     g = df.withColumn("_gap", F.col("timestamp") - F.lag("timestamp").over(w))
-    return g.groupBy("user_id").agg((F.sum("_gap") / F.count("_gap")).alias("user_lag_mean"),
-                                    F.median("_gap").alias("user_lag_median"))
+    t = g.groupBy("user_id").agg((F.sum("_gap") / F.count("_gap")).alias("user_lag_mean"))
+    return with_median(t, g, "_gap", "user_id", "user_lag_median")
 
 
 def head_value(df: DataFrame, c: str, name: str | None = None) -> DataFrame:
     """The user's first row's value mapped to all the user's rows (NULL kept)."""
-    w = Window.partitionBy("user_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding,
-                                                                  Window.unboundedFollowing)
-    return df.withColumn(name or f"head_{c}", F.first(c, ignorenulls=False).over(w))
+    head = df.groupBy("user_id").agg(F.min_by(c, F.struct(*ORDER)).alias(name or f"head_{c}"))
+    return df.join(head, "user_id", "left")
 
 
 # A23 / A24 -----------------------------------------------------------------

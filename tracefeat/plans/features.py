@@ -52,18 +52,25 @@ LOOKBACK = {"W3": 1, "W4": 7, "W4b": 3, "W4c": 9, "W5": 5, "W5c": 5, "W6": 7, "W
 
 
 def features(df: DataFrame, names=None, skew_safe: bool = False, seg_rows: int = SG.SEG_ROWS,
-             halo: int = SG.HALO) -> DataFrame:
+             halo: int = SG.HALO, prefix: str = "") -> DataFrame:
     """Apply the named window operators (all by default) in one plan.
 
     ``skew_safe=True`` builds them in segmented form (users cut into segments of
     ``seg_rows`` rows with a ``halo`` of history): the same values, for logs
     where one user may outgrow a task.  The caller decides; nothing switches
-    by the size of the data."""
-    names = list(names or WINDOW_OPERATORS)
+    by the size of the data.
+
+    ``prefix`` is put before the names of the new columns, so that features of
+    another source (the task-deduplicated log) can stand beside these."""
+    names, source = list(names or WINDOW_OPERATORS), df.columns
+
+    def named(out: DataFrame) -> DataFrame:
+        return out.withColumnsRenamed({c: prefix + c for c in out.columns if c not in source}) if prefix else out
+
     if not skew_safe:
         for n in names:
             df = WINDOW_OPERATORS[n](df)
-        return df
+        return named(df)
     need = max([LOOKBACK.get(n, 0) for n in names] + [0])
     if need > halo:
         raise ValueError(f"operators look back {need} rows; the halo holds {halo}")
@@ -71,4 +78,4 @@ def features(df: DataFrame, names=None, skew_safe: bool = False, seg_rows: int =
         s = SG.segment(df, seg_rows=seg_rows, halo=halo)
         for n in names:
             s = WINDOW_OPERATORS[n](s)
-        return SG.finish(s)
+        return named(SG.finish(s))

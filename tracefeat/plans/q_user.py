@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tracefeat.operators import splits as V
 from tracefeat.operators import user_state as U
-from tracefeat.plans.registry import register
+from tracefeat.plans import segmented as SG
+from tracefeat.plans.registry import REGISTRY, register
 from tracefeat.sources.binding import interaction_log, question_log
 
 WU = "PARTITION BY user_id ORDER BY timestamp, row_id"
@@ -22,9 +23,9 @@ mn AS (SELECT avg(answered_correctly) AS train_mn FROM log WHERE content_type_id
 
 
 def _base(spark, d):
-    df = U.with_seq(U.prepare(question_log(spark, d)))
-    mean = df.filter(U.is_q()).agg(F.avg("ans")).scalar()
-    return df, mean
+    log = U.prepare(question_log(spark, d))
+    mean = log.filter(U.is_q()).agg(F.avg("ans")).scalar()
+    return U.with_seq(SG.segmented_input(log)), mean
 
 
 def _q(sql_select):
@@ -279,3 +280,24 @@ def q_u14b(spark, d):
     """State after folding the new batch's answers into the history state."""
     log = V.tail_split(interaction_log(spark, d))
     return U.update_without_score(log.filter("is_val = 0"), log.filter("is_val = 1"))
+
+
+# (segment, halo) rows of the segmented twins; U3 looks back 100 rows.  U7 is cut into chunks
+# of its own, U14 has no window.
+TWIN_ROWS = {"U3": (110, 104)}
+UNSEGMENTED = ("U7", "U14", "U14b")
+
+
+def _register_twins():
+    for name, q in list(REGISTRY.items()):
+        if not name.startswith("U") or name.split("_")[0] in UNSEGMENTED or name.endswith("_segmented"):
+            continue
+
+        def twin(spark, d, build=q.build, rows=TWIN_ROWS.get(name.split("_")[0], (40, 32))):
+            """The query on users cut into segments: the same result."""
+            with SG.segmented_plan(*rows):
+                return SG.finish(build(spark, d))
+        register(f"{name}_segmented", ", ".join(f"{n}:{k}" for n, k in q.spec), q.sql)(twin)
+
+
+_register_twins()

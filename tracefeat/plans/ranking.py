@@ -39,8 +39,13 @@ def _attach_offsets(local: DataFrame, offs: DataFrame, partition_cols) -> DataFr
     shuffle-partition count): broadcast by construction.  With group columns its
     size follows their cardinality, so the planner decides."""
     if not partition_cols:
-        offs = F.broadcast(offs)
-    return dim_join(local, offs, ["_bk", *partition_cols], "inner")
+        return dim_join(local, F.broadcast(offs), ["_bk"], "inner")
+    same = ["_bk", *partition_cols]                 # a null group is a group, as in a window
+    offs = offs.withColumnsRenamed({c: f"_k_{c}" for c in same})
+    on = F.lit(True)
+    for c in same:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return dim_join(local, offs, on, "inner").drop(*[f"_k_{c}" for c in same])
 
 
 def global_rank(df: DataFrame, order_cols, partition_cols=(), descending: bool = False,

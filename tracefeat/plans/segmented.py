@@ -161,8 +161,9 @@ def whole_group_median(df: DataFrame, value: str, keys=("user_id",), name: str =
     the mean of the values at the middle position(s)."""
     keys = list(keys)
     g = df.filter(F.col(value).isNotNull() & (~F.col("_halo") if active() else F.lit(True)))
-    g = g.select(*keys, F.col(value).alias("_v"), "row_id")
-    r = global_rank(g, ["_v", "row_id"], partition_cols=keys, name="_r", total_name="_cnt")
+    ties = ["row_id"] if "row_id" in df.columns else []          # spreads a value that many rows share
+    g = g.select(*keys, F.col(value).alias("_v"), *ties)
+    r = global_rank(g, ["_v", *ties], partition_cols=keys, name="_r", total_name="_cnt")
     mid = r.filter((F.col("_r") == F.floor((F.col("_cnt") + 1) / 2))
                    | (F.col("_r") == F.ceil((F.col("_cnt") + 1) / 2)))
     return mid.groupBy(*keys).agg(F.avg("_v").alias(name))
