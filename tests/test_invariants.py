@@ -372,3 +372,125 @@ def test_topics_keep_every_token(spark):
     df = spark.createDataFrame([(i % 6, f"t{i}") for i in range(60)], "doc int, tok string")
     out = ml.topic_vectors(df, "doc", "tok", n_topics=3, unique=False, max_iter=3).collect()
     assert len(out) == 6 and all(abs(sum(r[1:]) - 1) < 1e-6 for r in out)
+
+
+# Models and sampling: what the queries without SQL must hold ----------------------
+def test_sample_down_keeps_validation_and_a_share(spark):
+    from tracefeat.operators import prep as P
+    df = spark.range(20_000).select(F.col("id").alias("row_id"), (F.col("id") % 10 == 0).cast("int").alias("is_val"))
+    out = P.sample_down(df, 0.25)
+    kept = {r["is_val"]: r["count"] for r in out.groupBy("is_val").count().collect()}
+    assert kept[1] == 2_000 and abs(kept[0] / 18_000 - 0.25) < 0.02
+    assert out.select("row_id").distinct().count() == out.count()
+    assert sorted(out.collect()) == sorted(P.sample_down(df, 0.25).collect())
+
+
+def test_svd_singular_values_fall_and_rebuild(spark):
+    import numpy as np
+
+    from tracefeat.operators import ml
+    pairs = [(i, u) for i in range(6) for u in range(20) if (i * 7 + u * 3) % 5 < 2]
+    df = spark.createDataFrame(pairs, "content_id long, user_id long")
+    emb, s = ml.svd_embedding(df, "content_id", "user_id", 5)
+    assert all(a >= b > 0 for a, b in zip(s, s[1:]))
+    m = np.zeros((6, 20))
+    for i, u in pairs:
+        m[i, u] = 1
+    rows = np.array([r[1:] for r in emb.orderBy("content_id").collect()])
+    want = np.linalg.svd(m, full_matrices=False)
+    assert np.allclose(s, want[1][:len(s)], atol=1e-6)
+    # products of embeddings do not depend on the signs of the vectors
+    low = want[0][:, :len(s)] * want[1][:len(s)]
+    assert np.allclose(rows @ rows.T, low @ low.T, atol=1e-6)
+
+
+def test_word2vec_and_clusters_repeat(spark):
+    from tracefeat.operators import ml
+    qs = spark.createDataFrame([(i, f"{i % 4} {i % 3 + 10}") for i in range(24)], "question_id int, tags string").coalesce(1)
+    once, again = (sorted(ml.tag_word2vec(qs, size=4, max_iter=1).collect()) for _ in range(2))
+    assert once == again and {r["tag"] for r in once} == {"0", "1", "2", "3", "10", "11", "12"}
+    pts = spark.createDataFrame([(i, float(i % 2) * 50 + i * 0.01, None if i == 7 else 1.0) for i in range(20)],
+                                "content_id int, x double, y double")
+    a, b = (sorted(ml.item_clusters(pts, "content_id", ["x", "y"], k=3).collect()) for _ in range(2))
+    assert a == b and len(a) == 20
+    by = dict(a)
+    assert by[7] not in {by[i] for i in range(20) if i != 7}                  # the filled null lies far away
+    proj = ml.item_projection_2d(pts.na.fill(1.0), "content_id", ["x", "y"]).toPandas()
+    assert len(proj) == 20 and proj["content_id_proj_0"].var() > proj["content_id_proj_1"].var()
+
+
+def _labelled(spark, n=400):
+    df = spark.range(n).select(F.col("id").alias("row_id"), (F.col("id") % 3).cast("int").alias("fold"),
+                               ((F.col("id") * 37) % 101 / 101.0).alias("x"), ((F.col("id") * 53) % 97 / 97.0).alias("z"))
+    return df.withColumn("y", (F.col("x") > 0.5).cast("double"))
+
+
+def test_gbt_folds_score_every_row_once(spark):
+    from tracefeat.operators import ml
+    df = _labelled(spark)
+    oof, imp = ml.gbt_cv(df, ["x", "z"], "y", "fold", 3, max_iter=3, max_depth=2)
+    got = oof.join(df.select("row_id", "y"), "row_id")
+    assert oof.count() == 400 == oof.select("row_id").distinct().count()
+    assert got.join(df.select("row_id", F.col("fold").alias("own")), "row_id").filter("own <> fold").count() == 0
+    assert E.auc(got, "y", "pred").first()["auc"] > 0.9
+    table = E.importance_table(imp).collect()
+    assert table[0]["feature"] == "x" and abs(sum(r["importance_mean"] for r in table) - 1) < 1e-6
+
+
+def test_saved_fold_models_score_alike(spark, tmp_path):
+    from tracefeat.operators import ml
+    df = _labelled(spark, 200)
+    models = ml.fit_fold_models(df, ["x", "z"], "y", "fold", 3)
+    ml.save_models(models, str(tmp_path / "models"))
+    again = ml.load_models(spark, str(tmp_path / "models"))
+    one = sorted(ml.score_with_models(df, models, ["x", "z"], [0.5, 0.3, 0.2]).collect())
+    assert one == sorted(ml.score_with_models(df, again, ["x", "z"], [0.5, 0.3, 0.2]).collect())
+    assert len(one) == 200 and all(0 <= r["pred"] <= 1 for r in one)
+
+
+# Stored encoders and lookups ------------------------------------------------------
+def test_encoders_add_store_and_reload(spark, tmp_path):
+    from tracefeat.operators import encoders as A
+    from tracefeat.operators.fitted import CountEncoder, SmoothedEncoder, TargetEncoder, load_encoder
+    rows = spark.createDataFrame([(1, 0, 1.0), (1, 1, 0.0), (2, 0, 1.0), (2, 0, 1.0), (None, 1, 1.0), (3, 1, None)],
+                                 "k int, fold int, y double")
+    new = spark.createDataFrame([(2, 1, 0.0), (4, 0, 1.0)], "k int, fold int, y double")
+    both = rows.unionByName(new)
+
+    c = load_encoder(spark, CountEncoder("k").fit(rows).save(str(tmp_path / "c"))).add(new)
+    assert {r["k"]: r["k_count"] for r in c.transform(both).collect()} == {1: 2, 2: 3, 3: 1, 4: 1, None: None}
+    assert {r["k"] for r in c.levels().collect()} == {1, 2, 3, 4}
+
+    t = load_encoder(spark, TargetEncoder("k", "y", 2).fit(rows).save(str(tmp_path / "t"))).add(new)
+    got = sorted(t.transform_folds(both, "te").collect(), key=str)
+    assert got == sorted(A.target_encoding_oof(both, "k", "y", name="te").select(*got[0].__fields__).collect(), key=str)
+    assert {r["k"]: r["te"] for r in t.transform(spark.createDataFrame([(1,), (2,), (9,)], "k int"), "te").collect()} \
+        == {1: 0.5, 2: 0.5, 9: None}
+
+    s = load_encoder(spark, SmoothedEncoder("k", "y", 2).fit(rows).save(str(tmp_path / "s"))).add(new)
+    mean = 4 / 6                                     # rows with a key and a target
+    got = {r["k"]: r["k__y_sm2"] for r in s.transform(both).collect()}
+    assert got[1] == pytest.approx((1 + 2 * mean) / 4) and got[3] == pytest.approx(mean) and got[None] == pytest.approx(mean)
+
+
+def test_lookup_by_name(spark):
+    from tracefeat.operators import lookup as L
+    df = spark.range(60).select(F.col("id").alias("row_id"), (F.col("id") % 12).alias("user_id"),
+                                (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).cast("int").alias("v"))
+    for name, params in (("KFold", {}), ("StratifiedKFold", {"label_cols": "y"}), ("GroupKFold", {"group": "user_id"}),
+                         ("MultilabelStratifiedKFold", {"label_cols": ["y", "v"]}),
+                         ("StratifiedGroupKFold", {"group": "user_id", "label": "y"})):
+        out = L.assign_folds(df, name, k=3, **params)
+        assert out.count() == 60 and {r["fold"] for r in out.collect()} == {0, 1, 2}, name
+    with pytest.raises(KeyError):
+        L.assign_folds(df, "NoSuchFold")
+
+
+def test_ranks_and_medians_keep_null_groups(spark):
+    from tracefeat.operators import encoders as A
+    df = spark.createDataFrame([(1, None, 5.0), (2, None, 7.0), (3, "a", 1.0), (4, "a", None)],
+                               "row_id long, g string, v double")
+    ranks = {r["row_id"]: r["rank"] for r in global_rank(df, ["row_id"], ["g"]).collect()}
+    assert ranks == {1: 1, 2: 2, 3: 1, 4: 2}
+    stats = {r["g"]: r["v_median"] for r in A.group_stats(df, "g", "v").collect()}
+    assert stats == {None: 6.0, "a": 1.0}

@@ -7,12 +7,14 @@ vocabulary times the embedding width.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import os
+
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssembler, Word2Vec
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefeat.plans.ranking import global_rank
@@ -175,6 +177,21 @@ def fit_fold_models(df: DataFrame, features: list[str], label: str = "y", fold:
     return models
 
 
+def save_models(models, path: str) -> str:
+    """Fold models, one folder each below ``path``, and their number."""
+    spark = SparkSession.getActiveSession()
+    for i, m in enumerate(models):
+        m.write().overwrite().save(os.path.join(path, f"fold{i}"))
+    spark.createDataFrame([(len(models),)], "n int").write.mode("overwrite").parquet(os.path.join(path, "number"))
+    return path
+
+
+def load_models(spark: SparkSession, path: str) -> list[PipelineModel]:
+    """The fold models that ``save_models`` wrote."""
+    n = spark.read.parquet(os.path.join(path, "number")).first()["n"]
+    return [PipelineModel.load(os.path.join(path, f"fold{i}")) for i in range(n)]
+
+
 def score_with_models(df: DataFrame, models, features: list[str], weights=None) -> DataFrame:
     """Score rows with every fold model (JVM-side ``transform``) and average the
     probabilities with the fold weights (1/k by default)."""

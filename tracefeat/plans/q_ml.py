@@ -12,6 +12,7 @@ from tracefeat.operators import ml as M
 from tracefeat.operators import splits as V
 from tracefeat.operators import windows as W
 from tracefeat.plans.registry import register
+from tracefeat.sources import io
 from tracefeat.sources.binding import interaction_log, question_log, questions
 
 FEATURES = ["prior_correct_rate", "answered_correctly_rolling3", "part", "prior_question_elapsed_time",
@@ -98,9 +99,10 @@ def q_e11(spark, d):
 
 @register("M8_model_scoring", "row_id:i, pred:f")
 def q_m8(spark, d):
-    """Held-out tail rows scored by every fold model (JVM transform), weighted 1/k."""
+    """Held-out tail rows scored by every fold model, stored and reloaded (JVM transform), weighted 1/k."""
     df = _train_frame(spark, d)
     tail = V.tail_split(interaction_log(spark, d)).select("row_id", "is_val")
     df = df.join(tail, "row_id")
     models = M.fit_fold_models(df.filter("is_val = 0"), FEATURES, "y", "fold", K_FOLDS)
+    models = M.load_models(spark, M.save_models(models, io.fresh_path(spark, "fold-models")))
     return M.score_with_models(df.filter("is_val = 1"), models, FEATURES)
