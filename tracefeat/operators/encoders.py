@@ -361,6 +361,21 @@ def entity_table(x: DataFrame, keys, parts, repeat: DataFrame | None = None, et:
     return out
 
 
+def attach_vectors(items: DataFrame, vectors: DataFrame, key: str, width: int, prefix: str, id_col: str = "vec_id",
+                   vec_col: str = "embedding") -> DataFrame:
+    """An outer vector per item as columns ``prefix_0..``; NULL where the item has none."""
+    v = vectors.select(F.col(id_col).alias("_vid"), *[F.get(vec_col, F.lit(j)).cast("double").alias(f"{prefix}_{j}")
+                                                     for j in range(width)])
+    return items.join(v, F.col(key) == F.col("_vid"), "left").drop("_vid")
+
+
+def attach_tag_vectors(items: DataFrame, stats: DataFrame, width: int, stat: str = "tag_vec_mean") -> DataFrame:
+    """One statistic of ``tag_vector_stats`` (long form) as columns ``stat_0..`` of the items."""
+    wide = stats.groupBy("question_id").pivot("dim", list(range(width))).agg(F.first(stat))
+    wide = wide.select(F.col("question_id").alias("_qid"), *[F.col(str(j)).alias(f"{stat}_{j}") for j in range(width)])
+    return items.join(wide, F.col("content_id") == F.col("_qid"), "left").drop("_qid")
+
+
 # A30 -----------------------------------------------------------------------
 def tag_vector_stats(questions: DataFrame, vectors: DataFrame, id_col: str = "vec_id",
                      vec_col: str = "embedding") -> DataFrame:

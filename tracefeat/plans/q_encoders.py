@@ -10,6 +10,7 @@ from tracefeat.operators import splits as V
 from tracefeat.operators import windows as W
 from tracefeat.plans import frames as FR
 from tracefeat.plans.registry import register
+from tracefeat.session import cut_lineage
 from tracefeat.sources.binding import interaction_log, lectures, question_log, questions, read_table
 
 WU = "PARTITION BY user_id ORDER BY timestamp, row_id"
@@ -347,9 +348,9 @@ SELECT * FROM c LEFT JOIN a12 USING (content_id) LEFT JOIN a13 USING (content_id
 def q_a25(spark, d):
     """Wide item table: counts, encodings, entropies, tag stats, session borders,
     order stats and the item's part table, chained by joins on content_id."""
-    x = FR.train_x(spark, d)
+    x = cut_lineage(FR.train_x(spark, d))                                  # written once, read by every block
     qs = questions(spark, d)
-    rep, et = A.repeat_table(x), A.elapsed_time_table(x)
+    rep, et = A.repeat_table(x), cut_lineage(A.elapsed_time_table(x))
     c = A.entity_table(x, "content_id", _A25_PARTS, rep, et)
     for t in (A.tag_target_stats(x, qs), A.session_border_rate(x, FR.SESSION_GAP_FIXTURE_MS),
               A.content_order_stats(x), qs.select(F.col("question_id").alias("content_id"), "part")):
@@ -357,6 +358,32 @@ def q_a25(spark, d):
     return c.join(A.entity_table(x, "part", _A26_PARTS, rep, et), "part", "left")
 
 
+_VEC_WIDTH = 64
+_A25B_COLS = ([("content_id", "i"), ("answered", "i")] + [(f"emb_{j}", "f") for j in range(_VEC_WIDTH)]
+              + [(f"tag_vec_mean_{j}", "f") for j in range(_VEC_WIDTH)])
+
+
+@register("A25b_content_vectors", FR.spec_text(_A25B_COLS), f"""
+WITH n AS (SELECT content_id, count(*) AS answered FROM log WHERE content_type_id = 0 GROUP BY content_id),
+qt AS (SELECT question_id, CAST(unnest(string_split(tags, ' ')) AS BIGINT) AS vec_id FROM questions),
+v AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS dim
+      FROM embeddings),
+tv AS (SELECT question_id AS content_id, dim, sum(x) / count(x) AS m FROM qt JOIN v USING (vec_id) GROUP BY question_id, dim),
+tw AS (SELECT content_id, """ + ", ".join(f"max(CASE WHEN dim = {j} THEN m END) AS tag_vec_mean_{j}"
+                                        for j in range(_VEC_WIDTH)) + """ FROM tv GROUP BY content_id)
+SELECT n.content_id, n.answered, """ + ", ".join(f"CAST(e.embedding[{j + 1}] AS DOUBLE) AS emb_{j}"
+                                                for j in range(_VEC_WIDTH)) + ", "
+          + ", ".join(f"tw.tag_vec_mean_{j}" for j in range(_VEC_WIDTH)) + """
+FROM n LEFT JOIN embeddings e ON n.content_id = e.vec_id LEFT JOIN tw USING (content_id)""")
+def q_a25b(spark, d):
+    """Item table with outer vectors: the item's own (embeddings.vec_id) and the mean of its tags' vectors, as columns."""
+    log = interaction_log(spark, d).filter("content_type_id = 0")
+    c = log.groupBy("content_id").agg(F.count(F.lit(1)).alias("answered"))
+    emb = read_table(spark, d, "embeddings")
+    c = A.attach_vectors(c, emb, "content_id", _VEC_WIDTH, "emb")
+    return A.attach_tag_vectors(c, A.tag_vector_stats(questions(spark, d), emb), _VEC_WIDTH)
+
+
 # A30 / A31 -------------------------------------------------------------------
 @register("A30_tag_vector_stats", "question_id:i, dim:i, tag_vec_mean:f, tag_vec_median:f, tag_vec_std:f, "
           "tag_vec_max:f, tag_vec_min:f", """
