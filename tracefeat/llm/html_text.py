@@ -12,7 +12,7 @@ from tracefeat.llm.common import content_key, materialise
 SEGMENTS = 4000              # at most so many runs of URL-ordered pages (their first URLs are broadcast)
 SEGMENT_ROWS = 64            # and at least so many pages in each
 
-# Element names and class words with a plain meaning in HTML.
+# Element, class and id names with a plain meaning in HTML.
 RAW = {"script", "style", "template", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "svg", "canvas", "object",
            "menu", "dialog", "audio", "video", "map"}
@@ -22,13 +22,23 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
           "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option",
           "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CLASS_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo",
-               "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead",
-               "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter",
-               "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "toolbar",
-               "pagination", "pager", "skip", "topbar", "alert", "disclaimer"}
-COMMENT_WORDS = {"comment", "comments", "reply", "replies", "respond", "disqus", "discussion"}
-HEADER_WORDS = {"header", "head", "topnav"}
+# Whole class or id tokens, never their hyphen parts.  Inside an article only those of comments, adverts and menus count.
+COMMENT_NAMES = {"comment", "comments", "comment-list", "commentlist", "comments-list", "comments-area", "comments-section",
+                 "comment-section", "comment-respond", "comment-form", "disqus", "disqus_thread"}
+AD_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "ad-container", "ad-wrapper",
+            "ad-slot", "ad-unit", "ad-banner", "sponsored"}
+MENU_NAMES = {"menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "main-menu",
+              "main-nav", "main-navigation", "nav-menu", "site-nav", "site-navigation", "navigation-menu"}
+PAGE_NAMES = COMMENT_NAMES | AD_NAMES | MENU_NAMES | {
+    "banner", "sponsor", "promo", "sidebar", "footer", "site-footer", "page-footer", "masthead", "cookie", "cookies",
+    "consent", "cookie-notice", "cookie-banner", "cookie-consent", "notice", "notices", "gdpr", "popup", "modal", "overlay",
+    "newsletter", "newsletter-signup", "subscribe", "signup", "login", "share", "sharing", "share-buttons", "social",
+    "social-links", "social-share", "related", "related-posts", "related-articles", "recommended", "toolbar", "skip",
+    "skip-link", "topbar", "top-bar", "alert", "disclaimer"}
+HEADER_NAMES = {"header", "head", "topnav", "site-header"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+UNNAMED = {"html", "body", *CONTENT, *HEADINGS}                      # their class and id say nothing of the content
+CONTAINERS = {"div", "section", "ul", "ol", "li", "dl", "table", "center", "figure", "fieldset", "details", "ins"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu",
          "menubar", "toolbar"}
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "option", "optgroup",
@@ -37,33 +47,33 @@ ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption",
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
                  r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-WORDS = re.compile(r"[^a-z0-9]+")
 
 OUT, OPEN, MAIN = 0, 1, 2     # zones of a line: boilerplate by structure, undecided, article
 
 
-def _kind(name: str, attrs: str) -> str | None:
-    """What the start tag says of its content: 'drop', 'comments', 'header', 'main' or nothing."""
+def _kind(name: str, attrs: str, article: bool) -> str | None:
+    """What the start tag (inside an article or not) says of its content: 'drop', 'comments', 'header', 'main' or nothing."""
     if name in DROPPED:
         return "drop"
-    words = set()
+    names, main = set(), name in CONTENT
     if attrs and "=" in attrs or "hidden" in attrs:
         for m in ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                words.update(WORDS.split(value))
+                names.update(value.split())
             elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" \
                     or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return "drop"
             elif key == "role" and value in CONTENT:
-                words.add("\x00main")
-    if words & COMMENT_WORDS:
-        return "comments"
-    if name in CONTENT or "\x00main" in words:
+                main = True
+    if main:
         return "main"
-    if name not in ("html", "body") and words & CLASS_WORDS:
-        return "drop"
-    if name == "header" or words & HEADER_WORDS and name not in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6"):
+    if name not in UNNAMED and (name in CONTAINERS or not article):
+        if names & COMMENT_NAMES:
+            return "comments"
+        if names & (AD_NAMES | MENU_NAMES if article else PAGE_NAMES):
+            return "drop"
+    if name == "header" or names & HEADER_NAMES and name not in UNNAMED:
         return "header"
     return None
 
@@ -74,7 +84,9 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     Unclosed elements end where an enclosing one does; an article or main
     element starts an article even inside an unclosed dropped container, but
     not inside comments.  A page header is dropped, the header of an article
-    is part of it.
+    is part of it.  Classes and ids count as whole tokens, not on html, body,
+    article, main and headings, and inside an article only on containers and
+    only if they name comments, adverts or menus.
     """
     import html as entities
     lines, text = [], []
@@ -130,7 +142,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
             stack.pop()
         if name in VOID or m[3].endswith("/"):
             continue
-        kind = _kind(name, m[3])
+        kind = _kind(name, m[3], zone == MAIN)
         new, inside = zone, comments
         if kind == "comments":
             new, inside = OUT, True
