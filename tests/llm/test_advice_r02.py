@@ -24,3 +24,29 @@ import pytest
 def test_class_names_drop_only_what_they_name(html, want):
     from tracefeat.llm.html_text import main_text, page_lines
     assert main_text(page_lines(html), set()) == want
+
+
+# -- op5: quotes in tags --------------------------------------------------------------
+
+@pytest.mark.parametrize("html,want", [
+    ("<p title=Bob's>Text one.</p><p>It's two</p>", "Text one.\nIt's two"),
+    ("<p title='Bob>Text one.</p><p>Two</p>", "Text one.\nTwo"),
+    ("<p class=\"a\"\">Text one.</p><p>\"Two\"</p>", "Text one.\n\"Two\""),
+    ("<p it's>Text one.</p><p data-x=a\"b>It's two</p>", "Text one.\nIt's two"),
+    ("<p title='a > b' data-y = \"c > d\">Text</p>", "Text"),
+    ("<p title=\"a>One</p><p>Two</p><p>He said \"hi", "One\nTwo\nHe said \"hi"),
+    ("<div 'hidden'>Text</div><div class=ad>Buy</div><div hidden>No</div>", "Text"),
+    ("5 < 6 and a<b", "5 < 6 and a<b"),
+])
+def test_quotes_open_only_as_values(html, want):
+    from tracefeat.llm.html_text import main_text, page_lines
+    assert main_text(page_lines(html), set()) == want
+
+
+def test_unclosed_quotes_take_linear_time():
+    import time
+
+    from tracefeat.llm.html_text import page_lines
+    began = time.perf_counter()
+    assert len(page_lines("<p title=\"a>x</p> <p id='b>y</p>" * 20_000 + "<p title=\"")) > 0
+    assert time.perf_counter() - began < 20

@@ -44,9 +44,11 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "option", "optgroup",
                    "legend", "summary"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                 r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# A quote opens only as an attribute's value (and if it is closed); any other one is a plain character.
+OTHER = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"
+TAG = re.compile(OTHER + r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s>]*+))?+)*+)>", re.S)
+PLAIN = re.compile(OTHER + r"([^>]*)>", re.S)
+ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
 OUT, OPEN, MAIN = 0, 1, 2     # zones of a line: boilerplate by structure, undecided, article
 
@@ -92,7 +94,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
     lines, text = [], []
     stack = []                                     # (name, zone before, in comments before)
     zone, comments = OPEN, False
-    at, n = 0, len(html)
+    tag, at, n = TAG, 0, len(html)
 
     def end_line():
         if text:
@@ -108,7 +110,11 @@ def page_lines(html: str) -> list[tuple[str, int]]:
             break
         if lt > at:
             text.append(html[at:lt])
-        m = TAG.match(html, lt)
+        m = tag.match(html, lt)
+        if not m and tag is TAG:
+            m = PLAIN.match(html, lt)
+            if m:                                  # a quoted value swallows the rest: from here on quotes are plain
+                tag = PLAIN
         if not m:
             text.append("<")
             at = lt + 1
