@@ -50,3 +50,21 @@ def test_unclosed_quotes_take_linear_time():
     began = time.perf_counter()
     assert len(page_lines("<p title=\"a>x</p> <p id='b>y</p>" * 20_000 + "<p title=\"")) > 0
     assert time.perf_counter() - began < 20
+
+
+# -- op5: segment borders -------------------------------------------------------------
+
+def test_neighbours_across_segment_borders(spark):
+    """Two-page hosts on borders lose their menus, and a page's text does not hang on the other pages of the table."""
+    from tracefeat.llm.html_text import SEGMENT_ROWS, extract_text
+    rows = [(0, "http://a.org/", "<div>Alone</div>")]
+    for k in range(5 * SEGMENT_ROWS):
+        rows += [(2 * k + j, f"http://h{k:05d}.org/{j}", f"<div>Menu {k}</div><div>Story {2 * k + j}</div>") for j in (1, 2)]
+    same = [(9_000, "http://z.org/", f"<div>Menu z</div><div>Story {j}</div>") for j in range(3 * SEGMENT_ROWS)]
+    for part in (rows, rows[1:], rows + same):
+        df = spark.createDataFrame(part, "page_id long, url string, html string")
+        out = [(r["id"], r["text"]) for r in extract_text(df).collect()]
+        assert len(out) == len(part)
+        assert all(t == f"Story {i}" for i, t in out if 0 < i < 9_000)
+        assert all(t == "Alone" for i, t in out if i == 0)
+        assert all(t.startswith("Story ") and "\n" not in t for i, t in out if i == 9_000)

@@ -216,11 +216,15 @@ def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
 
 
 def make_differ():
-    """mapInArrow function over pages sorted by segment, host and path: compares every page with its neighbours."""
+    """mapInArrow function over pages sorted by segment, host and path: compares every page with its neighbours.
+
+    Halo pages (the neighbours across a segment's borders) are compared, not emitted.
+    """
     def differ(batches):
         import pyarrow as pa
 
         def result(pages):
+            pages = [p for p in pages if not p["halo"]]
             return pa.RecordBatch.from_arrays(
                 [pa.array([p["id"] for p in pages], kind), pa.array([p["url"] for p in pages], pa.string()),
                  pa.array([p["text"] for p in pages], pa.string()),
@@ -234,7 +238,7 @@ def make_differ():
             if near(x, y):
                 x["shared"] |= common_lines(x["hash"], y["hash"])
                 y["shared"] |= common_lines(y["hash"], x["hash"])
-            x["text"] = main_text(x["lines"], x["shared"])
+            x["text"] = "" if x["halo"] else main_text(x["lines"], x["shared"])
             x["lines"] = x["hash"] = None
             return x
 
@@ -242,10 +246,10 @@ def make_differ():
         for batch in batches:
             kind = batch.schema.field(0).type
             out, held = [], 0
-            for page, url, raw, seg, host in zip(*(batch.column(k) for k in range(5))):
+            for page, url, raw, seg, host, halo in zip(*(batch.column(k) for k in range(6))):
                 lines = page_lines(raw.as_py() or "")
                 this = {"id": page.as_py(), "url": url.as_py(), "lines": lines, "hash": [hash(t) for t, _ in lines],
-                        "shared": set(), "place": (seg.as_py(), host.as_py())}
+                        "shared": set(), "place": (seg.as_py(), host.as_py()), "halo": halo.as_py()}
                 if waiting is not None:
                     out.append(settle(waiting, this))
                     held += len(out[-1]["text"])
@@ -260,16 +264,16 @@ def make_differ():
     return differ
 
 
-def make_segment(starts):
-    """Arrow UDF over broadcast first URLs: (host, path, num, rid) -> number of the segment."""
-    @F.arrow_udf("int")
+def make_segment(known):
+    """Arrow UDF over broadcast (first URLs, border URLs): (host, path, num, rid) -> number k of the segment, ~k of a halo."""
+    @F.arrow_udf("array<int>")
     def segment(host, path, num, rid):
         from bisect import bisect_right
 
         import pyarrow as pa
-        known = starts.value
+        starts, halo = known.value
         keys = zip(host.to_pylist(), path.to_pylist(), num.to_pylist(), rid.to_pylist())
-        return pa.array([bisect_right(known, k) for k in keys], pa.int32())
+        return pa.array([[bisect_right(starts, k), *halo.get(k, ())] for k in keys], pa.list_(pa.int32()))
     return segment
 
 
@@ -281,8 +285,11 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host: line by line, a longest common subsequence marks the shared lines,
     which go.  ``main_text`` then settles by structure what differencing alone
     gets wrong.  The order is cut into segments at fixed ranks (64 pages or
-    more, at most 4,000 segments), so a host of any size is spread, results do
-    not depend on partitions, and each page's html moves once.  Null html is
+    more, at most 4,000 segments), so a host of any size is spread and results
+    do not depend on partitions.  The page on either side of a border goes
+    to the segment across it as well (if the host is the same), where it is
+    compared but not emitted, so every page meets both neighbours wherever the
+    borders fall; the html of all others moves once.  Null html is
     empty and gives the empty text; a null URL sorts as an empty one; rows
     repeating id and html are separate rows, neighbours of each other; an
     empty table gives an empty table; other columns are ignored.
@@ -310,9 +317,19 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     offsets = spark.createDataFrame(offsets, "part int, shift long")                  # one row per partition
     starts = (keys.join(offsets, "part").withColumn("rank", F.col("row") + F.col("shift"))
               .where((F.col("rank") % size == 0) & (F.col("rank") > 0)).select(order).collect())
-    starts = spark.sparkContext.broadcast(sorted(tuple(r) for r in starts))            # SEGMENTS rows at most
-    segments = p.withColumn("seg", make_segment(starts)("host", "path", "num", "rid"))
+    starts = sorted({tuple(r) for r in starts})                                        # SEGMENTS rows at most
+    place = make_segment(spark.sparkContext.broadcast((starts, {})))(*order)[0]
+    ends = keys.select(place.alias("seg"), F.struct(*order).alias("key")).groupBy("seg") \
+        .agg(F.min("key").alias("first"), F.max("key").alias("last")).orderBy("seg").collect()
+    halo = {}
+    for a, b in zip(ends, ends[1:]):
+        if a["last"]["host"] == b["first"]["host"]:
+            halo.setdefault(tuple(a["last"]), []).append(~b["seg"])
+            halo.setdefault(tuple(b["first"]), []).append(~a["seg"])
+    place = make_segment(spark.sparkContext.broadcast((starts, halo)))(*order)
+    segments = p.withColumn("place", F.explode(place)).withColumn("halo", F.col("place") < 0) \
+        .withColumn("seg", F.when(F.col("halo"), F.bitwise_not("place")).otherwise(F.col("place")))
     kind = dict(pages.dtypes)[id_col]
-    return (segments.repartition(max(n, 1), "seg").sortWithinPartitions("seg", *order)
-            .select("id", "url", "html", "seg", "host")
+    return (segments.repartition(max(n, 1), "seg").sortWithinPartitions("seg", *order, F.xxhash64("html"))
+            .select("id", "url", "html", "seg", "host", "halo")
             .mapInArrow(make_differ(), f"id {kind}, url string, text string, n_chars long"))
