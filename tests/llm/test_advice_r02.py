@@ -68,3 +68,44 @@ def test_neighbours_across_segment_borders(spark):
         assert all(t == f"Story {i}" for i, t in out if 0 < i < 9_000)
         assert all(t == "Alone" for i, t in out if i == 0)
         assert all(t.startswith("Story ") and "\n" not in t for i, t in out if i == 9_000)
+
+
+# -- op10: every language -------------------------------------------------------------
+
+def test_every_language_is_learned(spark):
+    """80 languages, one of long texts only: every text told right and above the pipeline's floor."""
+    import random
+
+    from corpus_pipeline import MIN_LANGUAGE_SCORE
+    from tracefeat.llm.langid import LANDMARK_CHARS, identify_languages
+    rng = random.Random(6)
+    rows = []
+    for k in range(80):
+        syllables = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüéèçñøå") for _ in range(3)) for _ in range(12)]
+        size = LANDMARK_CHARS if k == 79 else 60 + k
+        for _ in range(12):
+            text = " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(size))
+            rows.append((len(rows), text, f"l{k:02d}"))
+    rows += [(len(rows) + j, "12 34", "l78") for j in range(2000)]                       # letterless rows of a language
+    out = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(out) == len(rows)
+    wrong = [r for r in out if r["text"] != "12 34" and (r["__lang"] != r["lang"] or r["__score"] < MIN_LANGUAGE_SCORE)]
+    assert not wrong, {r["lang"] for r in wrong}
+    assert {(r["__lang"], r["__score"]) for r in out if r["text"] == "12 34"} == {("und", 0.0)}
+
+
+def test_sparse_landmarks_give_the_dense_kernel(monkeypatch):
+    import random
+
+    import numpy as np
+    from tracefeat.llm import langid
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["ab", "cd", "abc", "xyz", "efg", "zzz"]) for _ in range(rng.randint(0, 6))) for _ in range(40)]
+    s = langid.Spectrum()
+    grams = [s.present(s.words(t)) for t in texts[:15] if t]
+    dense = langid.kernel_rows(texts, *langid.landmark_model(grams))
+    monkeypatch.setattr(langid, "DENSE", 0)
+    column, marks = langid.landmark_model(grams)
+    assert isinstance(marks, tuple)
+    sparse = langid.kernel_rows(texts, column, marks)
+    assert np.allclose(dense[0], sparse[0], atol=1e-6) and (dense[1] == sparse[1]).all()

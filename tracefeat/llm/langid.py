@@ -11,10 +11,12 @@ from tracefeat.llm.ridge import normal_equations, share_below
 
 MAX_GRAM = 3                 # n-grams of 1 to MAX_GRAM characters
 BUCKETS = 1 << 18            # n-grams are hashed into this many presence bits
-MAX_LANGS = 64               # the most frequent values of the language column are learned
-LANDMARKS = 128              # in all, dealt evenly to the languages
-LANDMARK_CHARS = 20_000      # longer texts are not landmarks (their size bounds the broadcast)
-MAX_TRAIN = 12_000           # bound on the fitted rows, dealt evenly to the languages
+LANDMARKS = 128              # in all, dealt evenly to the languages, and
+LANG_LANDMARKS = 4           # at least so many of each language
+LANDMARK_CHARS = 20_000      # longer texts are landmarks only of languages that lack shorter ones, the shortest first
+MAX_TRAIN = 12_000           # fitted rows, dealt evenly to the languages, and
+LANG_TRAIN = 200             # at least so many of each language
+DENSE = 1 << 24              # cells of the landmark matrix up to which it is held dense
 BATCH = 256                  # texts scored by one matrix product
 
 
@@ -53,34 +55,67 @@ class Spectrum:
         return hit
 
 
-def landmark_model(texts):
-    """(bucket -> column, landmark presence matrix scaled by 1/sqrt of each landmark's n-grams)."""
+def make_grams():
+    """Arrow UDF: text -> bucket numbers of its n-grams (2^18 at most, however long the text is)."""
+    @F.arrow_udf("array<int>")
+    def grams(texts: pa.Array) -> pa.Array:
+        s = Spectrum()
+        return pa.array([s.present(s.words(t)).tolist() for t in texts.to_pylist()], pa.list_(pa.int32()))
+    return grams
+
+
+def landmark_model(grams):
+    """(bucket -> row, presence of the buckets in the landmarks scaled by 1/sqrt of each landmark's n-grams).
+
+    The presence is a dense matrix, or beyond DENSE cells (starts, landmark
+    numbers, scales): the landmarks of row r are numbers[starts[r]:starts[r + 1]].
+    """
     import numpy as np
-    s = Spectrum()
-    grams = [s.present(s.words(t)) for t in texts]
+    grams = [np.asarray(g, dtype=np.int64) for g in grams]
     used = np.unique(np.concatenate(grams))
     column = np.full(BUCKETS, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
+    scale = np.array([1.0 / np.sqrt(len(g)) for g in grams], dtype=np.float32)
+    if len(used) * len(grams) > DENSE:
+        rows = column[np.concatenate(grams)]
+        numbers = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(used)))])
+        return column, (starts, numbers[np.argsort(rows, kind="stable")], scale)
     m = np.zeros((len(used), len(grams)), dtype=np.float32)
     for j, g in enumerate(grams):
-        m[column[g], j] = 1.0 / np.sqrt(len(g))
+        m[column[g], j] = scale[j]
     return column, m
 
 
+def kernel(grams, column, landmarks):
+    """Normalised presence kernel of each set of n-grams with every landmark, by one matrix product if dense."""
+    import numpy as np
+    dense = not isinstance(landmarks, tuple)
+    x = np.zeros((len(grams), len(landmarks) if dense else len(landmarks[2])), dtype=np.float32)
+    for i, g in enumerate(grams):
+        if len(g):
+            cols = column[g]
+            cols = cols[cols >= 0]
+            if dense:
+                x[i, cols] = 1.0 / np.sqrt(len(g))
+            else:
+                starts, numbers, scale = landmarks
+                n = starts[cols + 1] - starts[cols]
+                at = np.repeat(starts[cols] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                x[i] = np.bincount(numbers[at], minlength=len(scale)) * scale / np.sqrt(len(g))
+    return (x @ landmarks if dense else x).astype(np.float64)
+
+
 def kernel_rows(texts, column, landmarks):
-    """(K, has_letters): normalised presence kernel of each text with every landmark, by one matrix product."""
+    """(K, has_letters): kernel of each text with every landmark, BATCH texts at a time."""
     import numpy as np
     s = Spectrum()
-    x = np.zeros((len(texts), len(landmarks)), dtype=np.float32)
-    letters = np.zeros(len(texts), dtype=bool)
-    for i, t in enumerate(texts):
-        words = s.words(t)
-        if words:
-            letters[i] = True
-            g = s.present(words)
-            cols = column[g]
-            x[i, cols[cols >= 0]] = 1.0 / np.sqrt(len(g))
-    return (x @ landmarks).astype(np.float64), letters
+    letters, parts = np.zeros(len(texts), dtype=bool), []
+    for lo in range(0, len(texts), BATCH):
+        words = [s.words(t) for t in texts[lo:lo + BATCH]]
+        letters[lo:lo + BATCH] = [bool(w) for w in words]
+        parts.append(kernel([s.present(w) if w else () for w in words], column, landmarks))
+    return np.concatenate(parts), letters
 
 
 def make_scorer(model):
@@ -104,16 +139,18 @@ def make_scorer(model):
 
 
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                       max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS, max_langs: int = MAX_LANGS,
-                       penalty: float = 1e-4) -> DataFrame:
+                       max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS, penalty: float = 1e-4) -> DataFrame:
     """All input columns plus __held_out, __lang and __score of every row (see ``languages``).
 
-    Learns from texts with a language outside fold 2 of crc32(id) mod 4: at
-    most ``max_train`` rows in expectation, dealt evenly to the (at most
-    ``max_langs`` most frequent) languages, picked by a hash of the id.  The
+    Learns every language (non-null value of ``lang_col``) that has a text
+    with letters outside fold 2 of crc32(id) mod 4.  Fitted rows are picked by
+    a hash of the id, ``max_train`` in expectation dealt evenly to the
+    languages, but LANG_TRAIN of each at least (or all it has); so are
+    ``landmarks`` with LANG_LANDMARKS, which grow with the number of languages
+    as the normal equations do (landmarks squared doubles on the driver).  The
     kernel of two texts is the number of character n-grams (1 to 3 letters of
     lower-cased, space-padded words) that both hold, over the root of the
-    product of their own numbers.  ``landmarks`` training texts span the
+    product of their own numbers.  The landmarks, training texts, span the
     Nystrom approximation; one ridge regression per language is solved from
     partition-summed normal equations; texts are scored in batches by one
     matrix product.  __lang is ``und`` with score 0 for a null text, a text
@@ -125,26 +162,27 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = without(docs, ["__held_out", "__lang", "__score", "__out"])
     t = docs.select(content_key(F.col(id_col)).alias("key"), F.col(lang_col).alias("lang"),
                     F.col(text_col).alias("text"), in_fold(F.col(id_col)).alias("fold")) \
-        .where("lang is not null and fold <> 2")
-    counts = t.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
+        .where("lang is not null and fold <> 2").where(F.col("text").rlike(r"\p{L}"))
+    counts = t.groupBy("lang").count().collect()
     held = (in_fold(F.col(id_col)) == 2).alias("__held_out")
     nothing = docs.select("*", held, F.lit("und").alias("__lang"), F.lit(0.0).alias("__score"))
     if not counts:
         return nothing
     langs = sorted(r["lang"] for r in counts)
-    per_lang = max(1, max_train // len(langs))
+    per_lang = max(LANG_TRAIN, max_train // len(langs))
     shares = spark.createDataFrame([(r["lang"], per_lang / r["count"]) for r in counts], "lang string, share double")
-    sample = t.join(F.broadcast(shares), "lang").where(share_below(F.col("key"), F.col("share")))     # <= max_langs rows
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", F.xxhash64("text")))
-    fit_words = sample.where(F.col("text").rlike(r"\p{L}"))
-    chosen = (fit_words.where(F.length("text") <= LANDMARK_CHARS).withColumn("r", rank)
-              .where(F.col("r") <= max(1, landmarks // len(langs))).select("text").collect())
+    sample = t.join(F.broadcast(shares), "lang").where(share_below(F.col("key"), F.col("share")))     # per_lang of each
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(
+        F.greatest(F.length("text"), F.lit(LANDMARK_CHARS)), "key", F.xxhash64("text")))
+    chosen = (sample.withColumn("r", rank).where(F.col("r") <= max(LANG_LANDMARKS, landmarks // len(langs)))
+              .select(make_grams()("text").alias("grams")).collect())
+    chosen = sorted(r["grams"] for r in chosen if r["grams"])
     if not chosen:
         return nothing
-    column, marks = landmark_model(sorted(r["text"] for r in chosen))
+    column, marks = landmark_model(chosen)
     number = {v: i for i, v in enumerate(langs)}
     known = spark.sparkContext.broadcast((column, marks))
-    n_marks, n_langs = marks.shape[1], len(langs)
+    n_marks, n_langs = len(chosen), len(langs)
 
     def rows(batch):
         import numpy as np
@@ -153,8 +191,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         target[np.arange(batch.num_rows), [number[v] for v in batch.column(1).to_pylist()]] = 1.0
         return k, target
 
-    kk, kt = normal_equations(fit_words.select("text", "lang"), rows, n_marks, n_langs)
-    own = marks.T.astype(np.float64) @ marks
+    kk, kt = normal_equations(sample.select("text", "lang"), rows, n_marks, n_langs)
+    own = kernel([np.asarray(g) for g in chosen], column, marks)
     alpha = np.linalg.solve(kk + penalty * max(np.trace(kk) / n_marks, 1e-9) * own + 1e-9 * np.eye(n_marks), kt)
     model = spark.sparkContext.broadcast((column, marks, alpha, langs))
     scored = docs.select("*", held, make_scorer(model)(F.col(text_col).cast("string")).alias("__out"))
