@@ -109,3 +109,27 @@ def test_sparse_landmarks_give_the_dense_kernel(monkeypatch):
     assert isinstance(marks, tuple)
     sparse = langid.kernel_rows(texts, column, marks)
     assert np.allclose(dense[0], sparse[0], atol=1e-6) and (dense[1] == sparse[1]).all()
+
+
+# -- op4: null ids and long conversations -----------------------------------------------
+
+def test_null_ids_and_long_conversations(spark):
+    """Null-id rows are no conversation together; a long one is spread over ranges and comes in parts."""
+    from tracefeat.llm.chat import format_chats
+    def line(role, text):
+        return f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    long = [(1, k, "user", f"turn {k}") for k in range(3000)]
+    rows = long + [(2, *r[1:]) for r in long[:2999]] + [(3, *r[1:]) for r in long] + [(4, *r[1:]) for r in long[:10]]
+    rows += [(5, 0, "user", "short"), (5, 1, "bot", "end"), (6, 0, "user", "turn 1")]
+    rows += [(None, k, "user", f"alone {k % 40}") for k in range(80)] + [(None, 7, "user", "turn 0")] * 3
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    whole = "".join(line(r, t) for _, _, r, t in long)
+    for limit in (1 << 24, 5_000):
+        out = format_chats(df, part_chars=limit).collect()
+        first = sorted((r for r in out if r["conv"] == 1), key=lambda r: r["part"])
+        assert [r["part"] for r in first] == list(range(len(first))) and "".join(r["text"] for r in first) == whole
+        assert (len(first) == 1) == (limit > len(whole)) and all(len(r["text"]) <= 2 * limit + 100 for r in first)
+        assert {(r["n_turns"], r["n_copies"]) for r in first} == {(3000, 2)}
+        rest = sorted((str(r["conv"]), r["n_turns"], r["n_copies"], r["text"], r["part"]) for r in out if r["conv"] != 1)
+        assert rest == sorted([("5", 2, 1, line("user", "short") + line("bot", "end"), 0), ("6", 1, 1, line("user", "turn 1"), 0)]
+                              + [("None", 1, 2, line("user", f"alone {k}"), 0) for k in range(40)])

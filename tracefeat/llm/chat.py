@@ -2,104 +2,182 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefeat.llm.common import materialise
 
-CHAIN_SCHEMA = "ckey string, pos int, prefix string, last boolean"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+PART_CHARS = 1 << 24         # a conversation's text is cut into rows of about so many characters
+PRIME, BASE = (1 << 127) - 1, 0x5851F42D4C957F2D14057B7EF767814F     # hash of turns h1..hn: sum of h(i) BASE^(n - i)
 
 
-def make_chain():
-    """mapInArrow function over turns sorted by conversation and turn: rolling hash of the turns so far."""
+def _quoted(text: str | None) -> str:
+    """Text with the template's own markers broken up, so that a turn cannot open another."""
+    return (text or "").replace(OPEN, "< |im_start|>").replace(CLOSE, "< |im_end|>")
+
+
+def make_chain(part_chars: int):
+    """mapInArrow function over turns sorted by (ckey, turn, role, text): hash of the turns so far, rendered pieces.
+
+    Hash and position count from the first turn of the conversation in this
+    partition.  ``close`` marks its last turn here, ``edge`` that of the first
+    and the last conversation of the partition, which may go on in others.  A
+    piece of text stands at the turn that fills it or closes.  Every row of a
+    null conversation id is a conversation of its own.
+    """
     def chain(batches):
         import hashlib
 
         import pyarrow as pa
-        schema = pa.schema([("ckey", pa.string()), ("pos", pa.int32()), ("prefix", pa.string()), ("last", pa.bool_())])
-        key, turn, pos, h, held = None, None, 0, None, None
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId()
+        names = ["part", "ckey", "conv", "pos", "prefix", "close", "edge", "text"]
+        key, turn, pos, h, first, alone = None, None, 0, 0, True, 0
+        held, text, chars, kind, out, size = None, [], 0, None, [], 0
 
-        def part(v):
+        def bytes_of(v):
             raw = b"\x00" if v is None else b"\x01" + v.encode()
             return len(raw).to_bytes(8, "little") + raw
 
+        def release(close, edge):
+            nonlocal text, chars, size
+            piece = None
+            if close or chars >= part_chars:
+                piece, text, chars = "".join(text), [], 0
+                size += len(piece)
+            out.append((*held, close, edge, piece))
+
+        def batch_of(rows):
+            kinds = [pa.int32(), pa.string(), kind, pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
         for batch in batches:
-            out = []
-            for ckey, number, role, text in zip(*(c.to_pylist() for c in batch.columns)):
-                this = (number, role, text)
+            kind = batch.schema.field(1).type
+            for ckey, conv, number, role, said in zip(*(c.to_pylist() for c in batch.columns)):
+                this = (number, role, said)
                 if ckey == key and this == turn:
                     continue                                   # the same row logged again
-                if ckey != key:
-                    if held:
-                        out.append({**held, "last": True})
-                    key, pos, h = ckey, 0, hashlib.blake2b(digest_size=16)
-                elif held:
-                    out.append({**held, "last": False})
+                new = ckey != key or ckey == "~"
+                if held:
+                    release(new, new and first and held[1][0] != "~")
+                    first = first and not new
+                if new:
+                    key, pos, h = ckey, 0, 0
                 turn, pos = this, pos + 1
-                h.update(part(role) + part(text))
-                held = {"ckey": key, "pos": pos, "prefix": h.copy().hexdigest()}
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+                own = int.from_bytes(hashlib.blake2b(bytes_of(role) + bytes_of(said), digest_size=16).digest(), "little")
+                h = (h * BASE + own) % PRIME
+                if ckey == "~":
+                    alone += 1
+                    held = (part, f"~{part}:{alone}", None, pos, f"{h:032x}")
+                else:
+                    held = (part, ckey, conv, pos, f"{h:032x}")
+                text.append(f"{OPEN}{'unknown' if role is None else role}\n{_quoted(said)}{CLOSE}\n")
+                chars += len(text[-1])
+                if len(out) >= 10_000 or size >= 1 << 24:
+                    yield batch_of(out)
+                    out, size = [], 0
         if held:
-            yield pa.RecordBatch.from_pylist([{**held, "last": True}], schema=schema)
+            release(True, held[1][0] != "~")
+            yield batch_of(out)
     return chain
 
 
-def _keyed(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    return turns.select(F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("~")).alias("ckey"),
-                        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
-                        F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-
-
-def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                          text_col: str = "text") -> DataFrame:
-    """(ckey, conv, n_turns, n_copies) of the conversations that no longer one continues.
-
-    Turns are ordered by number, role, text (nulls first); a row equal to the
-    one before it is the same turn logged again.  A rolling 128-bit hash of
-    (role, text) runs along each conversation; one whose last hash is a hash
-    inside a longer one is a snapshot of it and goes (anti-join).  Of
-    conversations with equal turns the smallest id stays, ``n_copies`` counts
-    them.  The hash runs row by row, so no conversation is collected; a first
-    turn shared by a third of all conversations is one distinct prefix.
+def make_carry(carried):
+    """Arrow UDF over broadcast {(part, ckey): (turns before, their hash, goes on)}: whole position, hash and end."""
+    @F.arrow_udf("struct<pos:long,prefix:string,last:boolean>")
+    def carry(part, ckey, pos, prefix, close):
+        import pyarrow as pa
+        known = carried.value
+        parts = {p for p, _ in known}
+        out = []
+        for p, c, n, h, end in zip(*(v.to_pylist() for v in (part, ckey, pos, prefix, close))):
+            if p in parts and (p, c) in known:
+                before, above, on = known[p, c]
+                h = f"{(above * pow(BASE, n, PRIME) + int(h, 16)) % PRIME:032x}"
+                n, end = n + before, end and not on
+            out.append({"pos": n, "prefix": h, "last": end})
+        return pa.array(out, pa.struct([("pos", pa.int64()), ("prefix", pa.string()), ("last", pa.bool_())]))
+    return carry
+
+
+def chain_table(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, part_chars: int) -> DataFrame:
+    """(part, ckey, conv, pos, prefix, last, text): turns in order with the hash of the turns so far, and rendered pieces.
+
+    Sorted by ranges of the whole key, so a conversation of any size is spread
+    over tasks; the hashes of its ranges are put together on the driver from
+    one row per range end (two per partition at most).
     """
-    t = _keyed(turns, conv_col, turn_col, role_col, text_col)
-    chain = materialise(t.select("ckey", "turn", "role", "text").repartition("ckey")
-                        .sortWithinPartitions("ckey", "turn", "role", "text")
-                        .select("ckey", "turn", "role", "text").mapInArrow(make_chain(), CHAIN_SCHEMA), "chat-chain")
-    ids = t.groupBy("ckey").agg(F.first("conv").alias("conv"))
-    ends = chain.where("last").join(ids, "ckey")
-    ends = ends.groupBy("prefix").agg(
+    spark = turns.sparkSession
+    t = turns.select(F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("~")).alias("ckey"),
+                     F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
+                     F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    start = F.substring("text", 1, 64)                         # equal starts stay together; keeps the bounds small
+    kind = dict(turns.dtypes)[conv_col]
+    chain = materialise(
+        t.repartitionByRange(n, "ckey", "turn", "role", start)
+        .sortWithinPartitions("ckey", "turn", "role", "text").mapInArrow(
+            make_chain(part_chars), f"part int, ckey string, conv {kind}, pos long, prefix string, close boolean, "
+                                    "edge boolean, text string"), "chat-chain")
+    carried, open_at = {}, {}
+    edges = chain.where("edge").select("ckey", "part", "pos", "prefix").collect()
+    for r in sorted(edges, key=lambda r: (r["ckey"], r["part"])):
+        last = open_at.get(r["ckey"])
+        before, above = (0, 0) if last is None else last[1:]
+        if last is not None:
+            carried[last[0], r["ckey"]] = (*carried[last[0], r["ckey"]][:2], True)
+        carried[r["part"], r["ckey"]] = (before, above, False)
+        open_at[r["ckey"]] = (r["part"], before + r["pos"],
+                              (above * pow(BASE, r["pos"], PRIME) + int(r["prefix"], 16)) % PRIME)
+    whole = make_carry(spark.sparkContext.broadcast(carried))("part", "ckey", "pos", "prefix", "close")
+    return chain.withColumn("whole", whole).select("part", "ckey", "conv", "whole.*", "text")
+
+
+def _maximal(chain: DataFrame) -> DataFrame:
+    ends = chain.where("last").groupBy("prefix").agg(
         F.min(F.struct(F.col("conv").isNull().alias("none"), "conv", "ckey", "pos")).alias("head"),
         F.count(F.lit(1)).alias("n_copies"))
     inside = chain.where(~F.col("last")).select("prefix").distinct()
-    return ends.join(inside, "prefix", "left_anti").select("head.ckey", "head.conv", F.col("head.pos").alias("n_turns"),
-                                                          "n_copies")
-
-
-def _quoted(c: Column) -> Column:
-    """Text with the template's own markers broken up, so that a turn cannot open another."""
-    return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit(OPEN), F.lit("< |im_start|>")),
-                     F.lit(CLOSE), F.lit("< |im_end|>"))
+    return ends.join(inside, "prefix", "left_anti").select("head.ckey", "head.conv", F.col("head.pos").cast("int").alias(
+        "n_turns"), "n_copies")
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-                 text_col: str = "text") -> DataFrame:
-    """One rendered text per maximal conversation: conv, n_turns, n_copies, text.
+                 text_col: str = "text", part_chars: int = PART_CHARS) -> DataFrame:
+    """One rendered text per maximal conversation: conv, n_turns, n_copies, text, part.
+
+    Turns are ordered by number, role, text (nulls first); a row equal to the
+    one before it is the same turn logged again.  A rolling 127-bit hash of
+    (role, text) runs along each conversation; one whose last hash is a hash
+    inside a longer one is a snapshot of it and goes (anti-join).  Of
+    conversations with equal turns the smallest id stays, ``n_copies`` counts
+    them.  Every distinct row of a null conversation id is a conversation of
+    one turn.
 
     Each turn renders as ``<|im_start|>role NL text<|im_end|> NL``; a null role
     is "unknown", a null text is empty, the markers inside a turn are broken
-    up.  Rows of a null conversation id form one conversation with a null id.
-    An empty table gives an empty table; other columns are ignored.  Memory
-    of a group is bounded by the rendered text of one conversation.
+    up.  A text of more than ``part_chars`` characters comes in several rows,
+    ``part`` 0, 1, ... in order, cut between turns, each of about twice that
+    at most (or one turn); all others are part 0.  An empty table gives an
+    empty table; other columns are ignored.
     """
-    kept = materialise(maximal_conversations(turns, conv_col, turn_col, role_col, text_col), "chat-kept")
-    t = _keyed(turns, conv_col, turn_col, role_col, text_col).join(kept.select("ckey"), "ckey", "left_semi")
-    line = lambda s: F.concat(F.lit(OPEN), F.coalesce(s["role"], F.lit("unknown")), F.lit("\n"),
-                              _quoted(s["text"]), F.lit(CLOSE + "\n"))
-    text = t.groupBy("ckey").agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns")) \
-        .select("ckey", F.array_join(F.transform("turns", line), "").alias("text"))
-    return kept.join(text, "ckey").select("conv", "n_turns", "n_copies", "text")
+    chain = chain_table(turns, conv_col, turn_col, role_col, text_col, part_chars)
+    kept = materialise(_maximal(chain), "chat-kept")
+    pieces = chain.where("text is not null").select("ckey", "pos", "text")
+    meta = pieces.select("ckey", "pos", F.length("text").alias("n"))
+    several = meta.groupBy("ckey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ckey")
+    to_here = Window.partitionBy("ckey").orderBy("pos")
+    cells = materialise(
+        meta.join(several, "ckey", "left_semi")
+        .withColumn("cell", F.floor((F.sum("n").over(to_here) - F.col("n")) / F.lit(part_chars)))
+        .select("ckey", "pos", (F.dense_rank().over(Window.partitionBy("ckey").orderBy("cell")) - 1).alias("part")),
+        "chat-cells")                                          # a row for each part_chars and each end of a partition
+    pieces = pieces.join(F.broadcast(cells), ["ckey", "pos"], "left")
+    one = pieces.where("part is null").select("ckey", "text", F.lit(0).alias("part"))
+    parts = pieces.where("part is not null").groupBy("ckey", "part").agg(F.array_join(F.transform(F.sort_array(
+        F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "").alias("text"))
+    return one.unionByName(parts).join(kept, "ckey").select("conv", "n_turns", "n_copies", "text", "part")
 
 
 SQL = """

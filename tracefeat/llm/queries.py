@@ -59,7 +59,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_chat_snapshots", chat.SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal logged conversations, rendered."""
-    return chat.format_chats(table(spark, sf_dir, "conversations")).withColumnRenamed("conv", "conv_id")
+    return chat.format_chats(table(spark, sf_dir, "conversations")).select(
+        F.col("conv").alias("conv_id"), "n_turns", "n_copies", "text")
 
 
 @query("op9_quality_scores")
