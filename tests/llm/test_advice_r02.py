@@ -133,3 +133,18 @@ def test_null_ids_and_long_conversations(spark):
         rest = sorted((str(r["conv"]), r["n_turns"], r["n_copies"], r["text"], r["part"]) for r in out if r["conv"] != 1)
         assert rest == sorted([("5", 2, 1, line("user", "short") + line("bot", "end"), 0), ("6", 1, 1, line("user", "turn 1"), 0)]
                               + [("None", 1, 2, line("user", f"alone {k}"), 0) for k in range(40)])
+
+
+# -- op7: items without an answer column ------------------------------------------------
+
+def test_copies_with_another_last_sentence_are_found(spark):
+    from tracefeat.llm.decontaminate import contaminated_passages, drop_contaminated
+    body = " ".join(f"word{i}" for i in range(40))
+    item = spark.createDataFrame([(1, f"{body}? Blue whale.", "Blue whale.")], "item_id int, text string, answer string")
+    fill = " filler" * 50
+    docs = spark.createDataFrame([(1, f"{fill} {body}? Red fox.{fill}"), (2, f"{body}."), (3, f"{body}? Blue whale."),
+                                  (4, body[:len(body) // 2])], "doc_id long, text string")
+    assert sorted(r["id"] for r in contaminated_passages(docs, item).collect()) == [1, 2, 3]
+    assert [r["doc_id"] for r in drop_contaminated(docs, item).collect()] == [4]
+    parted = item.withColumn("text", item["text"].substr(1, len(body) + 1))
+    assert [r["id"] for r in contaminated_passages(docs, parted, question_col="text", answer_col="answer").collect()] == [3]

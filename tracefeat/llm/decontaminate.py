@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 K1, B = 1.2, 0.75
 SHINGLE = 5
 MIN_SHARE = 0.8              # of an item's 5-word shingles
-MIN_WORDS = 0.5              # of the distinct words of its question, and of its answer
+MIN_WORDS = 0.5              # of the distinct words of its question, and of its answer if it has one
 BLOCK = 16                   # items of an index block
 MAX_INDEX_WORDS = 2_000_000  # words of one index (its broadcast is linear in them); more items make more passes
 HIT = "struct<item:int,score:double,share:double,question:double,answer:double,from_word:int,to_word:int>"
@@ -29,16 +28,6 @@ def tokens(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(FOLD).split() if text else []
 
 
-def split_item(text: str) -> tuple[str, str]:
-    """(question, answer): the last line, or else the last sentence, answers; a single sentence has no answer."""
-    text = (text or "").strip()
-    cut = text.rfind("\n")
-    if cut < 0:
-        ends = [m.end() for m in re.finditer(r"[.?!:]\s+", text)]
-        cut = ends[-1] if ends else len(text)
-    return text[:cut].strip(), text[cut:].strip()
-
-
 def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
     """5-word shingles; a shorter sequence is one shingle."""
     if len(words) < SHINGLE:
@@ -242,8 +231,7 @@ def item_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", ite
         rows = b.where(F.pmod(F.xxhash64("q", "a"), F.lit(passes)) == k).distinct().orderBy("id", "q", "a").collect()
         items = []
         for r in rows:
-            question, answer = (r["q"] or "", r["a"] or "") if a or question_col else split_item(r["q"])
-            items.append((len(ids), question, answer))
+            items.append((len(ids), r["q"] or "", r["a"] or ""))
             ids.append(r["id"])
         index = build_indexes(items, min_share)
         if index:
@@ -259,7 +247,8 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
     stride apart, over the whole text) queries the index; block-max pruning
     keeps every item whose 5-word shingles it can hold to ``min_share``; the
     check then asks for that share and for ``min_words`` of the distinct words
-    of question and answer in the matched stretch.  Words are what ``tokens``
+    of question and answer in the matched stretch; without an answer column
+    the whole item is the question and ``answer`` is 1.  Words are what ``tokens``
     makes of a text; an item under five words is one shingle.  Null and
     empty texts hold nothing; repeated rows report alike; an item repeated
     under several ids reports each; with an empty table on either side the
