@@ -56,7 +56,7 @@ def test_sql(spark, name, sf):
 
 def test_every_query_is_registered():
     from tracefeat.llm.queries import QUERIES
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     import __spark_entry__ as E
     assert set(QUERIES) | {"pipeline"} <= set(E.queries())
 

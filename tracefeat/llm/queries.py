@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefeat.llm import chat, covertree, decontaminate, html_text, langid, mixing, quality, simhash, suffixes, warc
+from tracefeat.llm import (chat, codes, codes_sql, covertree, decontaminate, html_text, langid, mixing, quality, simhash,
+                           slots, suffixes, warc, whitening)
 from tracefeat.llm.common import content_key, table
 from tracefeat.session import ensure_checkpoint_dir
 
@@ -100,3 +101,35 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract_text(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
+@query("op11_virtual_slots")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written into 8 shards by 4096 virtual slots (law ``bytes``) and read back from them."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    slots.write_shards(docs, folder, shards=8)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return slots.read_shards(spark, folder, docs.schema).select(
+        "doc_id", slots.record_bytes(F.col("text")).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col("__shard").alias("shard"), F.col("__place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"), F.col("__slot").alias("virtual_slot"))
+
+
+@query("op12_vector_codes", codes_sql.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite embedding as 16 codebook indexes, with its error and that of its label."""
+    coded, books = codes.vector_codes(table(spark, sf_dir, "embeddings"))
+    return coded.select(F.col("id").alias("vec_id"), "code", "error", "label_error",
+                        F.lit(codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
+@query("op13_whitened_embeddings")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finite embedding on the 16 leading whitened components of the distinct integer vectors."""
+    rows, model = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    share = F.array(*[F.lit(e) for e in model["explained"]]).cast("array<double>")
+    return rows.select("id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened")).select(
+        F.col("id").alias("vec_id"), (F.col("pos") + 1).alias("component"), F.lit(model["n"]).cast("long").alias("n"),
+        "deviation", F.col("col").alias("whitened"), F.get(share, F.col("pos")).alias("explained"),
+        F.lit(model["identity_error"]).alias("identity_error"))
