@@ -99,7 +99,7 @@ def test_slots_edges(spark):
     load = [0] * 8
     for r in rows:
         load[r["__shard"]] += len((r["text"] or "").encode()) + 1
-    assert max(load) - min(load) <= 16                              # equal rows are dealt one by one
+    assert max(load) - min(load) <= 0.01 * sum(load) / 8            # equal rows are dealt one by one
     f = folder(spark)
     write_shards(docs.limit(0), f)
     assert read_shards(spark, f, docs.schema).count() == 0
