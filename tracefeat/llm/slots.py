@@ -23,6 +23,7 @@ from tracefeat.llm.common import content_key, materialise
 SLOTS = 4096
 PIECE_BYTES = 256 << 20      # a slot is written in pieces of about this size
 EVEN = 0.001                 # shards whose bytes differ by less than this share of their mean count as even
+MANIFEST_ROWS = 1 << 20      # a manifest of up to so many rows (about 40 MB) is broadcast, a longer one is joined by key
 PRIVATE = ("__key", "__bytes", "__slot", "__piece", "__at", "__shard", "__since", "__place")
 
 
@@ -207,6 +208,8 @@ def read_shards(spark: SparkSession, folder: str, schema, version: int | None =
     parts = parts.select("__shard", "__slot", "__piece", "__first",
                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     rows = _valid(spark, folder, schema, version)
+    if parts.limit(MANIFEST_ROWS + 1).count() <= MANIFEST_ROWS:
+        parts = F.broadcast(parts)                                  # the rows, texts and all, stay where they are
     placed = rows.join(parts, ["__shard", "__slot", "__piece"])
     own = [f"`{c}`" for c in rows.columns if c not in PRIVATE]
     return placed.select(*own, "__shard", "__slot", (F.col("__before") + F.col("__at") - F.col("__first")).alias("__place"))
