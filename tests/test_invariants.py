@@ -494,3 +494,192 @@ def test_ranks_and_medians_keep_null_groups(spark):
     assert ranks == {1: 1, 2: 2, 3: 1, 4: 2}
     stats = {r["g"]: r["v_median"] for r in A.group_stats(df, "g", "v").collect()}
     assert stats == {None: 6.0, "a": 1.0}
+
+
+def _streamed(spark, df, root, name):
+    from tracefeat.streaming import aggregates as K
+    progress = K.run_to_parquet(df, os.path.join(root, name), os.path.join(root, f"ck_{name}"))
+    return spark.read.parquet(os.path.join(root, name)), progress
+
+
+def _loop_events(spark, rows, events_root):
+    """rows: dicts with kind, group_num, row_id, user_id and what else is set; one file a group."""
+    from tracefeat.streaming import events as EV
+    names = [f.name for f in EV.EVENT_SCHEMA.fields]
+    for g in sorted({r["group_num"] for r in rows}):
+        part = [tuple(r.get(n) for n in names) for r in rows if r["group_num"] == g]
+        df = spark.createDataFrame(part, EV.EVENT_SCHEMA).withColumns({
+            "arrival_ts": EV.arrival(F.col("group_num")), "event_ts": F.timestamp_millis("timestamp")})
+        df.coalesce(1).write.parquet(os.path.join(events_root, f"group={g:06d}"))
+
+
+def _row(g, r, u, t, ct=0):
+    return dict(kind="row", group_num=g, row_id=r, user_id=u, timestamp=t, content_id=10 + r, content_type_id=ct)
+
+
+def _label(g, r, u, a):
+    return dict(kind="label", group_num=g, row_id=r, user_id=u, answered_correctly=a)
+
+
+def test_event_time_state_moves_between_batches(spark):
+    """Time-ordered chunks, one a trigger: at least three batches whose sessions and windows cross them."""
+    from tracefeat.plans.q_streaming import _event_time_replay
+    from tracefeat.streaming import aggregates as K
+    log = interaction_log(spark, SF_SMALL)
+    root, ev = _event_time_replay(spark, SF_SMALL)
+    for name, df, total in (("sessions", K.stream_sessions(ev), log.filter("content_type_id = 0").count()),
+                            ("counts", K.windowed_counts(ev), 4 * log.count())):
+        out, progress = _streamed(spark, df, root, name)
+        read = [p for p in progress if p["numInputRows"] > 0]
+        assert len(read) >= 4
+        carried = [p["stateOperators"][0]["numRowsTotal"] for p in read[:4]]
+        assert all(n > 0 for n in carried[:3]), carried
+        marks = [p["eventTime"]["watermark"] for p in read]
+        assert marks == sorted(marks) and len(set(marks)) >= 3
+        assert all(p["stateOperators"][0]["numRowsDroppedByWatermark"] == 0 for p in progress)
+        assert out.filter("user_id >= 0" if name == "sessions" else "content_type_id IS NOT NULL") \
+            .agg(F.sum("n_rows")).first()[0] == total
+
+
+def test_late_events_leave_by_the_side_output(spark):
+    """Arrival out of event-time order: on time + late = all, and the windows hold exactly what was on time."""
+    from tracefeat.streaming import aggregates as K
+    from tracefeat.streaming import events as EV
+    from tracefeat.streaming import replay as R
+    rows = EV.event_frame(interaction_log(spark, SF_SMALL)).filter("kind = 'row'")
+    hour = 3_600_000
+    mixed = rows.withColumn("chunk", F.pmod(F.xxhash64("row_id"), F.lit(3)).cast("int") + F.when(
+        F.col("event_ts") > "2024-01-15", 1).otherwise(0)).withColumn(
+        "event_ts", F.when(F.col("row_id") == 3, F.lit(None)).otherwise(F.col("event_ts")))
+    root = io.fresh_path(spark, "t-late-side")
+    src = os.path.join(root, "events")
+    R.write_chunks(mixed, "chunk", src)
+    R.route_late(R.read_chunks(spark, src, EV.EVENT_SCHEMA), root, delay_ms=hour)
+    late = R.late_rows(spark, root, EV.EVENT_SCHEMA)
+    t = {r["row_id"]: (r["chunk"], r["ms"]) for r in mixed.select("row_id", "chunk", F.unix_millis("event_ts").alias("ms")).collect()}
+    want = set()
+    for i, (c, ms) in t.items():
+        newest = max((m for k, m in t.values() if k < c and m is not None), default=None)
+        if ms is None or newest is not None and newest - hour - ms > 0:
+            want.add((i, c, None if ms is None else newest - hour - ms))
+    assert {(r["row_id"], r["batch"], r["behind_ms"]) for r in late.collect()} == want and 10 < len(want) < 990
+    on_time = spark.read.schema(EV.EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(
+        os.path.join(root, "on_time")).filter("kind = 'row'")
+    assert on_time.count() + len(want) == len(t)
+    K.end_marker(spark, os.path.join(root, "on_time"), 0, max(m for _, m in t.values() if m) + 30 * 86_400_000)
+    out, progress = _streamed(spark, K.windowed_counts(R.read_chunks(spark, os.path.join(root, "on_time"), EV.EVENT_SCHEMA)),
+                              root, "counts")
+    assert out.filter("content_type_id IS NOT NULL").agg(F.sum("n_rows")).first()[0] == 4 * on_time.count()
+    assert sum(p["stateOperators"][0]["numRowsDroppedByWatermark"] for p in progress) == 0
+
+
+def test_rows_without_an_answer_leave_by_timer(spark):
+    """An idle user's row expires though that user sends nothing more; an answered one does not; a label that comes
+    after its row expired is handed out too; the state is empty afterwards."""
+    from tracefeat.streaming import aggregates as K
+    from tracefeat.streaming import events as EV
+    from tracefeat.streaming.user_state import online_user_features
+    root = io.fresh_path(spark, "t-expire")
+    src = os.path.join(root, "events")
+    rows = [_row(0, 1, 7, 100), _row(0, 2, 7, 200), _row(0, 3, 8, 100), _label(1, 2, 7, 1), _row(1, 4, 9, 100),
+            _label(2, 4, 9, 0), _row(30, 5, 9, 300), _label(31, 5, 9, 1), _row(31, 6, 10, 1), _label(32, 3, 8, 1),
+            _row(60, 7, 10, 5), _row(90, 8, 10, 6), _row(120, 9, 10, 7), _label(121, 6, 10, 1)]
+    _loop_events(spark, rows, src)
+    df = online_user_features(EV.read_events(spark, src, 1), row_ttl_ms=10_000, delay="1 second")
+    out, progress = _streamed(spark, df, root, "out")
+    got = {(r["kind"], r["row_id"]) for r in out.filter("kind <> 'feature'").collect()}
+    assert got == {("expired_row", 1), ("expired_row", 3), ("expired_label", 3), ("expired_row", 6), ("expired_row", 7),
+                   ("expired_row", 8)}
+    feature = {r["row_id"]: (r["u_cnt"], r["u_corr_cnt"]) for r in out.filter("kind = 'feature'").collect()}
+    assert feature[5] == (1, 0) and feature[7] == (0, 0) and len(feature) == 9
+
+
+def test_waiting_rows_do_not_make_a_call_dearer(spark):
+    """A call touches the entries its events name: the pending map is never walked."""
+    from tracefeat.streaming.user_state import UserLoop
+    import pandas as pd
+
+    class Map(dict):
+        touched = 0
+
+        def containsKey(self, k):
+            Map.touched += 1
+            return k in self
+
+        def getValue(self, k):
+            Map.touched += 1
+            return self[k]
+
+        def updateValue(self, k, v):
+            Map.touched += 1
+            self[k] = v
+
+        def removeKey(self, k):
+            Map.touched += 1
+            self.pop(k, None)
+
+        def iterator(self):
+            raise AssertionError("walked")
+
+    class Cell(list):
+        def exists(self):
+            return bool(self)
+
+        def get(self):
+            return self[0] if self and not isinstance(self[0], list) else (self[0] if self else [])
+
+        def update(self, v):
+            self[:] = [v]
+
+        def put(self, v):
+            self[:] = [list(v)]
+
+    class Handle:
+        def getValueState(self, *a):
+            return Cell()
+
+        getListState = getValueState
+
+        def getMapState(self, *a):
+            return Map()
+
+        def registerTimer(self, at):
+            pass
+
+    loop = UserLoop()
+    loop.init(Handle())
+    cost = []
+    for g in range(60):
+        ev = pd.DataFrame([dict(_row(g, 10 * g + k, 1, 100 * g + k), answered_correctly=None) for k in range(10)])
+        ev["arrival_ts"] = pd.Timestamp(g + 1, unit="s")
+        before = Map.touched
+        list(loop.handleInputRows((1,), iter([ev]), None))
+        cost.append(Map.touched - before)
+    assert len(loop.pending) == 600 and max(cost[1:]) == min(cost[1:])
+
+
+def test_answer_lists_feed_the_loop(spark):
+    """Lists met with buffered rows; groups that never complete leave on both sides; a restart changes nothing."""
+    from tracefeat.streaming import events as EV
+    from tracefeat.streaming.labels import match_label_lists
+    root = io.fresh_path(spark, "t-lists")
+    src = os.path.join(root, "events")
+
+    def answers(g, c, a):
+        return dict(kind="list", group_num=g, prior_group_answers_correct=c, prior_group_responses=a)
+
+    rows = [_row(0, 3, 1, 30), _row(0, 1, 2, 10), _row(0, 2, 1, 20), _row(1, 4, 1, 40), answers(1, "[1,0,1]", "[3,2,1]"),
+            answers(2, "[0,1]", "[0,0]"), _row(2, 5, 1, 50), answers(9, "[1]", "[1]"), _row(40, 6, 1, 60)]
+    _loop_events(spark, [r for r in rows if r["group_num"] < 2], src)
+
+    def run():
+        ev = EV.read_events(spark, src, 1).withWatermark("arrival_ts", "1 second")
+        return _streamed(spark, match_label_lists(ev, ttl_ms=5_000), root, "out")[0]
+
+    run()
+    _loop_events(spark, [r for r in rows if r["group_num"] >= 2], src)
+    out = run().collect()
+    assert sorted((r["row_id"], r["user_id"], r["answered_correctly"], r["user_answer"], r["group_num"])
+                  for r in out if r["kind"] == "label") == [(1, 2, 1, 3, 1), (2, 1, 0, 2, 1), (3, 1, 1, 1, 1)]
+    assert sorted((r["kind"], r["row_id"], r["group_num"]) for r in out if r["kind"] != "label") == [
+        ("unmatched_list", None, 2), ("unmatched_list", None, 9), ("unmatched_row", 4, 1), ("unmatched_row", 5, 2)]

@@ -17,21 +17,40 @@ from tracefeat.sources import io
 from tracefeat.sources.binding import interaction_log
 from tracefeat.streaming import aggregates as K
 from tracefeat.streaming import events as EV
+from tracefeat.streaming import replay as R
+from tracefeat.streaming.labels import match_label_lists, with_matched_labels
 from tracefeat.streaming.user_state import online_user_features
 from tracefeat.plans.registry import register
 
 N_SEQ = 21
 
 
-def _replay(spark, d, marker: bool = False):
-    log = interaction_log(spark, d)
+def _replay(spark, d):
     root = io.fresh_path(spark, "stream")
     src = os.path.join(root, "events")
-    n = EV.write_microbatches(EV.event_frame(log), src)
-    if marker:          # event-time operators
-        max_ts = log.agg(F.max("timestamp")).first()[0]
-        K.end_marker(spark, src, n, int(max_ts) + 30 * 86_400_000)
-    return root, EV.read_events(spark, src, None if marker else 4)
+    EV.write_microbatches(EV.event_frame(interaction_log(spark, d)), src)
+    return root, EV.read_events(spark, src, 4)
+
+
+def _event_time_replay(spark, d):
+    """The log's rows in chunks by event time, one a trigger, behind the router of late rows; a far control
+    event at the end closes the last windows."""
+    root = io.fresh_path(spark, "stream")
+    rows = EV.event_frame(interaction_log(spark, d)).filter("kind = 'row'")
+    src, on_time = os.path.join(root, "events"), os.path.join(root, "on_time")
+    R.write_chunks(R.time_chunks(rows), "chunk", src)
+    R.route_late(R.read_chunks(spark, src, EV.EVENT_SCHEMA), root)
+    newest = spark.read.schema("batch_id long, newest long").parquet(os.path.join(root, "clock")).agg(F.max("newest")).first()[0]
+    K.end_marker(spark, on_time, 0, int(newest or 0) + 30 * 86_400_000)
+    return root, R.read_chunks(spark, on_time, EV.EVENT_SCHEMA)
+
+
+def _list_replay(spark, d):
+    """Rows and answer lists in order of arrival, whole groups together, with the watermark on the arrival time."""
+    root = io.fresh_path(spark, "stream")
+    src = os.path.join(root, "events")
+    R.write_chunks(R.arrival_chunks(EV.list_frame(interaction_log(spark, d))), "chunk", src)
+    return root, R.read_chunks(spark, src, EV.EVENT_SCHEMA).withWatermark("arrival_ts", "1 minute")
 
 
 def _run(spark, df, root, name, mode="append"):
@@ -44,15 +63,18 @@ _GRP = "row_id // 500"
 _BEFORE = "PARTITION BY user_id ORDER BY grp RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
-@register("K1_stream_user_features", "row_id:i, group_num:i, u_cnt:i, u_corr_cnt:i, u_corr_rate:f, u_hist_lec_cnt:i",
-          f"""
+_K1_SPEC = "row_id:i, group_num:i, u_cnt:i, u_corr_cnt:i, u_corr_rate:f, u_hist_lec_cnt:i"
+_K1_SQL = f"""
 WITH g AS (SELECT *, {_GRP} AS grp FROM log),
 f AS (SELECT row_id, grp AS group_num, content_type_id,
   coalesce(sum(CASE WHEN content_type_id = 0 THEN 1 ELSE 0 END) OVER ({_BEFORE}), 0) AS u_cnt,
   coalesce(sum(CASE WHEN content_type_id = 0 THEN answered_correctly ELSE 0 END) OVER ({_BEFORE}), 0) AS u_corr_cnt,
   coalesce(sum(CASE WHEN content_type_id = 1 THEN 1 ELSE 0 END) OVER ({_BEFORE}), 0) AS u_hist_lec_cnt FROM g)
 SELECT row_id, group_num, u_cnt, u_corr_cnt, u_corr_cnt / nullif(u_cnt, 0) AS u_corr_rate, u_hist_lec_cnt
-FROM f WHERE content_type_id = 0""")
+FROM f WHERE content_type_id = 0"""
+
+
+@register("K1_stream_user_features", _K1_SPEC, _K1_SQL)
 def q_k1(spark, d):
     """Streamed: counters of each question row read before the row's group is folded in."""
     root, ev = _replay(spark, d)
@@ -62,10 +84,17 @@ def q_k1(spark, d):
 @register("K2_stream_label_update", "group_num:i, row_id:i, user_id:i, answered_correctly:i, user_answer:i", f"""
 SELECT {_GRP} + 1 AS group_num, row_id, user_id, answered_correctly, user_answer FROM log""")
 def q_k2(spark, d):
-    """Labels sent as one JSON list per group (the reference's format), expanded to
-    per-row label events for the previous group's rows."""
-    g = EV.with_groups(interaction_log(spark, d))
-    return EV.expand_label_lists(EV.label_lists(interaction_log(spark, d)), g)
+    """Streamed: answers sent as one JSON list per group, met with the buffered rows of the group before."""
+    root, ev = _list_replay(spark, d)
+    return _run(spark, match_label_lists(ev), root, "k2").filter("kind = 'label'")
+
+
+@register("K2_list_fed_features", _K1_SPEC, _K1_SQL)
+def q_k2_features(spark, d):
+    """Streamed: K1 fed by answer lists; the label operator and the user operator run in one query."""
+    root, ev = _list_replay(spark, d)
+    return _run(spark, online_user_features(with_matched_labels(ev), N_SEQ, delay=None), root, "k2f") \
+        .filter("kind = 'feature'")
 
 
 @register("K3_stream_sequences", "row_id:i, seq_content_id:ai, seq_answered_correctly:ai, seq_timestamp_diff:ai", f"""
@@ -97,10 +126,27 @@ SELECT user_id, min(timestamp) AS session_start, max(timestamp) + 43200000 AS se
 FROM s GROUP BY user_id, sid""")
 def q_k4(spark, d):
     """Streamed session windows (gaps above 12 h) with a watermark; question rows per session."""
-    root, ev = _replay(spark, d, marker=True)
+    root, ev = _event_time_replay(spark, d)
     return _run(spark, K.stream_sessions(ev), root, "k4").filter("user_id >= 0")
 
 
+@register("K4_late_events", "row_id:i, batch:i, behind_ms:i", f"""
+WITH e AS (SELECT row_id, timestamp, {_GRP} AS grp, 'row' AS kind FROM log
+           UNION ALL SELECT row_id, timestamp, {_GRP} + 1, 'label' FROM log),
+c AS (SELECT row_id, timestamp, kind, grp // greatest(CAST(ceil((max(grp) OVER () + 1) / 4.0) AS BIGINT), 1) AS batch FROM e),
+m AS (SELECT batch, max(timestamp) AS newest FROM c GROUP BY batch),
+w AS (SELECT c.row_id, c.batch, (SELECT max(newest) FROM m WHERE m.batch < c.batch) - 1000 - c.timestamp AS behind_ms FROM c)
+SELECT row_id, batch, behind_ms FROM w WHERE behind_ms > 0""")
+def q_k4_late(spark, d):
+    """Streamed side output: events that reach the loop more than a second of event time behind the newest of the
+    earlier micro-batches (here the answers that arrive in a later chunk than their rows)."""
+    root = io.fresh_path(spark, "stream")
+    src = os.path.join(root, "events")
+    R.write_chunks(R.arrival_chunks(EV.event_frame(interaction_log(spark, d))), "chunk", src)
+    R.route_late(R.read_chunks(spark, src, EV.EVENT_SCHEMA), root, delay_ms=1000)
+    return R.late_rows(spark, root, EV.EVENT_SCHEMA)
+
+
 @register("K5_stream_encoder_refresh", "content_id:i, content_id_count:i",
           "SELECT content_id, count(*) AS content_id_count FROM log GROUP BY content_id")
 def q_k5(spark, d):
@@ -118,5 +164,5 @@ SELECT ws AS window_start, ws + 86400000 AS window_end, content_type_id, count(*
 FROM e GROUP BY ws, content_type_id""")
 def q_k6(spark, d):
     """Sliding 1-day windows every 6 h of row counts by content type, with a watermark."""
-    root, ev = _replay(spark, d, marker=True)
+    root, ev = _event_time_replay(spark, d)
     return _run(spark, K.windowed_counts(ev), root, "k6").filter("content_type_id IS NOT NULL")

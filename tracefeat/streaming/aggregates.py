@@ -9,6 +9,7 @@ K6: tumbling / sliding event-time counts with a watermark.
 
 from __future__ import annotations
 
+import contextlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +18,33 @@ from pyspark.sql import functions as F
 SESSION_GAP_MS = 12 * 3_600_000
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB, which typed state needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                   timeout_s: int = 600) -> None:
-    """Run a streaming frame with ``availableNow`` into a parquet sink and wait."""
+                   timeout_s: int = 600) -> list:
+    """Run a streaming frame with ``availableNow`` into a parquet sink and wait; the progress of its
+    micro-batches (read rows, watermark, rows in state, rows dropped behind the watermark)."""
+    with rocksdb(df.sparkSession):
+        return _run_to_parquet(df, path, checkpoint, mode, timeout_s)
+
+
+def _run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str, timeout_s: int) -> list:
     q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
          .outputMode(mode).trigger(availableNow=True).start())
     q.awaitTermination(timeout_s)
@@ -28,14 +53,16 @@ def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "appen
         raise TimeoutError("streaming query did not finish")
     if q.exception() is not None:
         raise q.exception()
+    return list(q.recentProgress)
 
 
 def end_marker(spark: SparkSession, path: str, group_num: int, far_ts_ms: int) -> None:
     """One control event far after the data, so that event-time watermarks close
     every real window / session of a finite replay (a live stream's clock does this)."""
     from tracefeat.streaming.events import EVENT_SCHEMA
-    row = [("end", group_num, -1, -1, far_ts_ms, None, None, None, None, None, None)]
-    m = spark.createDataFrame(row, EVENT_SCHEMA).withColumn("event_ts", F.timestamp_millis(F.col("timestamp")))
+    far = F.timestamp_millis(F.col("timestamp"))
+    row = [("end", group_num, -1, -1, far_ts_ms) + (None,) * (len(EVENT_SCHEMA) - 5)]
+    m = spark.createDataFrame(row, EVENT_SCHEMA).withColumns({"event_ts": far, "arrival_ts": far})
     m.coalesce(1).write.mode("overwrite").parquet(os.path.join(path, f"group={group_num:06d}"))
 
 

@@ -1,21 +1,20 @@
 """Event streams built from the log: question/lecture rows arrive with their
-answers withheld; the answers of micro-batch n arrive as label events with
-micro-batch n+1 (the reference's online loop).  K2's list format (one JSON
-list of the previous group's answers) is expanded to per-row label events.
+answers withheld; the answers of micro-batch n arrive with micro-batch n+1, as
+label events or in the loop's own format, one JSON list of all of them (K2).
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 GROUP_ROWS = 500   # rows per micro-batch on the fixture: floor(row_id / 500)
 
 EVENT_SCHEMA = T.StructType([
-    T.StructField("kind", T.StringType()),          # 'row' or 'label'
+    T.StructField("kind", T.StringType()),          # 'row', 'label', 'list', 'tick' or 'end'
     T.StructField("group_num", T.LongType()),
     T.StructField("row_id", T.LongType()),
     T.StructField("user_id", T.LongType()),
@@ -26,9 +25,18 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("task_container_id", T.IntegerType()),
     T.StructField("prior_question_elapsed_time", T.DoubleType()),
     T.StructField("answered_correctly", T.IntegerType()),
+    T.StructField("arrival_ts", T.TimestampType()),
+    T.StructField("user_answer", T.IntegerType()),                       # on labels from lists
+    T.StructField("prior_group_answers_correct", T.StringType()),        # on lists
+    T.StructField("prior_group_responses", T.StringType()),
 ])
 
 
+def arrival(group_num) -> Column:
+    """Arrival time on the replay's clock: group n arrives at second n + 1."""
+    return F.timestamp_millis((group_num + 1) * 1000)
+
+
 def with_groups(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     return log.withColumn("group_num", F.floor(F.col("row_id") / group_rows).cast("long"))
 
@@ -38,17 +46,25 @@ def event_frame(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     label event in the next group."""
     g = with_groups(log, group_rows)
     ts = F.timestamp_millis(F.col("timestamp"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("user_answer", "int"), ("prior_group_answers_correct", "string"),
+                                                      ("prior_group_responses", "string"))]
     rows = g.select(F.lit("row").alias("kind"), "group_num", "row_id", "user_id", "timestamp", ts.alias("event_ts"),
                     "content_id", "content_type_id", "task_container_id", "prior_question_elapsed_time",
-                    F.lit(None).cast("int").alias("answered_correctly"))
+                    F.lit(None).cast("int").alias("answered_correctly"), arrival(F.col("group_num")).alias("arrival_ts"), *none)
     labels = g.select(F.lit("label").alias("kind"), (F.col("group_num") + 1).alias("group_num"), "row_id", "user_id",
                       "timestamp", ts.alias("event_ts"), F.lit(None).cast("int").alias("content_id"),
                       F.lit(None).cast("int").alias("content_type_id"), F.lit(None).cast("int").alias("task_container_id"),
                       F.lit(None).cast("double").alias("prior_question_elapsed_time"),
-                      F.col("answered_correctly").cast("int"))
+                      F.col("answered_correctly").cast("int"), arrival(F.col("group_num") + 1).alias("arrival_ts"), *none)
     return rows.unionByName(labels)
 
 
+def list_frame(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The rows and, one group later, the answer lists: the loop's own format."""
+    lists = label_lists(log, group_rows).withColumns({"kind": F.lit("list"), "arrival_ts": arrival(F.col("group_num"))})
+    return event_frame(log, group_rows).filter("kind = 'row'").unionByName(lists, allowMissingColumns=True)
+
+
 REPLAY_CHUNKS = 4
 
 
@@ -86,17 +102,3 @@ def label_lists(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
                       F.to_json(F.transform("_s", lambda s: s["answered_correctly"]))
                       .alias("prior_group_answers_correct"),
                       F.to_json(F.transform("_s", lambda s: s["user_answer"])).alias("prior_group_responses"))
-
-
-def expand_label_lists(lists: DataFrame, prev_rows: DataFrame) -> DataFrame:
-    """List text -> per-row label events: element i of group n's list labels the
-    i-th row (row_id order) of group n-1."""
-    both = F.arrays_zip(F.from_json("prior_group_answers_correct", "array<int>").alias("c"),
-                        F.from_json("prior_group_responses", "array<int>").alias("a"))
-    e = lists.select("group_num", F.posexplode(both).alias("pos", "_e")).select(
-        "group_num", "pos", F.col("_e.c").alias("answered_correctly"), F.col("_e.a").alias("user_answer"))
-    w = Window.partitionBy("group_num").orderBy("row_id")
-    r = prev_rows.select((F.col("group_num") + 1).alias("group_num"), "row_id", "user_id",
-                         (F.row_number().over(w) - 1).alias("pos"))
-    return e.join(r, ["group_num", "pos"]).select("group_num", "row_id", "user_id", "answered_correctly",
-                                                         "user_answer")

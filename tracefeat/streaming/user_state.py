@@ -1,36 +1,39 @@
-"""K1-K3: online user features with late labels, as one keyed stateful operator.
-
-Per user the state holds the counters, the rows still waiting for their
-answers, labels that arrived before their row (kept for ``ttl_groups``
-groups, then handed out as rows of kind ``expired_label``, never lost), and the last ``n - 1`` answered question rows for sequences.  For
-each group of events (one micro-batch of the online loop) the operator
-(a) folds the labels of the previous group into the state, (b) scores the new
-rows from the state without updating it, then (c) makes the new rows pending.
-Events are processed group by group in group order inside each call, so the
-result does not depend on how groups are packed into micro-batches.
+"""K1/K3: online user features with late labels, as one keyed operator over typed state.
+
+Per user the state holds
+
+* a value: the counters and how many early labels wait,
+* a map of the rows still waiting for their answer, one entry a row,
+* a map of labels that came before their row,
+* a list of the last ``n - 1`` answered question rows, for sequences,
+* a map from a due time to the rows and labels that came at that time.
+
+A call reads and writes only the entries its events name, so its cost does not
+grow with the rows a user has waiting.  For each group of events (one
+micro-batch of the online loop) the operator (a) folds the labels of the
+previous group into the state, (b) scores the new rows from the state without
+updating it, then (c) makes the new rows pending.  Events are processed group
+by group in group order inside each call, so the result does not depend on how
+groups are packed into micro-batches.
+
+Event-time timers on the arrival time free what never finds its other half, for
+users without further events too: a row without an answer leaves as a row of
+kind ``expired_row`` after ``row_ttl_ms``, a label without a row as
+``expired_label``, at the latest after the same time and, when the user goes
+on, after ``ttl_groups`` groups.  Nothing leaves silently.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 N_SEQ = 21
 TTL_GROUPS = 10
-
-STATE_SCHEMA = T.StructType([
-    T.StructField("u_cnt", T.LongType()), T.StructField("u_corr", T.LongType()), T.StructField("lec", T.LongType()),
-    T.StructField("pend_row", T.ArrayType(T.LongType())), T.StructField("pend_ct", T.ArrayType(T.IntegerType())),
-    T.StructField("pend_content", T.ArrayType(T.IntegerType())), T.StructField("pend_ts", T.ArrayType(T.LongType())),
-    T.StructField("orph_row", T.ArrayType(T.LongType())), T.StructField("orph_ans", T.ArrayType(T.IntegerType())),
-    T.StructField("orph_group", T.ArrayType(T.LongType())),
-    T.StructField("hist_content", T.ArrayType(T.IntegerType())), T.StructField("hist_ans", T.ArrayType(T.IntegerType())),
-    T.StructField("hist_ts", T.ArrayType(T.LongType())),
-])
+ROW_TTL_MS = 24 * 3_600_000
+DELAY = "1 hour"
 
 OUTPUT_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType()), T.StructField("user_id", T.LongType()),
@@ -40,80 +43,147 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("seq_content_id", T.ArrayType(T.LongType())),
     T.StructField("seq_answered_correctly", T.ArrayType(T.LongType())),
     T.StructField("seq_timestamp_diff", T.ArrayType(T.LongType())),
-    T.StructField("kind", T.StringType()),                 # feature, or expired_label (row_id, group_num, its answer in u_corr_cnt)
+    T.StructField("kind", T.StringType()),     # feature, expired_row, or expired_label (its answer in u_corr_cnt)
 ])
 
 
-def make_processor(n_seq: int = N_SEQ, ttl_groups: int = TTL_GROUPS):
-    keep = n_seq - 1
-    names = [f.name for f in OUTPUT_SCHEMA.fields]
-
-    def _pad(xs: list, n: int) -> list:
-        return [0] * (n - len(xs)) + xs if len(xs) < n else xs[-n:]
-
-    def process(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        user = int(key[0])
-        if state.exists:
-            s = state.get
-            u_cnt, u_corr, lec = int(s[0]), int(s[1]), int(s[2])
-            pend = {int(r): (int(c), int(ct), int(t)) for r, ct, c, t in zip(s[3], s[4], s[5], s[6])}
-            orph = {int(r): (int(a), int(g)) for r, a, g in zip(s[7], s[8], s[9])}
-            h_c, h_a, h_t = list(s[10]), list(s[11]), list(s[12])
-        else:
-            u_cnt = u_corr = lec = 0
-            pend, orph, h_c, h_a, h_t = {}, {}, [], [], []
-        ev = pd.concat(list(pdfs), ignore_index=True)
+class UserLoop(StatefulProcessor):
+    """The online loop of one user."""
+
+    def __init__(self, n_seq: int = N_SEQ, ttl_groups: int = TTL_GROUPS, row_ttl_ms: int = ROW_TTL_MS):
+        self.n_seq, self.ttl_groups, self.row_ttl_ms = n_seq, ttl_groups, row_ttl_ms
+        self.names = [f.name for f in OUTPUT_SCHEMA.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counters = handle.getValueState("counters", "u_cnt long, u_corr long, lec long, n_early long")
+        self.pending = handle.getMapState("pending", "row_id long", "ct int, content int, ts long, group_num long")
+        self.early = handle.getMapState("early", "row_id long", "answer long, group_num long")
+        self.recent = handle.getListState("recent", "content long, answer long, ts long")
+        self.due = handle.getMapState("due", "at long", "rows array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        user, n = int(key[0]), self.n_seq
+        u_cnt, u_corr, lec, n_early = self.counters.get() if self.counters.exists() else (0, 0, 0, 0)
+        recent = [tuple(r) for r in self.recent.get()]
+        had = list(recent)
+        new: dict[int, tuple] = {}               # rows of this call that still wait
+        waits: dict[int, list] = {}              # due time -> ids of this call that wait
         out = []
 
-        def fold(row_id: int, ans: int):
-            nonlocal u_cnt, u_corr, lec, h_c, h_a, h_t
-            content, ct, ts = pend.pop(row_id)
-            if ct == 1:
-                lec += 1
-                return
-            u_cnt += 1
-            u_corr += ans
-            h_c, h_a, h_t = (h_c + [content])[-keep:], (h_a + [ans])[-keep:], (h_t + [ts])[-keep:]
-
+        def fold(found) -> None:
+            """Labels into the state, in time order of their rows."""
+            nonlocal u_cnt, u_corr, lec, recent
+            for _, _, ct, content, ts, answer in sorted(found):
+                if ct == 1:
+                    lec += 1
+                    continue
+                u_cnt += 1
+                u_corr += answer
+                recent = (recent + [(content, answer, ts)])[-(n - 1):] if n > 1 else []
+
+        def take(row_id):
+            """The waiting row of that id, no longer waiting; None without one."""
+            if row_id in new:
+                return new.pop(row_id)
+            if not self.pending.containsKey((row_id,)):
+                return None
+            row = tuple(self.pending.getValue((row_id,)))
+            self.pending.removeKey((row_id,))
+            return row
+
+        def pad(xs, size):
+            return [0] * (size - len(xs)) + xs if len(xs) < size else xs[len(xs) - size:]
+
+        ev = pd.concat(list(rows), ignore_index=True)
         for g, ge in ev.groupby("group_num", sort=True):
             g = int(g)
-            # (a) labels of the previous group, folded in time order of their rows
+            # (a) labels of the previous group
             lab = ge[ge["kind"] == "label"]
-            for r, a in zip(lab["row_id"].astype("int64"), lab["answered_correctly"].astype("int64")):
-                orph[int(r)] = (int(a), g)
-            ready = sorted((pend[r][2], r) for r in orph if r in pend)
-            for _, r in ready:
-                fold(r, orph.pop(r)[0])
+            found = []
+            for r, a, at in zip(lab["row_id"], lab["answered_correctly"], lab["arrival_ts"]):
+                r, a = int(r), int(a)
+                row = take(r)
+                if row is None:
+                    if not self.early.containsKey((r,)):
+                        n_early += 1
+                    self.early.updateValue((r,), (a, g))
+                    waits.setdefault(int(at.value // 10**6) + self.row_ttl_ms, []).append(r)
+                else:
+                    found.append((row[2], r, row[0], row[1], row[2], a))
+            fold(found)
             # (b) score the new rows from the state, without updating it
-            rows = ge[ge["kind"] == "row"].sort_values(["timestamp", "row_id"])
             rate = u_corr / u_cnt if u_cnt else None
-            for r, c, ct, t in zip(rows["row_id"], rows["content_id"], rows["content_type_id"], rows["timestamp"]):
+            h_c, h_a, h_t = ([x[k] for x in recent] for k in range(3))
+            some = ge[ge["kind"] == "row"].sort_values(["timestamp", "row_id"])
+            for r, c, ct, t, at in zip(some["row_id"], some["content_id"], some["content_type_id"], some["timestamp"],
+                                       some["arrival_ts"]):
                 r, c, ct, t = int(r), int(c), int(ct), int(t)
                 if ct == 0:
-                    cs = _pad(h_c + [c], n_seq)
-                    ans = _pad(list(h_a), n_seq - 1)
-                    ts = _pad(h_t + [t], n_seq)
-                    out.append((r, user, g, u_cnt, u_corr, rate, lec, cs[1:], ans,
+                    ts = pad(h_t + [t], n)
+                    out.append((r, user, g, u_cnt, u_corr, rate, lec, pad(h_c + [c], n)[1:], pad(h_a, n - 1),
                                 [b - a for a, b in zip(ts[:-1], ts[1:])], "feature"))
-                pend[r] = (c, ct, t)
-            # (c) labels that came before their row, then expiry of old orphans
-            ready = sorted((pend[r][2], r) for r in orph if r in pend)
-            for _, r in ready:
-                fold(r, orph.pop(r)[0])
-            out += [(r, user, g, None, v[0], None, None, None, None, None, "expired_label")
-                    for r, v in orph.items() if g - v[1] > ttl_groups]
-            orph = {r: v for r, v in orph.items() if g - v[1] <= ttl_groups}
-        pr = sorted(pend)
-        state.update((u_cnt, u_corr, lec, pr, [pend[r][1] for r in pr], [pend[r][0] for r in pr],
-                      [pend[r][2] for r in pr], list(orph), [v[0] for v in orph.values()],
-                      [v[1] for v in orph.values()], h_c, h_a, h_t))
-        yield pd.DataFrame(out, columns=names, dtype=object)
-
-    return process
-
-
-def online_user_features(events: DataFrame, n_seq: int = N_SEQ, ttl_groups: int = TTL_GROUPS) -> DataFrame:
-    """Keyed stateful scoring of a (streaming or batch) event frame."""
-    return (events.filter("kind IN ('row', 'label')").groupBy("user_id")
-            .applyInPandasWithState(make_processor(n_seq, ttl_groups), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+                new[r] = (ct, c, t, g)
+                waits.setdefault(int(at.value // 10**6) + self.row_ttl_ms, []).append(r)
+            # (c) labels that came before their row, then those that waited too long
+            if n_early:
+                found = []
+                for (r,), (a, since) in [(tuple(k), tuple(v)) for k, v in self.early.iterator()]:
+                    row = take(r)
+                    if row is not None:
+                        found.append((row[2], r, row[0], row[1], row[2], a))
+                    elif g - since > self.ttl_groups:
+                        out.append((r, user, g, None, a, None, None, None, None, None, "expired_label"))
+                    else:
+                        continue
+                    self.early.removeKey((r,))
+                    n_early -= 1
+                fold(found)
+        for r, row in new.items():
+            self.pending.updateValue((r,), row)
+        self._wait(waits, new)
+        if recent != had:
+            self.recent.put(recent)
+        self.counters.update((u_cnt, u_corr, lec, n_early))
+        yield pd.DataFrame(out, columns=self.names, dtype=object)
+
+    def _wait(self, waits: dict, new: dict) -> None:
+        """Timers of the rows and labels that still wait at the end of the call."""
+        for at, ids in waits.items():
+            ids = [r for r in ids if r in new or self.early.containsKey((r,))]
+            if ids:
+                before = list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
+                self.due.updateValue((at,), (before + ids,))
+                self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        user, at = int(key[0]), expiredTimerInfo.getExpiryTimeInMs()
+        out = []
+        if self.due.containsKey((at,)):
+            u_cnt, u_corr, lec, n_early = self.counters.get()
+            for r in self.due.getValue((at,))[0]:
+                if self.pending.containsKey((r,)):
+                    g = self.pending.getValue((r,))[3]
+                    out.append((r, user, g, None, None, None, None, None, None, None, "expired_row"))
+                    self.pending.removeKey((r,))
+                if self.early.containsKey((r,)):
+                    a, g = self.early.getValue((r,))
+                    out.append((r, user, g, None, a, None, None, None, None, None, "expired_label"))
+                    self.early.removeKey((r,))
+                    n_early -= 1
+            self.due.removeKey((at,))
+            self.counters.update((u_cnt, u_corr, lec, n_early))
+        yield pd.DataFrame(out, columns=self.names, dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def online_user_features(events: DataFrame, n_seq: int = N_SEQ, ttl_groups: int = TTL_GROUPS,
+                         row_ttl_ms: int = ROW_TTL_MS, delay: str | None = DELAY) -> DataFrame:
+    """Keyed stateful scoring of an event stream.  ``delay`` bounds how far apart in arrival time the
+    events of one moment may reach the operator (the watermark is that far behind); None if the
+    stream has its watermark on ``arrival_ts`` already.  Needs the RocksDB state store."""
+    ev = events.withWatermark("arrival_ts", delay) if delay else events
+    return (ev.filter("kind IN ('row', 'label')").groupBy("user_id")
+            .transformWithStateInPandas(UserLoop(n_seq, ttl_groups, row_ttl_ms), OUTPUT_SCHEMA, "Append", "EventTime"))
