@@ -153,75 +153,74 @@ def tag_history(df: DataFrame) -> DataFrame:
 
 
 # U7 ------------------------------------------------------------------------
-TAG_RANK_CHUNK = 50_000
-
-
-def tag_rank(df: DataFrame, n_tags: int = N_TAGS, chunk_rows: int = TAG_RANK_CHUNK) -> DataFrame:
+def _occurrences(e: DataFrame, chunk_rows: int | None) -> DataFrame:
+    """``level``: which occurrence of its tag for its user an entry is (1-based), and ``_c``: how many came
+    in earlier rows.  With ``chunk_rows`` a user's history is numbered chunk by chunk, plus the
+    occurrences of the chunks before, so no task holds more than a chunk of a user."""
+    keys = ["user_id", "tag"]
+    if chunk_rows:
+        e = e.withColumn("_ch", F.floor(F.col("seq") / chunk_rows).cast("long"))
+        before = Window.partitionBy(*keys).orderBy("_ch").rowsBetween(UNB, -1)
+        offs = (e.groupBy(*keys, "_ch").agg(F.count(F.lit(1)).alias("_n"))
+                .select(*keys, "_ch", F.sum("_n").over(before).alias("_off")).filter(F.col("_off") > 0))
+        e = e.join(offs, [*keys, "_ch"], "left")
+        keys.append("_ch")
+    level = F.row_number().over(Window.partitionBy(*keys).orderBy("seq", "pos"))
+    e = e.withColumn("level", (level + F.coalesce(F.col("_off"), F.lit(0)) if chunk_rows else level).cast("long"))
+    return e.withColumn("_c", F.min("level").over(Window.partitionBy(*keys, "seq")) - 1)
+
+
+def tag_rank(df: DataFrame, n_tags: int = N_TAGS, chunk_rows: int | None = None) -> DataFrame:
     """Rank of each of the row's tags among the user's n_tags prior tag counters
     (ascending, ties by tag id): max, min and sum over the row's tags.
 
-    The user's history is cut into chunks of ``chunk_rows`` rows; the counters
-    at each chunk start come from an aggregation over earlier chunks, and each
-    (user, chunk) group is scanned by one pandas function: no task holds more
-    than one chunk of a user, whatever the user's size.  Tags outside
-    0..n_tags-1 get counters of their own behind those, in the order of their ids
-    (their list is part of the tag dictionary, not of the log)."""
-    import numpy as np
-    import pandas as pd
-
-    e = tag_entries(df)
+    A counter only rises by one, so the tags with a count of at least c are
+    those whose c-th occurrence came before.  Every entry is an event (user,
+    level = its occurrence number), and a tag t with prior count c ranks
+
+        n_tags - events of level c + events of level c with a tag below t
+               - events of level c + 1 with a tag below t
+
+    (the first two terms are 0 and t for c = 0).  Tags below t are a prefix of
+    the ids: an event is written to the dyadic id ranges that hold its tag, a
+    prefix is the sum of at most one range per bit of t, and each range is a
+    running count in a window keyed (user, level, range).  A tag reaches a
+    level once, so such a window holds at most a few rows per tag however long
+    the user's history is; ``chunk_rows`` bounds the numbering before it.
+    Tags outside 0..n_tags-1 get counters of their own behind those, in the
+    order of their ids (their list is part of the tag dictionary, not of the log)."""
+    e = tag_entries(df.filter(~F.col("_halo")) if SG.active() else df)
     more = [r["tag"] for r in e.filter(~F.col("tag").between(0, n_tags - 1)).select("tag").distinct().collect()]
     if more:
         listed = F.array(*[F.lit(t) for t in sorted(more)])
         e = e.withColumn("tag", F.when(F.col("tag").between(0, n_tags - 1), F.col("tag"))
                          .otherwise(F.array_position(listed, F.col("tag")) + (n_tags - 1)).cast("int"))
         n_tags += len(more)
-    e = e.withColumn("chunk", (F.col("seq") / chunk_rows).cast("long"))
-    # counters at the end of each chunk where a tag occurs
-    cum = (e.groupBy("user_id", "chunk", "tag").agg(F.count(F.lit(1)).alias("n"))
-           .withColumn("n_cum", F.sum("n").over(Window.partitionBy("user_id", "tag").orderBy("chunk")
-                                                .rowsBetween(UNB, 0)))
-           .select("user_id", "chunk", "tag", "n_cum", F.lit(0).alias("is_grid")))
-    # start state of every later chunk: one row per (chunk >= 1, tag of the fixed vocabulary),
-    # filled forward from the last chunk before it (linear in chunks, no row pairs)
-    grid = (e.filter(F.col("chunk") >= 1).select("user_id", "chunk").distinct()
-            .withColumn("tag", F.explode(F.sequence(F.lit(0), F.lit(n_tags - 1))))
-            .select("user_id", "chunk", "tag", F.lit(None).cast("long").alias("n_cum"), F.lit(1).alias("is_grid")))
-    wf = Window.partitionBy("user_id", "tag").orderBy("chunk", F.col("is_grid").desc()).rowsBetween(UNB, -1)
-    start = (cum.unionByName(grid)
-             .withColumn("n0", F.coalesce(F.last("n_cum", ignorenulls=True).over(wf), F.lit(0)))
-             .filter((F.col("is_grid") == 1) & (F.col("n0") > 0)).select("user_id", "chunk", "tag", "n0"))
-
-    def scan(key, rows: pd.DataFrame, init: pd.DataFrame) -> pd.DataFrame:
-        counts = np.zeros(n_tags, dtype=np.int64)
-        if len(init):
-            counts[init["tag"].to_numpy()] += init["n0"].to_numpy()
-        rows = rows.sort_values(["seq", "pos"])
-        rid = rows["row_id"].to_numpy()
-        tag = rows["tag"].to_numpy().astype(np.int64)
-        starts = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
-        ends = np.r_[starts[1:], len(rid)]
-        ids = np.arange(n_tags)
-        out_id = rid[starts]
-        out = np.zeros((len(starts), 3), dtype=np.int64)
-        for i, (a, b) in enumerate(zip(starts, ends)):
-            t = tag[a:b]
-            c = counts[t]
-            # rank of t = tags with a smaller count + tags with the same count and a smaller id
-            r = (counts[None, :] < c[:, None]).sum(1) + ((counts[None, :] == c[:, None])
-                                                         & (ids[None, :] < t[:, None])).sum(1)
-            out[i] = (r.max(), r.min(), r.sum())
-            np.add.at(counts, t, 1)
-        return pd.DataFrame({"row_id": out_id, "u_hist_tag_rank_max": out[:, 0], "u_hist_tag_rank_min": out[:, 1],
-                             "u_hist_tag_rank_sum": out[:, 2]})
-
-    # fresh attribute ids on both sides: they share lineage and cogroup resolves by attribute
-    rows = e.select(*[F.col(c).alias(c) for c in ("user_id", "chunk", "row_id", "seq", "pos", "tag")])
-    init = start.select(*[F.col(c).alias(c) for c in ("user_id", "chunk", "tag", "n0")])
-    ranks = (rows.groupBy("user_id", "chunk")
-             .cogroup(init.groupBy("user_id", "chunk"))
-             .applyInPandas(scan, "row_id long, u_hist_tag_rank_max long, u_hist_tag_rank_min long, "
-                                  "u_hist_tag_rank_sum long"))
+    e = _occurrences(e, SG._ACTIVE.get()[0] if SG.active() else chunk_rows)
+    bits = n_tags.bit_length()
+    t, level, c = F.col("tag"), F.col("level"), F.col("_c")
+
+    def step(lvl, node, came, sign, base=0):
+        return F.struct(lvl.alias("lvl"), node.cast("int").alias("node"), F.lit(came).alias("came"),
+                        F.lit(sign).alias("sign"), (F.lit(base) if isinstance(base, int) else base).cast("int").alias("base"))
+
+    def cut(x, b):                                       # x down to a multiple of 2^b
+        return F.shiftleft(F.shiftright(x, b), b)
+
+    steps = [step(level, F.lit(0), 1, 0, F.when(c == 0, t).otherwise(n_tags)),       # range 0: all tags
+             F.when(c > 0, step(c, F.lit(0), 0, -1))]
+    for b in range(bits):
+        above = cut(t + (1 << b), b)                     # the range of width 2^b that ends there holds the tag
+        steps.append(F.when(F.shiftright(above, b).bitwiseAND(F.lit(1)) == 1, step(level, above, 1, 0)))
+        inside = t.bitwiseAND(F.lit(1 << b)) != 0        # a range of the prefix below the tag
+        steps += [F.when(inside & (c > 0), step(c, cut(t, b), 0, 1)), F.when(inside, step(c + 1, cut(t, b), 0, -1))]
+    s = e.select("user_id", "row_id", "pos", "seq", F.explode(F.array_compact(F.array(*steps))).alias("_s")) \
+        .select("user_id", "row_id", "pos", "seq", "_s.*")
+    earlier = Window.partitionBy("user_id", "lvl", "node").orderBy("seq").rangeBetween(UNB, -1)
+    s = s.withColumn("_v", F.col("sign") * F.coalesce(F.sum("came").over(earlier), F.lit(0)) + F.col("base"))
+    rank = s.filter("sign <> 0 OR node = 0").groupBy("row_id", "pos").agg(F.sum("_v").alias("_r"))
+    ranks = rank.groupBy("row_id").agg(F.max("_r").alias("u_hist_tag_rank_max"), F.min("_r").alias("u_hist_tag_rank_min"),
+                                       F.sum("_r").alias("u_hist_tag_rank_sum"))
     return df.join(ranks, "row_id", "left")
 
 

@@ -116,7 +116,7 @@ rk AS (SELECT e.row_id, e.tag, sum(CASE WHEN o.cnt < me.cnt OR (o.cnt = me.cnt A
 SELECT row_id, max(r) AS u_hist_tag_rank_max, min(r) AS u_hist_tag_rank_min, sum(r) AS u_hist_tag_rank_sum
 FROM rk GROUP BY row_id""")
 def q_u7(spark, d):
-    """Rank of the row's tags among the user's 189 prior tag counters (chunked pandas scan)."""
+    """Rank of the row's tags among the user's 189 prior tag counters (running counts over dyadic id ranges)."""
     df, _ = _base(spark, d)
     return U.questions_only(U.tag_rank(df))
 
@@ -282,10 +282,9 @@ def q_u14b(spark, d):
     return U.update_without_score(log.filter("is_val = 0"), log.filter("is_val = 1"))
 
 
-# (segment, halo) rows of the segmented twins; U3 looks back 100 rows.  U7 is cut into chunks
-# of its own, U14 has no window.
+# (segment, halo) rows of the segmented twins; U3 looks back 100 rows.  U14 has no window.
 TWIN_ROWS = {"U3": (110, 104)}
-UNSEGMENTED = ("U7", "U14", "U14b")
+UNSEGMENTED = ("U14", "U14b")
 
 
 def _register_twins():
