@@ -683,3 +683,111 @@ def test_answer_lists_feed_the_loop(spark):
                   for r in out if r["kind"] == "label") == [(1, 2, 1, 3, 1), (2, 1, 0, 2, 1), (3, 1, 1, 1, 1)]
     assert sorted((r["kind"], r["row_id"], r["group_num"]) for r in out if r["kind"] != "label") == [
         ("unmatched_list", None, 2), ("unmatched_list", None, 9), ("unmatched_row", 4, 1), ("unmatched_row", 5, 2)]
+
+
+def test_svd_of_a_flat_spectrum_and_of_nothing(spark):
+    """Singular values within 1e-6 of numpy where they hardly fall; rank below k; an empty matrix."""
+    import numpy as np
+    from tracefeat.operators import ml
+    x = interaction_log(spark, "/root/testdata/sf0.01").filter("content_type_id = 0").select("content_id", "user_id").distinct()
+    emb, s = ml.svd_embedding(x, "content_id", "user_id", 5)
+    p = x.toPandas()
+    m = np.zeros((p["content_id"].max() + 1, p["user_id"].max() + 1))
+    m[p["content_id"], p["user_id"]] = 1
+    u, want, _ = np.linalg.svd(m, full_matrices=False)
+    assert np.abs(np.array(s) - want[:5]).max() < 1e-6
+    got = np.zeros((len(m), 5))
+    for r in emb.collect():
+        got[r[0]] = r[1:]
+    assert np.abs(np.abs(got.T @ u[:, :5]) / want[:5] - np.eye(5)).max() < 1e-3
+    two = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (None, 3)], "content_id int, user_id int")
+    emb, s = ml.svd_embedding(two, "content_id", "user_id", 5)
+    assert np.allclose(s, [2.0, 1.0]) and emb.count() == 3
+    emb, s = ml.svd_embedding(two.limit(0), "content_id", "user_id", 5)
+    assert s == [] and emb.count() == 0
+
+
+def test_tag_vectors_have_their_company_for_neighbours(spark):
+    """Tags of one of two kinds of question lie closer to their own kind; a second run gives the same vectors."""
+    import numpy as np
+    from tracefeat.operators import ml
+    rows = [(i, " ".join(str(20 * (i % 2) + (i * 7 + j * 5) % 12) for j in range(4))) for i in range(200)] + [(999, "77"), (998, None)]
+    qs = spark.createDataFrame(rows, "question_id int, tags string")
+    once, again = ({r["tag"]: np.array(r["vec"]) for r in ml.tag_ppmi_vectors(qs, size=30).collect()} for _ in range(2))
+    assert set(once) == {str(t) for t in [*range(12), *range(20, 32), 77]} | {"nan"}
+    assert not once["77"].any() and not once["nan"].any()
+    assert all(abs(once[t] @ once[u] - again[t] @ again[u]) < 1e-8 for t in once for u in once)     # equal values may turn
+    unit = {t: v / np.linalg.norm(v) for t, v in once.items() if v.any()}
+    own = [unit[a] @ unit[b] for a in unit for b in unit if a != b and (int(a) < 20) == (int(b) < 20)]
+    far = [unit[a] @ unit[b] for a in unit for b in unit if (int(a) < 20) != (int(b) < 20)]
+    assert np.mean(own) > np.mean(far) + 0.2 and max(map(abs, far)) < 0.1
+    vec = {r["tag"]: np.array(r["w2v"]) for r in ml.tag_word2vec(qs, size=8, partitions=3).collect()}
+    assert set(vec) == set(once)
+
+
+def test_fine_grid_blends_agree_with_the_shuffled_form_and_the_coarse_grid(spark):
+    from tracefeat.operators import evaluate as E
+    from tracefeat.plans.q_evaluate import _scores3
+    s = _scores3(spark, SF_SMALL).withColumn("a", F.when(F.col("row_id") % 50 != 0, F.col("a")))     # null scores too
+    cols = ["a", "b", "c"]
+    fine = {r[:3]: r["auc"] for r in E.blend_search(s, cols, E.weight_grid(3, 0.01)).select("w0", "w1", "w2", "auc").collect()}
+    assert len(fine) == 5151
+    coarse = {r[:3]: r["auc"] for r in E.blend_search(s, cols, E.weight_grid(3, 0.1), max_rows=0, block=30)
+              .select("w0", "w1", "w2", "auc").collect()}
+    assert len(coarse) == 66
+    for w, v in coarse.items():
+        assert abs(fine[w] - v) < 1e-12
+    one = E.auc(s.withColumn("score", F.lit(0.0) + F.col("a") * 0.37 + F.col("b") * 0.21 + F.col("c") * 0.42)).first()[0]
+    assert abs(fine[(0.37, 0.21, 0.42)] - one) < 1e-12
+    single = E.blend_search(s.filter("y = 1"), cols, E.weight_grid(3, 0.5))
+    assert [r["auc"] for r in single.collect()] == [None] * 6
+
+
+def test_multilabel_folds_hold_their_share_of_every_label(spark):
+    """Three correlated labels, one rare; null is a label value like any other."""
+    rows = [(i, int(i % 3 == 0), int(i % 3 == 0 and i % 7 < 5 or i % 31 == 0), 1 if i % 50 == 7 else None if i % 11 == 0 else 0)
+            for i in range(1003)]
+    df = spark.createDataFrame(rows, "row_id long, a int, b int, c int")
+    for order in ("hash", "id"):
+        out = V.multilabel_stratified_kfold(df, ["a", "b", "c"], 5, seed=3, order=order).toPandas()
+        assert sorted(out["row_id"]) == list(range(1003)) and set(out["fold"]) == set(range(5))
+        for label in ("a", "b", "c"):
+            n = out[label].isna().sum() / 5
+            assert abs(out[out[label].isna()].groupby("fold").size().reindex(range(5), fill_value=0) - n).max() <= 1.6
+            for v in out[label].dropna().unique():
+                n = (out[label] == v).sum() / 5
+                assert abs(out[out[label] == v].groupby("fold").size().reindex(range(5), fill_value=0) - n).max() <= 1.6, (label, v)
+    assert V.multilabel_stratified_kfold(df.limit(0), ["a", "b"], 5).count() == 0
+
+
+def test_stratified_group_folds_are_the_greedy_ones(spark):
+    """Classes of equal groups give what a group-by-group greedy gives, beat dealing in snake order, and keep groups whole."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    rows, i = [], 0
+    for g in range(120):
+        for _ in range(int(rng.integers(1, 30)) if g < 60 else 4):
+            rows.append((i, g if g != 5 else None, int(rng.random() < (g % 10) / 12) if g < 60 else i % 2))
+            i += 1
+    df = spark.createDataFrame(rows, "row_id long, user_id long, y int")
+    out = V.stratified_group_kfold(df, "user_id", "y", 4).toPandas()
+    assert len(out) == len(rows) and (out.groupby("user_id", dropna=False)["fold"].nunique() == 1).all()
+    total = out.groupby("y").size()
+
+    def spread(folds):
+        table = out.assign(fold=folds).groupby(["fold", "y"]).size().unstack(fill_value=0).reindex(range(4), fill_value=0)
+        return (table / total).std(ddof=0).mean()
+
+    counts = out.groupby(["user_id", "y"], dropna=False).size().unstack(fill_value=0)
+    held, fold_of = np.zeros((4, 2)), {}
+    for g, c in sorted(((g, tuple(c)) for g, c in zip(counts.index, counts.to_numpy())), key=lambda x: -sum(x[1])):
+        tried = [np.mean(np.std([(held + np.eye(4)[f][:, None] * c)[k] / total.to_numpy() for k in range(4)], axis=0)) for f in range(4)]
+        f = int(np.argmin(tried))
+        held[f] += c
+        fold_of[g] = f
+    greedy = spread([fold_of[g] if g in fold_of else fold_of[np.nan] for g in out["user_id"]]) if not out["user_id"].isna().any() \
+        else spread(out["user_id"].map(lambda g: next(v for k, v in fold_of.items() if k == g or (k != k and g != g))))
+    snake = {g: (lambda p: p % 4 if p // 4 % 2 == 0 else 3 - p % 4)(p) for p, g in enumerate(
+        sorted(counts.index, key=lambda g: -(counts.loc[g].iloc[1] / counts.loc[g].sum()) if g == g else 0))}
+    dealt = spread(out["user_id"].map(lambda g: next(v for k, v in snake.items() if k == g or (k != k and g != g))))
+    assert spread(out["fold"]) <= greedy * 1.5 + 1e-3 and spread(out["fold"]) < dealt

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracefeat.functions.columns import sigmoid
 from tracefeat.plans.ranking import global_cumsum
+from tracefeat.session import cut_lineage
 
 
 # E1 / E2 -------------------------------------------------------------------
@@ -82,24 +83,74 @@ def weight_grid(n_models: int, step: float) -> list[tuple[float, ...]]:
     return out
 
 
-def blend_search(df: DataFrame, cols, grid, label: str = "y") -> DataFrame:
-    """AUC of every weight vector of ``grid`` (a bounded list built from a step),
-    one row per vector (w0.., auc).  Each row of ``df`` fans out once per vector."""
-    arr = F.array(*[F.struct(F.lit(i).alias("gid"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(g)])
-                    for i, g in enumerate(grid)])
-    # rows sharing all model scores are merged before the fan-out (pre-aggregation)
-    d = df.groupBy(*cols).agg(F.sum(F.col(label)).alias("_pos"),
-                              (F.count(F.lit(1)) - F.sum(F.col(label))).alias("_neg"))
+MAX_SCORE_ROWS = 1_000_000   # distinct score rows (about 40 MB) up to which every task may hold them all
+GRID_BLOCK = 64              # weight vectors of one shuffle beyond that
+
+
+def blend_search(df: DataFrame, cols, grid, label: str = "y", max_rows: int = MAX_SCORE_ROWS,
+                 block: int = GRID_BLOCK) -> DataFrame:
+    """AUC of every weight vector of ``grid`` (a bounded list built from a step), one row per vector (w0.., auc).
+
+    Rows with equal model scores are merged first.  If at most ``max_rows``
+    distinct score rows are left (counted), they are sent to the tasks once and
+    the grid is spread over the tasks, each ranking its vectors' blends; no
+    score row is copied per vector.  Beyond that the vectors are taken in
+    blocks, and each block's blends are counted per (vector, score) and ranked
+    by sorted ranges, so one shuffle holds ``block`` times the score rows,
+    however fine the grid.  A blend with a null score ranks lowest."""
+    cols = list(cols)
+    d = cut_lineage(df.groupBy(*cols).agg(F.sum(F.col(label)).cast("long").alias("_pos"),
+                                          (F.count(F.lit(1)) - F.sum(F.col(label))).cast("long").alias("_neg")))
+    ws = [tuple(float(w) for w in g) for g in grid]
+    weights = df.sparkSession.createDataFrame([(i, *g) for i, g in enumerate(ws)],
+                                              "gid int, " + ", ".join(f"w{j} double" for j in range(len(cols))))
+    if d.limit(max_rows + 1).count() <= max_rows:
+        a = _ranked_in_tasks(d, cols, ws)
+    else:
+        parts = [_ranked_by_shuffle(d, cols, list(enumerate(ws))[lo:lo + block]) for lo in range(0, len(ws), block)]
+        a = parts[0]
+        for p in parts[1:]:
+            a = a.unionByName(p)
+    return a.join(F.broadcast(weights), "gid").drop("gid")    # the grid is a bounded parameter list
+
+
+def _ranked_in_tasks(d: DataFrame, cols: list, ws: list) -> DataFrame:
+    """(gid, auc) of every weight vector; ``d`` is small enough for every task."""
+    import numpy as np
+    spark = d.sparkSession
+    t = d.select(*[F.col(c).cast("double") for c in cols], "_pos", "_neg").toPandas()
+    held = spark.sparkContext.broadcast((t[cols].to_numpy(dtype=np.float64, na_value=np.nan), t["_pos"].to_numpy(),
+                                         t["_neg"].to_numpy(), t[cols].isna().any(axis=1).to_numpy()))
+
+    def rank(batches):
+        import pyarrow as pa
+        x, pos, neg, null = held.value
+        pairs = float(pos.sum()) * float(neg.sum())
+        for b in batches:
+            out = []
+            for g in b.column(0).to_pylist():
+                score = np.zeros(len(x))
+                for j, w in enumerate(ws[g]):
+                    score = score + x[:, j] * w
+                score[null] = -np.inf
+                _, tie = np.unique(score, return_inverse=True)
+                p, n = np.bincount(tie, weights=pos), np.bincount(tie, weights=neg)
+                out.append(float((p * (np.cumsum(n) - n / 2.0)).sum() / pairs) if pairs else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["gid", "auc"])
+
+    gids = spark.range(len(ws)).select(F.col("id").cast("int").alias("gid"))
+    return gids.repartition(min(len(ws), spark.sparkContext.defaultParallelism * 4)).mapInArrow(rank, "gid int, auc double")
+
+
+def _ranked_by_shuffle(d: DataFrame, cols: list, grid: list) -> DataFrame:
+    """(gid, auc) of one block of numbered weight vectors by distributed ranking."""
+    arr = F.array(*[F.struct(F.lit(i).alias("gid"), *[F.lit(w).alias(f"w{j}") for j, w in enumerate(g)]) for i, g in grid])
     x = d.select("_pos", "_neg", *cols, F.explode(arr).alias("_g"))
     score = F.lit(0.0)
     for j, c in enumerate(cols):
         score = score + F.col(c) * F.col(f"_g.w{j}")
-    x = x.select("_pos", "_neg", F.col("_g.gid").alias("gid"), score.alias("score"))
-    s = x.groupBy("gid", "score").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
-    a = auc_from_counts(s, "score", ["gid"])
-    ws = df.sparkSession.createDataFrame([(i, *[float(w) for w in g]) for i, g in enumerate(grid)],
-                                         ["gid", *[f"w{j}" for j in range(len(cols))]])
-    return a.join(F.broadcast(ws), "gid").drop("gid")    # the grid is a bounded parameter list
+    s = x.groupBy(F.col("_g.gid").alias("gid"), score.alias("score")).agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
+    return cut_lineage(auc_from_counts(s, "score", ["gid"]))
 
 
 def best_weights(results: DataFrame, n_models: int) -> DataFrame:

@@ -16,8 +16,10 @@ from pyspark.ml.feature import PCA, CountVectorizer, StandardScaler, VectorAssem
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracefeat.plans.ranking import global_rank
+from tracefeat.session import cut_lineage
 
 
 # M1 ------------------------------------------------------------------------
@@ -36,48 +38,168 @@ def cooccurrence_matrix(df: DataFrame, index: str, columns: str, values: str | N
 
 
 # M2 ------------------------------------------------------------------------
+def _gram(df: DataFrame, column: str, width: int):
+    """Sum of v v' over all rows of an array column: a width x width numpy matrix.  Each task adds up its own
+    products and sends one row per matrix row; the driver gets one matrix."""
+    import numpy as np
+
+    def products(batches):
+        import pyarrow as pa
+        total = None
+        for b in batches:
+            if b.num_rows:
+                v = b.column(0).flatten().to_numpy().reshape(b.num_rows, width)
+                total = v.T @ v if total is None else total + v.T @ v
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(width), pa.int32()),
+                                              "v": pa.array(list(total), pa.list_(pa.float64()))})
+
+    out = np.zeros((width, width))
+    cells = df.select(column).mapInArrow(products, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
+    for r in cells.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+        out[r["i"], r["j"]] = r["x"]
+    return (out + out.T) / 2
+
+
+def _times(df: DataFrame, keep: list, column: str, matrix, name: str) -> DataFrame:
+    """The columns ``keep`` and ``name`` = the array column times a small matrix, batch by batch."""
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(name, T.ArrayType(T.DoubleType()))])
+
+    def product(batches):
+        import pyarrow as pa
+        for b in batches:
+            if b.num_rows:
+                v = b.column(len(keep)).flatten().to_numpy().reshape(b.num_rows, len(matrix)) @ matrix
+                yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(list(v), pa.list_(pa.float64()))],
+                                                 names=[*keep, name])
+
+    return df.select(*keep, column).mapInArrow(product, schema)
+
+
+def _product(cells: DataFrame, by: str, to: str, block: DataFrame, column: str, width: int) -> DataFrame:
+    """(to, v): for every ``to``, the sum over its cells of value times the block row of the cell's ``by``."""
+    rows = block.select(F.col(by), *[F.col(column)[j].alias(f"_b{j}") for j in range(width)])
+    sums = cells.join(rows, by).groupBy(to).agg(*[F.sum(F.col("value") * F.col(f"_b{j}")).alias(f"_s{j}") for j in range(width)])
+    return sums.select(to, F.array(*[f"_s{j}" for j in range(width)]).alias("v"))
+
+
+def truncated_svd(cells: DataFrame, key: str, other: str, k: int = 5, steps: int = 20, extra: int = 15, seed: int = 0,
+                  tol: float = 1e-10):
+    """(table key, u array<double>, singular values): the k leading left singular vectors of a sparse matrix
+    given as cells (key, other, value), one row a cell.
+
+    Block Krylov iteration: a block of k + ``extra`` seeded start vectors is
+    multiplied by A A', each new block is made orthogonal to the blocks before
+    it, and the vectors are read off the whole basis (Rayleigh-Ritz).  Vectors are
+    tables with one row per key or other; a product is a join and a sum per row,
+    a scalar product a matrix of at most ``steps`` (k + extra) rows, and only such
+    matrices reach the driver.  Stops when the k squared singular values move by
+    less than ``tol`` of the largest, when the basis spans all that A reaches, or
+    after ``steps`` blocks.  The sign of a vector is that of its sum of cubes."""
+    import numpy as np
+    cells = cut_lineage(cells.select(key, other, F.col("value").cast("double").alias("value")))
+    width = k + extra
+    draw = [F.xxhash64(F.col(key), F.lit(seed), F.lit(j)) / float(1 << 63) for j in range(width)]
+    basis = cells.select(key).distinct().withColumn("q", F.array()).withColumn("q", F.col("q").cast("array<double>"))
+    new, size, last, inner, found = basis.select(key, F.array(*draw).alias("w")), 0, 0, np.zeros((0, 0)), None
+    for _ in range(steps + 1):
+        both = cut_lineage(basis.join(new, key).select(key, "q", "w"))
+        for turn_no in range(2):                            # twice, so that rounding does not undo it
+            n = size + width
+            g = _gram(both.select(F.concat("q", "w").alias("z")), "z", n)
+            inside, rest = g[:size, size:], g[size:, size:] - g[:size, size:].T @ g[:size, size:]
+            if size and not turn_no:                        # w = A A' (last block): its part of Q' A A' Q
+                inner = np.pad(inner, (0, size - len(inner)))
+                inner[:, size - last:] = inside
+                inner[size - last:, :] = inside.T
+                before, found = found, np.sort(np.linalg.eigvalsh(inner))[::-1][:k]
+                if before is not None and len(before) == len(found) and np.abs(found - before).max() <= tol * found[0]:
+                    width = 0
+                    break
+            e, v = np.linalg.eigh((rest + rest.T) / 2)
+            keep = e > max(g[size:, size:].trace(), 1e-300) * 1e-13
+            if not keep.any():
+                width = 0
+                break
+            turn = v[:, keep] / np.sqrt(e[keep])
+            both = _times(both.withColumn("z", F.concat("q", "w")), [key, "q"], "z", np.vstack([-inside @ turn, turn]), "w")
+            width = int(keep.sum())
+        if not width or size and len(inner) // max(last, 1) >= steps:
+            break
+        basis = cut_lineage(both.select(key, F.concat("q", "w").alias("q"), "w"))
+        size, last = size + width, width
+        across = _product(cells, key, other, basis, "w", width)
+        new = _product(cells, other, key, across, "v", width).select(key, F.col("v").alias("w"))
+        basis = basis.drop("w")
+    if not size:
+        return basis.select(key, F.col("q").alias("u")), []
+    e, v = np.linalg.eigh(inner)
+    order = np.argsort(e)[::-1][:k]
+    order = order[e[order] > max(e.max(), 0.0) * 1e-14]
+    s = np.sqrt(e[order])
+    u = cut_lineage(_times(basis, [key], "q", v[:, order], "u"))
+    cubes = u.agg(*[F.sum(F.col("u")[j] * F.col("u")[j] * F.col("u")[j]) for j in range(len(s))]).first()
+    signs = [-1.0 if c is not None and c < 0 else 1.0 for c in cubes]
+    return u.select(key, F.array(*[F.col("u")[j] * F.lit(x) for j, x in enumerate(signs)]).alias("u")), [float(x) for x in s]
+
+
 def svd_embedding(df: DataFrame, key: str, other: str = "user_id", k: int = 5) -> tuple[DataFrame, list]:
-    """Truncated SVD of the binary key x other incidence matrix.
-
-    The distributed RowMatrix has one sparse row per ``other`` (users), one
-    column per key; ``computeSVD`` (ARPACK on A^T A products aggregated over
-    executors) returns V (keys x k) and the singular values.  The key
-    embedding is V * s, i.e. U * Sigma of the key x other matrix."""
-    from pyspark.mllib.linalg import Vectors as MV
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    pairs = df.select(key, other).dropna().distinct()
-    codes = global_rank(pairs.select(key).distinct(), [key], name="_code").withColumn("_code", F.col("_code") - 1)
-    n_keys = codes.count()
-    rows = (pairs.join(codes, key).groupBy(other).agg(F.sort_array(F.collect_list("_code")).alias("_idx")))
-    rdd = rows.select("_idx").rdd.map(lambda r: MV.sparse(n_keys, r[0], [1.0] * len(r[0])))
-    svd = RowMatrix(rdd).computeSVD(k, computeU=False)
-    s = list(svd.s.toArray())
-    v = svd.V.toArray()  # n_keys x k, bounded by the key vocabulary
-    spark = df.sparkSession
-    emb = spark.createDataFrame([(i, [float(v[i, j] * s[j]) for j in range(len(s))]) for i in range(n_keys)],
-                                "_code long, svd array<double>")
-    out = codes.join(emb, "_code").select(key, *[F.col("svd")[j].alias(f"{key}__svd_{j}") for j in range(len(s))])
-    return out, s
+    """Truncated SVD of the binary key x other incidence matrix: (key, U * Sigma as columns) and the singular
+    values.  Both factors stay tables (see ``truncated_svd``)."""
+    pairs = df.select(key, other).dropna().distinct().withColumn("value", F.lit(1.0))
+    u, s = truncated_svd(pairs, key, other, k)
+    return u.select(key, *[(F.col("u")[j] * F.lit(x)).alias(f"{key}__svd_{j}") for j, x in enumerate(s)]), s
 
 
 # M3 ------------------------------------------------------------------------
-def tag_word2vec(questions: DataFrame, size: int = 32, window: int = 128, seed: int = 2020, max_iter: int = 5,
-                 min_count: int = 1) -> DataFrame:
-    """Tag vectors learned from the questions' tag lists plus a shuffled copy of
-    each list (the shuffle is a seeded hash order, so the run is reproducible)."""
+def _tag_lists(questions: DataFrame, seed: int) -> DataFrame:
+    """The questions' tag lists and a shuffled copy of each (a seeded hash order, so a run is reproducible)."""
     q = questions.select("question_id", F.split(F.coalesce("tags", F.lit("nan")), " ").alias("tags_list"))
     shuffled = q.select("question_id", F.transform(
         F.array_sort(F.transform("tags_list", lambda t: F.struct(F.xxhash64(t, F.col("question_id"), F.lit(seed))
                                                                   .alias("h"), t.alias("t")))),
         lambda s: s["t"]).alias("tags_list"))
-    docs = q.unionByName(shuffled)
+    return q.unionByName(shuffled)
+
+
+def tag_word2vec(questions: DataFrame, size: int = 32, window: int = 128, seed: int = 2020, max_iter: int = 5,
+                 min_count: int = 1, partitions: int = 1) -> DataFrame:
+    """Tag vectors learned by Word2Vec from the questions' tag lists plus a shuffled copy of each list.
+
+    The lists are trained in ``partitions`` pieces whose vectors are averaged
+    after every pass.  One piece repeats to the last bit but is one task; more
+    pieces differ between runs by the order of their sums, and need more passes.
+    The driver holds the vocabulary's vectors.  ``tag_ppmi_vectors`` has neither limit."""
+    n = partitions
+    docs = _tag_lists(questions, seed).repartition(n, "question_id", "tags_list").sortWithinPartitions("question_id", "tags_list")
     model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, seed=seed, maxIter=max_iter,
-                     inputCol="tags_list", outputCol="_v").fit(docs)
+                     numPartitions=n, inputCol="tags_list", outputCol="_v").fit(docs)
     vec = model.getVectors()
     return vec.select(F.col("word").alias("tag"), vector_to_array("vector").alias("w2v"))
 
 
+def tag_ppmi_vectors(questions: DataFrame, size: int = 32, window: int = 128, seed: int = 2020, steps: int = 6) -> DataFrame:
+    """Tag vectors from co-occurrence: (tag, vec).  Tags at most ``window`` places apart in a list count as a
+    pair; the matrix of positive pointwise mutual informations is factored, and a tag's vector is its row of
+    U * sqrt(Sigma), so tags met in the same company lie close.  Everything is a join or a sum; a tag never
+    met with another has a zero vector.  Runs agree but for the last digits and turns among equal singular values."""
+    d = _tag_lists(questions, seed).select(F.posexplode("tags_list").alias("i", "a"), "tags_list")
+    lo, n = F.greatest(F.col("i") - window, F.lit(0)), F.lit(2 * window + 1)
+    near = F.posexplode(F.slice("tags_list", lo + 1, n - (window - F.col("i") + lo)))
+    pairs = d.select("a", "i", lo.alias("_lo"), near.alias("j", "b")).where(F.col("j") + F.col("_lo") != F.col("i"))
+    c = cut_lineage(pairs.where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    one = c.groupBy("a").agg(F.sum("n").alias("na"))
+    total = c.agg(F.sum("n")).scalar()
+    pmi = F.log(F.col("n") * total / (F.col("na") * F.col("nb")))
+    cells = c.join(one, "a").join(one.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b") \
+        .select("a", "b", pmi.alias("value")).where("value > 0")
+    tags = d.select(F.col("a").alias("tag")).distinct()
+    u, s = truncated_svd(cells, "a", "b", size, steps=steps, seed=seed)
+    scaled = F.array(*[F.coalesce(F.col("u")[j] * F.lit(x ** 0.5), F.lit(0.0)) for j, x in enumerate(s)]
+                     + [F.lit(0.0)] * (size - len(s)))
+    return tags.join(u.withColumnRenamed("a", "tag"), "tag", "left").select("tag", scaled.alias("vec"))
+
+
 # M4 ------------------------------------------------------------------------
 def item_projection_2d(emb: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """First two principal components of item vectors (the 2-D map; t-SNE is not built)."""

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracefeat.plans.joins import dim_join
 from tracefeat.plans.ranking import global_rank
 
 
@@ -48,9 +50,82 @@ def stratified_kfold(df: DataFrame, label_cols, k: int = 5, order: str = "hash",
     return out.drop("_ord") if order == "hash" else out
 
 
-def multilabel_stratified_kfold(df: DataFrame, label_cols, k: int = 5, seed: int = 0) -> DataFrame:
-    """Approximation: stratify on the combination of the labels."""
-    return stratified_kfold(df, label_cols, k, "hash", seed)
+MAX_CLASSES = 1_000_000      # distinct label vectors that the fold plan may hold on the driver
+
+
+def _dealt(df: DataFrame, keys, order, plan, k: int) -> DataFrame:
+    """``df`` with ``fold``: the members of a class, ranked by ``order``, go to the folds in turn; those left
+    over (fewer than k) go where ``plan`` (class -> list of folds) says."""
+    spark = df.sparkSession
+    schema = T.StructType([T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keys)]
+                          + [T.StructField("_even", T.LongType()), T.StructField("_rest", T.ArrayType(T.IntegerType()))])
+    rows = [(*key, n // k * k, rest) for key, n, rest in plan]
+    r = global_rank(df, order, partition_cols=keys, name="_pos")
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    r = dim_join(r, spark.createDataFrame(rows, schema), on, "inner", max_rows=MAX_CLASSES)
+    p = F.col("_pos") - 1
+    fold = F.when(p < F.col("_even"), F.pmod(p, F.lit(k))).otherwise(F.get(F.col("_rest"), (p - F.col("_even")).cast("int")))
+    return r.withColumn("fold", fold.cast("int")).drop("_pos", "_even", "_rest", *[f"_k{i}" for i in range(len(keys))])
+
+
+def _classes(df: DataFrame, keys, what: str) -> list:
+    """(key values, members) of every class, in key order; an error beyond ``MAX_CLASSES``."""
+    rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).orderBy(*[F.col(c).asc_nulls_first() for c in keys]) \
+        .limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} distinct {what}")
+    return [(tuple(r[:-1]), r[-1]) for r in rows]
+
+
+def multilabel_plan(classes: list, k: int) -> list:
+    """(label vector, rows, folds of the rows left over) per class.
+
+    A label is a (column, value) pair.  Labels are taken from the rarest to the
+    commonest (ties by column, then value, nulls first), and with each the
+    vectors that hold it and are not yet dealt, in their order.  A class gives
+    each fold the same number of rows; what is left over goes row by row to the
+    fold with the largest remaining need of that label, then with the largest
+    need over all labels of the vector, then to the first.  A fold's need of a
+    label is its target (a k-th of the label's rows) less what it holds; it is
+    kept k-fold, as an integer."""
+    def place(label):
+        return label[0], label[1] is not None, label[1] if label[1] is not None else 0
+
+    total: dict = {}
+    for key, n in classes:
+        for label in enumerate(key):
+            total[label] = total.get(label, 0) + n
+    need = {label: [n] * k for label, n in total.items()}
+    out, done = [], set()
+    for main in sorted(total, key=lambda label: (total[label], place(label))):
+        for key, n in classes:
+            if key in done or key[main[0]] != main[1]:
+                continue
+            done.add(key)
+            labels = list(enumerate(key))
+            for label in labels:
+                need[label] = [x - k * (n // k) for x in need[label]]
+            rest = []
+            for _ in range(n % k):
+                f = max(range(k), key=lambda f: (need[main][f], sum(need[label][f] for label in labels), -f))
+                for label in labels:
+                    need[label][f] -= k
+                rest.append(f)
+            out.append((key, n, rest))
+    return out
+
+
+def multilabel_stratified_kfold(df: DataFrame, label_cols, k: int = 5, seed: int = 0, order: str = "hash") -> DataFrame:
+    """Folds in which every label (column and value) has nearly its share: rows with equal labels are one class,
+    and the classes are dealt by ``multilabel_plan``, which sees only their counts.  ``order='id'``
+    numbers a class's rows by row_id instead of a seeded hash."""
+    label_cols = list(label_cols)
+    plan = multilabel_plan(_classes(df, label_cols, "label vectors"), k)
+    if order == "id":
+        return _dealt(df, label_cols, ["row_id"], plan, k)
+    return _dealt(df.withColumn("_ord", _hash_order(seed)), label_cols, ["_ord", "row_id"], plan, k).drop("_ord")
 
 
 # V3 / V5 -------------------------------------------------------------------
@@ -70,15 +145,46 @@ def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
     return df.join(folds, group, "left")
 
 
+def group_plan(classes: list, totals: list, k: int) -> list:
+    """(label counts, groups, folds of the groups left over) per class of groups with equal label counts.
+
+    Classes are taken by group size, largest first (ties by the counts).  A class
+    gives each fold the same number of groups; each group left over goes to
+    the fold where it leaves the smallest mean, over the labels, of the standard
+    deviation of the folds' shares of the label (equal to 12 digits: the first)."""
+    import numpy as np
+    share = np.maximum(np.array(totals, dtype=float), 1.0)
+    held = np.zeros((k, len(totals)))
+    out = []
+    for counts, n in sorted(classes, key=lambda c: (-sum(c[0]), c[0])):
+        c = np.array(counts, dtype=float)
+        held += c * (n // k)
+        rest = []
+        for _ in range(n % k):
+            tried = held[None, :, :] + np.eye(k)[:, :, None] * c[None, None, :]
+            spread = np.round((tried / share).std(axis=1).mean(axis=1), 12)
+            f = int(spread.argmin())
+            held[f] += c
+            rest.append(f)
+        out.append((counts, n, rest))
+    return out
+
+
 def stratified_group_kfold(df: DataFrame, group: str, label: str, k: int = 5) -> DataFrame:
-    """Groups stay whole and folds get a similar label mix: groups are ordered by
-    their positive share, then by size, and dealt in snake order.  (The reference
-    runs a sequential greedy search; this is its distributed approximation.)"""
-    stats = df.groupBy(group).agg(F.count(F.lit(1)).alias("_size"), F.avg(label).alias("_share"))
-    ranked = global_rank(stats.withColumns({"_a": -F.col("_share"), "_b": -F.col("_size")}),
-                         ["_a", "_b", group], name="_r")
-    folds = ranked.select(group, _snake(F.col("_r") - 1, k).alias("fold"))
-    return df.join(folds, group, "left")
+    """Groups stay whole and folds get a similar label mix: greedy by least mean deviation of the label shares.
+
+    The greedy rule runs over classes of groups with equal label counts (their
+    number is what the driver holds), so a million groups alike are one step;
+    within a class the groups are ranked by their key and dealt."""
+    values = [r[0] for r in df.select(label).distinct().orderBy(F.col(label).asc_nulls_first()).collect()]
+    names = [f"_l{i}" for i in range(len(values))]
+    stats = df.groupBy(group).agg(*[F.sum(F.col(label).eqNullSafe(F.lit(v)).cast("long")).alias(n) for v, n in zip(values, names)])
+    totals = df.agg(*[F.sum(F.col(label).eqNullSafe(F.lit(v)).cast("long")) for v in values]).first() if values else []
+    if not values:
+        return df.withColumn("fold", F.lit(0))
+    folds = _dealt(stats, names, [group], group_plan(_classes(stats, names, "label counts of a group"), list(totals), k), k)
+    folds = folds.select(F.col(group).alias("_g"), "fold")
+    return df.join(folds, F.col(group).eqNullSafe(F.col("_g")), "left").drop("_g")
 
 
 # V6 ------------------------------------------------------------------------

@@ -161,6 +161,23 @@ def q_e7(spark, d):
     return E.blend_search(_scores3(spark, d), ["a", "b", "c"], _GRID3)
 
 
+_GRID3_FINE = E.weight_grid(3, 0.01)
+
+
+@register("E7b_blend_simplex_fine", "w0:f, w1:f, w2:f, auc:f", f"""
+WITH {TS}, ts3 AS (SELECT a, b, c, sum(y) AS pos, count(*) - sum(y) AS neg FROM ts GROUP BY a, b, c),
+wg AS (SELECT i * 101 + j AS gid, i / 100 AS w0, j / 100 AS w1, (100 - i - j) / 100 AS w2
+       FROM (SELECT range AS i FROM range(101)) p, (SELECT range AS j FROM range(101)) q WHERE i + j <= 100),
+s AS (SELECT gid, 0.0 + a * w0 + b * w1 + c * w2 AS score, sum(pos) AS pos, sum(neg) AS neg FROM ts3, wg GROUP BY ALL),
+u AS (SELECT gid, pos, neg, coalesce(sum(neg) OVER (PARTITION BY gid ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+        AND 1 PRECEDING), 0) AS nb FROM s),
+res AS (SELECT gid, sum(pos * (nb + neg / 2.0)) / nullif(CAST(sum(pos) * sum(neg) AS DOUBLE), 0) AS auc FROM u GROUP BY gid)
+SELECT w0, w1, w2, auc FROM res JOIN wg USING (gid)""")
+def q_e7b(spark, d):
+    """AUC of all 5,151 three-model weight vectors on a 0.01 simplex grid (last = 1 - rest)."""
+    return E.blend_search(_scores3(spark, d), ["a", "b", "c"], _GRID3_FINE)
+
+
 @register("E8_task_mean_smoothing", "row_id:i, pred_smoothed:f", f"""
 WITH {TS} SELECT row_id, b * 0.8 + avg(b) OVER (PARTITION BY user_id, task_container_id) * 0.1 + a * 0.1
   AS pred_smoothed FROM ts""")

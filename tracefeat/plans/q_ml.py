@@ -36,14 +36,21 @@ def _svd(spark, d):
 
 @register("M2_svd_embedding", ", ".join(["content_id:i"] + [f"content_id__svd_{j}:f" for j in range(5)]))
 def q_m2(spark, d):
-    """5-dim truncated SVD of the item x user binary incidence (distributed RowMatrix)."""
+    """5-dim truncated SVD of the item x user binary incidence (block Krylov iteration over tables)."""
     return _svd(spark, d)[0]
 
 
 @register("M3_tag_word2vec", "tag:s, w2v:af")
 def q_m3(spark, d):
-    """32-dim tag vectors from the question tag lists and shuffled copies (MLlib Word2Vec)."""
-    return M.tag_word2vec(questions(spark, d), size=32, window=128, max_iter=1)
+    """32-dim tag vectors from the question tag lists and shuffled copies (MLlib Word2Vec in partitions)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return M.tag_word2vec(questions(spark, d), size=32, window=128, partitions=n)
+
+
+@register("M3b_tag_ppmi_vectors", "tag:s, vec:af")
+def q_m3b(spark, d):
+    """32-dim tag vectors: factored mutual information of the tags that questions carry together."""
+    return M.tag_ppmi_vectors(questions(spark, d), size=32, window=128)
 
 
 @register("M4_item_projection_2d", "content_id:i, content_id_proj_0:f, content_id_proj_1:f")

@@ -552,20 +552,69 @@ def q_v3(spark, d):
     return V.group_kfold(interaction_log(spark, d), "user_id", 5)
 
 
-@register("V4_multilabel_stratified_kfold", "row_id:i, fold:i", """
-SELECT row_id, row_number() OVER (PARTITION BY answered_correctly, content_type_id ORDER BY row_id) % 5 AS fold
-FROM log""")
+_V4_SQL = """
+WITH RECURSIVE
+cls AS (SELECT answered_correctly AS v0, content_type_id AS v1, count(*) AS n FROM log GROUP BY ALL),
+lab AS (SELECT col, v, n, row_number() OVER (ORDER BY n, col, v) AS pos FROM (
+  SELECT 0 AS col, v0 AS v, sum(n) AS n FROM cls GROUP BY v0 UNION ALL SELECT 1, v1, sum(n) FROM cls GROUP BY v1)),
+co AS (SELECT c.*, a.pos AS l0, b.pos AS l1, least(a.pos, b.pos) AS main,
+  row_number() OVER (ORDER BY least(a.pos, b.pos), v0, v1) AS cn
+  FROM cls c JOIN lab a ON a.col = 0 AND a.v = c.v0 JOIN lab b ON b.col = 1 AND b.v = c.v1),
+todo AS (SELECT *, row_number() OVER (ORDER BY cn, r) AS i FROM co, (SELECT range AS r FROM range(5)) t WHERE r <= n % 5),
+rec AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS cn, CAST(-1 AS BIGINT) AS fold,
+    (SELECT list(CAST(n AS BIGINT) ORDER BY pos, f) FROM lab, (SELECT range AS f FROM range(5)) fs) AS need
+  UNION ALL
+  SELECT i, cn, fold, list_transform(need, lambda x, j: x - CASE WHEN (j - 1) // 5 + 1 IN (l0, l1) THEN
+      CASE WHEN r = 0 THEN 5 * (n // 5) WHEN (j - 1) % 5 = fold THEN 5 ELSE 0 END ELSE 0 END)
+  FROM (SELECT *, CASE WHEN r = 0 THEN -1 ELSE list_position(score, list_max(score)) - 1 END AS fold FROM (
+    SELECT t.i, t.cn, t.r, t.n, t.l0, t.l1, rec.need, list_transform(range(1, 6), lambda f:
+      CAST(need[(main - 1) * 5 + f] AS HUGEINT) * 1000000000000 + need[(l0 - 1) * 5 + f] + need[(l1 - 1) * 5 + f]) AS score
+    FROM rec JOIN todo t ON t.i = rec.i + 1))),
+rest AS (SELECT rec.cn, t.r, rec.fold FROM rec JOIN todo t ON t.i = rec.i WHERE t.r > 0),
+p AS (SELECT l.row_id, co.cn, co.n, row_number() OVER (PARTITION BY co.cn ORDER BY row_id) - 1 AS p
+      FROM log l JOIN co ON l.answered_correctly = co.v0 AND l.content_type_id = co.v1)
+SELECT p.row_id, CAST(CASE WHEN p.p < p.n // 5 * 5 THEN p.p % 5 ELSE rest.fold END AS BIGINT) AS fold
+FROM p LEFT JOIN rest ON rest.cn = p.cn AND rest.r = p.p - p.n // 5 * 5 + 1"""
+
+
+@register("V4_multilabel_stratified_kfold", "row_id:i, fold:i", _V4_SQL)
 def q_v4(spark, d):
-    """Stratified on the combination of two labels (id order; the hash order is the default)."""
-    return V.stratified_kfold(interaction_log(spark, d), ["answered_correctly", "content_type_id"], 5, order="id")
-
-
-@register("V5_stratified_group_kfold", "row_id:i, fold:i", f"""
-WITH g AS (SELECT user_id, count(*) AS n, avg(answered_correctly) AS share FROM qlog
-           WHERE content_type_id = 0 GROUP BY user_id),
-r AS (SELECT user_id, row_number() OVER (ORDER BY share DESC, n DESC, user_id) AS r FROM g)
-SELECT l.row_id, {_SNAKE} AS fold FROM qlog l JOIN r USING (user_id) WHERE l.content_type_id = 0""")
+    """Every value of two label columns in nearly equal shares per fold (id order; the hash order is the default)."""
+    return V.multilabel_stratified_kfold(interaction_log(spark, d), ["answered_correctly", "content_type_id"], 5,
+                                         order="id")
+
+
+_V5_SQL = """
+WITH RECURSIVE
+g AS (SELECT user_id, count(*) FILTER (WHERE answered_correctly = 0) AS c0, count(*) FILTER (WHERE answered_correctly = 1)
+        AS c1 FROM qlog WHERE content_type_id = 0 GROUP BY user_id),
+tot AS (SELECT sum(c0) AS t0, sum(c1) AS t1 FROM g),
+cl AS (SELECT c0, c1, count(*) AS n, row_number() OVER (ORDER BY c0 + c1 DESC, c0, c1) AS cn FROM g GROUP BY c0, c1),
+todo AS (SELECT *, row_number() OVER (ORDER BY cn, r) AS i FROM cl, tot, (SELECT range AS r FROM range(5)) t WHERE r <= n % 5),
+rec AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS cn, CAST(-1 AS BIGINT) AS fold,
+    list_transform(range(5), lambda x: CAST(0 AS DOUBLE)) AS h0, list_transform(range(5), lambda x: CAST(0 AS DOUBLE)) AS h1
+  UNION ALL
+  SELECT i, cn, fold, list_transform(h0, lambda x, j: x + CASE WHEN r = 0 THEN c0 * (n // 5) WHEN j = fold + 1 THEN c0 ELSE 0 END),
+    list_transform(h1, lambda x, j: x + CASE WHEN r = 0 THEN c1 * (n // 5) WHEN j = fold + 1 THEN c1 ELSE 0 END)
+  FROM (SELECT *, CASE WHEN r = 0 THEN -1 ELSE list_position(score, list_min(score)) - 1 END AS fold FROM (
+    SELECT t.i, t.cn, t.r, t.n, t.c0, t.c1, rec.h0, rec.h1, list_transform(range(1, 6), lambda f: round((
+        list_aggregate(list_transform(h0, lambda x, j: (x + CASE WHEN j = f THEN c0 ELSE 0 END) / greatest(t0, 1)), 'stddev_pop')
+      + list_aggregate(list_transform(h1, lambda x, j: (x + CASE WHEN j = f THEN c1 ELSE 0 END) / greatest(t1, 1)), 'stddev_pop')
+      ) / 2, 12)) AS score
+    FROM rec JOIN todo t ON t.i = rec.i + 1))),
+rest AS (SELECT rec.cn, t.r, rec.fold FROM rec JOIN todo t ON t.i = rec.i WHERE t.r > 0),
+p AS (SELECT g.user_id, cl.cn, cl.n, row_number() OVER (PARTITION BY cl.cn ORDER BY user_id) - 1 AS p
+      FROM g JOIN cl ON g.c0 = cl.c0 AND g.c1 = cl.c1),
+f AS (SELECT p.user_id, CAST(CASE WHEN p.p < p.n // 5 * 5 THEN p.p % 5 ELSE rest.fold END AS BIGINT) AS fold
+      FROM p LEFT JOIN rest ON rest.cn = p.cn AND rest.r = p.p - p.n // 5 * 5 + 1)
+SELECT l.row_id, f.fold FROM qlog l JOIN f USING (user_id) WHERE l.content_type_id = 0"""
+
+
+@register("V5_stratified_group_kfold", "row_id:i, fold:i", _V5_SQL)
 def q_v5(spark, d):
+    """Users whole in a fold, by the greedy rule of least mean deviation of the label shares."""
     return V.stratified_group_kfold(question_log(spark, d).filter("content_type_id = 0"), "user_id",
                                     "answered_correctly", 5)
 
