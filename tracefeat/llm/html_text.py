@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 from tracefeat.llm.common import content_key, materialise
 
-SEGMENTS = 4000              # at most so many runs of URL-ordered pages (their first URLs are broadcast)
+SEGMENTS = 4000              # so many runs of URL-ordered pages, or 4 a shuffle partition (their first URLs are broadcast)
 SEGMENT_ROWS = 64            # and at least so many pages in each
 
 # Element, class and id names with a plain meaning in HTML.
 RAW = {"script", "style", "template", "textarea", "title", "noscript", "xmp", "iframe", "noembed", "noframes"}
-DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "input", "svg", "canvas", "object",
+DROPPED = {"head", "nav", "footer", "aside", "button", "select", "option", "input", "svg", "canvas", "object",
            "menu", "dialog", "audio", "video", "map"}
 CONTENT = {"article", "main"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog",
@@ -41,6 +41,8 @@ UNNAMED = {"html", "body", *CONTENT, *HEADINGS}                      # their cla
 CONTAINERS = {"div", "section", "ul", "ol", "li", "dl", "table", "center", "figure", "fieldset", "details", "ins"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu",
          "menubar", "toolbar"}
+IN_HEAD = {"head", "title", "meta", "link", "base", "basefont", "bgsound", "script", "style", "noscript", "template"}
+PROSE = {"p", "article", "main", "blockquote", *HEADINGS}
 ENDS_P = BLOCKS - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head", "option", "optgroup",
                    "legend", "summary"}
 
@@ -50,6 +52,8 @@ TAG = re.compile(OTHER + r"((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*\
 PLAIN = re.compile(OTHER + r"([^>]*)>", re.S)
 ATTR = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 
+FOREIGN = {"svg", "math"}
+
 OUT, OPEN, MAIN = 0, 1, 2     # zones of a line: boilerplate by structure, undecided, article
 
 
@@ -83,18 +87,25 @@ def _kind(name: str, attrs: str, article: bool) -> str | None:
 def page_lines(html: str) -> list[tuple[str, int]]:
     """Lines (text, zone) of a page in order: one per block, references decoded, white space runs one space.
 
-    Unclosed elements end where an enclosing one does; an article or main
-    element starts an article even inside an unclosed dropped container, but
-    not inside comments.  A page header is dropped, the header of an article
-    is part of it.  Classes and ids count as whole tokens, not on html, body,
+    Unclosed elements end where an enclosing one does, a head at the first
+    element or text that cannot stand in it, and only void elements (and those
+    of drawings) close themselves.  An article or main element starts an article
+    even inside an unclosed dropped container, but not inside comments, and not
+    inside a dropped container that is closed (a teaser).  A page header is
+    dropped, the header of an article is part of it.  A form is dropped, with
+    labels and fields in any case, unless it wraps the page: the page has no
+    article outside it, and it holds paragraphs or headings and more text than
+    all undecided rest.  Classes and ids count as whole tokens, not on html, body,
     article, main and headings, and inside an article only on containers and
-    only if they name comments, adverts or menus.
+    only if they name comments, adverts or menus.  Time is linear in the page.
     """
     import html as entities
-    lines, text = [], []
-    stack = []                                     # (name, zone before, in comments before)
+    lines, text, forms = [], [], []                # forms: [first line, line after the last, holds prose]
+    stack = []                                     # (name, zone before, in comments before, dropped, lines before)
+    opened = {}                                    # open elements by name
     zone, comments = OPEN, False
     tag, at, n = TAG, 0, len(html)
+    last = html.rfind(">")
 
     def end_line():
         if text:
@@ -103,18 +114,38 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 lines.append((t, zone))
             text.clear()
 
+    def close(k):
+        """Elements from number ``k`` of the stack on end here."""
+        nonlocal zone, comments
+        if stack[k][1] != zone:
+            end_line()
+        zone, comments = stack[k][1], stack[k][2]
+        for e in stack[k:]:
+            opened[e[0]] -= 1
+            if e[0] == "form":
+                end_line()
+                forms[-1][1] = len(lines)
+        del stack[k:]
+
+    def position(name):
+        return next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
+
     while at < n:
         lt = html.find("<", at)
+        piece = html[at:] if lt < 0 else html[at:lt]
+        if opened.get("head") and not piece.isspace() and piece:
+            close(position("head"))
+        if piece:
+            text.append(piece)
         if lt < 0:
-            text.append(html[at:])
             break
-        if lt > at:
-            text.append(html[at:lt])
-        m = tag.match(html, lt)
-        if not m and tag is TAG:
-            m = PLAIN.match(html, lt)
-            if m:                                  # a quoted value swallows the rest: from here on quotes are plain
-                tag = PLAIN
+        m = None
+        if lt < last or html[lt + 1:lt + 2] in ("!", "?"):
+            m = tag.match(html, lt)
+            if not m and tag is TAG:
+                m = PLAIN.match(html, lt)
+                if m:                              # a quoted value swallows the rest: from here on quotes are plain
+                    tag = PLAIN
         if not m:
             text.append("<")
             at = lt + 1
@@ -128,27 +159,33 @@ def page_lines(html: str) -> list[tuple[str, int]]:
         if name in BLOCKS:
             end_line()
         if m[1]:                                   # end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if stack[k][1] != zone:
-                        end_line()
-                    zone, comments = stack[k][1], stack[k][2]
-                    del stack[k:]
-                    break
+            if opened.get(name):
+                k = position(name)
+                dropped, first = stack[k][3], stack[k][4]
+                close(k)
+                if dropped:                        # what it holds is out, articles too
+                    end_line()
+                    for i in range(first, len(lines)):
+                        lines[i] = (lines[i][0], OUT)
             continue
+        if opened.get("head") and name not in IN_HEAD:
+            close(position("head"))
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
-            at = close.end() if close else n
+            shut = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
+            at = shut.end() if shut else n
             continue
         if name in ENDS_P and stack and stack[-1][0] == "p":
-            zone, comments = stack[-1][1], stack[-1][2]
-            stack.pop()
+            close(len(stack) - 1)
         elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            zone, comments = stack[-1][1], stack[-1][2]
-            stack.pop()
-        if name in VOID or m[3].endswith("/"):
+            close(len(stack) - 1)
+        if name in VOID or m[3].endswith("/") and (name in FOREIGN or any(opened.get(f) for f in FOREIGN)):
             continue
         kind = _kind(name, m[3], zone == MAIN)
+        if opened.get("form"):
+            if name in ("label", "legend"):
+                kind = "drop"
+            elif name in PROSE:
+                forms[-1][2] = True
         new, inside = zone, comments
         if kind == "comments":
             new, inside = OUT, True
@@ -156,17 +193,39 @@ def page_lines(html: str) -> list[tuple[str, int]]:
             new = OUT
         elif kind == "main" and not comments:
             new = MAIN
-        if new != zone:
+        if new != zone or name == "form":
             end_line()
-        stack.append((name, zone, comments))
+        if name == "form" and not opened.get("form"):
+            forms.append([len(lines), n, False])
+        elif name == "form":
+            continue                               # forms do not nest
+        stack.append((name, zone, comments, kind == "drop" and zone != MAIN, len(lines)))
+        opened[name] = opened.get(name, 0) + 1
         zone, comments = new, inside
     end_line()
-    return lines
+    return _without_forms(lines, forms) if forms else lines
+
+
+def _without_forms(lines: list[tuple[str, int]], forms: list[list]) -> list[tuple[str, int]]:
+    """The lines with those of every form out, but for a form that wraps the page."""
+    inside = {i for a, b, _ in forms for i in range(a, min(b, len(lines)))}
+    article = any(z == MAIN for i, (_, z) in enumerate(lines) if i not in inside)
+    rest = sum(len(t) for i, (t, z) in enumerate(lines) if z == OPEN and i not in inside)
+    out = list(lines)
+    for a, b, prose in forms:
+        held = sum(len(t) for t, z in lines[a:b] if z != OUT)
+        if article or not prose or held <= rest:
+            out[a:b] = [(t, OUT) for t, _ in lines[a:b]]
+    return out
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
-    """Positions in ``a`` of a longest common subsequence with ``b`` (Hunt and Szymanski: over the matching pairs only)."""
-    from bisect import bisect_left
+    """Positions in ``a`` of a longest common subsequence with ``b``.
+
+    Rows of the length table as bit vectors, one bit a line of ``b``; of them
+    every few are kept and those between are made again on the way back, so a page
+    of many equal lines costs len(a) len(b) / 64 steps and little memory.
+    """
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -174,23 +233,47 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     found = set(range(lo)) | set(range(len(a) - hi, len(a)))
-    where = {}
-    for j in range(len(b) - hi - 1, lo - 1, -1):   # descending, so that one line of a takes one of b
-        where.setdefault(b[j], []).append(j)
-    ends, chains = [], []                          # smallest end in b of a chain of each length, and the chain
-    for i in range(lo, len(a) - hi):
-        for j in where.get(a[i], ()):
-            k = bisect_left(ends, j)
-            chain = (i, chains[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                chains.append(chain)
-            else:
-                ends[k], chains[k] = j, chain
-    chain = chains[-1] if chains else None
-    while chain:
-        found.add(chain[0])
-        chain = chain[1]
+    width = len(b) - hi - lo
+    masks = {}
+    for j in range(width):
+        masks.setdefault(b[lo + j], []).append(j)
+    kept = [i for i in range(lo, len(a) - hi) if a[i] in masks]      # other lines leave a row as it is
+    if not kept:
+        return found
+    for line, places in masks.items():
+        bits = bytearray(-(-width // 8))
+        for j in places:
+            bits[j >> 3] |= 1 << (j & 7)
+        masks[line] = int.from_bytes(bits, "little")
+    full = (1 << width) - 1
+    every = max(1, int(len(kept) ** 0.5))
+
+    def rows(row, first, end):
+        out = []
+        for i in kept[first:end]:
+            u = row & masks[a[i]]
+            row = ((row + u) | (row - u)) & full
+            out.append(row)
+        return out
+
+    marks, row = [full], full
+    for first in range(0, len(kept), every):
+        row = rows(row, first, first + every)[-1]
+        marks.append(row)
+    col = width                                     # a zero bit: one more line is common than up to the bit before
+    for part in range((len(kept) - 1) // every, -1, -1):
+        first = part * every
+        table = [marks[part], *rows(marks[part], first, first + every)]
+        k = len(table) - 1
+        while k and col:
+            if table[k] >> (col - 1) & 1:
+                rest = ~table[k] & ((1 << col) - 1)  # on to the next zero bit below
+                col = rest.bit_length()
+                continue
+            k -= 1
+            if table[k] >> (col - 1) & 1:
+                found.add(kept[first + k])
+                col -= 1
     return found
 
 
@@ -199,20 +282,15 @@ def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
 
     A line the neighbours share is boilerplate unless it stands in the page's
     article (a quotation, or an article that was copied); a line they do not
-    share is content unless the structure says boilerplate, or the page has an
-    article and the line stands outside it.
+    share is content unless the structure says boilerplate, or it stands
+    outside the page's article.  An article shorter than the undecided lines that
+    no neighbour shares is one content among others (a teaser, say), and
+    decides nothing about them.
     """
-    article = any(z == MAIN for _, z in lines)
-    kept = []
-    for k, (t, z) in enumerate(lines):
-        keep = k not in shared
-        if z == MAIN:
-            keep = True
-        elif z == OUT or article:
-            keep = False
-        if keep:
-            kept.append(t)
-    return "\n".join(kept)
+    article = sum(len(t) for t, z in lines if z == MAIN)
+    own = sum(len(t) for k, (t, z) in enumerate(lines) if z == OPEN and k not in shared)
+    return "\n".join(t for k, (t, z) in enumerate(lines)
+                     if z == MAIN or z == OPEN and k not in shared and (not article or own > article))
 
 
 def make_differ():
@@ -285,8 +363,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     host: line by line, a longest common subsequence marks the shared lines,
     which go.  ``main_text`` then settles by structure what differencing alone
     gets wrong.  The order is cut into segments at fixed ranks (64 pages or
-    more, at most 4,000 segments), so a host of any size is spread and results
-    do not depend on partitions.  The page on either side of a border goes
+    more, at most 4,000 segments or 4 a shuffle partition), so a host of any size
+    is spread; pages alike in id and URL are ordered by their html.  The page on either side of a border goes
     to the segment across it as well (if the host is the same), where it is
     compared but not emitted, so every page meets both neighbours wherever the
     borders fall; the html of all others moves once.  Null html is
@@ -301,7 +379,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     p = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"),
                      F.col(html_col).cast("string").alias("html"), host.alias("host"), path.alias("path"),
                      F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("num"),
-                     content_key(F.col(id_col), F.col(url_col)).alias("rid"))
+                     content_key(F.col(id_col), F.col(url_col), F.col(html_col)).alias("rid"))
     order = ["host", "path", "num", "rid"]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = materialise(p.select(order).repartitionByRange(n, *order).sortWithinPartitions(*order)
@@ -309,7 +387,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                        "page-order")
     counts = keys.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("row0")).orderBy("part").collect()
     total = sum(r["n"] for r in counts)
-    size = max(SEGMENT_ROWS, -(-total // SEGMENTS))
+    size = max(SEGMENT_ROWS, -(-total // max(SEGMENTS, 4 * n)))
     before, offsets = 0, []
     for r in counts:
         offsets.append((r["part"], before - r["row0"]))
