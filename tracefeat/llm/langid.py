@@ -20,6 +20,24 @@ DENSE = 1 << 24              # cells of the landmark matrix up to which it is he
 BATCH = 256                  # texts scored by one matrix product
 
 
+def _no_letters() -> str:
+    """Characters that Python's \\w takes beside letters, decimal digits and _ (fractions, superscripts, numerals), as a
+    character class of ranges."""
+    out, first = [], None
+    for c in range(0x110000):
+        ch = chr(c)
+        odd = ch.isalnum() and not ch.isalpha() and not ch.isdecimal()
+        if odd and first is None:
+            first = c
+        elif not odd and first is not None:
+            out.append(f"{chr(first)}-{chr(c - 1)}")
+            first = None
+    return "".join(out)
+
+
+LETTERS = rf"[^\W\d_{_no_letters()}]+"         # runs of characters of the letter categories
+
+
 class Spectrum:
     """Presence of hashed n-grams of the distinct lower-case letter words of a text, padded by spaces."""
 
@@ -27,7 +45,7 @@ class Spectrum:
         import re
 
         import numpy as np
-        self.word = re.compile(r"[^\W\d_]+")
+        self.word = re.compile(LETTERS)
         self.flags = np.zeros(BUCKETS, dtype=bool)
 
     def words(self, text):
@@ -144,7 +162,7 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Learns every language (non-null value of ``lang_col``) that has a text
     with letters outside fold 2 of crc32(id) mod 4.  Fitted rows are picked by
-    a hash of the id, ``max_train`` in expectation dealt evenly to the
+    a hash of id and text and rows alike in both count once, ``max_train`` in expectation dealt evenly to the
     languages, but LANG_TRAIN of each at least (or all it has); so are
     ``landmarks`` with LANG_LANDMARKS, which grow with the number of languages
     as the normal equations do (landmarks squared doubles on the driver).  The
@@ -160,10 +178,10 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     import numpy as np
     spark = docs.sparkSession
     docs = without(docs, ["__held_out", "__lang", "__score", "__out"])
-    t = docs.select(content_key(F.col(id_col)).alias("key"), F.col(lang_col).alias("lang"),
+    t = docs.select(content_key(F.col(id_col), F.col(text_col)).alias("key"), F.col(lang_col).alias("lang"),
                     F.col(text_col).alias("text"), in_fold(F.col(id_col)).alias("fold")) \
         .where("lang is not null and fold <> 2").where(F.col("text").rlike(r"\p{L}"))
-    counts = t.groupBy("lang").count().collect()
+    counts = t.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("count")).collect()
     held = (in_fold(F.col(id_col)) == 2).alias("__held_out")
     nothing = docs.select("*", held, F.lit("und").alias("__lang"), F.lit(0.0).alias("__score"))
     if not counts:
@@ -171,7 +189,8 @@ def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     langs = sorted(r["lang"] for r in counts)
     per_lang = max(LANG_TRAIN, max_train // len(langs))
     shares = spark.createDataFrame([(r["lang"], per_lang / r["count"]) for r in counts], "lang string, share double")
-    sample = t.join(F.broadcast(shares), "lang").where(share_below(F.col("key"), F.col("share")))     # per_lang of each
+    sample = t.join(F.broadcast(shares), "lang").where(share_below(F.col("key"), F.col("share"))) \
+        .dropDuplicates(["lang", "key"])                                                          # per_lang of each
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(
         F.greatest(F.length("text"), F.lit(LANDMARK_CHARS)), "key", F.xxhash64("text")))
     chosen = (sample.withColumn("r", rank).where(F.col("r") <= max(LANG_LANDMARKS, landmarks // len(langs)))
