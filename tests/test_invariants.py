@@ -791,3 +791,29 @@ def test_stratified_group_folds_are_the_greedy_ones(spark):
         sorted(counts.index, key=lambda g: -(counts.loc[g].iloc[1] / counts.loc[g].sum()) if g == g else 0))}
     dealt = spread(out["user_id"].map(lambda g: next(v for k, v in snake.items() if k == g or (k != k and g != g))))
     assert spread(out["fold"]) <= greedy * 1.5 + 1e-3 and spread(out["fold"]) < dealt
+
+
+def test_encoder_refresh_reads_a_bounded_number_of_files(spark):
+    """Twenty batches folded every three, restarted in between and one batch replayed: exact counts, at most eight folders."""
+    from tracefeat.streaming import aggregates as K
+    from tracefeat.streaming import events as EV
+    root = io.fresh_path(spark, "t-k5")
+    src, table, ck = (os.path.join(root, x) for x in ("events", "table", "ck"))
+    rows = [_row(g, 10 * g + k, 1, 100 * g + k) | {"content_id": (g + k) % 4} for g in range(10) for k in range(3)]
+    more = [r | {"group_num": r["group_num"] + 10, "row_id": r["row_id"] + 1000} for r in rows]
+    for part in (rows, more):
+        _loop_events(spark, part, src)
+        K.refresh_encoder(EV.read_events(spark, src, 1), table, ck, fold_every=3)
+        got = {r[0]: r[1] for r in K.read_encoder(spark, table).collect()}
+        n = len(part) * (1 if part is rows else 2)
+        want = {c: sum(r["content_id"] == c for r in rows) * n // len(part) for c in range(4)}
+        assert got == want
+    assert len(os.listdir(os.path.join(table, "delta"))) <= 6 and len(os.listdir(os.path.join(table, "base"))) == 2
+    import shutil
+    copy = os.path.join(root, "copy")
+    shutil.copytree(ck, copy)
+    for f in os.listdir(os.path.join(copy, "commits")):
+        if f.strip(".").split(".")[0] == "19":                       # the last batch was written but not committed
+            os.remove(os.path.join(copy, "commits", f))
+    K.refresh_encoder(EV.read_events(spark, src, 1), table, copy, fold_every=3)
+    assert {r[0]: r[1] for r in K.read_encoder(spark, table).collect()} == want

@@ -1,9 +1,8 @@
 """K4-K6 and the runner that drives a streaming query to completion.
 
 K4: sessions per user with ``session_window`` and a watermark.
-K5: an encoder refreshed per micro-batch through ``foreachBatch``; each batch
-    writes its own partition (overwritten on replay), so the merged encoder is
-    exactly-once per batch id.
+K5: an encoder refreshed per micro-batch through ``foreachBatch``: a base and the
+    deltas since, exactly-once per batch id and bounded whatever the number of batches.
 K6: tumbling / sliding event-time counts with a watermark.
 """
 
@@ -90,19 +89,57 @@ def windowed_counts(events: DataFrame, size: str = "1 day", slide: str | None =
 
 
 # K5 ------------------------------------------------------------------------
+FOLD_EVERY = 8               # batches after which the deltas are folded into a new base
+
+
 def refresh_encoder(events: DataFrame, table_path: str, checkpoint: str, key: str = "content_id",
-                    timeout_s: int = 600) -> None:
-    """Per micro-batch, count the batch's rows by ``key`` into its own partition."""
+                    timeout_s: int = 600, fold_every: int = FOLD_EVERY) -> None:
+    """Row counts by ``key``, kept as a base and the deltas of the batches since.
+
+    A micro-batch writes its counts as a delta; every ``fold_every`` batches the
+    base and the deltas since are summed into a new base.  Deltas go round in
+    2 * ``fold_every`` folders and bases in two, each overwritten whole, so what a
+    reader sums does not grow with the number of batches.  A replayed batch
+    overwrites its own folders with the same rows; the base it folds from is the
+    other one."""
+    spark = events.sparkSession
+    kind = events.schema[key].dataType.simpleString()
+
     def merge(batch: DataFrame, batch_id: int) -> None:
+        if batch_id == 0:
+            for part, slot in (("base", 1), ("delta", 1)):
+                spark.createDataFrame([], f"{key} {kind}, n long, upto long").write.mode("overwrite").parquet(
+                    os.path.join(table_path, part, f"slot={slot}"))
         counts = batch.filter(F.col("kind") == "row").groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-        counts.write.mode("overwrite").parquet(os.path.join(table_path, f"batch_id={batch_id}"))
+        counts.withColumn("upto", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+            os.path.join(table_path, "delta", f"slot={batch_id % (2 * fold_every)}"))
+        if (batch_id + 1) % fold_every == 0:
+            fold = batch_id // fold_every
+            whole = _encoder_rows(spark, table_path, key, batch_id, batch_id - fold_every) \
+                .groupBy(key).agg(F.sum("n").alias("n")).withColumn("upto", F.lit(batch_id).cast("long"))
+            whole.write.mode("overwrite").parquet(os.path.join(table_path, "base", f"slot={fold % 2}"))
 
     q = (events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError("streaming query did not finish")
     if q.exception() is not None:
         raise q.exception()
 
 
+def _encoder_rows(spark: SparkSession, table_path: str, key: str, newest: int | None = None,
+                  base_upto: int | None = None) -> DataFrame:
+    """The rows of the base (the newest unless told) and of the deltas behind it up to batch ``newest``."""
+    base = spark.read.parquet(os.path.join(table_path, "base")).select(key, "n", "upto")
+    delta = spark.read.parquet(os.path.join(table_path, "delta")).select(key, "n", "upto")
+    if base_upto is None:
+        top = base.agg(F.max("upto")).first()[0]
+        base_upto = -1 if top is None else top
+    delta = delta.filter(F.col("upto") > base_upto)
+    return base.filter(F.col("upto") == base_upto).unionByName(delta if newest is None else delta.filter(F.col("upto") <= newest))
+
+
 def read_encoder(spark: SparkSession, table_path: str, key: str = "content_id") -> DataFrame:
-    return spark.read.parquet(table_path).groupBy(key).agg(F.sum("n").alias(f"{key}_count"))
+    return _encoder_rows(spark, table_path, key).groupBy(key).agg(F.sum("n").alias(f"{key}_count"))
