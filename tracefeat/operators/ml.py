@@ -316,13 +316,12 @@ def load_models(spark: SparkSession, path: str) -> list[PipelineModel]:
 
 def score_with_models(df: DataFrame, models, features: list[str], weights=None) -> DataFrame:
     """Score rows with every fold model (JVM-side ``transform``) and average the
-    probabilities with the fold weights (1/k by default)."""
+    probabilities with the fold weights (1/k by default), in one pass over the rows."""
     k = len(models)
     weights = weights or [1.0 / k] * k
-    data = df.na.fill(0.0, subset=features)
-    out = None
+    data = df.na.fill(0.0, subset=features).select("row_id", *features)
     for i, (m, w) in enumerate(zip(models, weights)):
-        p = m.transform(data).select("row_id", (vector_to_array("probability")[1] * F.lit(w)).alias(f"_p{i}"))
-        out = p if out is None else out.join(p, "row_id")
+        p = vector_to_array("probability")[1] * F.lit(w)
+        data = m.transform(data).select("row_id", *features, *[f"_p{j}" for j in range(i)], p.alias(f"_p{i}"))
     total = sum((F.col(f"_p{i}") for i in range(k)), F.lit(0.0))
-    return out.select("row_id", total.alias("pred"))
+    return data.select("row_id", total.alias("pred"))

@@ -163,14 +163,32 @@ def narrow_types(df: DataFrame) -> DataFrame:
 def standardize(df: DataFrame, cols, inf_factor: float = 1.2) -> DataFrame:
     """+inf -> 1.2 x finite max, NULL -> mean, then (x - mean) / sample std.
 
-    The per-column statistics are scalar subqueries planned with the query."""
+    One aggregate, a scalar subquery planned with the query, holds maximum, mean,
+    variance and counts of the finite values of all columns.  What replaces the
+    infinite ones moves mean and squared deviations by a closed form; a filled
+    NULL lies on the mean and adds to the number of rows only."""
     inf = F.lit(float("inf"))
-    mx = {c: df.agg(F.max(F.when(F.col(c) != inf, F.col(c)))).scalar() for c in cols}
-    fixed = df.withColumns({c: F.when(F.col(c) == inf, mx[c] * inf_factor).otherwise(F.col(c)) for c in cols})
-    means = {c: fixed.agg(F.avg(c)).scalar() for c in cols}
-    filled = fixed.withColumns({c: F.coalesce(F.col(c), means[c]) for c in cols})
-    sds = {c: filled.agg(F.stddev_samp(c)).scalar() for c in cols}
-    return filled.withColumns({c: F.try_divide(F.col(c) - means[c], sds[c]) for c in cols})
+
+    def stats(c: str) -> Column:
+        finite = F.when(F.col(c) != inf, F.col(c))
+        return F.struct(F.max(finite).alias("mx"), F.avg(finite).alias("avg"), F.var_pop(finite).alias("var"),
+                        F.count(finite).cast("double").alias("n"), F.count_if(F.col(c) == inf).cast("double").alias("n_inf"),
+                        F.count(F.lit(1)).cast("double").alias("rows"))
+
+    one = df.agg(F.struct(*[stats(c).alias(f"c{i}") for i, c in enumerate(cols)]).alias("s")).scalar()
+
+    def scaled(i: int, c: str) -> Column:
+        s = one[f"c{i}"]
+        top = s["mx"] * inf_factor
+        known = s["n"] + s["n_inf"]
+        mean = F.when(s["n_inf"] > 0, F.try_divide(s["avg"] * s["n"] + top * s["n_inf"], known)).otherwise(s["avg"])
+        squares = s["var"] * s["n"] + F.when(s["n_inf"] > 0, s["n"] * (s["avg"] - mean) ** 2
+                                             + s["n_inf"] * (top - mean) ** 2).otherwise(F.lit(0.0))
+        sd = F.sqrt(F.try_divide(squares, s["rows"] - 1))
+        x = F.coalesce(F.when(F.col(c) == inf, top).otherwise(F.col(c)), mean)
+        return F.try_divide(x - mean, sd)
+
+    return df.withColumns({c: scaled(i, c) for i, c in enumerate(cols)})
 
 
 # P14 -----------------------------------------------------------------------

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefeat.plans import segmented as SG
+from tracefeat.plans.joins import dim_join
 
 ORDER = ("timestamp", "row_id")
 MAX_SEQ = 101
@@ -68,18 +69,20 @@ def diffs(arr: Column) -> Column:
 
 # Q1 ------------------------------------------------------------------------
 def last_n_sequence(df: DataFrame, known_cols, answer_cols, n: int = MAX_SEQ, time_col: str | None = "timestamp",
-                    chosen: str | None = "is_val") -> DataFrame:
+                    chosen: str | None = "is_val", fills: dict[str, Column] | None = None) -> DataFrame:
     """For each chosen row: the last n values per column (this row included),
     left-padded with 0.  Known-now columns keep the latest n-1 (drop the oldest),
     answer columns the n-1 before this row (drop the current), ``time_col`` the
     n-1 successive differences (the first real one against the padding 0).
-    The filter on ``chosen`` is applied after the window."""
+    The filter on ``chosen`` is applied after the window.  ``fills`` gives the
+    padding of a column where it is not 0."""
+    fills = fills or {}
     cols = list(dict.fromkeys([*known_cols, *answer_cols, *([time_col] if time_col else [])]))
     st = F.collect_list(F.struct(*[F.col(c).alias(c) for c in cols])).over(_w().rowsBetween(-(n - 1), 0))
     df = df.withColumn("_win", st)
     out = {}
     for c in known_cols:
-        out[f"seq_{c}"] = F.slice(pad_front(F.transform("_win", _field(c)), n, 0), 2, n - 1)
+        out[f"seq_{c}"] = F.slice(pad_front(F.transform("_win", _field(c)), n, fills.get(c, 0)), 2, n - 1)
     for c in answer_cols:
         out[f"seq_{c}"] = F.slice(pad_front(F.transform("_win", _field(c)), n, 0), 1, n - 1)
     if time_col:
@@ -163,33 +166,25 @@ def running_rate(ans_arr: Column, n_pad: Column) -> Column:
         F.aggregate(F.slice(ans_arr, n_pad + 1, i - n_pad + 1), F.lit(0.0), lambda a, y: a + y) / (i - n_pad + 1)))
 
 
-def map_positions(df: DataFrame, arr: str, table: DataFrame, key: str, value: str, name: str, fill=None,
-                  pad_positions: str | None = None, pad_value=None) -> DataFrame:
-    """Replace each element of ``arr`` by ``table[key -> value]`` (``fill`` when
-    missing).  Elements are exploded with their position, joined to the table
-    (broadcast when proven small) and re-collected per row in position order;
-    positions below ``pad_positions`` take ``pad_value``."""
-    from tracefeat.plans.joins import dim_join
-    e = df.select("row_id", *([pad_positions] if pad_positions else []), F.posexplode(arr).alias("_pos", key))
-    j = dim_join(e, table.select(key, value), [key], "left")
-    v = F.col(value) if fill is None else F.coalesce(F.col(value), F.lit(fill))
-    if pad_positions:
-        v = F.when(F.col("_pos") < F.col(pad_positions), pad_value).otherwise(v)
-    g = j.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("_pos", v.alias("_v")))).alias("_s"))
-    g = g.select("row_id", F.transform("_s", lambda s: s["_v"]).alias(name))
-    return df.join(g, "row_id", "left")
+def with_te(df: DataFrame, te_table: DataFrame, key: str = "content_id", value: str = "te_mean",
+            name: str = "te", pad_key=0) -> tuple[DataFrame, dict[str, Column]]:
+    """The item encoding as a column of the rows, joined before any sequence is built, and its padding.
 
+    An unknown item gets the fixed fill, a padding position what item
+    ``pad_key`` has (a scalar subquery).  ``last_n_sequence`` takes both, so
+    nothing is exploded or collected again."""
+    t = te_table.select(F.col(key).alias("_k"), F.col(value).alias("_v"))
+    pad = F.coalesce(t.filter(F.col("_k") == pad_key).agg(F.first("_v")).scalar(), F.lit(TE_FILL))
+    out = dim_join(df, t, F.col(key) == F.col("_k"), "left")
+    return out.withColumn(name, F.coalesce("_v", F.lit(TE_FILL))).drop("_k", "_v"), {name: pad}
 
-def te_in_sequence(df: DataFrame, items: str, te_table: DataFrame, key: str = "content_id", value: str = "te_mean",
-                   name: str = "seq_te") -> DataFrame:
-    """Item encoding per position; an unknown item gets the fixed fill."""
-    return map_positions(df, items, te_table, key, value, name, TE_FILL)
 
-
-def tag_matrix(df: DataFrame, items: str, item_tags: DataFrame, n_pad: str, key: str = "content_id",
-               value: str = "tag_list", name: str = "seq_tags") -> DataFrame:
-    """6 tags per position from the item's padded tag list; padding positions get [188]*6."""
-    return map_positions(df, items, item_tags, key, value, name, None, n_pad, F.array_repeat(F.lit(TAG_PAD), 6))
+def with_tags(df: DataFrame, item_tags: DataFrame, key: str = "content_id", value: str = "tag_list",
+              name: str = "item_tags") -> tuple[DataFrame, dict[str, Column]]:
+    """The item's 6 padded tags as a column of the rows, and the padding [188]*6 of a sequence of them."""
+    t = item_tags.select(F.col(key).alias("_k"), F.col(value).alias(name))
+    out = dim_join(df, t, F.col(key) == F.col("_k"), "left").drop("_k")
+    return out, {name: F.array_repeat(F.lit(TAG_PAD), 6)}
 
 
 def task_recency(tasks: Column, form: str = "gap") -> Column:
@@ -246,7 +241,7 @@ def online_sequence(history: DataFrame, new_rows: DataFrame, known_cols, answer_
     j = j.withColumn("_win", win)
     out = {}
     for c in known_cols:
-        out[f"seq_{c}"] = F.slice(pad_front(F.transform("_win", _field(c)), n, 0), 2, n - 1)
+        out[f"seq_{c}"] = F.slice(pad_front(F.transform("_win", _field(c)), n, fills.get(c, 0)), 2, n - 1)
     for c in answer_cols:
         out[f"seq_{c}"] = F.slice(pad_front(F.transform("_win", _field(c)), n, 0), 1, n - 1)
     out[f"seq_{time_col}_diff"] = diffs(pad_front(F.transform("_win", lambda s: s[time_col]), n, 0))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tracefeat.functions.columns import EPS_GAP, safe_div
 from tracefeat.plans import segmented as SG
+from tracefeat.plans.ranking import global_rank
 from tracefeat.plans.segmented import real, running
 
 ORDER = ("timestamp", "row_id")
@@ -215,13 +216,24 @@ def abs_change(df: DataFrame) -> DataFrame:
 
 # W12 -----------------------------------------------------------------------
 def order_in_task(df: DataFrame) -> DataFrame:
-    """Rank of content_id inside (user, task), ties by row_id, and rank / size."""
-    wt = Window.partitionBy("user_id", "task_container_id")     # a task is small: no segment key
-    one = real(F.lit(1))                                          # halo copies do not count
-    r = F.count(one).over(wt.orderBy("content_id", "row_id").rowsBetween(UNB, 0))
-    return (df.withColumn("order_content_id_by_task_container_id", r)
-            .withColumn("order_content_id_div_max_by_task_container_id",
-                        F.col("order_content_id_by_task_container_id") / F.count(one).over(wt)))
+    """Rank of content_id inside (user, task), ties by row_id, and rank / size.
+
+    In segmented form rank and size come from the distributed rank of the real
+    rows, so neither a user nor one of its tasks has to fit a window group."""
+    keys = ["user_id", "task_container_id"]
+    if SG.active():
+        rows = df.filter(~F.col("_halo")).select(*keys, "content_id", "row_id")
+        r = global_rank(rows, ["content_id", "row_id"], partition_cols=keys, name="_order", total_name="_size")
+        df = df.join(r.select("row_id", "_order", "_size"), "row_id", "left")
+    else:
+        wt = Window.partitionBy(*keys)
+        one = F.lit(1)
+        df = df.withColumns({"_order": F.count(one).over(wt.orderBy("content_id", "row_id").rowsBetween(UNB, 0)),
+                             "_size": F.count(one).over(wt)})
+    return df.withColumns({
+        "order_content_id_by_task_container_id": F.col("_order"),
+        "order_content_id_div_max_by_task_container_id": F.col("_order") / F.col("_size"),
+    }).drop("_order", "_size")
 
 
 # W14 -----------------------------------------------------------------------
@@ -345,22 +357,48 @@ def task_gated_running(df: DataFrame, target: str = "answered_correctly") -> Dat
 
 
 # W25 -----------------------------------------------------------------------
-def group_number(df: DataFrame) -> DataFrame:
-    """Task-change counter within the user, the previous group's answers, position in group."""
-    def change(d: DataFrame) -> DataFrame:
-        c = F.coalesce(F.lag("task_container_id").over(w_u()) != F.col("task_container_id"), F.lit(False))
-        return d.withColumn("_chg", c.cast("int"))
-
-    def numbered(d: DataFrame) -> DataFrame:
-        return running(change(d), {"group_num": F.col("_chg")}, inclusive=True, prep=change)
-
-    df = numbered(df).drop("_chg")
-    src = df.filter(~F.col("_halo")) if SG.active() else df
-    groups = (src.groupBy("user_id", "group_num")
-              .agg(F.sort_array(F.collect_list(F.struct("timestamp", "row_id", "answered_correctly")))
-                   .alias("_g")))
-    groups = groups.select("user_id", (F.col("group_num") + 1).alias("group_num"),
-                           F.transform("_g", lambda s: s["answered_correctly"]).alias("prior_group_answers_correct"))
-    df = df.join(groups, ["user_id", "group_num"], "left")
-    df = running(df, {"user_task_count": F.lit(1)}, ("user_id", "group_num"), inclusive=True, prep=numbered)
+def _change(d: DataFrame) -> DataFrame:
+    c = F.coalesce(F.lag("task_container_id").over(w_u()) != F.col("task_container_id"), F.lit(False))
+    return d.withColumn("_chg", c.cast("int"))
+
+
+def _grouped(d: DataFrame) -> DataFrame:
+    return running(_change(d), {"group_num": F.col("_chg")}, inclusive=True, prep=_change)
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """``group_num`` (task changes so far) and ``user_task_count`` (rows of the group in front of this one)."""
+    df = running(_grouped(df).drop("_chg"), {"user_task_count": F.lit(1)}, ("user_id", "group_num"), inclusive=True,
+                 prep=_grouped)
     return df.withColumn("user_task_count", F.col("user_task_count") - 1)
+
+
+def _answer_parts(placed: DataFrame, part_rows: int) -> DataFrame:
+    rows = placed.filter(~F.col("_halo")) if SG.active() else placed
+    part = F.floor(F.col("user_task_count") / part_rows).cast("long")
+    cells = rows.groupBy("user_id", "group_num", part.alias("part")).agg(
+        F.sort_array(F.collect_list(F.struct("user_task_count", "answered_correctly"))).alias("_g"))
+    return cells.select("user_id", "group_num", "part",
+                        F.transform("_g", lambda s: s["answered_correctly"]).alias("answers"))
+
+
+def group_answer_parts(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """(user_id, group_num, part, answers): the answers of every group in order, ``part_rows`` a row at most.
+
+    Places in the group come from running counts that carry over segments, so
+    in segmented form a group of any size is spread over tasks and rows.  A
+    table of its own: there are no halo copies to drop."""
+    return _answer_parts(_placed(df), part_rows)
+
+
+def group_number(df: DataFrame, part_rows: int = 10_000) -> DataFrame:
+    """Task-change counter within the user, the previous group's answers, position in group.
+
+    The list of a group is put together from its numbered parts, so only whole
+    parts meet, in order; the list itself is one cell by what the column is."""
+    df = _placed(df)
+    parts = _answer_parts(df, part_rows)
+    whole = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "answers"))), lambda s: s["answers"]))
+    groups = parts.groupBy("user_id", "group_num").agg(whole.alias("prior_group_answers_correct"))
+    groups = groups.withColumn("group_num", F.col("group_num") + 1)
+    return df.join(groups, ["user_id", "group_num"], "left")

@@ -14,22 +14,23 @@ Two checks are used:
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A dimension up to this many rows is shipped to every task (a few MB at most).
 MAX_BROADCAST_ROWS = 1_000_000
 
-# id -> (frame, verdict); the frame is kept so that its id is never reused.
-_checked: dict[int, tuple[DataFrame, bool]] = {}
+# frame -> verdict, for as long as the frame lives; a new frame over the same files is counted again.
+_checked: weakref.WeakKeyDictionary[DataFrame, bool] = weakref.WeakKeyDictionary()
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
     """Count at most ``max_rows + 1`` rows of ``df`` (a bounded job) to prove its size."""
-    key = id(df)
-    if key not in _checked:
-        _checked[key] = (df, df.limit(max_rows + 1).count() <= max_rows)
-    return _checked[key][1]
+    if df not in _checked:
+        _checked[df] = df.limit(max_rows + 1).count() <= max_rows
+    return _checked[df]
 
 
 def dim_join(fact: DataFrame, dim: DataFrame, on, how: str = "left", max_rows: int | None = None) -> DataFrame:

@@ -39,12 +39,13 @@ def _ans(p):
     return f"list_slice({p}, 1, {N - 1})"
 
 
-def _seq_rows(spark, d, extra_known=()):
-    """Question rows with the tail flag and the Q1 arrays (MAX_SEQ 21)."""
+def _seq_rows(spark, d, extra_known=(), values=None):
+    """Question rows with the tail flag and the Q1 arrays (MAX_SEQ 21); ``values(rows)`` adds columns and their padding."""
     log = V.tail_split(interaction_log(spark, d))
     x = with_questions(log, questions(spark, d)).filter("content_type_id = 0")
-    known = ["content_id", "part", *extra_known]
-    return Q.last_n_sequence(x, known, ["answered_correctly"], N, "timestamp", "is_val")
+    x, fills = values(x) if values else (x, {})
+    known = ["content_id", "part", *extra_known, *fills]
+    return Q.last_n_sequence(x, known, ["answered_correctly"], N, "timestamp", "is_val", fills)
 
 
 @register("Q1_last_n_sequence", "row_id:i, seq_content_id:ai, seq_part:ai, seq_answered_correctly:ai, "
@@ -172,7 +173,7 @@ def q_q8(spark, d):
     log = V.tail_split(interaction_log(spark, d))
     tr = V.kfold(log.filter("is_val = 0"), 5, method="modulus")
     te = A.encoder_mean_table(A.fold_encoders(tr, "content_id", "answered_correctly", 5), "content_id")
-    return Q.te_in_sequence(_seq_rows(spark, d), "seq_content_id", te)
+    return _seq_rows(spark, d, values=lambda x: Q.with_te(x, te))
 
 
 _TAGS_SQL = ("list_concat(list_transform(range(greatest(6 - len(coalesce(list_transform(string_split(tags, ' '), "
@@ -192,8 +193,8 @@ def q_q9(spark, d):
     """6 tags per position (left-padded with 188, tag-less -> 0), padding positions all 188."""
     tags = questions(spark, d).select(F.col("question_id").alias("content_id"),
                                       P.tag_array("tags", 188, 0).alias("tag_list"))
-    s = Q.tag_matrix(_seq_rows(spark, d), "seq_content_id", tags, "seq_n_pad")
-    return s.withColumn("seq_tags", F.flatten("seq_tags"))
+    s = _seq_rows(spark, d, values=lambda x: Q.with_tags(x, tags))
+    return s.withColumn("seq_tags", F.flatten("seq_item_tags"))
 
 
 @register("Q10_task_recency", "row_id:i, seq_task_gap:af, seq_task_raw:af", f"""

@@ -340,6 +340,24 @@ def q_w25(spark, d):
     return W.group_number(_log(spark, d))
 
 
+# Answers of a part on the fixture: groups of more rows have several.
+PART_ANSWERS = 2
+
+
+@register("W25b_group_answer_parts", "user_id:i, group_num:i, part:i, answers:ai", f"""
+WITH c0 AS (SELECT *, CAST(coalesce(lag(task_container_id) OVER ({WU}) <> task_container_id, false) AS INTEGER)
+             AS chg FROM log),
+c1 AS (SELECT *, sum(chg) {_fr(None, 0)} AS group_num FROM c0),
+c AS (SELECT *, (row_number() OVER (PARTITION BY user_id, group_num ORDER BY timestamp, row_id) - 1)
+             // {PART_ANSWERS} AS part FROM c1)
+SELECT user_id, group_num, part, list(answered_correctly ORDER BY timestamp, row_id) AS answers
+FROM c GROUP BY user_id, group_num, part""")
+def q_w25b(spark, d):
+    """The answers of every task group in numbered parts; the log is cut into segments."""
+    with SG.segmented_plan(TWIN_SEG, TWIN_HALO):
+        return W.group_answer_parts(_log(spark, d), PART_ANSWERS)
+
+
 @register("F0_flagship",
           "row_id:i, user_id:i, prior_correct_sum:i, prior_count:i, prior_correct_rate:f, "
           "answered_correctly_rolling3:f, answered_correctly_rolling5:f, answered_correctly_rolling7:f, "
@@ -375,15 +393,17 @@ _register_skew_safe()
 
 # Rows of a segment and of its halo for the segmented twins: every fixture user is cut into two segments or more.
 TWIN_SEG, TWIN_HALO = 40, 32
-UNSEGMENTED = ("W12", "W17", "W25")     # whole-task windows; W17 looks back further than the twin's halo
+TWIN_SIZES = {"W17": (104, 104)}        # looks back 100 rows, so its halo is longer
+OWN_FORM = ("W25b",)                    # segmented already, with rows of its own
 
 
 def _register_twins():
     for name, q in list(REGISTRY.items()):
-        if name.startswith("W") and name.split("_")[0] not in UNSEGMENTED:
-            def twin(spark, d, build=q.build):
+        number = name.split("_")[0]
+        if name.startswith("W") and number not in OWN_FORM:
+            def twin(spark, d, build=q.build, sizes=TWIN_SIZES.get(number, (TWIN_SEG, TWIN_HALO))):
                 """The query on users cut into segments: the same result."""
-                with SG.segmented_plan(TWIN_SEG, TWIN_HALO):
+                with SG.segmented_plan(*sizes):
                     return SG.finish(build(spark, d))
             register(f"{name}_segmented", ", ".join(f"{n}:{k}" for n, k in q.spec), q.sql)(twin)
 
