@@ -112,12 +112,15 @@ def chain_table(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, t
     t = turns.select(F.coalesce(F.concat(F.lit("c"), F.col(conv_col).cast("string")), F.lit("~")).alias("ckey"),
                      F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
                      F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    # rows without an id are told apart by content only: equal ones go before the sort, the rest need no order
+    alone = t.where("conv is null").distinct().withColumn("spread", F.xxhash64("turn", "role", "text"))
+    t = t.where("conv is not null").withColumn("spread", F.lit(0).cast("long")).unionByName(alone)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     start = F.substring("text", 1, 64)                         # equal starts stay together; keeps the bounds small
     kind = dict(turns.dtypes)[conv_col]
     chain = materialise(
-        t.repartitionByRange(n, "ckey", "turn", "role", start)
-        .sortWithinPartitions("ckey", "turn", "role", "text").mapInArrow(
+        t.repartitionByRange(n, "ckey", "spread", "turn", "role", start)
+        .sortWithinPartitions("ckey", "spread", "turn", "role", "text").drop("spread").mapInArrow(
             make_chain(part_chars), f"part int, ckey string, conv {kind}, pos long, prefix string, close boolean, "
                                     "edge boolean, text string"), "chat-chain")
     carried, open_at = {}, {}
@@ -153,7 +156,9 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     inside a longer one is a snapshot of it and goes (anti-join).  Of
     conversations with equal turns the smallest id stays, ``n_copies`` counts
     them.  Every distinct row of a null conversation id is a conversation of
-    one turn.
+    one turn; such rows are spread by a hash of their content.  Rows of one
+    conversation equal in turn, role and the first 64 characters meet in one
+    sorted stream, which holds one of them at a time.
 
     Each turn renders as ``<|im_start|>role NL text<|im_end|> NL``; a null role
     is "unknown", a null text is empty, the markers inside a turn are broken
@@ -173,7 +178,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
         .withColumn("cell", F.floor((F.sum("n").over(to_here) - F.col("n")) / F.lit(part_chars)))
         .select("ckey", "pos", (F.dense_rank().over(Window.partitionBy("ckey").orderBy("cell")) - 1).alias("part")),
         "chat-cells")                                          # a row for each part_chars and each end of a partition
-    pieces = pieces.join(F.broadcast(cells), ["ckey", "pos"], "left")
+    pieces = pieces.join(cells, ["ckey", "pos"], "left")
     one = pieces.where("part is null").select("ckey", "text", F.lit(0).alias("part"))
     parts = pieces.where("part is not null").groupBy("ckey", "part").agg(F.array_join(F.transform(F.sort_array(
         F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "").alias("text"))
@@ -181,14 +186,16 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 SQL = """
-WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+WITH t0 AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+t AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone FROM t0),
 c AS (SELECT conv_id, CAST(count(*) AS INT) AS n_turns,
         list({'r': role, 't': text} ORDER BY turn, role, text) AS turns,
         string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || replace(replace(coalesce(text, ''),
           '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '<|im_end|>' || chr(10), ''
-          ORDER BY turn, role, text) AS text FROM t GROUP BY conv_id),
+          ORDER BY turn, role, text) AS text FROM t GROUP BY conv_id, alone),
 p AS (SELECT DISTINCT list_slice(turns, 1, k) AS pre FROM (SELECT turns, unnest(range(1, n_turns)) AS k FROM c)),
-g AS (SELECT turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns)
-SELECT c.conv_id, c.n_turns, CAST(g.n_copies AS BIGINT) AS n_copies, c.text
-FROM g JOIN c ON c.conv_id = g.conv_id WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pre = g.turns)
+g AS (SELECT *, count(*) OVER (PARTITION BY turns) AS n_copies FROM c
+      QUALIFY row_number() OVER (PARTITION BY turns ORDER BY conv_id NULLS LAST) = 1)
+SELECT conv_id, n_turns, CAST(n_copies AS BIGINT) AS n_copies, text, 0 AS part
+FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.pre = g.turns)
 """

@@ -20,7 +20,9 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
     an empty table.  Each half round aggregates minima (map-side combined) and
     joins them back through two written tables, so a hub with a third of all
     links is split by the skew join and an executor loss costs a re-read.
-    Only counts and a checksum come to the driver.
+    Only counts and a checksum come to the driver.  Rounds grow with the
+    logarithm of the longest chain; links that still change after
+    ``max_rounds`` are an error.
     """
     e = links.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x <> y")
     e = materialise(e.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
@@ -43,5 +45,7 @@ def connected_components(links: DataFrame, a: str, b: str, max_rounds: int = 60)
         if new == sig:
             break
         sig = new
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

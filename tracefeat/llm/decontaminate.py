@@ -43,7 +43,9 @@ class Index:
     to 1.  The pruning score is the item's own BM25 score less its heaviest
     terms that a passage can lack although it holds the asked share of the
     item's shingles: u words without any shingle present cost at least u
-    shingles.  So no passage that would pass the check is pruned.
+    shingles.  Nor is it below the lightest shingle's words, since the passage
+    holds one shingle at least.  So no passage that would pass the check is
+    pruned, also where most words are common to all items.
     """
 
     def __init__(self, items: list[tuple[int, list[bytes], list[bytes]]], min_share: float):
@@ -62,7 +64,7 @@ class Index:
             m = max(len(w) - SHINGLE + 1, 1)
             lack = math.floor((1 - min_share) * m + 1e-9)
             needed = sum(sorted(weight.values(), reverse=True)[lack:])
-            needed = max(needed, 0.05 * sum(weight.values()))
+            needed = max(needed, min(sum(weight[t] for t in set(g)) for g in shingles(w)))
             impacts += [(self.number[t], i, v / needed) for t, v in weight.items()]
         impacts.sort()
         term, item, impact = (np.array(c) for c in zip(*impacts))
@@ -211,32 +213,37 @@ def make_matcher(indexes, min_share: float, min_words: float):
     return matcher
 
 
-def item_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+def item_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
               item_text_col: str = "text", question_col: str | None = None, answer_col: str | None = None,
-              min_share: float = MIN_SHARE, min_words: float = MIN_WORDS) -> tuple[Column, list]:
-    """(column: array of hits of a text, item ids by hit number).
+              min_share: float = MIN_SHARE, min_words: float = MIN_WORDS) -> tuple[Column, DataFrame]:
+    """(column: array of hits of a text, table of (item, q, a): the text of each hit number).
 
-    Items come to the driver in passes of at most ``MAX_INDEX_WORDS`` words
-    (in expectation; counted first) and go out as one broadcast index per
-    pass.  Null and empty items are no items.
+    Equal items are one, whatever their ids.  They come to the driver in passes
+    of at most ``MAX_INDEX_WORDS`` words (in expectation; counted first) and go
+    out as one broadcast index per pass.  Null and empty items are no items.
     """
-    sc = docs.sparkSession.sparkContext
-    q, a = question_col or item_text_col, answer_col
-    b = benchmark.select(F.col(item_col).alias("id"), F.col(q).cast("string").alias("q"),
-                         (F.col(a).cast("string") if a else F.lit(None).cast("string")).alias("a"))
+    spark = docs.sparkSession
+    b = _item_texts(benchmark, item_text_col, question_col, answer_col).distinct()
     words = b.agg(F.sum(F.length(F.concat(F.coalesce("q", F.lit("")), F.coalesce("a", F.lit("")))))).first()[0] or 0
     passes = max(1, -(-words // (6 * MAX_INDEX_WORDS)))
-    ids, hits = [], F.array().cast(f"array<{HIT}>")
+    names, hits = [], F.array().cast(f"array<{HIT}>")
     for k in range(passes):
-        rows = b.where(F.pmod(F.xxhash64("q", "a"), F.lit(passes)) == k).distinct().orderBy("id", "q", "a").collect()
-        items = []
-        for r in rows:
-            items.append((len(ids), r["q"] or "", r["a"] or ""))
-            ids.append(r["id"])
+        rows = b.where(F.pmod(F.xxhash64("q", "a"), F.lit(passes)) == k).orderBy("q", "a").collect()
+        items = [(len(names) + i, r["q"] or "", r["a"] or "") for i, r in enumerate(rows)]
+        names += [(len(names) + i, r["q"], r["a"]) for i, r in enumerate(rows)]
         index = build_indexes(items, min_share)
         if index:
-            hits = F.concat(hits, make_matcher(sc.broadcast(cloudpickle.dumps(index)), min_share, min_words)(F.col(text_col).cast("string")))
-    return hits, ids
+            sent = spark.sparkContext.broadcast(cloudpickle.dumps(index))
+            hits = F.concat(hits, make_matcher(sent, min_share, min_words)(F.col(text_col).cast("string")))
+    return hits, spark.createDataFrame(names, "item int, q string, a string")
+
+
+def _item_texts(benchmark: DataFrame, item_text_col: str, question_col: str | None, answer_col: str | None,
+                *more: Column) -> DataFrame:
+    """(q, a) of every item and ``more``."""
+    q = F.col(question_col or item_text_col).cast("string")
+    a = F.col(answer_col).cast("string") if answer_col else F.lit(None).cast("string")
+    return benchmark.select(q.alias("q"), a.alias("a"), *more)
 
 
 def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id",
@@ -254,9 +261,11 @@ def contaminated_passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "
     under several ids reports each; with an empty table on either side the
     result is empty.  Nothing is shuffled.
     """
-    hits, ids = item_hits(docs, benchmark, item_col=item_col, **kw)
-    kind = dict(benchmark.dtypes)[item_col]
-    names = docs.sparkSession.createDataFrame([(i, v) for i, v in enumerate(ids)], f"item int, item_id {kind}")
+    hits, texts = item_hits(docs, benchmark, **kw)
+    ids = _item_texts(benchmark, kw.get("item_text_col", "text"), kw.get("question_col"), kw.get("answer_col"),
+                      F.col(item_col).alias("item_id")).distinct()
+    names = ids.join(texts.withColumnsRenamed({"q": "_q", "a": "_a"}),
+                     F.col("q").eqNullSafe(F.col("_q")) & F.col("a").eqNullSafe(F.col("_a"))).select("item", "item_id")
     return (docs.select(F.col(id_col).alias("id"), F.explode(hits).alias("h")).select("id", "h.*")
             .join(names, "item").drop("item"))
 

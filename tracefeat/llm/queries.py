@@ -61,7 +61,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal logged conversations, rendered."""
     return chat.format_chats(table(spark, sf_dir, "conversations")).select(
-        F.col("conv").alias("conv_id"), "n_turns", "n_copies", "text")
+        F.col("conv").alias("conv_id"), "n_turns", "n_copies", "text", "part")
 
 
 @query("op9_quality_scores")

@@ -225,10 +225,15 @@ def make_marks():
     return marks
 
 
+def _integral(docs: DataFrame, id_col: str) -> bool:
+    return dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+
+
 def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    whole = dict(docs.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
-    num = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) if whole else F.lit(LAST)
-    return docs.withColumn("__rid", content_key(F.col(id_col), F.col(text_col))).withColumn("__num", num)
+    """Content key and order number: an integral id itself, the content key of another id, ``LAST`` for a null one."""
+    key = content_key(F.col(id_col), F.col(text_col))
+    num = F.col(id_col).cast("long") if _integral(docs, id_col) else F.when(F.col(id_col).isNotNull(), key)
+    return docs.withColumn("__rid", key).withColumn("__num", F.coalesce(num, F.lit(LAST)))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
@@ -236,8 +241,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(rid, spans, others): the repeated word ranges of every document that has any.
 
     A run of ``min_words`` words is repeated if an equal run starts earlier:
-    in a document with a smaller id (ids that are null or not integral come
-    last, by content key), or further up in the same one.  ``spans`` are the
+    in a document with a smaller id (ids that are not integral go by content
+    key, null ids come last, by content key, too), or further up in the same one.  ``spans`` are the
     unions of repeated runs (from_word inclusive, to_word exclusive; words
     compare exactly, white space does not count); ``others`` are ids of
     documents that hold such a run first.  Null, empty and short texts have
@@ -275,7 +280,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     per_doc = repeats.groupBy("rid").agg(
         F.sort_array(F.collect_set(F.struct("a", "b"))).alias("ranges"),
         F.sort_array(F.collect_set(F.when(F.col("other") != LAST, F.col("other")))).alias("others"))
-    return per_doc.select("rid", make_union(min_words)(F.col("ranges")).alias("spans"), "others")
+    out = per_doc.select("rid", make_union(min_words)(F.col("ranges")).alias("spans"), "others")
+    return out if _integral(docs, id_col) else _named(out, d, id_col)
+
+
+def _named(out: DataFrame, d: DataFrame, id_col: str) -> DataFrame:
+    """``others`` as ids where they are order numbers made of content keys: joined by number, one row a link."""
+    out = materialise(out, "suffix-numbered")
+    ids = d.select(F.col("__num").alias("o"), F.col(id_col).alias("id")).where(F.col("id").isNotNull()).distinct()
+    links = out.select("rid", F.explode("others").alias("o")).join(ids, "o")
+    named = links.groupBy("rid").agg(F.sort_array(F.collect_set("id")).alias("others"))
+    none = F.array().cast(f"array<{dict(d.dtypes)[id_col]}>")
+    return out.drop("others").join(named, "rid", "left").withColumn("others", F.coalesce("others", none))
 
 
 def make_union(min_words: int):
