@@ -446,8 +446,8 @@ def test_leak_edges(spark, edge):
 
 # -- embeddings ------------------------------------------------------------------------
 
-@pytest.mark.parametrize("block", [2048, 100])
-def test_cover_tree_brute_force(spark, block):
+@pytest.mark.parametrize("block,tile", [(2048, 8), (100, 1), (50, 3), (20, 8)])
+def test_cover_tree_brute_force(spark, block, tile):
     from tracefeat.llm.covertree import cosine_components
     rng = np.random.default_rng(0)
     c = rng.normal(size=(30, 16))
@@ -459,7 +459,7 @@ def test_cover_tree_brute_force(spark, block):
              (2003, [1.0, None] * 8, 0, "x"), (2004, rows[0][1], None, "x"), (2005, [1.0, 2.0], 0, "x"),
              (2006, [2.0, 4.0], 0, "x"), (2007, [], 0, "x"), (2008, [float("inf")] * 16, 0, "x"), (None, [5.0, 0.1], 3, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, cid string")
-    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in cosine_components(df, block=block).collect()}
+    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in cosine_components(df, block=block, max_tile=tile).collect()}
     u = x / np.linalg.norm(x, axis=1)[:, None]
     near = (u @ u.T >= .93) & (lab[:, None] == lab[None])
     np.fill_diagonal(near, False)
@@ -471,6 +471,41 @@ def test_cover_tree_brute_force(spark, block):
     assert cosine_components(df.limit(0)).count() == 0
 
 
+def test_cover_tree_takes_floats_as_doubles(spark):
+    from tracefeat.llm.covertree import cosine_components
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]], 0) for i in range(200)],
+                               "vec_id long, embedding array<float>, label int")
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = u @ u.T >= .93
+    np.fill_diagonal(near, False)
+    comp = components(200, [(i, j) for i, j in zip(*np.nonzero(near)) if i < j])
+    out = cosine_components(df, block=30, max_tile=2).collect()
+    assert near.any() and {r["id"]: (r["n_links"], r["component_id"]) for r in out} == \
+        {i: (near[i].sum(), comp[i]) for i in range(200)}
+
+
+def test_tile_task_equals_its_block_pairs():
+    """One tile of three blocks, of which two pairs meet, gives the counts of those pairs and one link a class."""
+    import pyarrow as pa
+    from tracefeat.llm.covertree import make_tile_task
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(9, 5)), 10, axis=0) + rng.normal(size=(90, 5)) * .02
+    slot, cid = rng.integers(0, 3, 90), rng.permutation(90).astype(np.int64)
+    masks = {0: 0b011, 1: 0b100, 2: 0}
+    t = pa.table({"cid": cid, "slot": pa.array(slot.astype(np.int32)), "copies": pa.array(np.ones(90, dtype=np.int64)),
+                  "mask": pa.array([masks[s] for s in slot], pa.int32()), "vec": [list(v) for v in x]})
+    out = make_tile_task(.93)(t).to_pylist()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    links = [(i, j) for i in range(90) for j in range(90) if u[i] @ u[j] >= .93
+             and ((slot[i], slot[j]) in {(0, 1), (1, 2)} or (slot[i] == slot[j] == 0 and i < j))]
+    count = np.bincount([i for l in links for i in l], minlength=90)
+    assert {r["cid"]: r["n_add"] for r in out} == {int(cid[i]): int(count[i]) for i in range(90) if count[i]}
+    comp = components(90, [(int(min(cid[i], cid[j])), int(max(cid[i], cid[j]))) for i, j in links])
+    assert all(r["root"] == comp[r["cid"]] for r in out)
+
+
 # -- learned operators --------------------------------------------------------------------
 
 def test_language_accuracy(spark):

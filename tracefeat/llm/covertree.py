@@ -1,17 +1,19 @@
-"""Exact cosine links between embeddings: cover trees per block, dual traversal of block pairs."""
+"""Exact cosine links between embeddings: cover trees per block, dual traversal of block pairs, tiles of blocks a task."""
 
 from __future__ import annotations
 
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracefeat.llm.common import materialise
 from tracefeat.llm.components import connected_components
 
-BLOCK = 2048                 # vectors of a block: a task holds two blocks
+BLOCK = 2048                 # vectors of a block: one cover tree
+MAX_TILE = 8                 # blocks of a tile side at most
+TILE_BYTES = 32 << 20        # doubles of a tile side: a task holds two sides
 MAX_PIVOTS = 256             # pivots of the top level, so the broadcast is 256 x dimension doubles at most
 PAIR_SCHEMA = "cid long, n_add long, root long"
 
@@ -114,28 +116,40 @@ def local_roots(n, i, j):
             return lab
 
 
-def make_pair_task(min_cos: float):
-    """applyInArrow function for one pair of blocks: per class its linked vectors and a spanning link, never the pairs."""
+def make_tile_task(min_cos: float):
+    """applyInArrow function for one tile: per class its linked vectors and spanning links, never the pairs.
+
+    Rows carry the slot of their block in the tile and the slots (as bits) it
+    meets.  Every block gets one cover tree; every pair of blocks that meets
+    is traversed once and its pairs shrink to counts and one link a class
+    before the next pair is taken, so memory holds two blocks' pairs at most.
+    """
     def task(t: pa.Table) -> pa.Table:
         import numpy as np
         order = t.column("cid").combine_chunks().to_numpy().argsort(kind="stable")
         t = t.take(pa.array(order))
-        side = t.column("side").to_numpy()
-        cid = t.column("cid").to_numpy()
-        copies = t.column("copies").to_numpy()
-        x = _units(t.column("vec"))
-        a, b = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
-        ta = cover_tree(x[a])
-        if len(b):
-            i, j = dual_traversal(x[a], ta, x[b], cover_tree(x[b]), min_cos)
-            i, j = a[i], b[j]
-        else:
-            i, j = dual_traversal(x[a], ta, x[a], ta, min_cos)
-            keep = i < j
-            i, j = a[i[keep]], a[j[keep]]
-        n = len(cid)
-        add = np.bincount(i, weights=copies[j], minlength=n) + np.bincount(j, weights=copies[i], minlength=n)
-        root = local_roots(n, i, j)                # rows are in cid order, so the smallest point is the smallest cid
+        cid, slot, copies = (t.column(c).to_numpy() for c in ("cid", "slot", "copies"))
+        mask, x = t.column("mask").to_numpy(), _units(t.column("vec"))
+        rows = {int(k): np.nonzero(slot == k)[0] for k in np.unique(slot)}
+        trees = {k: cover_tree(x[r]) for k, r in rows.items()}
+        add = np.zeros(len(cid))
+        up, low = [], []
+        for k, r in rows.items():
+            meets = int(mask[r[0]])
+            for m, q in rows.items():
+                if not meets >> m & 1:
+                    continue
+                i, j = dual_traversal(x[r], trees[k], x[q], trees[m], min_cos)
+                if m == k:
+                    i, j = i[i < j], j[i < j]
+                i, j = r[i], q[j]
+                np.add.at(add, i, copies[j])
+                np.add.at(add, j, copies[i])
+                root = local_roots(len(cid), i, j)     # rows are in cid order: the smallest point is the smallest cid
+                hit = np.nonzero(root != np.arange(len(cid)))[0]
+                up.append(hit)
+                low.append(root[hit])
+        root = local_roots(len(cid), np.concatenate(up), np.concatenate(low)) if up else np.arange(len(cid))
         got = add > 0
         return pa.table({"cid": cid[got], "n_add": add[got].astype(np.int64), "root": cid[root][got]})
     return task
@@ -159,7 +173,7 @@ def make_nearest(pivots):
 
 def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
                       group_col: str = "label", min_cos: float = 0.93, block: int = BLOCK,
-                      max_pivots: int = MAX_PIVOTS) -> DataFrame:
+                      max_pivots: int = MAX_PIVOTS, max_tile: int = MAX_TILE, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """(id, n_links, component_id, kept) for every input row.
 
     Rows of one group (equal, not null) and one dimension link at cosine >=
@@ -168,27 +182,33 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     empty or zero vector, one with null or non-finite components and a row
     of a null group link with nothing: 0 links, their own component.  Rows
     with equal vectors are one class with a count, compared once, so a huge
-    group of copies costs one row.  A null id is ignored by the minimum (a
+    group of copies costs one row; classes are told apart by two 64-bit
+    hashes of group and vector and numbered once in a written table.  A null id is ignored by the minimum (a
     component of null ids only has a null component_id) and is never kept;
     rows repeating an id are separate rows.  An empty table gives an empty one.
 
     Groups over ``block`` classes are cut by the top level of the tree:
     bounded pivots (the ``max_pivots`` smallest keys at most), shells of equal
     counts around each pivot, and a hash inside oversized shells.  Block pairs
-    whose centres and radii rule out a link are never formed; every other pair
-    of blocks is one task of two bounded cover trees.
+    whose centres and radii rule out a link are never formed.  The others go
+    to tiles of neighbouring blocks, ``max_tile`` a side at most (15 at most: slots are bits) and
+    ``tile_bytes`` of doubles: a task gets each of its blocks once however many
+    partners they have there, so vectors travel once a tile row, not once a pair.
     """
     eps = math.sqrt(2.0 - 2.0 * min_cos) + 1e-9
-    arr = F.col(vec_col).cast("array<double>")
+    floats = vectors.schema[vec_col].dataType.simpleString() == "array<float>"     # as doubles only inside the tasks
+    arr = F.col(vec_col) if floats else F.col(vec_col).cast("array<double>")
     inf = float("inf")
     bad = F.exists("vec", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == inf))
     rows = (vectors.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), arr.alias("vec"))
             .withColumn("ok", F.coalesce(F.col("grp").isNotNull() & (F.size("vec") > 0) & ~bad
                                          & F.exists("vec", lambda v: v != 0), F.lit(False)))
             .withColumn("grp", F.concat_ws(":", F.size("vec").cast("string"), "grp")))
-    rows = rows.withColumn("cid", F.when(F.col("ok"), F.xxhash64("grp", "vec")))
-    classes = materialise(rows.where("ok").groupBy("cid").agg(
-        F.first("grp").alias("grp"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies")), "vec-classes")
+    rows = rows.withColumns({"h1": F.when(F.col("ok"), F.xxhash64("grp", "vec")),
+                             "h2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "vec", "grp"))})
+    classes = materialise(rows.where("ok").groupBy("h1", "h2").agg(
+        F.first("grp").alias("grp"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("copies"),
+        F.min("id").alias("low")).withColumn("cid", F.monotonically_increasing_id()), "vec-classes")
     sizes = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
 
     # top level: pivots only if some group needs cutting
@@ -197,20 +217,20 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     keyed = classes.join(sizes.where(F.col("n") > block).withColumnRenamed("n", "big"), "grp", "left")
     if n_pivots:
         import numpy as np
-        chosen = [r["vec"] for r in keyed.where("big is not null").orderBy("cid").limit(n_pivots).collect()]
+        chosen = [r["vec"] for r in keyed.where("big is not null").orderBy("h1", "h2").limit(n_pivots).collect()]
         dim = len(chosen[0])
         p = _units(pa.array([v for v in chosen if len(v) == dim], type=pa.list_(pa.float64())))
         near = make_nearest(p.tolist())(F.col("vec"))
         home = F.struct(F.lit(-1).alias("pivot"), F.lit(0.0).alias("dist"))
         split = keyed.where(F.col("big").isNotNull() & (F.size("vec") == dim)).withColumn("at", near)
         whole = keyed.where(F.col("big").isNull() | (F.size("vec") != dim)).withColumn("at", home)
-        keyed = split.unionByName(whole).select("cid", "grp", "vec", "copies", "at.pivot", "at.dist")
+        keyed = split.unionByName(whole).select("cid", "h1", "grp", "vec", "copies", "at.pivot", "at.dist")
         gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (p @ p.T)))
         between = classes.sparkSession.createDataFrame(
             [(i, j, float(gaps[i, j])) for i in range(len(p)) for j in range(len(p))] + [(-1, -1, 0.0)],
             "pivot int, pivot2 int, gap double")
     else:
-        keyed = keyed.select("cid", "grp", "vec", "copies", F.lit(-1).alias("pivot"), F.lit(0.0).alias("dist"))
+        keyed = keyed.select("cid", "h1", "grp", "vec", "copies", F.lit(-1).alias("pivot"), F.lit(0.0).alias("dist"))
         between = classes.sparkSession.createDataFrame([(-1, -1, 0.0)], "pivot int, pivot2 int, gap double")
     keyed = materialise(keyed, "vec-cells")
     cells = keyed.groupBy("grp", "pivot").agg(
@@ -226,36 +246,45 @@ def cosine_components(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
                                                        F.max("dist").alias("hi"))
     shells = materialise(shells.withColumn("salts", F.ceil(F.col("n") / block).cast("int"))
                          .withColumn("hi", F.when(F.col("pivot") < 0, F.lit(2.0)).otherwise(F.col("hi"))), "vec-shells")
-    blocks = shells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))) \
-        .withColumn("blk", F.concat_ws(".", "pivot", "shell", "salt"))
+    # blocks in the order of the top level, cut into runs that make the sides of the tiles
+    dim = F.greatest(F.split("grp", ":")[0].cast("long"), F.lit(1))
+    in_order = Window.partitionBy("grp").orderBy("pivot", "shell", "salt")
+    blocks = shells.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumns({
+        "num": F.row_number().over(in_order) - 1,
+        "k": F.greatest(F.lit(1), F.least(F.lit(min(max_tile, 15)), F.floor(F.lit(tile_bytes) / (dim * 8 * block)))).cast("int")})
+    blocks = blocks.withColumn("side", F.floor(F.col("num") / F.col("k")).cast("int"))
     two = blocks.select("grp", F.col("pivot").alias("pivot2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"),
-                        F.col("blk").alias("blk2"))
-    pairs = (blocks.join(two, "grp").where("blk <= blk2")
+                        F.col("num").alias("num2"), F.col("side").alias("side2"))
+    pairs = (blocks.join(two, "grp").where("num <= num2")
              .join(between, ["pivot", "pivot2"])
              .where((F.col("gap") - F.col("hi") - F.col("hi2") <= eps) & (F.col("lo") - F.col("gap") - F.col("hi2") <= eps)
-                    & (F.col("lo2") - F.col("gap") - F.col("hi") <= eps))
-             .select("grp", "blk", "blk2"))
-    ends = F.when(F.col("blk") == F.col("blk2"), F.array(F.struct(F.col("blk"), F.lit(0).alias("side")))).otherwise(
-        F.array(F.struct(F.col("blk"), F.lit(0).alias("side")), F.struct(F.col("blk2").alias("blk"), F.lit(1).alias("side"))))
-    routes = materialise(pairs.select("grp", F.concat_ws("|", "blk", "blk2").alias("pair"), F.explode(ends).alias("e"))
-                         .select("grp", "pair", "e.blk", "e.side"), "vec-routes")
+                    & (F.col("lo2") - F.col("gap") - F.col("hi") <= eps)))
+    slot = F.pmod("num", "k")
+    slot2 = F.pmod("num2", "k") + F.when(F.col("side") == F.col("side2"), 0).otherwise(F.col("k"))
+    ends = F.array(F.struct(F.col("num"), slot.alias("slot"), F.call_function("shiftleft", F.lit(1), slot2).alias("bit")),
+                   F.struct(F.col("num2").alias("num"), slot2.alias("slot"), F.lit(0).alias("bit")))
+    routes = (pairs.select("grp", "side", "side2", F.explode(ends).alias("e"))
+              .groupBy("grp", "side", "side2", "e.num", "e.slot").agg(F.bit_or("e.bit").alias("mask")))
+    routes = materialise(routes.join(blocks.select("grp", "num", "pivot", "shell", "salt"), ["grp", "num"]).drop("num"),
+                         "vec-routes")
     placed = (keyed.join(shells.select("grp", "pivot", "shell", "salts"), ["grp", "pivot", "shell"])
-              .withColumn("blk", F.concat_ws(".", "pivot", "shell", F.pmod(F.hash("cid"), F.col("salts")))))
-    found = materialise(placed.join(routes, ["grp", "blk"]).select("grp", "pair", "side", "cid", "copies", "vec")
-                        .groupBy("grp", "pair").applyInArrow(make_pair_task(min_cos), PAIR_SCHEMA), "vec-links")
+              .withColumn("salt", F.pmod(F.hash("h1"), F.col("salts"))))
+    found = materialise(placed.join(routes, ["grp", "pivot", "shell", "salt"])
+                        .select("grp", "side", "side2", "slot", "mask", "cid", "copies", "vec")
+                        .groupBy("grp", "side", "side2").applyInArrow(make_tile_task(min_cos), PAIR_SCHEMA), "vec-links")
 
     n_add = found.groupBy("cid").agg(F.sum("n_add").alias("n_add"))
     roots = materialise(connected_components(found.select("cid", "root"), "cid", "root"), "vec-roots")
-    base = materialise(rows.select("id", "cid"), "vec-rows")
-    by_class = (base.where("cid is not null").groupBy("cid").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    base = materialise(rows.select("id", "h1", "h2"), "vec-rows")
+    by_class = (classes.select("cid", "h1", "h2", "low", "copies")
                 .join(n_add, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
                 .withColumn("root", F.coalesce("root", "cid")))
     by_class = materialise(by_class, "vec-by-class")
     heads = materialise(by_class.groupBy("root").agg(F.min("low").alias("component_id")), "vec-heads")
     by_class = materialise(by_class.join(heads, "root").select(
-        "cid", (F.coalesce("n_add", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "vec-classes")
-    linked = base.where("cid is not null").join(by_class, "cid").select("id", "n_links", "component_id")
-    alone = base.where("cid is null").select("id", F.lit(0).cast("long").alias("n_links"),
+        "h1", "h2", (F.coalesce("n_add", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"), "vec-linked")
+    linked = base.where("h1 is not null").join(by_class, ["h1", "h2"]).select("id", "n_links", "component_id")
+    alone = base.where("h1 is null").select("id", F.lit(0).cast("long").alias("n_links"),
                                             F.col("id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 
