@@ -1,5 +1,6 @@
 """Hand-made 5-10 row cases for the quirks listed in the fixture notes."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import make_log
@@ -128,3 +129,44 @@ def test_sequence_padding_and_shift(spark):
     assert r.seq_content_id == [0, 1, 2, 3]
     assert r.seq_answered_correctly == [0, 0, 1, 1]
     assert r.seq_timestamp_diff == [0, 10, 10, 10]
+
+
+def test_datasets_by_name(spark):
+    """Every numbered dataset gives its own fields; windows are whole, in order and padded in front."""
+    from tracefeat.operators import lookup as L
+    from tracefeat.operators.samples import DATASETS
+    rows = [(u * 100 + i, u, i * 60000, 1 + i, 1 + i % 7, i % 2, i, 1000.0 if i else None, True if i % 3 else None, int(i > 7))
+            for u, n in ((1, 10), (2, 3), (3, 1)) for i in range(n)]
+    log = spark.createDataFrame(rows, "row_id long, user_id long, timestamp long, content_id int, part int, "
+                                "answered_correctly int, task_container_id int, prior_question_elapsed_time double, "
+                                "prior_question_had_explanation boolean, is_val int")
+    q = spark.createDataFrame([(i, "1 2" if i % 2 else None) for i in range(12)], "question_id int, tags string")
+    te = spark.createDataFrame([(1, 0.5), (2, 0.25)], "content_id int, te_mean double")
+    for k, (fields, sampling, pad) in DATASETS.items():
+        name = "" if k == 1 else str(k)
+        train = L.dataset(log, f"CustomTrainDataset{name}", questions=q, te=te, max_seq=5, step=4)
+        assert train.columns == ["user_id", "chunk_id", *fields.split(), "label"]
+        test = L.dataset(log, f"CustomTestDataset{name}", questions=q, te=te, max_seq=5)
+        assert test.columns == ["row_id", *fields.split(), "label"]
+        if k not in (1, 7, 15):
+            continue
+        got = train.collect()
+        assert {r["user_id"] for r in got} == {1, 2}                  # a user of one row gives no sample
+        item = "target_id" if k == 1 else "in_ex"
+        for r in got:
+            real = [v for v in r[item] if v]
+            assert len(r[item]) == 4 and r[item] == [0] * (4 - len(real)) + real
+            assert real == list(range(real[0], real[0] + len(real)))
+        last = {r["row_id"]: r for r in test.collect()}
+        assert set(last) == {108, 109} and last[109][item] == [7, 8, 9, 10] and last[109]["label"] == [0, 1, 0, 1]
+    r = last[109]
+    assert r["in_de"] == [1, 0, 1, 0] and r["in_tag"][0] == [188] * 4 + [1, 2] and r["in_tag"][1] == [188] * 5 + [0]
+    assert [v[0] for v in r["num_feat"]] == [0.625164097637492] * 4 and r["num_feat"][3][1] == 0.5
+    code = L.dataset(log, "CustomTestDataset", max_seq=5, n_items=100).collect()
+    assert {c["row_id"]: c["x"] for c in code}[109] == [106, 7, 108, 9]
+    flat = {r["row_id"]: r for r in L.dataset(log, "CustomMlpDataset2", features=["content_id", "part"]).collect()}
+    assert flat[109]["content_id"] == 10 and flat[109]["feats"] == [3.0] and flat[109]["label"] == 1
+    assert L.dataset(log.limit(0), "CustomTrainDataset3", max_seq=5).count() == 0
+    for bad in ("CustomTrainDataset16", "CustomTrainDataset02", "CustomTrainDataset1", "CustomOther", "CustomMlpDataset3"):
+        with pytest.raises(KeyError):
+            L.dataset(log, bad, **({"features": ["part"]} if "Mlp" in bad else {}))

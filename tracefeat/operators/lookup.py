@@ -1,4 +1,4 @@
-"""Folds, metrics and losses looked up by name, as a configuration names them."""
+"""Folds, metrics, losses and datasets looked up by name, as a configuration names them."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefeat.operators import evaluate as E
+from tracefeat.operators import samples as S
 from tracefeat.operators import splits as V
 
 FOLDS: dict[str, Callable[..., DataFrame]] = {
@@ -47,3 +48,11 @@ def metric(df: DataFrame, name: str, label: str = "y", pred: str = "pred") -> Da
 def loss(df: DataFrame, name: str, label: str = "y", logit: str = "logit", **params) -> DataFrame:
     """One row: ``loss``, the mean of the named loss."""
     return _find(LOSSES, name, "loss")(df, label, logit, **params)
+
+
+def dataset(rows: DataFrame, name: str, **params) -> DataFrame:
+    """Samples of the named dataset: windows of users or chunks (``CustomTrainDataset``, ``...2`` to ``...15``), one per
+    chosen row (``CustomTestDataset...``) or flat features (``CustomMlpDataset``, ``CustomMlpDataset2``)."""
+    kinds = {"CustomTrain": S.train_samples, "CustomTest": S.test_samples, "CustomMlp": S.flat_samples}
+    kind = name.partition("Dataset")[0]
+    return _find(kinds, kind, "dataset")(rows, name, **params)

@@ -130,16 +130,19 @@ def crop_draw(method: str = "hash", seed: int = 0) -> Column:
     return F.pmod(F.col("user_id") * 7919 + F.col("chunk_id") * 104729 + F.lit(seed), F.lit(1_000_003))
 
 
-def random_crop(chunks: DataFrame, cols, max_seq: int = MAX_SEQ, method: str = "hash", seed: int = 0) -> DataFrame:
+def random_crop(chunks: DataFrame, cols, max_seq: int = MAX_SEQ, method: str = "hash", seed: int = 0,
+                fills: dict[str, Column] | None = None) -> DataFrame:
     """Chunk >= max_seq rows: a window of max_seq at a drawn start; shorter: a
-    drawn prefix of length >= 2, left-padded with 0 to max_seq."""
+    drawn prefix of length >= 2, left-padded to max_seq with 0 or what ``fills`` gives."""
+    fills = fills or {}
     n = F.size(F.col(cols[0]))
     r = crop_draw(method, seed)
     start = F.when(n >= max_seq, F.pmod(r, n - max_seq + 1) + 1).otherwise(F.lit(1))
     length = F.when(n >= max_seq, F.lit(max_seq)).otherwise(F.pmod(r, F.greatest(n - 1, F.lit(1))) + 2)
     length = F.least(length, n)
     chunks = chunks.withColumns({"_start": start, "_len": length})
-    return chunks.withColumns({c: pad_front(F.slice(c, F.col("_start"), F.col("_len")), max_seq, 0) for c in cols}) \
+    return chunks.withColumns({c: pad_front(F.slice(c, F.col("_start"), F.col("_len")), max_seq, fills.get(c, 0))
+                               for c in cols}) \
         .drop("_start", "_len")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracefeat.operators import encoders as A
+from tracefeat.operators import lookup as L
 from tracefeat.operators import prep as P
 from tracefeat.operators import sequences as Q
 from tracefeat.operators import splits as V
@@ -256,3 +257,137 @@ SELECT row_id, list_transform(range(0, {N - 1}), lambda i: CASE WHEN i = 0 THEN
 def q_q14(spark, d):
     s = _seq_rows(spark, d)
     return s.withColumn("seq_repeat", Q.repeat_in_sequence(F.col("seq_content_id")))
+
+
+# Datasets by name ------------------------------------------------------------
+def _sample_sql(key: str, tag_pad: int, te: bool) -> str:
+    """CTEs over ``sa`` (key, npad, and the padded arrays pc, pp, pa, pt, pe, pk) with tags and item encodings per position."""
+    tags = _TAGS_SQL.replace("lambda x: 188)", f"lambda x: {tag_pad})")
+    enc = f"""
+tr AS (SELECT row_id, row_id % 5 AS fold, content_id, answered_correctly AS t FROM log WHERE row_id NOT IN {TAIL}),
+fs AS (SELECT content_id, fold, sum(t) AS s, count(t) AS n FROM tr GROUP BY content_id, fold),
+tot AS (SELECT content_id, sum(t) AS S, count(t) AS N FROM tr GROUP BY content_id),
+g AS (SELECT tot.content_id, f.fold, tot.S, tot.N FROM tot, (SELECT range AS fold FROM range(5)) f),
+enc AS (SELECT g.content_id, avg((g.S - coalesce(fs.s, 0)) / (g.N - coalesce(fs.n, 0))) AS te_mean FROM g
+        LEFT JOIN fs ON g.content_id = fs.content_id AND g.fold = fs.fold WHERE g.N - coalesce(fs.n, 0) > 0
+        GROUP BY g.content_id),""" if te else "enc AS (SELECT 0 AS content_id, 0.0 AS te_mean),"
+    return f"""{enc}
+tg AS (SELECT question_id AS content_id, {tags} AS tag_list FROM questions),
+u AS (SELECT {key}, npad, unnest({_known('pc')}) AS content_id, generate_subscripts({_known('pc')}, 1) - 1 AS pos FROM sa),
+per AS (SELECT {key}, flatten(list(CASE WHEN pos < npad THEN [188, 188, 188, 188, 188, 188] ELSE tg.tag_list END
+    ORDER BY pos)) AS in_tag,
+    list(CASE WHEN pos < npad THEN 0.0 ELSE coalesce(enc.te_mean, {Q.TE_FILL!r}) END ORDER BY pos) AS num_te
+  FROM u LEFT JOIN tg USING (content_id) LEFT JOIN enc USING (content_id) GROUP BY {key})"""
+
+
+_SAMPLE_FIELDS = {
+    "in_ex": _known("pc"), "in_cat": _known("pp"), "in_de": _ans("pa"), "label": _known("pa"), "in_exp": _known("px"),
+    "in_dt": f"list_transform(range(1, {N}), lambda i: ln(1 + CASE WHEN pt[i + 1] / 60000.0 - pt[i] / 60000.0 < 0 "
+             "THEN 300 ELSE pt[i + 1] / 60000.0 - pt[i] / 60000.0 END))",
+    "in_el": f"list_transform({_known('pe')}, lambda x: coalesce(ln(1 + x / 1000.0), ln(22)))",
+    "in_ts": f"list_transform({_known('pk')}, lambda t: ln(1 + CAST(list_max({_known('pk')}) - t AS DOUBLE)))",
+    "in_task": f"list_transform({_known('pk')}, lambda t: ln(1 + CAST(t AS DOUBLE)))",
+    "num_rate": f"list_transform(range(0, {N - 1}), lambda i: CASE WHEN i < npad THEN 0.0 "
+                f"ELSE list_sum(list_slice({_ans('pa')}, npad + 1, i + 1)) / (i - npad + 1) END)",
+    "ts_mask": f"flatten(list_transform(range(0, {N - 1}), lambda i: list_transform(range(0, {N - 1}), lambda j: "
+               f"CAST((j > i OR {_known('pk')}[i + 1] = {_known('pk')}[j + 1]) AND i <> j AS INTEGER))))",
+    "in_tag": "in_tag", "num_te": "num_te"}
+_KINDS = {"in_dt": "af", "in_el": "af", "in_ts": "af", "in_task": "af", "num_te": "af", "num_rate": "af"}
+_ARRAYS = {"pc": "content_id", "pp": "part", "pa": "answered_correctly", "pt": "timestamp",
+           "pe": "prior_question_elapsed_time", "pk": "task_container_id", "px": "explained"}
+_D15 = ("in_ex", "in_dt", "in_el", "in_tag", "in_cat", "in_de", "in_ts", "num_te", "num_rate", "ts_mask", "label")
+_D7 = ("in_ex", "in_task", "in_dt", "in_el", "in_tag", "in_exp", "in_cat", "in_de", "label")
+_XS = (f"xs AS (SELECT *, CAST(row_id IN {TAIL} AS INTEGER) AS is_val, "
+       "CAST(coalesce(prior_question_had_explanation, false) AS INTEGER) AS explained, "
+       "row_number() OVER (PARTITION BY user_id ORDER BY timestamp, row_id) - 1 AS p, "
+       "count(*) OVER (PARTITION BY user_id) AS n FROM qlog WHERE content_type_id = 0)")
+
+
+def _lists(tail: str) -> str:
+    return ", ".join(f"list({c} {tail} AS l{p}" for p, c in _ARRAYS.items())
+
+
+def _pads(size: str, cut: str = "l{p}") -> str:
+    return ", ".join(f"list_concat(list_transform(range({N} - {size}), lambda x: 0), {cut.format(p=p)}) AS {p}"
+                     for p in _ARRAYS)
+
+
+def _sample_spec(keys, fields):
+    return ", ".join([*[f"{k}:i" for k in keys], *[f"{f}:{_KINDS.get(f, 'ai')}" for f in fields]])
+
+
+def _sample_select(keys, fields):
+    return (f"SELECT {', '.join(keys)}, " + ", ".join(f"{_SAMPLE_FIELDS[f]} AS {f}" for f in fields)
+            + f" FROM sa JOIN per USING ({', '.join(keys)})")
+
+
+_TEST15 = f"""
+WITH {_XS},
+w0 AS (SELECT row_id, is_val, {_lists(') OVER w')} FROM xs WINDOW w AS ({W21})),
+sa AS (SELECT row_id, {N - 1} - least(len(lpc), {N - 1}) AS npad, {_pads('len(lpc)')} FROM w0 WHERE is_val = 1),
+{_sample_sql('row_id', 188, True)}
+{_sample_select(['row_id'], _D15)}"""
+
+_TRAIN15 = f"""
+WITH {_XS},
+ch AS (SELECT xs.*, unnest(CASE WHEN (n - 1) // {STEP} > 0 AND n - ((n - 1) // {STEP}) * {STEP} < {STEP}
+         AND p // {STEP} = (n - 1) // {STEP} - 1 THEN [p // {STEP}, p // {STEP} + 1] ELSE [p // {STEP}] END) AS chunk_id
+       FROM xs WHERE n >= 2),
+w0 AS (SELECT user_id, chunk_id, {_lists('ORDER BY timestamp, row_id)')} FROM ch GROUP BY user_id, chunk_id),
+r AS (SELECT *, (user_id * 7919 + chunk_id * 104729) % 1000003 AS rr, len(lpc) AS nn FROM w0),
+s AS (SELECT *, CASE WHEN nn >= {N} THEN rr % (nn - {N} + 1) + 1 ELSE 1 END AS st,
+        least(CASE WHEN nn >= {N} THEN {N} ELSE rr % greatest(nn - 1, 1) + 2 END, nn) AS ln FROM r),
+sa AS (SELECT user_id, chunk_id, {N - 1} - least(ln, {N - 1}) AS npad,
+         {_pads('ln', 'list_slice(l{p}, st, st + ln - 1)')} FROM s),
+{_sample_sql('user_id, chunk_id', 188, True)}
+{_sample_select(['user_id', 'chunk_id'], _D15)}"""
+
+_TRAIN7 = f"""
+WITH {_XS},
+d AS (SELECT *, (user_id * 7919) % 1000003 AS rr FROM xs WHERE n >= 2),
+e AS (SELECT *, CASE WHEN n < {N} THEN 0 WHEN rr % 10 <> 0 THEN rr % (n - {N} + 1) ELSE n - {N} END AS st,
+        CASE WHEN n >= {N} THEN {N} WHEN rr % 10 <> 0 THEN rr % (n - 1) + 2 ELSE n END AS ln FROM d),
+w0 AS (SELECT user_id, 0 AS chunk_id, {_lists('ORDER BY timestamp, row_id)')} FROM e WHERE p >= st AND p < st + ln
+       GROUP BY user_id),
+sa AS (SELECT user_id, chunk_id, {N - 1} - least(len(lpc), {N - 1}) AS npad, {_pads('len(lpc)')} FROM w0),
+{_sample_sql('user_id, chunk_id', 0, False)}
+{_sample_select(['user_id', 'chunk_id'], _D7)}"""
+
+
+def _flat_fields(out):
+    """Nested fields as the flat arrays that are compared: tags and mask in one row, the two numbers apart."""
+    cols = set(out.columns)
+    if "num_feat" in cols:
+        out = out.withColumns({"num_te": F.transform("num_feat", lambda v: v[0]),
+                               "num_rate": F.transform("num_feat", lambda v: v[1])})
+    if "ts_mask" in cols:
+        out = out.withColumn("ts_mask", F.transform("ts_mask", lambda b: b.cast("int")))
+    return out.withColumn("in_tag", F.flatten("in_tag"))
+
+
+def _dataset_inputs(spark, d):
+    log = V.tail_split(interaction_log(spark, d))
+    tr = V.kfold(log.filter("is_val = 0"), 5, method="modulus")
+    te = A.encoder_mean_table(A.fold_encoders(tr, "content_id", "answered_correctly", 5), "content_id")
+    return _tail_q(spark, d), questions(spark, d), te
+
+
+@register("H6_dataset_train15", _sample_spec(["user_id", "chunk_id"], _D15), _TRAIN15)
+def q_h6(spark, d):
+    """The training samples found by the name CustomTrainDataset15: drawn windows of 21 in chunks of 20."""
+    x, q, te = _dataset_inputs(spark, d)
+    return _flat_fields(L.dataset(x, "CustomTrainDataset15", questions=q, te=te, max_seq=N, step=STEP, method="modulus"))
+
+
+@register("H6b_dataset_test15", _sample_spec(["row_id"], _D15), _TEST15)
+def q_h6b(spark, d):
+    """The validation samples found by the name CustomTestDataset15, one a held-out row."""
+    x, q, te = _dataset_inputs(spark, d)
+    return _flat_fields(L.dataset(x, "CustomTestDataset15", questions=q, te=te, max_seq=N))
+
+
+@register("H6c_dataset_train7", _sample_spec(["user_id", "chunk_id"], _D7), _TRAIN7)
+def q_h6c(spark, d):
+    """The training samples found by the name CustomTrainDataset7: one drawn window a user."""
+    x = _tail_q(spark, d)
+    return _flat_fields(L.dataset(x, "CustomTrainDataset7", questions=questions(spark, d), max_seq=N, method="modulus"))
