@@ -538,6 +538,44 @@ def test_quality_accuracy(spark):
     assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) / len(held) > 0.95
 
 
+def test_quality_brute_force(spark):
+    """Scores of 400 texts against Fourier features, one solve and a min-max isotonic fit written out in numpy."""
+    import zlib
+    from tracefeat.llm.quality import BINS, N_FOURIER, STATS, document_statistics, quality_scores
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet").orderBy("doc_id").limit(400).select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF_MID}/labels.parquet").join(docs.select("doc_id"), "doc_id") \
+        .select("doc_id", "quality")
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    y = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] is not None}
+    fold = {i: zlib.crc32(str(i).encode()) % 4 for i in text}
+    fit, cal = [i for i in sorted(y) if fold[i] in (0, 1)], [i for i in sorted(y) if fold[i] == 3]
+    assert len(fit) > 20 and len(cal) > 10
+    x = {i: np.array(document_statistics(t or "")) for i, t in text.items()}
+    m, sd = np.mean([x[i] for i in fit], axis=0), np.std([x[i] for i in fit], axis=0)
+    sd[sd <= 1e-9] = 1.0
+    rng = np.random.default_rng(11)
+    freq = rng.normal(size=(len(STATS), N_FOURIER)) / (0.7 * np.sqrt(len(STATS)))
+    phase = rng.uniform(0, 2 * np.pi, N_FOURIER)
+    z = {i: np.append(np.sqrt(2 / N_FOURIER) * np.cos(np.clip((v - m) / sd, -6, 6) @ freq + phase), 1.0)
+         for i, v in x.items()}
+    zf = np.array([z[i] for i in fit])
+    ridge = np.diag([1e-3 * len(fit) / N_FOURIER] * N_FOURIER + [1e-9])
+    beta = np.linalg.solve(zf.T @ zf + ridge, zf.T @ np.array([y[i] for i in fit]))
+    place = {i: int(min(max(np.floor((v @ beta + 0.5) / 2 * BINS), 0), BINS - 1)) for i, v in z.items()}
+    bins = sorted({place[i] for i in cal})
+    n = np.array([sum(place[i] == b for i in cal) for b in bins])
+    pos = np.array([sum(y[i] for i in cal if place[i] == b) for b in bins])
+    smooth = [max(min(pos[a:e + 1].sum() / n[a:e + 1].sum() for e in range(k, len(bins))) for a in range(k + 1))
+              for k in range(len(bins))]
+    curve = np.interp(np.arange(BINS), bins, smooth)
+    out = quality_scores(docs, labels).collect()
+    assert len(out) == len(text)
+    off = [r["id"] for r in out if abs(r["score"] - curve[place[r["id"]]]) > 1e-9]
+    near_edge = [i for i in off if min((z[i] @ beta + 0.5) / 2 * BINS % 1, 1 - (z[i] @ beta + 0.5) / 2 * BINS % 1) < 1e-5]
+    assert off == near_edge and len(off) <= 1
+    assert all(r["held_out"] == (fold[r["id"]] == 2) and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+
+
 def test_quality_edges(spark, edge):
     from tracefeat.llm.quality import quality_scores
     labels = spark.createDataFrame([(4, 1, "x"), (5, None, "x"), (None, 0, "x"), (6, 0, "x"), (99, 1, "x")],
