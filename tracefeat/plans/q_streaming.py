@@ -21,6 +21,7 @@ from tracefeat.streaming import replay as R
 from tracefeat.streaming.labels import match_label_lists, with_matched_labels
 from tracefeat.streaming.user_state import online_user_features
 from tracefeat.plans.registry import register
+from tracefeat.session import cut_lineage
 
 N_SEQ = 21
 
@@ -28,8 +29,8 @@ N_SEQ = 21
 def _replay(spark, d):
     root = io.fresh_path(spark, "stream")
     src = os.path.join(root, "events")
-    EV.write_microbatches(EV.event_frame(interaction_log(spark, d)), src)
-    return root, EV.read_events(spark, src, 4)
+    EV.write_microbatches(EV.event_frame(cut_lineage(interaction_log(spark, d))), src)   # every chunk reads the log
+    return root, EV.read_events(spark, src)
 
 
 def _event_time_replay(spark, d):
@@ -49,7 +50,7 @@ def _list_replay(spark, d):
     """Rows and answer lists in order of arrival, whole groups together, with the watermark on the arrival time."""
     root = io.fresh_path(spark, "stream")
     src = os.path.join(root, "events")
-    R.write_chunks(R.arrival_chunks(EV.list_frame(interaction_log(spark, d))), "chunk", src)
+    R.write_chunks(R.arrival_chunks(EV.list_frame(cut_lineage(interaction_log(spark, d)))), "chunk", src)
     return root, R.read_chunks(spark, src, EV.EVENT_SCHEMA).withWatermark("arrival_ts", "1 minute")
 
 

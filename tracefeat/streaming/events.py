@@ -66,13 +66,15 @@ def list_frame(log: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 REPLAY_CHUNKS = 4
+CHUNK_FILES = 4
 
 
-def write_microbatches(events: DataFrame, path: str, chunks: int = REPLAY_CHUNKS) -> int:
+def write_microbatches(events: DataFrame, path: str, chunks: int = REPLAY_CHUNKS, files: int = CHUNK_FILES) -> int:
     """Write the events for replay by a file source, in ``chunks`` jobs whatever the number of groups.
 
-    A chunk is a run of consecutive groups, written by all tasks at once with a
-    user's events in one file.  The source takes files by modification time, so
+    A chunk is a run of consecutive groups in at most ``files`` files, with a
+    user's events in one of them, so the number of triggers does not follow the
+    number of tasks that wrote it.  The source takes files by modification time, so
     every user's groups arrive in order, which is what the keyed state needs;
     files of one chunk come in any order.  Returns the number of groups."""
     n = events.agg(F.max("group_num")).first()[0]
@@ -80,12 +82,12 @@ def write_microbatches(events: DataFrame, path: str, chunks: int = REPLAY_CHUNKS
     step = -(-(n + 1) // chunks)
     for lo in range(0, n + 1, max(step, 1)):
         hi = min(lo + step, n + 1) - 1
-        (events.filter(F.col("group_num").between(lo, hi)).repartition("user_id")
+        (events.filter(F.col("group_num").between(lo, hi)).repartition(files, "user_id")
          .write.mode("overwrite").parquet(os.path.join(path, f"groups={lo:08d}-{hi:08d}")))
     return n + 1
 
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = 4) -> DataFrame:
+def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = CHUNK_FILES) -> DataFrame:
     """The replayed stream.  Event-time operators pass None: the files of a chunk are not in
     time order, so a watermark may only move once all of a replay has been read."""
     r = spark.readStream.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true")

@@ -2,14 +2,15 @@
 
 Per user the state holds
 
-* a value: the counters and how many early labels wait,
+* a value: the counters, how many early labels wait and the last ``n - 1``
+  answered question rows, for sequences,
 * a map of the rows still waiting for their answer, one entry a row,
 * a map of labels that came before their row,
-* a list of the last ``n - 1`` answered question rows, for sequences,
 * a map from a due time to the rows and labels that came at that time.
 
 A call reads and writes only the entries its events name, so its cost does not
-grow with the rows a user has waiting.  For each group of events (one
+grow with the rows a user has waiting, and what is answered within the call
+never reaches the state store.  For each group of events (one
 micro-batch of the online loop) the operator (a) folds the labels of the
 previous group into the state, (b) scores the new rows from the state without
 updating it, then (c) makes the new rows pending.  Events are processed group
@@ -25,8 +26,11 @@ on, after ``ttl_groups`` groups.  Nothing leaves silently.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,29 +50,47 @@ OUTPUT_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),     # feature, expired_row, or expired_label (its answer in u_corr_cnt)
 ])
 
+INPUT_COLUMNS = ["kind", "group_num", "row_id", "user_id", "timestamp", "content_id", "content_type_id",
+                 "answered_correctly", "arrival_ts"]
+
+
+def millis(at) -> int:
+    """Milliseconds since the epoch, floored; a time without zone is in UTC."""
+    utc = at if at.tzinfo is None else at.astimezone(timezone.utc).replace(tzinfo=None)
+    return int((utc - datetime(1970, 1, 1)) // timedelta(milliseconds=1))
+
+
+def events_of(rows) -> Iterator:
+    """The events of a call one by one, from rows or from frames."""
+    for x in rows:
+        if isinstance(x, pd.DataFrame):
+            yield from x.itertuples(index=False)
+        else:
+            yield x
+
 
 class UserLoop(StatefulProcessor):
     """The online loop of one user."""
 
     def __init__(self, n_seq: int = N_SEQ, ttl_groups: int = TTL_GROUPS, row_ttl_ms: int = ROW_TTL_MS):
         self.n_seq, self.ttl_groups, self.row_ttl_ms = n_seq, ttl_groups, row_ttl_ms
-        self.names = [f.name for f in OUTPUT_SCHEMA.fields]
+        self.row = Row(*[f.name for f in OUTPUT_SCHEMA.fields])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counters = handle.getValueState("counters", "u_cnt long, u_corr long, lec long, n_early long")
+        self.counters = handle.getValueState("counters", "u_cnt long, u_corr long, lec long, n_early long, "
+                                             "content array<long>, answer array<long>, ts array<long>")
         self.pending = handle.getMapState("pending", "row_id long", "ct int, content int, ts long, group_num long")
         self.early = handle.getMapState("early", "row_id long", "answer long, group_num long")
-        self.recent = handle.getListState("recent", "content long, answer long, ts long")
         self.due = handle.getMapState("due", "at long", "rows array<long>")
 
     def handleInputRows(self, key, rows, timerValues):
         user, n = int(key[0]), self.n_seq
-        u_cnt, u_corr, lec, n_early = self.counters.get() if self.counters.exists() else (0, 0, 0, 0)
-        recent = [tuple(r) for r in self.recent.get()]
-        had = list(recent)
+        u_cnt, u_corr, lec, n_early, *last = self.counters.get() or (0, 0, 0, 0, [], [], [])
+        recent = list(zip(*last))
         new: dict[int, tuple] = {}               # rows of this call that still wait
-        waits: dict[int, list] = {}              # due time -> ids of this call that wait
+        ahead: set[int] = set()                  # labels of this call that still wait for their row
+        waits: list[tuple] = []                  # (arrival, id) of what came to wait
         out = []
 
         def fold(found) -> None:
@@ -95,36 +117,37 @@ class UserLoop(StatefulProcessor):
         def pad(xs, size):
             return [0] * (size - len(xs)) + xs if len(xs) < size else xs[len(xs) - size:]
 
-        ev = pd.concat(list(rows), ignore_index=True)
-        for g, ge in ev.groupby("group_num", sort=True):
-            g = int(g)
+        groups: dict[int, tuple] = {}            # group -> its labels and its rows
+        for e in events_of(rows):
+            if not pd.isna(e.group_num):
+                groups.setdefault(int(e.group_num), ([], []))[e.kind == "row"].append(e)
+        for g in sorted(groups):
+            labels, some = groups[g]
             # (a) labels of the previous group
-            lab = ge[ge["kind"] == "label"]
             found = []
-            for r, a, at in zip(lab["row_id"], lab["answered_correctly"], lab["arrival_ts"]):
-                r, a = int(r), int(a)
+            for e in labels:
+                r, a = int(e.row_id), int(e.answered_correctly)
                 row = take(r)
                 if row is None:
                     if not self.early.containsKey((r,)):
                         n_early += 1
                     self.early.updateValue((r,), (a, g))
-                    waits.setdefault(int(at.value // 10**6) + self.row_ttl_ms, []).append(r)
+                    ahead.add(r)
+                    waits.append((e.arrival_ts, r))
                 else:
                     found.append((row[2], r, row[0], row[1], row[2], a))
             fold(found)
             # (b) score the new rows from the state, without updating it
             rate = u_corr / u_cnt if u_cnt else None
             h_c, h_a, h_t = ([x[k] for x in recent] for k in range(3))
-            some = ge[ge["kind"] == "row"].sort_values(["timestamp", "row_id"])
-            for r, c, ct, t, at in zip(some["row_id"], some["content_id"], some["content_type_id"], some["timestamp"],
-                                       some["arrival_ts"]):
-                r, c, ct, t = int(r), int(c), int(ct), int(t)
+            for e in sorted(some, key=lambda e: (e.timestamp, e.row_id)):
+                r, c, ct, t = int(e.row_id), int(e.content_id), int(e.content_type_id), int(e.timestamp)
                 if ct == 0:
                     ts = pad(h_t + [t], n)
                     out.append((r, user, g, u_cnt, u_corr, rate, lec, pad(h_c + [c], n)[1:], pad(h_a, n - 1),
                                 [b - a for a, b in zip(ts[:-1], ts[1:])], "feature"))
                 new[r] = (ct, c, t, g)
-                waits.setdefault(int(at.value // 10**6) + self.row_ttl_ms, []).append(r)
+                waits.append((e.arrival_ts, r))
             # (c) labels that came before their row, then those that waited too long
             if n_early:
                 found = []
@@ -137,30 +160,30 @@ class UserLoop(StatefulProcessor):
                     else:
                         continue
                     self.early.removeKey((r,))
+                    ahead.discard(r)
                     n_early -= 1
                 fold(found)
         for r, row in new.items():
             self.pending.updateValue((r,), row)
-        self._wait(waits, new)
-        if recent != had:
-            self.recent.put(recent)
-        self.counters.update((u_cnt, u_corr, lec, n_early))
-        yield pd.DataFrame(out, columns=self.names, dtype=object)
-
-    def _wait(self, waits: dict, new: dict) -> None:
-        """Timers of the rows and labels that still wait at the end of the call."""
-        for at, ids in waits.items():
-            ids = [r for r in ids if r in new or self.early.containsKey((r,))]
-            if ids:
-                before = list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
-                self.due.updateValue((at,), (before + ids,))
-                self.handle.registerTimer(at)
+        self._wait([(at, r) for at, r in waits if r in new or r in ahead])
+        self.counters.update((u_cnt, u_corr, lec, n_early, *([x[k] for x in recent] for k in range(3))))
+        yield from (self.row(*x) for x in out)
+
+    def _wait(self, waits: list) -> None:
+        """Timers of the rows and labels (arrival, id) that still wait at the end of the call."""
+        due: dict[int, list] = {}
+        for at, r in waits:
+            due.setdefault(millis(at) + self.row_ttl_ms, []).append(r)
+        for at, ids in due.items():
+            before = list(self.due.getValue((at,))[0]) if self.due.containsKey((at,)) else []
+            self.due.updateValue((at,), (before + ids,))
+            self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         user, at = int(key[0]), expiredTimerInfo.getExpiryTimeInMs()
         out = []
         if self.due.containsKey((at,)):
-            u_cnt, u_corr, lec, n_early = self.counters.get()
+            u_cnt, u_corr, lec, n_early, *last = self.counters.get()
             for r in self.due.getValue((at,))[0]:
                 if self.pending.containsKey((r,)):
                     g = self.pending.getValue((r,))[3]
@@ -172,8 +195,8 @@ class UserLoop(StatefulProcessor):
                     self.early.removeKey((r,))
                     n_early -= 1
             self.due.removeKey((at,))
-            self.counters.update((u_cnt, u_corr, lec, n_early))
-        yield pd.DataFrame(out, columns=self.names, dtype=object)
+            self.counters.update((u_cnt, u_corr, lec, n_early, *last))
+        yield from (self.row(*x) for x in out)
 
     def close(self) -> None:
         pass
@@ -185,5 +208,5 @@ def online_user_features(events: DataFrame, n_seq: int = N_SEQ, ttl_groups: int
     events of one moment may reach the operator (the watermark is that far behind); None if the
     stream has its watermark on ``arrival_ts`` already.  Needs the RocksDB state store."""
     ev = events.withWatermark("arrival_ts", delay) if delay else events
-    return (ev.filter("kind IN ('row', 'label')").groupBy("user_id")
-            .transformWithStateInPandas(UserLoop(n_seq, ttl_groups, row_ttl_ms), OUTPUT_SCHEMA, "Append", "EventTime"))
+    return (ev.filter("kind IN ('row', 'label')").select(*INPUT_COLUMNS).groupBy("user_id")
+            .transformWithState(UserLoop(n_seq, ttl_groups, row_ttl_ms), OUTPUT_SCHEMA, "Append", "EventTime"))
