@@ -13,6 +13,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 SESSION_GAP_MS = 12 * 3_600_000
 
@@ -36,23 +37,28 @@ def rocksdb(spark: SparkSession):
 
 
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
-                   timeout_s: int = 600) -> list:
-    """Run a streaming frame with ``availableNow`` into a parquet sink and wait; the progress of its
-    micro-batches (read rows, watermark, rows in state, rows dropped behind the watermark)."""
+                   timeout_s: int | None = None) -> list:
+    """Run a streaming frame with ``availableNow`` into a parquet sink and wait, without end unless
+    ``timeout_s`` says so; the progress of its micro-batches (read rows, watermark, rows in state, rows dropped behind the watermark)."""
     with rocksdb(df.sparkSession):
         return _run_to_parquet(df, path, checkpoint, mode, timeout_s)
 
 
-def _run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str, timeout_s: int) -> list:
+def _run_to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str, timeout_s: int | None) -> list:
     q = (df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
          .outputMode(mode).trigger(availableNow=True).start())
+    finish(q, timeout_s)
+    return list(q.recentProgress)
+
+
+def finish(q: StreamingQuery, timeout_s: int | None = None) -> None:
+    """Wait for a query's end; a bound in seconds is the caller's choice, as the time grows with the input."""
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
         raise TimeoutError("streaming query did not finish")
     if q.exception() is not None:
         raise q.exception()
-    return list(q.recentProgress)
 
 
 def end_marker(spark: SparkSession, path: str, group_num: int, far_ts_ms: int) -> None:
@@ -93,7 +99,7 @@ FOLD_EVERY = 8               # batches after which the deltas are folded into a
 
 
 def refresh_encoder(events: DataFrame, table_path: str, checkpoint: str, key: str = "content_id",
-                    timeout_s: int = 600, fold_every: int = FOLD_EVERY) -> None:
+                    timeout_s: int | None = None, fold_every: int = FOLD_EVERY) -> None:
     """Row counts by ``key``, kept as a base and the deltas of the batches since.
 
     A micro-batch writes its counts as a delta; every ``fold_every`` batches the
@@ -121,12 +127,7 @@ def refresh_encoder(events: DataFrame, table_path: str, checkpoint: str, key: st
 
     q = (events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    finish(q, timeout_s)
 
 
 def _encoder_rows(spark: SparkSession, table_path: str, key: str, newest: int | None = None,

@@ -57,7 +57,7 @@ def read_chunks(spark: SparkSession, path: str, schema, files: int = FILES) -> D
             .parquet(path))
 
 
-def route_late(events: DataFrame, root: str, delay_ms: int = 0, files: int = FILES, timeout_s: int = 600) -> None:
+def route_late(events: DataFrame, root: str, delay_ms: int = 0, files: int = FILES, timeout_s: int | None = None) -> None:
     """Split a stream of ``events`` (column ``event_ts``) into ``root``/on_time and ``root``/late until it is read up.
 
     Per micro-batch the newest event time is kept in ``root``/clock; the
