@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracefeat.functions.columns import EPS_STAT
 from tracefeat.plans.joins import dim_join
 from tracefeat.plans.segmented import whole_group_median
+from tracefeat.session import cut_lineage
 
 ORDER = ("timestamp", "row_id")
 SMOOTH = 5            # smoothing weight of the "sm5" encodings
@@ -376,18 +377,55 @@ def attach_tag_vectors(items: DataFrame, stats: DataFrame, width: int, stat: str
     return items.join(wide, F.col("content_id") == F.col("_qid"), "left").drop("_qid")
 
 
+def questions_of(items: DataFrame, questions: DataFrame) -> DataFrame:
+    """The questions that are items, the only ones whose vectors a table of the items takes."""
+    return questions.join(items.select(F.col("content_id").alias("question_id")), "question_id", "left_semi")
+
+
 # A30 -----------------------------------------------------------------------
+MAX_BROADCAST_VECTORS = 50_000
+
+
 def tag_vector_stats(questions: DataFrame, vectors: DataFrame, id_col: str = "vec_id",
                      vec_col: str = "embedding") -> DataFrame:
-    """Explode each question's tags, attach the tag's vector, and per (question,
-    dimension) take mean/median/std/max/min (long form: one row per dimension)."""
+    """Per (question, dimension) mean/median/std/max/min of its tags' vectors (long form: one row per dimension).
+
+    Vectors travel whole: a question meets its distinct tags, each with its count, and their vectors as arrays,
+    and the dimensions are taken apart at the end.  Only vectors that some tag names are looked up; the few a
+    tag dictionary holds go to every task, so a tag that most questions share gathers in none."""
     qt = questions.select("question_id", F.explode(F.split("tags", " ")).alias("_t")).select(
         "question_id", F.col("_t").cast("long").alias(id_col))
-    v = vectors.select(id_col, F.posexplode(vec_col).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
-    j = qt.join(v, id_col)
-    return j.groupBy("question_id", "dim").agg(
-        (F.sum("x") / F.count("x")).alias("tag_vec_mean"), F.median("x").alias("tag_vec_median"),
-        F.stddev_samp("x").alias("tag_vec_std"), F.max("x").alias("tag_vec_max"), F.min("x").alias("tag_vec_min"))
+    v = cut_lineage(vectors.select(id_col, F.col(vec_col).alias("_x"))
+                    .join(qt.select(id_col).distinct(), id_col, "left_semi"))
+    n = qt.groupBy("question_id", id_col).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    parts = int(questions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = n.repartition(parts, "question_id")              # a set number: few bytes here are many rows behind
+    per = dim_join(n, v, id_col, "inner", max_rows=MAX_BROADCAST_VECTORS).groupBy("question_id").agg(
+        F.collect_list(F.struct("_n", "_x")).alias("_v"))
+    size = F.transform("_v", lambda e: F.when(e["_x"].isNull(), 0).otherwise(F.size(e["_x"])))
+    per = per.withColumns({"_dims": F.array_max(size), "_often": F.exists("_v", lambda e: e["_n"] > 1)})
+
+    def values(j):                                       # of dimension j, sorted, as often as the tag is named
+        once = F.transform("_v", lambda e: F.get(e["_x"], j).cast("double"))
+        often = F.flatten(F.transform("_v", lambda e: F.array_repeat(F.get(e["_x"], j).cast("double"), e["_n"])))
+        return F.sort_array(F.filter(F.when(F.col("_often"), often).otherwise(once), lambda x: x.isNotNull()))
+
+    def mean(xs):
+        return F.when(F.size(xs) > 0, F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs))
+
+    def stats(e):
+        xs, m, k = e["xs"], e["m"], F.size(e["xs"])
+        lo, hi = F.get(xs, F.floor((k - 1) / 2).cast("int")), F.get(xs, F.floor(k / 2).cast("int"))
+        squares = F.aggregate(xs, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+        return F.struct(e["dim"].alias("dim"), m.alias("tag_vec_mean"),
+                        F.when(lo == hi, lo).otherwise(lo * 0.5 + hi * 0.5).alias("tag_vec_median"),
+                        F.when(k > 1, F.sqrt(squares / (k - 1))).alias("tag_vec_std"),
+                        F.get(xs, k - 1).alias("tag_vec_max"), F.get(xs, F.lit(0)).alias("tag_vec_min"))
+
+    dims = F.transform(F.sequence(F.lit(0), F.col("_dims") - 1), lambda j: F.struct(j.alias("dim"), values(j).alias("xs")))
+    dims = F.transform(dims, lambda e: F.struct(e["dim"].alias("dim"), e["xs"].alias("xs"), mean(e["xs"]).alias("m")))
+    return per.filter("_dims > 0").select("question_id", F.explode(F.transform(dims, stats)).alias("_s")) \
+        .select("question_id", "_s.*")
 
 
 # A31 -----------------------------------------------------------------------
