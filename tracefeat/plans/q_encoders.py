@@ -380,8 +380,8 @@ def q_a25b(spark, d):
     log = interaction_log(spark, d).filter("content_type_id = 0")
     c = log.groupBy("content_id").agg(F.count(F.lit(1)).alias("answered"))
     emb = read_table(spark, d, "embeddings")
-    c = A.attach_vectors(c, emb, "content_id", _VEC_WIDTH, "emb")
-    return A.attach_tag_vectors(c, A.tag_vector_stats(questions(spark, d), emb), _VEC_WIDTH)
+    stats = A.tag_vector_stats(A.questions_of(c, questions(spark, d)), emb)
+    return A.attach_tag_vectors(A.attach_vectors(c, emb, "content_id", _VEC_WIDTH, "emb"), stats, _VEC_WIDTH)
 
 
 # A30 / A31 -------------------------------------------------------------------
