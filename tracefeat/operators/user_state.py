@@ -181,12 +181,11 @@ def tag_rank(df: DataFrame, n_tags: int = N_TAGS, chunk_rows: int | None = None)
         n_tags - events of level c + events of level c with a tag below t
                - events of level c + 1 with a tag below t
 
-    (the first two terms are 0 and t for c = 0).  Tags below t are a prefix of
-    the ids: an event is written to the dyadic id ranges that hold its tag, a
-    prefix is the sum of at most one range per bit of t, and each range is a
-    running count in a window keyed (user, level, range).  A tag reaches a
-    level once, so such a window holds at most a few rows per tag however long
-    the user's history is; ``chunk_rows`` bounds the numbering before it.
+    (the first two terms are 0 and t for c = 0).  So an entry is read at the two
+    levels c and c + 1, in windows keyed (user, level) that list the tags that
+    came before.  A tag reaches a level once, so such a window holds at most a
+    few rows per tag however long the user's history is; ``chunk_rows`` bounds
+    the numbering before it.
     Tags outside 0..n_tags-1 get counters of their own behind those, in the
     order of their ids (their list is part of the tag dictionary, not of the log)."""
     e = tag_entries(df.filter(~F.col("_halo")) if SG.active() else df)
@@ -197,28 +196,23 @@ def tag_rank(df: DataFrame, n_tags: int = N_TAGS, chunk_rows: int | None = None)
                          .otherwise(F.array_position(listed, F.col("tag")) + (n_tags - 1)).cast("int"))
         n_tags += len(more)
     e = _occurrences(e, SG._ACTIVE.get()[0] if SG.active() else chunk_rows)
-    bits = n_tags.bit_length()
     t, level, c = F.col("tag"), F.col("level"), F.col("_c")
 
-    def step(lvl, node, came, sign, base=0):
-        return F.struct(lvl.alias("lvl"), node.cast("int").alias("node"), F.lit(came).alias("came"),
+    def step(lvl, came, sign, base=0):
+        return F.struct(lvl.alias("lvl"), (F.lit(came) if isinstance(came, bool) else came).alias("came"),
                         F.lit(sign).alias("sign"), (F.lit(base) if isinstance(base, int) else base).cast("int").alias("base"))
 
-    def cut(x, b):                                       # x down to a multiple of 2^b
-        return F.shiftleft(F.shiftright(x, b), b)
-
-    steps = [step(level, F.lit(0), 1, 0, F.when(c == 0, t).otherwise(n_tags)),       # range 0: all tags
-             F.when(c > 0, step(c, F.lit(0), 0, -1))]
-    for b in range(bits):
-        above = cut(t + (1 << b), b)                     # the range of width 2^b that ends there holds the tag
-        steps.append(F.when(F.shiftright(above, b).bitwiseAND(F.lit(1)) == 1, step(level, above, 1, 0)))
-        inside = t.bitwiseAND(F.lit(1 << b)) != 0        # a range of the prefix below the tag
-        steps += [F.when(inside & (c > 0), step(c, cut(t, b), 0, 1)), F.when(inside, step(c + 1, cut(t, b), 0, -1))]
-    s = e.select("user_id", "row_id", "pos", "seq", F.explode(F.array_compact(F.array(*steps))).alias("_s")) \
-        .select("user_id", "row_id", "pos", "seq", "_s.*")
-    earlier = Window.partitionBy("user_id", "lvl", "node").orderBy("seq").rangeBetween(UNB, -1)
-    s = s.withColumn("_v", F.col("sign") * F.coalesce(F.sum("came").over(earlier), F.lit(0)) + F.col("base"))
-    rank = s.filter("sign <> 0 OR node = 0").groupBy("row_id", "pos").agg(F.sum("_v").alias("_r"))
+    steps = [step(c + 1, level == c + 1, -1, F.when(c == 0, t).otherwise(n_tags)),
+             F.when(c > 0, step(c, False, 1)),
+             F.when(level != c + 1, step(level, True, 0))]        # a tag named again in its row
+    s = e.select("user_id", "row_id", "pos", "seq", "tag", F.explode(F.array_compact(F.array(*steps))).alias("_s")) \
+        .select("user_id", "row_id", "pos", "seq", "tag", "_s.*")
+    earlier = Window.partitionBy("user_id", "lvl").orderBy("seq").rangeBetween(UNB, -1)
+    s = s.withColumn("_seen", F.collect_list(F.when(F.col("came"), F.col("tag"))).over(earlier)).filter("sign <> 0")
+    below = F.size(F.filter("_seen", lambda u: u < F.col("tag")))
+    s = s.select("row_id", "pos", F.when(F.col("sign") < 0, F.col("base") - below).otherwise(below - F.size("_seen"))
+                 .cast("long").alias("_v"))
+    rank = s.repartition("row_id").groupBy("row_id", "pos").agg(F.sum("_v").alias("_r"))
     ranks = rank.groupBy("row_id").agg(F.max("_r").alias("u_hist_tag_rank_max"), F.min("_r").alias("u_hist_tag_rank_min"),
                                        F.sum("_r").alias("u_hist_tag_rank_sum"))
     return df.join(ranks, "row_id", "left")

@@ -116,7 +116,7 @@ rk AS (SELECT e.row_id, e.tag, sum(CASE WHEN o.cnt < me.cnt OR (o.cnt = me.cnt A
 SELECT row_id, max(r) AS u_hist_tag_rank_max, min(r) AS u_hist_tag_rank_min, sum(r) AS u_hist_tag_rank_sum
 FROM rk GROUP BY row_id""")
 def q_u7(spark, d):
-    """Rank of the row's tags among the user's 189 prior tag counters (running counts over dyadic id ranges)."""
+    """Rank of the row's tags among the user's 189 prior tag counters (tags listed by user and count)."""
     df, _ = _base(spark, d)
     return U.questions_only(U.tag_rank(df))
 
